@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.fingerprint import edit_fingerprints
+from tidemark.llm.knn import top_k
 from tidemark.llm.minhash import near_groups
+from tidemark.llm.mixing import mix
+from tidemark.llm.warc import archive_and_read
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +21,29 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_and_read(_table(spark, sf_dir, "pages")).drop("target_uri")
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op5_exact_top_k": op5_exact_top_k,
+    "op7_mix_sources": op7_mix_sources,
+    "op9_warc": op9_warc,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 OP1_SQL = r"""
@@ -39,6 +64,29 @@ SELECT doc_id, CAST(coalesce(len(s), 0) AS BIGINT) AS n_shingles, component_id,
 FROM sets JOIN least_id USING (doc_id)
 """
 
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
+FROM m
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,
+    "op5_exact_top_k": OP5_SQL,
+    "op9_warc": OP9_SQL,
 }
