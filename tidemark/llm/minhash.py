@@ -12,6 +12,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from tidemark.llm.words import column_sets, mix, seeds
 PERMUTATIONS, ROWS = 64, 5
 #: Candidate ids up to this many (16 MB) are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Buckets of up to this many open members are finished by a join, larger ones in blocks of about BLOCK members.
+SMALL_BUCKET, BLOCK = 32, 1024
 
 
 def signatures(sets: list[np.ndarray], permutations: int = PERMUTATIONS) -> np.ndarray:
@@ -96,7 +99,8 @@ def near_groups(docs: DataFrame, *, shingle: int = 5, percent: int = 80, permuta
     1. Each text becomes a set key and band keys, in one pass; equal sets merge into one class by a pre-aggregated minimum.
     2. In every bucket the other classes are paired with its smallest one, and pairs confirmed on full sets.
     3. Buckets of three or more that still hold several components are finished exactly: shingles that only one
-       document of them has bound its similarity to any other; what the bound leaves is paired across components and confirmed.
+       document of them has bound its similarity to any other; what the bound leaves is compared across components, in large
+       buckets block by block, where only links leave a task.
 
     Null or wordless texts: n_shingles 0, linked with nothing. Null doc_id: takes no part; component_id null, kept
     true. Rows that repeat a doc_id are one document, linked with all that any of its texts is linked with, and kept
@@ -143,8 +147,10 @@ def near_groups(docs: DataFrame, *, shingle: int = 5, percent: int = 80, permuta
     open_buckets = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
     rest = scratch.keep(labelled.join(open_buckets, "bucket", "left_semi"), "rest")
     bounds = _bounded(rest.select("id").distinct(), sets, scratch, percent)
-    rest = rest.select("bucket", "id", "component").join(bounds, "id")
-    left, right = (rest.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "own", "component"))) for s in "xy")
+    rest = scratch.keep(rest.select("bucket", "id", "component").join(bounds, "id"), "bounded")
+    large = scratch.keep(rest.groupBy("bucket").agg(F.count("*").alias("members")).where(f"members > {SMALL_BUCKET}"), "large")
+    few = rest.join(large, "bucket", "left_anti")
+    left, right = (few.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "own", "component"))) for s in "xy")
     most = F.least(F.col("n_x") - F.col("own_x"), F.col("n_y") - F.col("own_y"))
     across = (
         left.join(right, "bucket")
@@ -153,11 +159,12 @@ def near_groups(docs: DataFrame, *, shingle: int = 5, percent: int = 80, permuta
         .distinct()
         .join(star, ["a", "b"], "left_anti")
     )
-    more = scratch.keep(confirmed(scratch.keep(across, "across")), "more")
+    more = confirmed(scratch.keep(across, "across")).union(_links_in_blocks(rest.join(large, "bucket"), sets, percent))
+    more = scratch.keep(more, "more")
     components = connected_components(links.union(more), scratch, "final") if not more.isEmpty() else first
     found = classes.select("set_key", "id").join(components.withColumnRenamed("node", "id"), "id", "left")
     groups = scratch.keep(found.select("set_key", F.coalesce("component", "id").alias("component_id")), "groups")
-    scratch.drop("shared", "wanted", "buckets", "star", "sets", "links", "labelled", "rest", "across", "more", "classes")
+    scratch.drop("shared", "wanted", "buckets", "star", "sets", "links", "labelled", "rest", "bounded", "large", "across", "more", "classes")
     return _labelled(sketch.select("doc_id", "n_shingles", "set_key"), groups)
 
 
@@ -175,6 +182,45 @@ def _bounded(ids: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) ->
     return kept.select("id", "n", "own")
 
 
+def _block_links(percent: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, component = rows["id"].to_numpy(), rows["component"].to_numpy()
+        counts = rows["shingles"].map(len).to_numpy()
+        _, codes = np.unique(np.concatenate(rows["shingles"].to_list()), return_inverse=True)
+        starts = np.cumsum(counts) - counts
+        mark = np.zeros(codes.max() + 1, np.int32)
+        first, second = np.flatnonzero(rows["in_first"]), np.flatnonzero(rows["in_second"])
+        found = []
+        for i in first:
+            own = codes[starts[i] : starts[i] + counts[i]]
+            mark[own] = 1
+            shared = np.add.reduceat(mark[codes], starts)[second]
+            mark[own] = 0
+            alike = (100 * shared >= percent * (counts[i] + counts[second] - shared)) & (component[second] != component[i])
+            found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in second[alike]]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64").drop_duplicates()
+
+    return run
+
+
+def _links_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across the components of large buckets: the full sets of two blocks of members meet in a task, which returns links only."""
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
+    dealt = members.select("bucket", "id", "component", own.alias("own_block"), other)
+    dealt = dealt.select(
+        "bucket",
+        F.least("own_block", "other").alias("low"),
+        F.greatest("own_block", "other").alias("high"),
+        "id",
+        "component",
+        (F.col("own_block") <= F.col("other")).alias("in_first"),
+        (F.col("own_block") >= F.col("other")).alias("in_second"),
+    )
+    return dealt.join(sets, "id").groupBy("bucket", "low", "high").applyInPandas(_block_links(percent), "a long, b long").distinct()
+
+
 def _labelled(sketch: DataFrame, groups: DataFrame) -> DataFrame:
     """Give each row its class's component.
 
