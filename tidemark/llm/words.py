@@ -54,10 +54,17 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a hash for each word in order, the number of words of each row)."""
+def separators(word_bytes: bytes) -> np.ndarray:
+    """A table that makes every byte but ``word_bytes`` a separator."""
+    table = np.ones(256, bool)
+    table[list(word_bytes)] = False
+    return table
+
+
+def placed_words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a hash for each word in order, the number of words of each row, where each word starts in ``data``)."""
     rows = len(offsets) - 1
-    space = _IS_SPACE[data]
+    space = space[data]
     before, after = np.ones(len(data), bool), np.ones(len(data), bool)
     before[1:], after[:-1] = space[:-1], space[1:]
     inner = offsets[(offsets > 0) & (offsets < len(data))]
@@ -65,14 +72,19 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     after[inner - 1] = True
     starts = np.flatnonzero(~space & before)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(rows, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(rows, np.int64), starts
     lengths = np.flatnonzero(~space & after) + 1 - starts
     first = np.cumsum(lengths) - lengths
     powers = np.cumprod(np.full(int(lengths.max()), _BASE, np.uint64))
     place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
     values = (_LOWER[data[~space]].astype(np.uint64) + np.uint64(1)) * powers[place]
     counts = np.diff(np.searchsorted(starts, offsets))
-    return mix(np.add.reduceat(values, first)), counts
+    return mix(np.add.reduceat(values, first)), counts, starts
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a hash for each word in order, the number of words of each row)."""
+    return placed_words(data, offsets)[:2]
 
 
 def shingles(hashes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
