@@ -231,3 +231,19 @@ def _labelled(sketch: DataFrame, groups: DataFrame) -> DataFrame:
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
     )
+
+
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group, that with the smallest doc_id.
+
+    Rows without doc_id stay. Of rows that repeat a doc_id the smallest by all columns stays.
+    """
+    groups = near_groups(docs, **options)
+    gone = groups.where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    left = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return left
+    once = left.where("doc_id is not null").groupBy(F.col("doc_id").alias("of")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return once.select("row.*").union(left.where("doc_id is null"))

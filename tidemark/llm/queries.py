@@ -8,10 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.fingerprint import edit_fingerprints
 from tidemark.llm.knn import top_k
+from tidemark.llm.language import identify
+from tidemark.llm.lm import score_documents
 from tidemark.llm.minhash import near_groups
 from tidemark.llm.mixing import mix
+from tidemark.llm.quality import quality
+from tidemark.llm.spm import encode_documents
+from tidemark.llm.toxicity import toxicity
 from tidemark.llm.warc import archive_and_read
 
+#: A SentencePiece model of the installed vocabulary files.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,15 +29,35 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=5, held=0, threshold=0.5)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"), folds=4, held=2)
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_table(spark, sf_dir, "documents"), PIECES)
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=5, held=0, threshold=0.3)
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_and_read(_table(spark, sf_dir, "pages")).drop("target_uri")
 
@@ -40,8 +68,13 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_toxicity": op2_toxicity,
+    "op3_language_id": op3_language_id,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_exact_top_k": op5_exact_top_k,
+    "op6_quality": op6_quality,
     "op7_mix_sources": op7_mix_sources,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_warc": op9_warc,
     "op10_fingerprints": op10_fingerprints,
 }
