@@ -65,9 +65,8 @@ def ask(rows: DataFrame, enricher: Callable[[dict], str], parallelism: int = C.S
                     out.append({"id": row["id"], "answer": enricher(row)})
                 except Exception as e:  # noqa: BLE001  one article's failure is data
                     out.append({"id": row["id"], "error_kind": getattr(e, "kind", None), "error_status": getattr(e, "status", None), "error_text": str(e) or type(e).__name__})
-            frame = pd.DataFrame(out, columns=columns)
-            frame["error_status"] = frame["error_status"].astype("Int32")
-            yield frame
+            frame = pd.DataFrame(out, columns=columns).astype(object)
+            yield frame.where(frame.notna(), None)
 
     return rows.repartition(parallelism).mapInPandas(run, _ANSWER)
 

@@ -91,9 +91,8 @@ def fetch(targets: DataFrame, *, parallelism: int = C.FEED_CONCURRENCY, get: Cal
                 except Exception as e:  # noqa: BLE001  a fetch must not fail its peers
                     got = {"status": None, "error": str(e) or type(e).__name__}
                 rows.append({"source_id": t["source_id"], "url": t["url"], **got})
-            out = pd.DataFrame(rows, columns=_COLUMNS)
-            out["status"] = out["status"].astype("Int32")
-            yield out
+            out = pd.DataFrame(rows, columns=_COLUMNS).astype(object)
+            yield out.where(out.notna(), None)
 
     asked = targets.select("source_id", "url", "etag", "last_modified").repartition(parallelism)
     return asked.mapInPandas(run, FETCHES)
