@@ -96,7 +96,7 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndar
     n, factors = len(hashes), seeds(size, 77)
     total = np.zeros(n, np.uint64)
     whole = np.repeat(counts >= size, counts)
-    for k in range(size):
+    for k in range(min(size, n)):
         total[: n - k] += (hashes[k:] if k else hashes) * factors[k]
     keep = whole.copy()
     for k in range(1, size):
