@@ -18,6 +18,8 @@ from tidemark.llm.words import chunks, string_bytes
 
 PER_CLASS, WINDOW, HIDDEN = 400, 64, 8
 _PAD = 256
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
 @dataclass
@@ -167,20 +169,26 @@ def document_probabilities(model: LanguageModel, data: np.ndarray, offsets: np.n
     return out / np.maximum(np.diff(offsets), 1)[:, None]
 
 
+def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each row has a letter of any script."""
+    out = np.zeros(len(offsets) - 1, bool)
+    for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+        own = data[a:b]
+        out[i] = _ASCII_LETTER[own].any() or any(c.isalpha() for c in own.tobytes().decode("utf-8", "replace"))
+    return out
+
+
 def predict(model: LanguageModel, text: pa.Array) -> tuple[list[str], np.ndarray]:
     """(the likeliest language of each text, its probability); ``und`` and 0 without a letter."""
     data, offsets = string_bytes(text)
-    prob = [document_probabilities(model, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(offsets)]
-    prob = np.concatenate(prob) if prob else np.zeros((0, 1))
-    letters = np.zeros(256, bool)
-    letters[[*range(65, 91), *range(97, 123)]] = True
-    has = np.diff(np.concatenate(([0], np.cumsum(letters[data])))[offsets]) > 0
-    for i in np.flatnonzero(~has & (np.diff(offsets) > 0)):
-        has[i] = any(c.isalpha() for c in data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"))
-    has &= len(model.languages) > 0
-    best = prob.argmax(axis=1)
-    names = [model.languages[k] if ok else "und" for k, ok in zip(best, has, strict=True)]
-    return names, np.where(has, np.clip(prob.max(axis=1, initial=0), 0, 1), 0.0)
+    names, scores = [], [np.zeros(0)]
+    for lo, hi in chunks(offsets):
+        part, ends = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        prob = document_probabilities(model, part, ends)
+        has = _has_letter(part, ends) & (len(model.languages) > 0)
+        names += [model.languages[k] if ok else "und" for k, ok in zip(prob.argmax(axis=1), has, strict=True)]
+        scores.append(np.where(has, np.clip(prob.max(axis=1), 0, 1), 0.0))
+    return names, np.concatenate(scores)
 
 
 def identifier(model: LanguageModel):
