@@ -11,9 +11,17 @@ from tidemark.schemas import SUMMARY
 #: White space of browsers: Java's \s lacks the non-ASCII ones.
 SPACE = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
-# Labels of prompts.
+# Labels of prompts, and messages.
 CONTENT_LABELS = {"page": "ページ本文", "rss": "RSS概要", "none": "なし"}
 OMITTED = "（以下省略）"
+ERRORS = {
+    "auth": "APIキーが無効です",
+    "not_found": "モデルIDが見つかりません",
+    "rate_limit": "レート制限中です",
+    "connection": "APIに接続できません（ネットワークを確認してください）",
+}
+SKIPPED = "本文を取得できなかったため要約をスキップしました"
+UNREADABLE = "要約の JSON を解釈できませんでした: "
 CHAT_PREFIX = (
     "あなたは技術記事についての質問に日本語で答えるアシスタントです。以下の記事の内容に基づいて回答し、"
     "記事に書かれていない事柄は「記事には記載がありません」と明示したうえで一般知識として補足してください。"
@@ -117,23 +125,11 @@ def parse_summary(text: Column) -> Column:
     return F.coalesce(_strict_summary(text), _strict_summary(inner))
 
 
-def error_message(kind: Column, message: Column) -> Column:
+def error_message(kind: Column, status: Column, message: Column) -> Column:
     """What a failed enrichment is recorded as, by the class of its error."""
-    told = F.create_map(
-        *(
-            F.lit(x)
-            for kv in {
-                "auth": "The API key was refused.",
-                "billing": "The credit balance is too low.",
-                "rate_limit": "The rate limit was reached.",
-                "overloaded": "The service is overloaded.",
-                "timeout": "The request timed out.",
-                "connection": "The service could not be reached.",
-            }.items()
-            for x in kv
-        )
-    )
-    return F.coalesce(told[kind], message, F.lit("Unknown error."))
+    told = F.create_map(*(F.lit(x) for kv in ERRORS.items() for x in kv))
+    api = F.concat(F.lit("APIエラー ("), status.cast("string"), F.lit("): "), message)
+    return F.coalesce(told[kind], api, message, F.lit(""))
 
 
 def is_billing_or_auth(status: Column, message: Column) -> Column:

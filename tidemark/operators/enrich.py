@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
-from tidemark.functions.text import choose_content, error_message, is_billing_or_auth, parse_summary, truncate, utf16_length
+from tidemark.functions.text import SKIPPED, UNREADABLE, choose_content, error_message, is_billing_or_auth, parse_summary, truncate, utf16_length
 
-SKIPPED = "No text could be fetched, so the summary was skipped."
 _ANSWER = "id string, answer string, error_kind string, error_status int, error_text string"
 
 
@@ -109,8 +108,8 @@ def enrich(articles: DataFrame, pages: DataFrame, sources: DataFrame, enricher:
     asked = rows.where("not skip").select("id", "title", "url", F.coalesce("source_name", "source_id").alias("source_name"), "content_source", "text")
     both = rows.join(ask(asked, enricher, parallelism), "id", "left").withColumn("parsed", parse_summary(F.col("answer")))
     done = F.col("parsed").isNotNull()
-    unreadable = F.concat(F.lit("The summary could not be read: "), F.substring("answer", 1, 200))
-    told = F.when(F.col("skip"), SKIPPED).when(F.col("answer").isNotNull(), unreadable).otherwise(error_message(F.col("error_kind"), F.col("error_text")))
+    unreadable = F.concat(F.lit(UNREADABLE), F.substring("answer", 1, 200))
+    told = F.when(F.col("skip"), SKIPPED).when(F.col("answer").isNotNull(), unreadable).otherwise(error_message(F.col("error_kind"), F.col("error_status"), F.col("error_text")))
     keep = lambda new, old: F.when(done, new).otherwise(F.col(old))
     out = both.withColumns(
         {

@@ -24,16 +24,30 @@ class Store:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _versions(self) -> dict[str, str]:
-        pointer = self._path(f"{self.root}/_current")
-        if not self._fs.exists(pointer):
-            return {}
-        stream = self._fs.open(pointer)
+    def read_note(self, name: str) -> str | None:
+        """A small text that is kept beside the tables."""
+        path = self._path(f"{self.root}/_{name}")
+        if not self._fs.exists(path):
+            return None
+        stream = self._fs.open(path)
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
+            return bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
 
+    def write_note(self, name: str, text: str) -> None:
+        """Write the text aside, then move it into place."""
+        fresh, path = self._path(f"{self.root}/_{name}-{uuid.uuid4().hex}"), self._path(f"{self.root}/_{name}")
+        stream = self._fs.create(fresh, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        self._fs.delete(path, False)
+        if not self._fs.rename(fresh, path):
+            raise OSError(f"could not move {fresh} to {path}")
+
+    def _versions(self) -> dict[str, str]:
+        return json.loads(self.read_note("current") or "{}")
+
     def read(self, table: str) -> DataFrame:
         """The current version; an empty table before the first write."""
         version = self._versions().get(table)
@@ -52,14 +66,7 @@ class Store:
             current[name] = version
         if batch is not None:
             current["_batch"] = batch
-        fresh = self._path(f"{self.root}/_next-{uuid.uuid4().hex}")
-        stream = self._fs.create(fresh, True)
-        stream.write(bytearray(json.dumps(current).encode()))
-        stream.close()
-        pointer = self._path(f"{self.root}/_current")
-        self._fs.delete(pointer, False)
-        if not self._fs.rename(fresh, pointer):
-            raise OSError(f"could not move {fresh} to {pointer}")
+        self.write_note("current", json.dumps(current))
 
     def vacuum(self) -> None:
         """Delete all versions but the current ones."""
