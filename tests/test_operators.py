@@ -15,6 +15,8 @@ from tidemark.operators.candidates import to_candidates
 from tidemark.operators.commit import commit
 from tidemark.operators.run import refresh, summarize
 from tidemark.sources.store import Store, append_new, get, merge
+from tidemark.operators import settings as O
+from tidemark.sources.seed import seed_sources, targets
 from tidemark.streaming.ingest import admit_stream, ingest_stream
 
 DAY = timedelta(days=1)
@@ -137,6 +139,28 @@ def test_store(spark, tmp_path):
     assert [r["title"] for r in get(store.read("articles"), spark.createDataFrame([("b",), ("z",)], "id string")).orderBy("id").collect()] == ["new", None]
 
 
+def test_settings_and_lock(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    assert O.load_settings(store) == O.Settings() and len(O.Settings().enabled_sources) == 15
+    saved = O.save_settings(store, {"summary_concurrency": 9, "max_content_chars": 0, "max_new_per_source_per_run": float("nan"), "unknown": 1})
+    assert (saved.summary_concurrency, saved.max_content_chars, saved.max_new_per_source_per_run) == (4, 1000, 1)
+    assert O.save_settings(store, {"interval_minutes": 5}).summary_concurrency == 4
+    assert O.trigger_seconds(O.load_settings(store)) == 900 and O.trigger_seconds(O.Settings(interval_minutes=0)) is None
+    assert O.acquire(store, BASE) and not O.acquire(store, BASE + timedelta(minutes=19)) and O.release(store)
+    assert O.acquire(store, BASE) and O.acquire(store, BASE + timedelta(minutes=20)) and not O.release(store)
+
+
+def test_seed(spark):
+    seed = seed_sources(spark)
+    assert seed.count() == 15 and seed.where("listing_link_pattern is not null").count() == 2
+    assert targets(seed).count() == 15 and targets(seed, alternates=True).where("source_id = 'uber'").count() == 5
+    page = "https://www.uber.com/us/en/blog/"
+    row = seed.where("id = 'uber'").first()
+    keys = spark.createDataFrame([(page + "a-post",), (page + "engineering",), (page + "a/b",)], "k string")
+    kept = keys.where(F.col("k").rlike(row["listing_link_pattern"]) & ~F.col("k").rlike(row["listing_exclude_pattern"]))
+    assert [r["k"] for r in kept.collect()] == [page + "a-post"]
+
+
 def test_source_mutations(spark):
     seed = sources(spark, ("a", None, None), ("b", None, None)).withColumn("feed_url", F.concat(F.lit("u-"), "id"))
     stored = sources(spark, ("a", True, BASE), ("z", True, BASE)).withColumns({"feed_url": F.lit("u-a"), "etag": F.lit("e")})
