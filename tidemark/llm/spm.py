@@ -8,6 +8,7 @@ import os
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -15,6 +16,8 @@ MARK = "▁"
 #: Fixed values of the model format: model and piece types.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+#: Words that a worker remembers (about 50 MB); then it starts anew.
+KNOWN_WORDS = 200_000
 
 
 def parse_model(raw: bytes):
@@ -73,39 +76,92 @@ def build_tokenizer(raw: bytes):
     return tokenizer
 
 
+def parts_at_spaces(model) -> bool:
+    """Whether a text's ids are those of its space-separated words, one after the other.
+
+    So it is if the normaliser only adds and escapes spaces and no piece has a marker behind another character: then no merge
+    and no piece crosses from a word to the next one's marker.
+    """
+    spec = model.normalizer_spec
+    plain = spec.add_dummy_prefix and spec.escape_whitespaces and not spec.remove_extra_whitespaces and not spec.precompiled_charsmap
+    return bool(plain and model.trainer_spec.byte_fallback and not any(MARK in p.piece.lstrip(MARK) or p.type == USER_DEFINED for p in model.pieces))
+
+
+class Coder:
+    """Both libraries on one model. Words met before are looked up; the rest, and texts with odd spaces, are encoded in batches."""
+
+    def __init__(self, raw: bytes):
+        import sentencepiece
+
+        self.tokenizer = build_tokenizer(raw)
+        self.processor = sentencepiece.SentencePieceProcessor()
+        self.processor.LoadFromSerializedProto(raw)
+        self.by_word = parts_at_spaces(parse_model(raw))
+        self.known: dict[str, bytes] = {}
+        self.no_round_trip: set[str] = set()
+        self.no_parity: set[str] = set()
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+
+    def compared(self, texts: list[str]) -> Iterator[tuple[bytes, bool, bool]]:
+        """(ids as 32-bit integers, whether they decode to the text, whether sentencepiece has the same) of each text."""
+        ids = self.encode(texts)
+        for text, own, back, theirs in zip(texts, ids, self.decode(ids), self.processor.encode(texts, num_threads=1), strict=True):
+            yield np.array(own, np.int32).tobytes(), back == text, own == theirs
+
+    def documents(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
+        odd = {i for i, t in enumerate(texts) if not self.by_word or not t or "  " in t or MARK in t or t[0] == " " or t[-1] == " "}
+        words = [[] if i in odd else t.split(" ") for i, t in enumerate(texts)]
+        if len(self.known) > KNOWN_WORDS:
+            self.known, self.no_round_trip, self.no_parity = {}, set(), set()
+        new = list(dict.fromkeys(w for own in words for w in own if w not in self.known))
+        for w, (ids, back, same) in zip(new, self.compared(new), strict=True):
+            self.known[w] = ids
+            if not back:
+                self.no_round_trip.add(w)
+            if not same:
+                self.no_parity.add(w)
+        whole = iter(self.compared([texts[i] for i in sorted(odd)]))
+        known, failed = self.known, (self.no_round_trip, self.no_parity)
+        return [
+            next(whole) if i in odd else (b"".join([known[w] for w in own]), *(not f or f.isdisjoint(own) for f in failed))
+            for i, own in enumerate(words)
+        ]
+
+
 @lru_cache(maxsize=2)
-def _loaded(raw: bytes):
+def _coder(raw: bytes) -> Coder:
     """Built once in a Python worker."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
-    import sentencepiece
-
-    processor = sentencepiece.SentencePieceProcessor()
-    processor.LoadFromSerializedProto(raw)
-    return build_tokenizer(raw), processor
+    return Coder(raw)
 
 
 _SCHEMA = "doc_id long, n_tokens int, ids array<int>, round_trip boolean, parity boolean"
 
 
-def _encode(raw: bytes, at_once: int = 256):
+def _encode(raw: bytes, at_once: int = 512):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, processor = _loaded(raw)
+        coder = _coder(raw)
         for whole in batches:
             for at in range(0, whole.num_rows, at_once):
                 batch = whole.slice(at, at_once)
                 given = batch.column(1).to_pylist()
-                texts = [t or "" for t in given]
-                ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-                back = tokenizer.decode_batch(ids, skip_special_tokens=False)
-                theirs = processor.encode(texts, num_threads=1)
-                known = [t is not None for t in given]
+                null = np.array([t is None for t in given])
+                ids, back, same = zip(*coder.documents([t or "" for t in given]), strict=True)
+                ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids])))
+                offsets = pa.array(ends, pa.int32(), mask=np.append(null, False))
+                flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).cast(pa.int64()),
-                        pa.array([len(x) for x in ids], pa.int32()),
-                        pa.array([x if k else None for x, k in zip(ids, known, strict=True)], pa.list_(pa.int32())),
-                        pa.array([a == b if k else None for a, b, k in zip(back, texts, known, strict=True)], pa.bool_()),
-                        pa.array([a == b if k else None for a, b, k in zip(ids, theirs, known, strict=True)], pa.bool_()),
+                        pa.array(np.diff(ends), pa.int32()),
+                        pa.ListArray.from_arrays(offsets, flat),
+                        pa.array(np.array(back), mask=null),
+                        pa.array(np.array(same), mask=null),
                     ],
                     ["doc_id", "n_tokens", "ids", "round_trip", "parity"],
                 )
@@ -117,7 +173,7 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """Encode every whole text and decode it again: (doc_id, n_tokens, ids, round_trip, parity), a row per row of ``docs``.
 
     ``round_trip``: decoding gives the text back, which a leading marker or a normaliser that changes it prevents; ``parity``: the
-    sentencepiece library gives the same ids. Null texts: n_tokens 0, the rest null; empty texts have no ids. Control pieces
+    sentencepiece library gives the same ids. Where a model allows it, both are found word by word, each distinct word once. Null texts: n_tokens 0, the rest null; empty texts have no ids. Control pieces
     spelt out in a text are ordinary text. The model is read once by the driver and sent with the tasks; its size is fixed. Other
     columns are ignored; no rows give none.
     """
@@ -132,10 +188,10 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
         raw = f.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, _ = _loaded(raw)
+        coder = _coder(raw)
         for batch in batches:
             ids = batch.column(1).to_pylist()
-            texts = tokenizer.decode_batch([x or [] for x in ids], skip_special_tokens=False)
+            texts = coder.decode([x or [] for x in ids])
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([None if x is None else t for x, t in zip(ids, texts, strict=True)], pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
