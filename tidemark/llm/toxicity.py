@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: a document is toxic if one of its sentences is.
 
-Labels are of documents; the model scores sentences by their words, and a noisy-or combines them: a document is clean
+Labels are of documents; the model scores sentences by their distinct words, and a noisy-or combines them: a document is clean
 with the product of its sentences' probabilities to be clean. Trained on document labels alone, sentence scores then
 show where a document offends.
 """
@@ -19,6 +19,10 @@ from tidemark.llm.training import Adam, fold, labelled_sample, sigmoid
 from tidemark.llm.words import chunks, placed_words, separators, string_bytes
 
 PER_CLASS = 2000
+#: The weight of toxic documents in the fit: below a half, so that clean ones are left alone.
+TOXIC_SHARE = 0.3
+#: The share of the penalty that stays when the chosen words are fitted again.
+REFIT = 0.1
 _IN_WORD = separators(string.ascii_letters.encode() + string.digits.encode() + bytes(range(128, 256)))
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?\n")] = True
@@ -64,8 +68,8 @@ def _softplus(x: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, x)
 
 
-def train(sample: list[tuple[str, int]], rounds: int = 150, least_docs: int = 3, sparsity: float = 3e-4) -> ToxicityModel:
-    """Fit word weights to document labels by the noisy-or likelihood, sparse by an absolute penalty. Without both labels every score is near 0."""
+def train(sample: list[tuple[str, int]], rounds: int = 150, refit: int = 200, least_docs: int = 3, sparsity: float = 0.2) -> ToxicityModel:
+    """Fit word weights to document labels by the noisy-or likelihood, sparse by an absolute penalty of ``sparsity`` per toxic document. Without both labels every score is near 0."""
     empty = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -20.0)
     if len({y for _, y in sample}) < 2:
         return empty
@@ -81,17 +85,23 @@ def train(sample: list[tuple[str, int]], rounds: int = 150, least_docs: int = 3,
     known = np.bincount(seen // len(sample), minlength=len(unique)) >= least_docs
     slot = np.where(known, np.cumsum(known) - 1, known.sum())[code]
     sentence = np.repeat(np.arange(len(first)), length)
+    once = np.unique(sentence * (int(known.sum()) + 1) + slot)
+    sentence, slot = np.divmod(once, int(known.sum()) + 1)
     of_row = np.repeat(np.arange(len(per_row)), per_row)
-    weight = np.where(labels > 0, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())
+    weight = np.where(labels > 0, TOXIC_SHARE / labels.sum(), (1 - TOXIC_SHARE) / (1 - labels).sum())
+    sparsity /= labels.sum()
     w, bias = np.zeros(int(known.sum()) + 1), np.array([-5.0])
     adam = Adam({"w": w, "b": bias}, 0.1)
-    for _ in range(rounds):
-        z = np.add.reduceat(w[slot], first) + bias
+    for turn in range(rounds + refit):
+        z = np.bincount(sentence, w[slot], minlength=len(first)) + bias
         total = np.maximum(_by_row(_softplus(z), per_row), 1e-9)
         by_total = weight * ((1 - labels) - labels * np.exp(-total) / -np.expm1(-total))
         by_z = by_total[of_row] * sigmoid(z)
         grad = np.bincount(slot, by_z[sentence], minlength=len(w))
-        grad = np.where(w != 0, grad + sparsity * np.sign(w), np.sign(grad) * np.maximum(np.abs(grad) - sparsity, 0))
+        cost = sparsity if turn < rounds else sparsity * REFIT
+        grad = np.where(w != 0, grad + cost * np.sign(w), np.sign(grad) * np.maximum(np.abs(grad) - sparsity, 0))
+        if turn >= rounds:  # the words that were chosen are fitted at less of the penalty, which keeps weights small
+            grad[w == 0] = 0
         grad[-1] = 0
         was = w.copy()
         adam.step({"w": grad, "b": np.array([by_z.sum()])})
@@ -116,7 +126,10 @@ def sentence_logits(model: ToxicityModel, data: np.ndarray, offsets: np.ndarray)
         maybe[(model.words & np.uint64(0xFFFFF)).astype(np.int64)] = True
         word = np.flatnonzero(maybe[(words & np.uint64(0xFFFFF)).astype(np.int64)])
         at = np.minimum(np.searchsorted(model.words, words[word]), len(model.words) - 1)
-        value[word] = np.where(model.words[at] == words[word], model.weights[at], 0.0)
+        word, at = word[model.words[at] == words[word]], at[model.words[at] == words[word]]
+        sentence = np.searchsorted(first, word, "right") - 1
+        _, once = np.unique(sentence * len(model.words) + at, return_index=True)
+        value[word[once]] = model.weights[at[once]]
     return np.add.reduceat(value, first) + model.bias, per_row, starts[first]
 
 
