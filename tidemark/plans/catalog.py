@@ -142,6 +142,12 @@ def category_overlap(spark, d):
 _MARKS = "SELECT event_type, CASE WHEN event_type < 'm' THEN TIMESTAMP '2024-01-20 00:00:00' END AS mark FROM (SELECT DISTINCT event_type FROM events)"
 
 
+def _shaped(df: DataFrame, schema: str) -> DataFrame:
+    """``df`` with all columns of a schema, null where it has none."""
+    fields = df.sparkSession.createDataFrame([], schema).schema.fields
+    return df.select(*(F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
+
+
 def _events(spark, d) -> DataFrame:
     return _t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -180,11 +186,8 @@ def _commit(spark, d):
         F.lit(None).cast("string").alias("content_html"),
     )
     stored = events.where("event_id % 3 = 0").select(F.col("event_id").cast("string").alias("id"))
-    kinds = dict(c.split(" ", 1) for c in ("id string", "initialized boolean", "latest_published_at timestamp"))
     base = events.select("event_type").distinct().select(F.col("event_type").alias("id"), _mark().isNotNull().alias("initialized"), _mark().alias("latest_published_at"))
-    empty = spark.createDataFrame([], SOURCES)
-    sources = base.select(*(F.col(c) if c in kinds else F.lit(None).cast(t.dataType).alias(c) for c, t in zip(empty.columns, empty.schema.fields, strict=True)))
-    return commit(candidates, sources, stored, NOW, limit=20)
+    return commit(candidates, _shaped(base, SOURCES), stored, NOW, limit=20)
 
 
 _OPEN = (
@@ -239,16 +242,11 @@ def orphans(spark, d):
 )
 def source_upsert(spark, d):
     supplier = _t(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), "s_suppkey", "s_name")
-    empty = spark.createDataFrame([], SOURCES)
-
-    def shaped(df: DataFrame) -> DataFrame:
-        return df.select(*(F.col(c) if c in df.columns else F.lit(None).cast(t.dataType).alias(c) for c, t in zip(empty.columns, empty.schema.fields, strict=True)))
-
-    seed = shaped(supplier.select("id", F.col("s_name").alias("name"), F.concat(F.lit("https://f.example/"), "id").alias("feed_url")))
+    seed = _shaped(supplier.select("id", F.col("s_name").alias("name"), F.concat(F.lit("https://f.example/"), "id").alias("feed_url")), SOURCES)
     old_host = F.when(F.col("s_suppkey") % 2 == 0, "https://f.example/").otherwise("https://old.example/")
     stored = supplier.where("s_suppkey % 3 = 0").select("id", F.concat(old_host, "id").alias("feed_url"), F.concat(F.lit("e"), "id").alias("etag"), F.lit(True).alias("initialized"))
     overrides = supplier.where("s_suppkey % 5 = 0").select("id", F.concat(F.lit("https://o.example/"), "id").alias("feed_url"))
-    return upsert_sources(seed, shaped(stored), overrides).select("id", "feed_url", "etag", "initialized")
+    return upsert_sources(seed, _shaped(stored, SOURCES), overrides).select("id", "feed_url", "etag", "initialized")
 
 
 @_query(
@@ -258,16 +256,15 @@ def source_upsert(spark, d):
 def article_view(spark, d):
     customer = _t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("string").alias("source_id"))
     orders = _t(spark, d, "orders").join(customer, "o_custkey")
-    blank = spark.createDataFrame([], ARTICLES)
-    given = {
-        "id": F.col("o_orderkey").cast("string"),
-        "source_id": F.col("source_id"),
-        "title": F.col("o_orderpriority"),
-        "published_at": F.col("o_orderdate").cast("timestamp"),
-        "status": F.lit("done"),
-        "read_at": F.when(F.col("o_orderstatus") == "P", F.col("o_orderdate").cast("timestamp")),
-    }
-    articles = orders.select(*(given.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in blank.schema.fields))
+    given = orders.select(
+        F.col("o_orderkey").cast("string").alias("id"),
+        "source_id",
+        F.col("o_orderpriority").alias("title"),
+        F.col("o_orderdate").cast("timestamp").alias("published_at"),
+        F.lit("done").alias("status"),
+        F.when(F.col("o_orderstatus") == "P", F.col("o_orderdate").cast("timestamp")).alias("read_at"),
+    )
+    articles = _shaped(given, ARTICLES)
     nations = _t(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"))
     cards = V.article_list(articles, nations, source_ids=["1", "2", "3"], unread_only=True, status="done")
     return _ntz(cards.select("id", "source_name", "headline", "published_at", "is_read"), "published_at")
