@@ -106,9 +106,8 @@ def train(sample: list[tuple[str, int]], rounds: int = 150, refit: int = 200, le
         was = w.copy()
         adam.step({"w": grad, "b": np.array([by_z.sum()])})
         w[w * was < 0] = 0
-    params = {"w": w, "b": bias}
-    keep = np.flatnonzero(params["w"][:-1])
-    return ToxicityModel(unique[known][keep], params["w"][:-1][keep], float(params["b"][0]))
+    keep = np.flatnonzero(w[:-1])
+    return ToxicityModel(unique[known][keep], w[keep], float(bias[0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column, per_class: int = PER_CLASS) -> ToxicityModel:
