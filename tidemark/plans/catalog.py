@@ -272,13 +272,13 @@ def article_view(spark, d):
 
 @_query(
     "SELECT count(*) FILTER (event_type = 'purchase') AS done, count(*) FILTER (event_type = 'click') AS failed, "
-    "list_sort(list(user_id || ': ' || event_id) FILTER (event_type = 'click')) AS errors FROM events WHERE event_id < 500"
+    "array_to_string(list_sort(list(user_id || ': ' || event_id) FILTER (event_type = 'click')), ',') AS errors FROM events WHERE event_id < 500"
 )
 def batch_status(spark, d):
     e = _events(spark, d).where("event_id < 500")
     status = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "click", "error").otherwise("new")
     rows = e.select("event_id", F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("title"), status.alias("status"), F.col("event_id").cast("string").alias("error"))
-    return V.batch_status(rows, rows.select("id"))
+    return V.batch_status(rows, rows.select("id")).withColumn("errors", F.array_join("errors", ","))
 
 
 @_query(

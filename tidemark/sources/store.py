@@ -7,6 +7,7 @@ dies leaves the pointer as it was. One writer at a time.
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark import schemas
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``, or where that is unset a temporary folder of this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    return (root or tempfile.mkdtemp(prefix="tidemark-")).rstrip("/")
+
+
 class Store:
     """Named tables below ``root``, on any file system that Spark writes to."""
 
