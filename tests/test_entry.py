@@ -8,7 +8,7 @@ from pathlib import Path
 
 import pytest
 
-from tidemark.plans.catalog import ORACLE_SQL, QUERIES
+from tidemark.plans import ORACLE_SQL, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
 REPO = Path(__file__).resolve().parent.parent
