@@ -18,11 +18,18 @@ from tidemark.functions.html import html_to_text
 
 @dataclass
 class Committed:
-    """articles: rows to add; sources: all sources after the run; metrics: (source_id, added, carried_over, latest_published_at)."""
+    """articles: rows to add; sources: all sources after the run; metrics: (source_id, added, carried_over, latest_published_at).
+
+    All three read the candidates once judged, which are persisted until ``release``.
+    """
 
     articles: DataFrame
     sources: DataFrame
     metrics: DataFrame
+    judged: DataFrame
+
+    def release(self) -> None:
+        self.judged.unpersist()
 
 
 def first_of_key(items: DataFrame, *key: str, order: str = "pos") -> DataFrame:
@@ -102,7 +109,7 @@ def commit(candidates: DataFrame, sources: DataFrame, articles: DataFrame, now:
         modes = counted.select("source_id", F.lit("feed").alias("mode"))
     fetched = modes.select(F.col("source_id").alias("id"), "mode")
     limit = max(0, int(limit))
-    rows = fresh_rows(candidates, sources.join(F.broadcast(fetched), "id"), articles)
+    rows = fresh_rows(candidates, sources.join(fetched, "id"), articles).persist()
     found = per_source(rows, limit)
     first_cold = found.where("cold and newest is not null and not newest.stored").select("newest.*")
     undated = "mode = 'listing' and first_unknown is not null and not first_unknown.stored and not (cold and newest is not null)"
@@ -129,4 +136,4 @@ def commit(candidates: DataFrame, sources: DataFrame, articles: DataFrame, now:
     after = after.withColumns(new)
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     metrics = after.where(ran).select(F.col("id").alias("source_id"), zero("added"), zero("carried_over"), "latest_published_at")
-    return Committed(as_articles(taken, now), after.select(sources.columns), metrics)
+    return Committed(as_articles(taken, now), after.select(sources.columns), metrics, rows)

@@ -78,7 +78,7 @@ def redate(articles: DataFrame, pages: DataFrame, sources: DataFrame, *, drop_ol
     """
     real = pages.select("id", F.col("published_at").alias("real"))
     marks = sources.select(F.col("id").alias("source_id"), F.col("latest_published_at").alias("mark"))
-    rows = articles.join(real, "id", "left").join(F.broadcast(marks), "source_id", "left")
+    rows = articles.join(real, "id", "left").join(marks, "source_id", "left")
     moves = F.coalesce(F.col("published_at_provisional") & F.col("real").isNotNull(), F.lit(False))
     old = moves & F.coalesce(F.col("real") <= F.col("mark") - F.expr(f"interval {C.NEW_ITEM_GRACE_DAYS} days"), F.lit(False)) & F.lit(drop_old)
     rows = rows.withColumn("moves", moves).withColumn("old", old)
@@ -104,7 +104,7 @@ def enrich(articles: DataFrame, pages: DataFrame, sources: DataFrame, enricher:
     Articles without any text are not asked about. An error is not tried again by itself.
     """
     names = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
-    rows = with_content(articles, pages, max_chars).join(F.broadcast(names), "source_id", "left")
+    rows = with_content(articles, pages, max_chars).join(names, "source_id", "left")
     asked = rows.where("not skip").select("id", "title", "url", F.coalesce("source_name", "source_id").alias("source_name"), "content_source", "text")
     both = rows.join(ask(asked, enricher, parallelism), "id", "left").withColumn("parsed", parse_summary(F.col("answer")))
     done = F.col("parsed").isNotNull()

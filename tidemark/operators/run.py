@@ -52,6 +52,7 @@ def refresh(store: Store, feeds: DataFrame, listings: DataFrame | None, now: dat
     metrics = done.metrics.persist()
     metrics.count()  # before the tables that it was computed from are replaced
     store.write(batch, sources=after, articles=append_new(articles, done.articles))
+    done.release()
     return metrics
 
 

@@ -17,7 +17,7 @@ def upsert_sources(seed: DataFrame, stored: DataFrame, overrides: DataFrame | No
     """
     fixed = seed.select("id", "feed_url", *_FIXED)
     if overrides is not None:
-        fixed = fixed.join(F.broadcast(overrides.select("id", F.col("feed_url").alias("override"))), "id", "left")
+        fixed = fixed.join(overrides.select("id", F.col("feed_url").alias("override")), "id", "left")
         fixed = fixed.withColumn("feed_url", F.coalesce("override", "feed_url")).drop("override")
     state = [c for c in stored.columns if c not in (*_FIXED, "feed_url")]
     old = stored.select(*state, F.col("feed_url").alias("old_url"), F.lit(True).alias("is_stored"))
@@ -56,7 +56,7 @@ def reset_all(seed: DataFrame, sources: DataFrame, articles: DataFrame, chats: D
 def record_failures(sources: DataFrame, failures: DataFrame, now) -> DataFrame:
     """Sources with the status of failures(source_id, error)."""
     told = failures.select(F.col("source_id").alias("id"), F.col("error").alias("told"))
-    both = sources.join(F.broadcast(told), "id", "left")
+    both = sources.join(told, "id", "left")
     bad = F.col("told").isNotNull()
     new = {
         "last_status": F.when(bad, "error").otherwise(F.col("last_status")),

@@ -20,7 +20,7 @@ def article_list(articles: DataFrame, sources: DataFrame, *, source_ids: list[st
     if status != "all":
         rows = rows.where(F.col("status").isin("new", "summarizing") if status == "summarizing" else F.col("status") == status)
     names = sources.select(F.col("id").alias("source_id"), "name")
-    cards = rows.join(F.broadcast(names), "source_id", "left").select(
+    cards = rows.join(names, "source_id", "left").select(
         "id",
         "source_id",
         F.coalesce("name", "source_id").alias("source_name"),
@@ -72,7 +72,7 @@ def history(messages: Column) -> Column:
 def mark_read(articles: DataFrame, ids: DataFrame, now: datetime) -> DataFrame:
     """Articles with the time of their first opening."""
     opened = ids.select("id", F.lit(True).alias("opened"))
-    both = articles.join(F.broadcast(opened), "id", "left")
+    both = articles.join(opened, "id", "left")
     read = F.coalesce("read_at", F.when(F.col("opened"), F.lit(now).cast("timestamp")))
     return both.withColumn("read_at", read).select(articles.columns)
 

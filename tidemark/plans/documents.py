@@ -136,6 +136,7 @@ def run_sequence(spark, d):
             sources, articles = store.read("sources"), store.read("articles")
             done = commit(to_candidates(items, sources), sources, articles, NOW, limit=1_000_000_000)
             store.write(batch, sources=done.sources, articles=append_new(articles, done.articles))
+            done.release()
     counts = store.read("articles").groupBy("source_id").agg(F.count("*").alias("stored"))
     got = counts.join(store.read("sources").select(F.col("id").alias("source_id"), "latest_published_at"), "source_id")
     return _ntz(got, "latest_published_at")
