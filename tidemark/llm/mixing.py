@@ -22,8 +22,8 @@ def _shuffle_key(seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
 
 
-def source_targets(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...], share: float, cap: float) -> tuple[DataFrame, float]:
-    """((source, source_size, target, earlier), the sum of targets) of sizes(source, source_size).
+def source_targets(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...], share: float, cap: float) -> tuple[DataFrame, int]:
+    """((source, source_size, target, earlier), the sum of whole targets) of sizes(source, source_size).
 
     The i-th source by code point, null last, weighs ``weights[i % len(weights)]``. Targets share ``share`` of all sizes by
     weight; a target above cap * source_size stops there, and what it leaves is shared again until none is above.
@@ -47,7 +47,7 @@ def source_targets(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...
         level, stopped = new, stopped | (F.col("weight") * new >= top)
     target = F.least(F.col("weight") * level, top) if total and level < math.inf else top
     out = sources.select("source", "source_size", target.cast("double").alias("target"), "earlier")
-    return out, out.agg(F.sum("target")).first()[0] or 0.0
+    return out, out.agg(F.sum(F.floor("target"))).first()[0] or 0
 
 
 def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, budget: int | None = None, seed: int = 7) -> DataFrame:
@@ -65,7 +65,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _shuffle_key(seed).alias("shuffle_key"), size.alias("size"))
     thin = scratch.keep(thin, "thin")
     sources, all_targets = source_targets(thin.groupBy("source").agg(F.sum("size").alias("source_size")), scratch, weights, share, cap)
-    budget = math.floor(all_targets) if budget is None else min(budget, math.floor(all_targets))
+    budget = all_targets if budget is None else min(budget, all_targets)
 
     order = [F.col("source").asc_nulls_last(), F.col("shuffle_key").asc(), F.col("doc_id").asc_nulls_last(), F.col("size").asc()]
     queued = running_total(thin, order, "size", "upto", scratch, "queued")
