@@ -16,8 +16,10 @@ MARK = "▁"
 #: Fixed values of the model format: model and piece types.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words that a worker remembers (about 50 MB); then it starts anew.
-KNOWN_WORDS = 200_000
+#: Words that a worker remembers (about 100 MB); then it starts anew.
+KNOWN_WORDS = 400_000
+#: Words encoded as one text, and the threads that encode texts; more threads than cores cost CPU time.
+GROUP, THREADS = 256, 2
 
 
 def parse_model(raw: bytes):
@@ -96,7 +98,9 @@ class Coder:
         self.tokenizer = build_tokenizer(raw)
         self.processor = sentencepiece.SentencePieceProcessor()
         self.processor.LoadFromSerializedProto(raw)
-        self.by_word = parts_at_spaces(parse_model(raw))
+        model = parse_model(raw)
+        self.by_word = parts_at_spaces(model)
+        self.marked = np.array([p.piece.startswith(MARK) for p in model.pieces])
         self.known: dict[str, bytes] = {}
         self.no_round_trip: set[str] = set()
         self.no_parity: set[str] = set()
@@ -113,13 +117,28 @@ class Coder:
         for text, own, back, theirs in zip(texts, ids, self.decode(ids), self.processor.encode(texts, num_threads=1), strict=True):
             yield np.array(own, np.int32).tobytes(), back == text, own == theirs
 
+    def compared_words(self, words: list[str]) -> Iterator[tuple[bytes, bool, bool]]:
+        """``compared`` for words without spaces and markers, many to a text: a word's ids begin at each piece with a marker.
+
+        A text where anything differs is compared word by word.
+        """
+        groups = [words[i : i + GROUP] for i in range(0, len(words), GROUP)]
+        texts = [" ".join(g) for g in groups]
+        for group, (raw, back, same) in zip(groups, self.compared(texts), strict=True):
+            starts = np.flatnonzero(self.marked[np.frombuffer(raw, np.int32)]) * 4
+            if back and same and len(starts) == len(group):
+                ends = np.append(starts[1:], len(raw))
+                yield from ((raw[x:y], True, True) for x, y in zip(starts.tolist(), ends.tolist(), strict=True))
+            else:
+                yield from self.compared(group)
+
     def documents(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
         odd = {i for i, t in enumerate(texts) if not self.by_word or not t or "  " in t or MARK in t or t[0] == " " or t[-1] == " "}
         words = [[] if i in odd else t.split(" ") for i, t in enumerate(texts)]
         if len(self.known) > KNOWN_WORDS:
             self.known, self.no_round_trip, self.no_parity = {}, set(), set()
         new = list(dict.fromkeys(w for own in words for w in own if w not in self.known))
-        for w, (ids, back, same) in zip(new, self.compared(new), strict=True):
+        for w, (ids, back, same) in zip(new, self.compared_words(new), strict=True):
             self.known[w] = ids
             if not back:
                 self.no_round_trip.add(w)
@@ -137,6 +156,7 @@ class Coder:
 def _coder(raw: bytes) -> Coder:
     """Built once in a Python worker."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
     return Coder(raw)
 
 
