@@ -16,8 +16,8 @@ MARK = "▁"
 #: Fixed values of the model format: model and piece types.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words that a worker remembers (about 100 MB); then it starts anew.
-KNOWN_WORDS = 400_000
+#: Words that a worker remembers (about 40 MB); then it starts anew.
+KNOWN_WORDS = 150_000
 #: Words encoded as one text, and the threads that encode texts; more threads than cores cost CPU time.
 GROUP, THREADS = 256, 2
 
