@@ -13,6 +13,7 @@ from tidemark.llm import language as L
 from tidemark.llm import lm as M
 from tidemark.llm import quality as Q
 from tidemark.llm import toxicity as X
+from tidemark.llm.scratch import Scratch
 from tidemark.llm.training import class_sample, fold, labelled_sample
 from tidemark.llm.words import string_bytes
 
@@ -149,6 +150,34 @@ def test_word_counts_cover_all_texts(spark, docs):
     assert len(vocab.words) == 3 and np.exp(vocab.unigram).sum() == pytest.approx(1)
 
 
+def test_lm_fit_meets_every_text(spark, docs):
+    """Each frequent word is in one text only, and its embedding moves from where it was drawn, whichever texts a replica has."""
+    rows = [(i, f"w{i} " * 3 + "x " * 12) for i in range(900)] + [(i, "y " * 12) for i in range(900, 3000)]
+    given = docs(*rows)
+    counts = M.count_words(given)
+    vocab, tokens = M.vocabulary(counts), 900 * 15 + 2100 * 12
+    assert tokens // (M.ROUNDS * M.BATCH) > 1
+    p, drawn = M.train(given, vocab, tokens, Scratch(spark, "lm"), steps=1), M.new_params(np.random.default_rng(9))
+    moved = (p["t"] != drawn["t"]).any(axis=2)
+    assert moved[:, vocab.symbol].all()
+    again = M.train(given.repartition(7), vocab, tokens, Scratch(spark, "lm"), steps=1)
+    assert all(np.allclose(p[k], again[k], atol=1e-5) for k in p)
+
+
+def test_rare_words_share_their_class_by_count(spark, docs):
+    """Of two rare words of one class the more frequent one is as much more likely; the shares of a class add up to 1."""
+    frequent = [f"f{i}" for i in range(M.SYMBOLS - M.RARE)]
+    rare = [f"r{i}" for i in range(300)]
+    vocab = M.vocabulary(M.count_words(docs(*[" ".join(frequent)] * 9, *[" ".join(rare)] * 2, " ".join(rare[:150]), *(f"once{i}" for i in range(50)))))
+    hashes = np.concatenate([M.placed_words(*string_bytes(pa.array([w])), M._IN_WORD)[0] for w in rare + [f"once{i}" for i in range(50)]])
+    symbols = vocab.symbols(hashes)
+    share = np.exp(vocab.within(hashes, symbols))
+    assert np.bincount(symbols, share)[np.unique(symbols)] == pytest.approx(1, abs=1e-5)
+    times = np.repeat([3, 2, 1], [150, 150, 50])
+    for k in np.unique(symbols):
+        assert np.ptp(share[symbols == k] / times[symbols == k]) < 1e-6
+
+
 def test_contexts_stop_at_rows():
     around = M.contexts(np.array([1, 2, 3, 4, 5]), np.array([3, 0, 2]))
     out = M.SYMBOLS

@@ -1,15 +1,16 @@
 """Language-model scores by masked pseudo-likelihood.
 
 Every token is predicted from the tokens on both of its sides by a small window network, trained in numpy; the sum of the log
-conditional probabilities scores a document. Counts of all words of the corpus give the vocabulary, the size of the
-classes that rare words fall in, and the unigram distribution that smooths the network.
+conditional probabilities scores a document. The network is fitted to all texts, in replicas that are averaged. Counts of all words of
+the corpus give the frequent words, the share of every rare word in its class, and the unigram distribution that smooths the network.
 """
 
 from __future__ import annotations
 
+import math
 import string
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,20 +24,26 @@ from tidemark.llm.words import chunks, placed_words, separators, string_bytes
 #: Symbols: the frequent words, then RARE classes of all others; GROUP symbols share a branch of the two-level softmax.
 SYMBOLS, RARE, GROUP, HIDDEN = 1024, 64, 32, 32
 SIDES = (-2, -1, 1, 2)
-#: Documents that the network is fitted to at most, and the weight of the unigram in every prediction.
-FIT_DOCS, SMOOTH = 2000, 0.05
+#: Rounds of the fit, batches of a replica in a round, tokens of a batch, and the weight of the unigram in every prediction.
+ROUNDS, STEPS, BATCH, SMOOTH = 4, 100, 4096, 0.05
 _IN_WORD = separators(string.ascii_letters.encode() + string.digits.encode() + bytes(range(128, 256)))
 
 
 @dataclass
 class Vocabulary:
     """words: sorted hashes of the frequent words, symbol: theirs, unigram: log probability by symbol, spread: log of the
-    number of words that a symbol stands for."""
+    count of all rare words that a symbol stands for, others: sorted hashes of the rare words that occur more than once, times: log of their counts."""
 
     words: np.ndarray
     symbol: np.ndarray
     unigram: np.ndarray
     spread: np.ndarray
+    others: np.ndarray
+    times: np.ndarray
+
+    def coder(self) -> Vocabulary:
+        """The part that ``symbols`` needs."""
+        return replace(self, others=self.others[:0], times=self.times[:0])
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         rare = SYMBOLS - RARE + (hashes % np.uint64(RARE)).astype(np.int64)
@@ -45,6 +52,15 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         return np.where(self.words[at] == hashes, self.symbol[at], rare)
 
+    def within(self, hashes: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Log share of each word in its symbol: 0 for a frequent word, by count in a class. A rare word that is not among the others occurs once."""
+        out = -self.spread[symbols]
+        if len(self.others):
+            rare = np.flatnonzero(symbols >= SYMBOLS - RARE)
+            at = np.minimum(np.searchsorted(self.others, hashes[rare]), len(self.others) - 1)
+            out[rare] += np.where(self.others[at] == hashes[rare], self.times[at], 0)
+        return out
+
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -60,19 +76,25 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """The most frequent words by count, ties by hash, and totals of the classes of the others; a bounded number of rows meets the driver."""
+    """The most frequent words by count, ties by hash, totals of the classes of the others, and the counts of all others above 1, which grow with the corpus."""
     top = counts.orderBy(F.desc("n"), "word").limit(SYMBOLS - RARE).collect()
     words = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(words)
     total = np.ones(SYMBOLS)
     total[: len(top)] += [r["n"] for r in top]
-    kinds = np.ones(SYMBOLS)
+    mass = np.ones(SYMBOLS)
     # of the unsigned hash: RARE divides 2**64, so a signed remainder is the same
-    for r in counts.groupBy(F.pmod("word", F.lit(RARE)).alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("c")).collect():
-        own = [x["n"] for x in top if x["word"] % RARE == r["k"]]
-        total[SYMBOLS - RARE + r["k"]] += r["n"] - sum(own)
-        kinds[SYMBOLS - RARE + r["k"]] = max(1, r["c"] - len(own))
-    return Vocabulary(words[order], np.arange(len(words))[order], np.log(total / total.sum()), np.log(kinds))
+    for r in counts.groupBy(F.pmod("word", F.lit(RARE)).alias("k")).agg(F.sum("n").alias("n")).collect():
+        left = r["n"] - sum(x["n"] for x in top if x["word"] % RARE == r["k"])
+        total[SYMBOLS - RARE + r["k"]] += left
+        mass[SYMBOLS - RARE + r["k"]] = max(1, left)
+    often = counts.where("n > 1").select("word", "n").toArrow()
+    others, times = (often[c].to_numpy() for c in ("word", "n"))
+    others = others.view(np.uint64)
+    rare = ~np.isin(others, words)
+    others, times = others[rare], times[rare]
+    by = np.argsort(others)
+    return Vocabulary(words[order], np.arange(len(words))[order], np.log(total / total.sum()), np.log(mass), others[by], np.log(times[by]).astype(np.float32))
 
 
 def contexts(symbols: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -101,9 +123,18 @@ def new_params(rng: np.random.Generator, hidden: int = HIDDEN, kind=np.float32)
     }
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
+def _log_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log softmax of each row at one place."""
+    x -= x.max(axis=1, keepdims=True)
+    picked = x[np.arange(len(x)), at]
+    return picked - np.log(np.exp(x, out=x).sum(axis=1))
 
 
 def _hidden(p: dict[str, np.ndarray], around: np.ndarray) -> np.ndarray:
@@ -118,60 +149,142 @@ def log_probs(p: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray)
     """The network's log probability of each target symbol between its neighbours."""
     h = _hidden(p, around)
     group, within = target // GROUP, target % GROUP
-    order = np.argsort(group, kind="stable")
+    order = np.argsort(group.astype(np.uint8), kind="stable")
     bounds = np.searchsorted(group[order], np.arange(SYMBOLS // GROUP + 1))
-    out = _log_softmax(h @ p["g"] + p["gb"])[np.arange(len(target)), group]
+    out = _log_at(h @ p["g"] + p["gb"], group)
     for k in range(SYMBOLS // GROUP):
         rows = order[bounds[k] : bounds[k + 1]]
         if len(rows):
-            out[rows] += _log_softmax(h[rows] @ p["s"][k] + p["sb"][k])[np.arange(len(rows)), within[rows]]
+            out[rows] += _log_at(h[rows] @ p["s"][k] + p["sb"][k], within[rows])
     return out
 
 
 def loss_and_grads(p: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean negative log probability and its gradient by every parameter."""
-    h = _hidden(p, around)
     n = len(target)
-    group, within = target // GROUP, target % GROUP
+    order = np.argsort((target // GROUP).astype(np.uint8), kind="stable")
+    around, target = around[order], target[order]
+    h = _hidden(p, around)
+    group, within, rows = target // GROUP, target % GROUP, np.arange(n)
     grads = {k: np.zeros_like(v) for k, v in p.items()}
-    lp = _log_softmax(h @ p["g"] + p["gb"])
-    loss = -lp[np.arange(n), group].sum()
-    by = np.exp(lp)
-    by[np.arange(n), group] -= 1
+    by = _softmax(h @ p["g"] + p["gb"])
+    loss = -np.log(by[rows, group]).sum()
+    by[rows, group] -= 1
     by /= n
     grads["g"], grads["gb"] = h.T @ by, by.sum(axis=0)
     by_h = by @ p["g"].T
+    bounds = np.searchsorted(group, np.arange(SYMBOLS // GROUP + 1))
     for k in np.unique(group):
-        rows = np.flatnonzero(group == k)
-        lp = _log_softmax(h[rows] @ p["s"][k] + p["sb"][k])
-        loss -= lp[np.arange(len(rows)), within[rows]].sum()
-        by = np.exp(lp)
-        by[np.arange(len(rows)), within[rows]] -= 1
+        a, b = bounds[k], bounds[k + 1]
+        at = rows[: b - a], within[a:b]
+        by = _softmax(h[a:b] @ p["s"][k] + p["sb"][k])
+        loss -= np.log(by[at]).sum()
+        by[at] -= 1
         by /= n
-        grads["s"][k], grads["sb"][k] = h[rows].T @ by, by.sum(axis=0)
-        by_h[rows] += by @ p["s"][k].T
+        grads["s"][k], grads["sb"][k] = h[a:b].T @ by, by.sum(axis=0)
+        by_h[a:b] += by @ p["s"][k].T
     by_h *= 1 - h * h
     grads["b"] = by_h.sum(axis=0)
     for k in range(len(SIDES)):
-        np.add.at(grads["t"][k], around[:, k], by_h)
+        order = np.argsort(around[:, k].astype(np.uint16), kind="stable")
+        key = around[order, k]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        grads["t"][k][key[first]] = np.add.reduceat(by_h[order], first, axis=0)
     return float(loss / n), grads
 
 
-def train(vocab: Vocabulary, texts: list[str], rounds: int = 400, batch: int = 4096, seed: int = 9) -> dict[str, np.ndarray]:
-    """Fit the window network to the tokens of the texts, in random batches. Without tokens it stays as drawn."""
+def fit(p: dict[str, np.ndarray], symbols: np.ndarray, counts: np.ndarray, steps: int, start: float, end: float, seed: int) -> None:
+    """Fit the network in place to all tokens of texts of ``counts`` tokens each, in shuffled batches: once, and again until ``steps`` are done.
+
+    ``start`` and ``end`` place these steps in the whole fit, for the falling rate.
+    """
     rng = np.random.default_rng(seed)
-    p = new_params(rng)
-    data, offsets = string_bytes(pa.array(texts, pa.large_string()))
-    hashes, counts, _ = placed_words(data, offsets, _IN_WORD)
-    if not len(hashes):
-        return p
-    symbols = vocab.symbols(hashes)
     around = contexts(symbols, counts)
     adam = Adam(p, 0.01)
-    for turn in range(rounds):
-        adam.rate = 0.01 * (1 - turn / rounds) + 0.0005
-        pick = rng.integers(0, len(symbols), min(batch, len(symbols)))
+    passes = -(-len(symbols) // BATCH)
+    steps = max(steps, passes)
+    for turn in range(steps):
+        if turn % passes == 0:
+            order = rng.permutation(len(symbols))
+        adam.rate = 0.01 * (1 - start - (end - start) * turn / steps) + 0.0005
+        pick = order[turn % passes * BATCH :][:BATCH]
         adam.step(loss_and_grads(p, around[pick], symbols[pick])[1])
+
+
+def _coded(vocab: Vocabulary):
+    """(part, key, text) -> (part, key, the symbols of the text as bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = string_bytes(batch.column(2))
+            for a, b in chunks(offsets):
+                hashes, counts, _ = placed_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], _IN_WORD)
+                symbols = vocab.symbols(hashes).astype(np.uint16)
+                ends = np.concatenate(([0], np.cumsum(counts) * 2)).astype(np.int32)
+                coded = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(symbols)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), coded], ["part", "key", "symbols"])
+
+    return run
+
+
+def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([v.ravel() for v in p.values()])
+
+
+def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    cuts = np.cumsum([v.size for v in like.values()])[:-1]
+    return {k: x.reshape(v.shape).astype(v.dtype) for (k, v), x in zip(like.items(), np.split(flat, cuts), strict=True)}
+
+
+def _replica(p: dict[str, np.ndarray], steps: int, start: float, end: float):
+    """A part of the texts -> (its tokens, the parameters fitted to it, times its tokens)."""
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("key", "ascending"), ("symbols", "ascending")])
+        coded = part["symbols"].to_pylist()
+        symbols = np.frombuffer(b"".join(coded), np.uint16).astype(np.int64)
+        own = {k: v.copy() for k, v in p.items()}
+        fit(own, symbols, np.array([len(x) // 2 for x in coded]), steps, start, end, 9 + part["part"][0].as_py())
+        return pa.table({"n": pa.array([len(symbols)], pa.int64()), "sums": pa.array([(_flat(own).astype(float) * len(symbols)).tobytes()], pa.binary())})
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n, sums = 0, None
+    for batch in batches:
+        for m, each in zip(batch["n"].to_pylist(), batch["sums"].to_pylist(), strict=True):
+            n, sums = n + m, np.frombuffer(each) + (0 if sums is None else sums)
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["n", "sums"])
+
+
+def train(docs: DataFrame, vocab: Vocabulary, tokens: int, scratch: Scratch, *, steps: int = STEPS, seed: int = 9) -> dict[str, np.ndarray]:
+    """The window network fitted to every token of ``docs``. Without tokens it stays as drawn.
+
+    Texts are dealt by a hash of doc_id and text into parts of about ``steps`` batches. In each round replicas are fitted to a part each, in
+    parallel, from the mean of the last round's, weighted by tokens; each part is met in one round. A corpus that is too small for
+    that is one part, met as often as makes the same number of steps. Sums of parameters are added up in two steps before they meet the driver.
+    """
+    p = new_params(np.random.default_rng(seed))
+    if not tokens:
+        return p
+    replicas = tokens // (ROUNDS * steps * BATCH)
+    rounds, steps = (ROUNDS, steps) if replicas > 1 else (1, ROUNDS * steps)
+    replicas = max(1, replicas)
+    key = F.xxhash64("doc_id", "text", F.lit(17))
+    dealt = docs.where(F.col("text").isNotNull()).select(F.pmod(key, F.lit(rounds * replicas)).cast("int").alias("part"), key.alias("key"), "text")
+    coded = dealt.mapInArrow(_coded(vocab.coder()), "part int, key long, symbols binary").where(F.length("symbols") > 0)
+    coded = scratch.keep(coded, "symbols")
+    tasks = min(replicas, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    for turn in range(rounds):
+        # by number, so that small parts are not put together into few tasks
+        parts = coded.where(F.col("part") % rounds == turn).repartition(tasks, "part").groupBy("part")
+        fitted = parts.applyInArrow(_replica(p, steps, turn / rounds, (turn + 1) / rounds), "n long, sums binary").mapInArrow(_summed, "n long, sums binary")
+        sums = fitted.repartition(math.isqrt(tasks)).mapInArrow(_summed, "n long, sums binary").collect()
+        if sums:
+            p = _shaped(sum(np.frombuffer(r["sums"]) for r in sums) / sum(r["n"] for r in sums), p)
+    scratch.drop("symbols")
     return p
 
 
@@ -184,7 +297,7 @@ def document_scores(vocab: Vocabulary, p: dict[str, np.ndarray], data: np.ndarra
     symbols = vocab.symbols(hashes)
     around = contexts(symbols, counts)
     log_p = np.concatenate([log_probs(p, around[a : a + at_once], symbols[a : a + at_once]) for a in range(0, len(symbols), at_once)])
-    log_p = np.logaddexp(log_p + np.log(1 - SMOOTH), vocab.unigram[symbols] + np.log(SMOOTH)) - vocab.spread[symbols]
+    log_p = np.logaddexp(log_p + np.log(1 - SMOOTH), vocab.unigram[symbols] + np.log(SMOOTH)) + vocab.within(hashes, symbols)
     total[counts > 0] = np.add.reduceat(log_p, (np.cumsum(counts) - counts)[counts > 0])
     return counts, total
 
@@ -201,19 +314,17 @@ def scorer(vocab: Vocabulary, p: dict[str, np.ndarray]):
     return F.arrow_udf(run, "n_tokens long, log_likelihood double")
 
 
-def score_documents(docs: DataFrame, *, fit_docs: int = FIT_DOCS) -> DataFrame:
+def score_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_prob, perplexity), a row per row of ``docs``.
 
-    Words, lower-cased in A-Z, are runs of letters, digits and non-ASCII bytes. Word counts cover all texts; the network is
-    fitted to at most about ``fit_docs`` whole texts chosen by a hash of doc_id and text. A rare word has its class's probability divided by the number of
-    words in the class. Null and wordless texts: 0 tokens, log likelihood 0, mean and perplexity null. Repeated rows
-    count as often as they are there. Other columns are ignored; no rows give none.
+    Words, lower-cased in A-Z, are runs of letters, digits and non-ASCII bytes. Word counts and the fit of the network cover all texts.
+    A rare word has its class's probability times the word's share of the class by count. Null and wordless texts: 0 tokens, log
+    likelihood 0, mean and perplexity null. Repeated rows count as often as they are there. Other columns are ignored; no rows give none.
     """
     scratch = Scratch(docs.sparkSession, "lm")
-    vocab = vocabulary(scratch.keep(count_words(docs), "counts"))
-    share = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 40)) / float(1 << 40)
-    drawn = docs.where(F.col("text").isNotNull() & (share < fit_docs / max(1, docs.count()))).select("text").collect()
-    p = train(vocab, sorted(r["text"] for r in drawn)[: 2 * fit_docs])
+    counts = scratch.keep(count_words(docs), "counts")
+    vocab = vocabulary(counts)
+    p = train(docs, vocab, counts.agg(F.sum("n")).first()[0] or 0, scratch)
     scored = docs.select("doc_id", scorer(vocab, p)("text").alias("s")).select("doc_id", "s.n_tokens", "s.log_likelihood")
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
     return scored.select("*", mean.alias("mean_log_prob"), F.exp(-mean).alias("perplexity"))
