@@ -252,6 +252,8 @@ def test_views(spark, now):
     assert [r["id"] for r in V.article_list(rows, names, source_ids=["gone"], status="error").collect()] == ["b"]
     status = V.batch_status(rows, spark.createDataFrame([("a",), ("b",), ("z",)], "id string"))
     assert tuple(status.first()) == (1, 1, ["B: e"])
+    ids = spark.createDataFrame([("a",), ("b",), ("z",)], "id string")
+    assert tuple(V.batch_counts(rows, ids).first()) == (1, 1) and [tuple(r) for r in V.batch_errors(rows, ids).collect()] == [("b", "B: e")]
     metrics = spark.createDataFrame([("s", 2), ("t", 1)], "source_id string, added int")
     assert tuple(V.run_summary(metrics, status).first()) == (3, 1, 1, True)
     chats = V.append_messages(spark.createDataFrame([], schemas.CHATS), spark.createDataFrame([("a", "user", "q", False), ("a", "assistant", "no", True)], "article_id string, role string, content string, refused boolean"), now)

@@ -85,6 +85,18 @@ def batch_status(articles: DataFrame, ids: DataFrame) -> DataFrame:
     return both.agg(F.count_if(F.col("status") == "done").alias("done"), F.count_if(bad).alias("failed"), told.alias("errors"))
 
 
+def batch_counts(articles: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row on a batch of any size: done and failed, as in ``batch_status``, counted before the shuffle."""
+    both = ids.select("id").join(articles.select("id", "status"), "id", "left")
+    return both.agg(F.count_if(F.col("status") == "done").alias("done"), F.count_if(F.col("status") == "error").alias("failed"))
+
+
+def batch_errors(articles: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, error): what failed in a batch as "title: error", a row each, so that no task holds them all."""
+    bad = articles.where("status = 'error'").select("id", F.concat_ws(": ", "title", "error").alias("error"))
+    return ids.select("id").join(bad, "id")
+
+
 def newest_dated(items: DataFrame, *key: str) -> DataFrame:
     """The newest item of each key; undated ones lose to dated ones, ties go to the first."""
     row = F.struct(*(c for c in items.columns if c not in key))

@@ -275,12 +275,27 @@ def article_view(spark, d):
     "array_to_string(list_sort(list(user_id || ': ' || event_id) FILTER (event_type = 'click')), ',') AS errors FROM events WHERE event_id < 500"
 )
 def batch_status(spark, d):
-    e = _events(spark, d).where("event_id < 500")
-    status = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "click", "error").otherwise("new")
-    rows = e.select("event_id", F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("title"), status.alias("status"), F.col("event_id").cast("string").alias("error"))
+    rows = _batch(_events(spark, d).where("event_id < 500"))
     return V.batch_status(rows, rows.select("id")).withColumn("errors", F.array_join("errors", ","))
 
 
+def _batch(e: DataFrame) -> DataFrame:
+    status = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "click", "error").otherwise("new")
+    return e.select("event_id", F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("title"), status.alias("status"), F.col("event_id").cast("string").alias("error"))
+
+
+@_query("SELECT count(*) FILTER (event_type = 'purchase') AS done, count(*) FILTER (event_type = 'click') AS failed FROM events")
+def batch_counts(spark, d):
+    rows = _batch(_events(spark, d))
+    return V.batch_counts(rows, rows.select("id"))
+
+
+@_query("SELECT event_id AS id, user_id || ': ' || event_id AS error FROM events WHERE event_type = 'click'")
+def batch_errors(spark, d):
+    rows = _batch(_events(spark, d))
+    return V.batch_errors(rows, rows.select("id"))
+
+
 @_query(
     "SELECT event_type AS source_id, count(*) AS items, count(CASE WHEN event_id % 2 = 0 THEN ts END) AS dated, min(event_id) AS first_item, "
     "arg_max(event_id, (CASE WHEN event_id % 2 = 0 THEN ts ELSE TIMESTAMP '1970-01-01' END, -event_id)) AS newest FROM events GROUP BY 1"
