@@ -375,7 +375,16 @@ def url_parts(spark, d):
 
 @_query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS line, CAST(len(text) AS INTEGER) AS units FROM documents WHERE text NOT LIKE '%' || chr(160) || '%'")
 def space_and_units(spark, d):
-    rows = _t(spark, d, "documents").where(~F.contains("text", F.lit("\u00a0")))
+    return _spaces(_t(spark, d, "documents").where(~F.contains("text", F.lit("\u00a0"))))
+
+
+@_query()
+def space_and_units_all(spark, d):
+    """As space_and_units over all documents, with no-break spaces, which SQL's class of white space does not have."""
+    return _spaces(_t(spark, d, "documents"))
+
+
+def _spaces(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", X.collapse_space(F.col("text")).alias("line"), X.utf16_length(F.col("text")).alias("units"))
 
 

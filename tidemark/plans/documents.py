@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import UTC, datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates as D
@@ -69,7 +69,16 @@ def feed_items(spark, d):
     f"SELECT doc_id, strftime({_DAY_SQL}, '%Y-%m-%d 00 %Y-%m-%d 00 %Y-%m-%d 02 %Y-%m-%d 00') AS dates FROM documents WHERE NOT regexp_matches(text, '[0-9]{{4}}')"
 )
 def find_dates(spark, d):
-    docs = _t(spark, d, "documents").where(~F.col("text").rlike("[0-9]{4}"))
+    return _dates(_t(spark, d, "documents").where(~F.col("text").rlike("[0-9]{4}")))
+
+
+@_query()
+def find_dates_all(spark, d):
+    """As find_dates over all documents, with the dates of their own, which SQL cannot follow."""
+    return _dates(_t(spark, d, "documents"))
+
+
+def _dates(docs: DataFrame) -> DataFrame:
     forms = (F.date_format(_day(), "MMMM d, yyyy"), F.date_format(_day(), "d MMM yyyy"), F.concat(F.date_format(_day(), "yyyy-MM-dd"), F.lit("T03:00:00+01:00")), F.date_format(_day(), "yyyy/MM/dd"))
     text = F.concat_ws(" . ", "text", *forms)
     found = docs.select("doc_id", D.find_date_texts(text, _AT).alias("dates"))
