@@ -324,6 +324,26 @@ def test_ingest_stream(spark, tmp_path):
     assert store.read("sources").first()["latest_published_at"] == BASE + 3 * DAY
 
 
+@pytest.mark.parametrize("at_once", [True, False])
+def test_ingest_stream_reads_a_backlog_whole(spark, tmp_path, at_once):
+    """Items that left the feed by its last fetch are admitted, whether the fetches meet in one batch or not."""
+    schema = schemas.FETCHES + ", fetched_at timestamp"
+    inbox, store = tmp_path / "in", Store(spark, str(tmp_path / "store"))
+    store.write(sources=sources(spark, ("a", True, BASE), ("b", False, None)))
+    fetched = [(200, "e1", _feed(1, 2)), (200, "e2", _feed(3)), (304, None, None)]
+    rows = [("a", "u", status, None, etag, None, body, None, BASE + (10 + turn) * DAY) for turn, (status, etag, body) in enumerate(fetched)]
+    rows += [("b", "u", 200, None, None, None, _feed(*days).replace("a.example", "b.example"), None, BASE + (10 + turn) * DAY) for turn, days in enumerate([(4, 5), (6, 7)])]
+    for some in [rows] if at_once else [[r for r in rows if r[-1] == BASE + (10 + turn) * DAY] for turn in range(3)]:
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(str(inbox))
+        ingest_stream(spark.readStream.schema(schema).parquet(str(inbox)), store, str(tmp_path / "ck")).awaitTermination()
+    assert sorted(r["title"] for r in store.read("articles").collect()) == ["t1", "t2", "t3", "t5", "t6", "t7"]
+    state = {r["id"]: (r["etag"], r["latest_published_at"]) for r in store.read("sources").collect()}
+    assert state == {"a": ("e2", BASE + 3 * DAY), "b": (None, BASE + 7 * DAY)}
+    if at_once:  # a replay of the batch changes nothing
+        ingest_stream(spark.readStream.schema(schema).parquet(str(inbox)), store, str(tmp_path / "ck2")).awaitTermination()
+        assert store.read("articles").count() == 6 and store.batch() == "0.3"
+
+
 def test_admit_stream(spark, tmp_path):
     schema = "source_id string, id string, published_at timestamp"
     for turn, rows in enumerate(([("a", "1", BASE), ("a", "2", BASE + DAY), ("b", "9", BASE)], [("a", "2", BASE + DAY), ("a", "3", BASE + 2 * DAY), ("a", "0", BASE - 9 * DAY)])):

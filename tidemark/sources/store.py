@@ -62,6 +62,10 @@ class Store:
             return self.spark.createDataFrame([], self.SCHEMAS[table])
         return self.spark.read.schema(self.SCHEMAS[table]).parquet(f"{self.root}/{table}/{version}")
 
+    def batch(self) -> str | None:
+        """The batch that was last written."""
+        return self._versions().get("_batch")
+
     def write(self, batch: str | None = None, **tables: DataFrame) -> None:
         """Replace tables, all at once. A ``batch`` that was the last one written is skipped, so that replays change nothing."""
         current = self._versions()

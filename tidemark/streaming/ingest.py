@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -17,18 +17,20 @@ from tidemark.sources.store import Store
 def ingest_stream(fetches: DataFrame, store: Store, checkpoint: str, *, limit: int = C.MAX_NEW_PER_SOURCE_PER_RUN) -> StreamingQuery:
     """Run a refresh for each micro-batch of fetches(…FETCHES, fetched_at), and stop when the input is used up.
 
-    The time of a run is the batch's latest ``fetched_at``, so that a replay gives the same rows. The state of a source is the stored mark, not a
-    watermark of the whole query: sources are late independently. A batch that was already written is skipped by its number, and
-    rows of one source within a batch are taken from its latest fetch.
+    The time of a refresh is the latest ``fetched_at`` in it, so that a replay gives the same rows. The state of a source is the stored mark, not a
+    watermark of the whole query: sources are late independently. All fetches of a source within a batch are read, oldest first, in a refresh
+    each, as they would be one a batch. A batch that was already written is skipped by its number, and its refreshes by theirs.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        at = batch.agg(F.max("fetched_at")).first()[0]
-        if at is None:
-            return
-        row = F.struct(*(c for c in batch.columns if c != "source_id"))
-        last = batch.groupBy("source_id").agg(F.max_by(row, "fetched_at").alias("row")).select("source_id", "row.*").drop("fetched_at")
-        refresh(store, last, None, at, limit=limit, batch=str(number))
+        # equal times in an order that a replay repeats
+        order = Window.partitionBy("source_id").orderBy("fetched_at", F.xxhash64(*batch.columns))
+        dated = batch.where("fetched_at is not null").withColumn("turn", F.row_number().over(order)).persist()
+        times = dict(dated.groupBy("turn").agg(F.max("fetched_at")).collect())
+        done, _, part = (store.batch() or "").partition(".")
+        for turn in range(int(part or 0) + 1 if done == str(number) else 1, len(times) + 1):
+            refresh(store, dated.where(F.col("turn") == turn).drop("turn", "fetched_at"), None, times[turn], limit=limit, batch=f"{number}.{turn}")
+        dated.unpersist()
 
     return fetches.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
