@@ -1,109 +1,115 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Each source's documents are shuffled by a hash and queued, twice if the source may be repeated; a document finishes at
-the source's words up to its end, divided by the source's target. Ordered by finish time and cut at the total budget, all
-sources are served in proportion to their targets at any point of the mix.
+Each source's documents are shuffled by a hash and queued, again behind themselves if the source may be repeated. A document's virtual
+finish time is the source's words up to its end, divided by the source's target; a long document is queued in packets, as in a
+network, so that it cannot hold up the other sources. All packets are range-sorted by finish time and the sequence is cut at the
+total budget: at any point of it, the cut included, every source has been served in proportion to its target.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.ordering import running_total, small
 from tidemark.llm.scratch import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Words of a packet at most; how far a source can be from its target where the mix is cut.
+PACKET = 128
 
 
-def _shuffle_key(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
-
-
-def source_targets(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...], share: float, cap: float) -> tuple[DataFrame, int]:
-    """((source, source_size, target, earlier), the sum of whole targets) of sizes(source, source_size).
+def source_targets(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
+    """(source, source_size, target, earlier) of sizes(source, source_size).
 
     The i-th source by code point, null last, weighs ``weights[i % len(weights)]``. Targets share ``share`` of all sizes by
     weight; a target above cap * source_size stops there, and what it leaves is shared again until none is above.
     ``earlier`` is the total size of the sources before it.
+
+    Sources stop in the order of top / weight. While those before a source are stopped, the level of the others is what is left over
+    the weight that is left; it rises up to the first source that does not stop and falls after it, so the level of the end
+    is the highest of these.
     """
     order = [F.col("source").asc_nulls_last()]
-    ranked = running_total(sizes.withColumn("one", F.lit(1)), order, "one", "place", scratch, "ranked")
-    spaced = running_total(ranked.drop("one"), order, "source_size", "upto", scratch, "spaced")
+    ranked = running_total(sizes.withColumn("one", F.lit(1).cast("long")), order, "one", "place", scratch, "ranked").drop("one")
+    spaced = running_total(ranked, order, "source_size", "upto", scratch, "spaced")
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), F.pmod(F.col("place") - 1, F.lit(len(weights))).cast("int") + 1)
-    sources = scratch.keep(
-        spaced.select("source", "source_size", (F.col("upto") - F.col("source_size")).alias("earlier"), weight.alias("weight")), "weighted"
-    )
-    top, level = F.col("source_size") * cap, math.inf
-    total = (sources.agg(F.sum("source_size")).first()[0] or 0) * share
-    stopped = F.lit(False)
-    while total:
-        held, free = sources.agg(F.sum(F.when(stopped, top)), F.sum(F.when(~stopped, F.col("weight")))).first()
-        new = (total - (held or 0)) / free if free else math.inf
-        if new == level or not free:
-            break
-        level, stopped = new, stopped | (F.col("weight") * new >= top)
-    target = F.least(F.col("weight") * level, top) if total and level < math.inf else top
-    out = sources.select("source", "source_size", target.cast("double").alias("target"), "earlier")
-    return out, out.agg(F.sum(F.floor("target"))).first()[0] or 0
-
-
-def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, budget: int | None = None, seed: int = 7) -> DataFrame:
-    """The words that the mix takes of each row: (doc_id, source, shuffle_key, size, source_size, target, taken).
-
-    ``size`` is the number of words, 0 for null or empty texts, which are never taken. A source is served whole
-    documents up to its target, and of the one where the target falls, the words up to it; where the target is more than
-    the source has, its documents are served again in the same order. ``budget`` defaults to the sum of the targets;
-    a smaller one ends the mix at that many words. No document is taken more than ceil(cap) times. Null sources are one
-    source. Rows that repeat a doc_id are documents of their own. Other columns are ignored; no rows give none.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mix")
+    sources = spaced.select("source", "source_size", (F.col("upto") - F.col("source_size")).alias("earlier"), weight.alias("weight"))
+    sources = sources.withColumn("top", F.col("source_size") * F.lit(float(cap)))
+    stops = [(F.col("top") / F.col("weight")).asc(), *order]
+    held = running_total(sources, stops, "top", "held", scratch, "held")
+    heavy = running_total(held, stops, "weight", "heavy", scratch, "heavy")
+    size, weighs = heavy.agg(F.sum("source_size"), F.sum("weight")).first()
+    left = F.lit((size or 0) * float(share)) - (F.col("held") - F.col("top"))
+    level = heavy.agg(F.max(left / F.greatest(F.col("weight"), F.lit(weighs or 0.0) - (F.col("heavy") - F.col("weight"))))).first()[0]
+    return heavy.select("source", "source_size", F.least(F.col("weight") * F.lit(level or 0.0), F.col("top")).alias("target"), "earlier")
+
+
+def _taken(rows: DataFrame, scratch: Scratch, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, budget: int | None = None, seed: int = 7) -> DataFrame:
+    """(row, doc_id, source, shuffle_key, size, source_size, target, taken) of rows(doc_id, source, text, row). ``row`` is unique."""
+    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _shuffle_key(seed).alias("shuffle_key"), size.alias("size"))
+    thin = rows.select(F.col("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", key.alias("shuffle_key"), size.alias("size"))
     thin = scratch.keep(thin, "thin")
-    sources, all_targets = source_targets(thin.groupBy("source").agg(F.sum("size").alias("source_size")), scratch, weights, share, cap)
-    budget = all_targets if budget is None else min(budget, all_targets)
+    sources = source_targets(thin.groupBy("source").agg(F.sum("size").alias("source_size")), scratch, weights, share, cap)
+    total, least = sources.agg(F.sum("source_size"), F.min(F.when(F.col("target") > 0, F.col("target")))).first()
+    whole = math.floor((total or 0) * min(float(share), float(cap)))
+    budget = whole if budget is None else min(budget, whole)
 
-    order = [F.col("source").asc_nulls_last(), F.col("shuffle_key").asc(), F.col("doc_id").asc_nulls_last(), F.col("size").asc()]
+    # ``row`` is unique, so copies of one row, however many, are spread over the ranges
+    order = [F.col("source").asc_nulls_last(), F.col("shuffle_key").asc(), F.col("doc_id").asc_nulls_last(), F.col("row").asc()]
     queued = running_total(thin, order, "size", "upto", scratch, "queued")
-    by_source = sources.select(F.col("source").alias("of"), "source_size", "target", "earlier")
-    queued = queued.join(small(by_source), queued["source"].eqNullSafe(by_source["of"])).drop("of")
-    before = F.col("upto") - F.col("size") - F.col("earlier") + F.col("turn") * F.col("source_size")
-    turns = queued.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(math.ceil(cap) - 1)))).withColumn("before", before)
-    turns = turns.where("turn = 0 or (size > 0 and before < target)")
-    room = F.floor(F.col("target")) - F.col("before")
-    turns = turns.withColumn("due", F.greatest(F.lit(0), F.least(F.col("size"), room)).cast("long"))
-    finish = F.when(F.col("target") > 0, (F.col("before") + F.col("size")) / F.col("target")).otherwise(F.lit(0.0))
-    turns = turns.withColumn("finish", finish)
-    served = running_total(
-        turns, [F.col("finish").asc(), *order, F.col("turn").asc()], "due", "served", scratch, "served"
-    )
-    room = F.lit(budget) - (F.col("served") - F.col("due"))
-    served = served.withColumn("took", F.greatest(F.lit(0), F.least(F.col("due"), room)).cast("long"))
-    row = ["doc_id", "source", "shuffle_key", "size", "source_size", "target", "upto"]
-    once = served.groupBy(*row).agg(F.sum("took").alias("taken"), F.sum(F.when(F.col("turn") == 0, 1)).alias("rows"))
-    return once.withColumn("taken", F.expr("taken div rows")).withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows")))).drop("upto", "row", "rows")
+    of = sources.withColumnRenamed("source", "of")
+    queued = queued.join(small(of), queued["source"].eqNullSafe(of["of"])).drop("of")
+    turn = F.explode(F.sequence(F.lit(0), F.lit(math.ceil(cap) - 1)))
+    packet = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("size") / PACKET).cast("int") - 1)))
+    packets = queued.withColumn("turn", turn).withColumn("packet", packet)
+    start = F.col("upto") - F.col("size") - F.col("earlier") + F.col("turn") * F.col("source_size") + F.col("packet") * PACKET
+    ends = F.floor(F.col("source_size") * F.lit(float(cap))) - start
+    words = F.greatest(F.lit(0), F.least(F.lit(PACKET), F.col("size") - F.col("packet") * PACKET, ends)).cast("long")
+    finish = F.when(F.col("target") > 0, (start + words) / F.col("target")).otherwise(F.lit(0.0))
+    packets = packets.withColumns({"words": words, "finish": finish})
+    # a source's packet that is in service at time 1 ends before this time, and then the budget is used up
+    latest = 1 + PACKET / least if least else 1.0
+    packets = packets.where((F.col("turn") + F.col("packet") == 0) | (F.col("words") > 0) & (F.col("finish") <= latest)).drop("upto", "earlier")
+    served = running_total(packets, [F.col("finish").asc(), *order, F.col("turn").asc(), F.col("packet").asc()], "words", "served", scratch, "served")
+    scratch.drop("thin", "ranked", "spaced", "held", "heavy", "queued")
+    took = F.greatest(F.lit(0), F.least(F.col("words"), F.lit(budget) - (F.col("served") - F.col("words"))))
+    return served.groupBy("row", "doc_id", "source", "shuffle_key", "size", "source_size", "target").agg(F.sum(took).cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """The words that the mix takes of each row: (doc_id, source, shuffle_key, size, source_size, target, taken).
+
+    ``weights``, ``share`` and ``cap`` are those of ``source_targets``, by default 5, 2, 1, 1.5 and 2.0; ``seed`` shuffles.
+    ``size`` is the number of words, 0 for null or empty texts, which are never taken. Sources are queued up to ``cap`` times their size, in
+    one order each turn, and served by finish time until ``budget`` words are taken: by default all targets together, a larger one
+    counts as that. So each source ends within a packet of its target, more or less. The packet where the mix ends is cut, and
+    no document is taken more than ceil(cap) times. Null sources are one source. Rows that repeat a doc_id are documents of their own, also
+    where all columns are equal; among those it is arbitrary which one is cut. Other columns are ignored; no rows give none.
+    """
+    rows = docs.select("doc_id", "source", "text", F.monotonically_increasing_id().alias("row"))
+    return _taken(rows, Scratch(docs.sparkSession, "mix"), **options).drop("row")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document as often as the mix takes it.
 
-    The copy that a target or the budget cuts holds its first words, one space between them, and n_chars, where there is
-    one, follows it. Documents of which nothing is taken go. Rows with the same doc_id and text share what they are taken.
+    The copy that the budget cuts holds its first words, one space between them, and n_chars, where there is one, follows
+    it. Documents of which nothing is taken go. A document that is taken twice is two rows with its doc_id. Options, nulls, repeated rows
+    and empty tables as in ``mix``.
     """
-    seed = options.get("seed", 7)
-    mixed = mix(docs, **options).where("taken > 0")
-    taken = mixed.groupBy(F.col("doc_id").alias("of"), F.col("shuffle_key").alias("key")).agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count("*").alias("n"))
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", _shuffle_key(seed).alias("key_of_row"))
-    got = keyed.join(taken, keyed["doc_id"].eqNullSafe(taken["of"]) & (keyed["key_of_row"] == taken["key"]))
-    got = got.withColumn("own", F.expr("taken div n")).withColumn("turn", F.explode(F.expr("sequence(1L, (own + size - 1) div size)")))
-    left = F.col("own") - (F.col("turn") - 1) * F.col("size")
-    words = F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), left.cast("int"))
-    got = got.withColumn("cut", F.when(left >= F.col("size"), F.col("text")).otherwise(F.array_join(words, " ")))
-    row = F.col("row").withField("text", F.col("cut"))
+    scratch = Scratch(docs.sparkSession, "mixed")
+    tagged = scratch.keep(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "tagged")
+    taken = _taken(tagged.select("doc.doc_id", "doc.source", "doc.text", "row"), scratch, **options)
+    taken = taken.where("taken > 0").select("row", "size", "taken")
+    got = tagged.join(taken, "row").withColumn("turn", F.explode(F.expr("sequence(1L, (taken + size - 1) div size)")))
+    left = F.col("taken") - (F.col("turn") - 1) * F.col("size")
+    words = F.slice(F.regexp_extract_all(F.col("doc.text"), F.lit(WORD), F.lit(0)), F.lit(1), left.cast("int"))
+    cut = F.when(left >= F.col("size"), F.col("doc.text")).otherwise(F.array_join(words, " "))
+    row = F.col("doc").withField("text", F.col("cut"))
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.length("cut").cast(docs.schema["n_chars"].dataType))
-    return got.select(row.alias("row")).select("row.*")
+    return got.withColumn("cut", cut).select(row.alias("doc")).select("doc.*")
