@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -164,18 +166,57 @@ def test_lm_fit_meets_every_text(spark, docs):
     assert all(np.allclose(p[k], again[k], atol=1e-5) for k in p)
 
 
-def test_rare_words_share_their_class_by_count(spark, docs):
-    """Of two rare words of one class the more frequent one is as much more likely; the shares of a class add up to 1."""
-    frequent = [f"f{i}" for i in range(M.SYMBOLS - M.RARE)]
-    rare = [f"r{i}" for i in range(300)]
-    vocab = M.vocabulary(M.count_words(docs(*[" ".join(frequent)] * 9, *[" ".join(rare)] * 2, " ".join(rare[:150]), *(f"once{i}" for i in range(50)))))
-    hashes = np.concatenate([M.placed_words(*string_bytes(pa.array([w])), M._IN_WORD)[0] for w in rare + [f"once{i}" for i in range(50)]])
-    symbols = vocab.symbols(hashes)
-    share = np.exp(vocab.within(hashes, symbols))
-    assert np.bincount(symbols, share)[np.unique(symbols)] == pytest.approx(1, abs=1e-5)
-    times = np.repeat([3, 2, 1], [150, 150, 50])
-    for k in np.unique(symbols):
-        assert np.ptp(share[symbols == k] / times[symbols == k]) < 1e-6
+def _by_hand(text, texts, p, frequent):
+    """(tokens, log likelihood) of a document among texts, word by word from the definition; ``frequent`` gives the symbols of frequent words."""
+    split = lambda t: re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", t or "")
+    low = lambda w: re.sub("[A-Z]", lambda m: m[0].lower(), w)
+    hashed = lambda w: int(M.placed_words(*string_bytes(pa.array([w])), M._IN_WORD)[0][0])
+    everything = Counter(low(w) for t in texts for w in split(t))
+    own = [low(w) for w in split(text)]
+    symbol = lambda w: frequent.get(hashed(w), M.SYMBOLS - M.RARE + hashed(w) % M.RARE)
+    of_symbol = Counter()
+    for w, n in everything.items():
+        of_symbol[symbol(w)] += n
+    total = sum(of_symbol.values()) + M.SYMBOLS
+    s, log_likelihood = [symbol(w) for w in own], 0.0
+    for i, w in enumerate(own):
+        h = p["b"].astype(float)
+        for k, d in enumerate(M.SIDES):
+            h = h + p["t"][k][s[i + d] if 0 <= i + d < len(s) else M.SYMBOLS]
+        h = np.tanh(h)
+        g, j = divmod(s[i], M.GROUP)
+        soft = lambda x: np.exp(x) / np.exp(x).sum()
+        net = soft(h @ p["g"] + p["gb"])[g] * soft(h @ p["s"][g] + p["sb"][g])[j]
+        log_likelihood += np.log((1 - M.SMOOTH) * net + M.SMOOTH * (1 + of_symbol[s[i]]) / total)
+        if s[i] >= M.SYMBOLS - M.RARE:
+            others = {v: n - own.count(v) for v, n in everything.items() if symbol(v) == s[i]}
+            log_likelihood += np.log((others[w] + M.UNSEEN) / sum(n + M.UNSEEN for n in others.values()))
+    return len(own), log_likelihood
+
+
+def test_lm_scores_equal_brute_force(spark, docs):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("the of and".split()) if rng.random() < 0.4 else f"w{int(3000 * rng.random() ** 2)}" for _ in range(rng.choice([1, 9, 60]))) for _ in range(150)]
+    texts += [texts[5], texts[5], None, "", "?!", "É é\tA-b 12", "zz " * 40]
+    given = docs(*texts)
+    counts = M.count_words(given)
+    vocab, tokens = M.vocabulary(counts), counts.agg(F.sum("n")).first()[0]
+    p = M.train(given, vocab, tokens, Scratch(spark, "lm"))
+    frequent = dict(zip(vocab.words.tolist(), vocab.symbol.tolist(), strict=True))
+    assert len(frequent) == M.SYMBOLS - M.RARE and vocab.types.sum() > 100
+    got = {r["doc_id"]: r for r in M.score_documents(given).collect()}
+    for i in [*range(0, 150, 10), 5, *range(150, len(texts))]:
+        n, log_likelihood = _by_hand(texts[i], texts, p, frequent)
+        assert got[i]["n_tokens"] == n and got[i]["log_likelihood"] == pytest.approx(log_likelihood, abs=1e-3 * max(1, n))
+
+
+def test_lm_tells_texts_that_occur_twice(spark, docs):
+    """Of texts alike in all else, those whose words another document has too are likelier."""
+    rng = random.Random(6)
+    new = lambda i: " ".join(rng.choice("the of and".split()) if j % 2 else f"u{i}x{rng.randrange(10**6)}" for j in range(50))
+    texts = [new(i) for i in range(200)]
+    got = {r["doc_id"]: r["mean_log_prob"] for r in M.score_documents(docs(*texts, *texts[:20])).collect()}
+    assert min(got[i] for i in [*range(20), *range(200, 220)]) > max(got[i] for i in range(20, 200))
 
 
 def test_contexts_stop_at_rows():

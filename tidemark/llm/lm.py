@@ -1,8 +1,9 @@
 """Language-model scores by masked pseudo-likelihood.
 
 Every token is predicted from the tokens on both of its sides by a small window network, trained in numpy; the sum of the log
-conditional probabilities scores a document. The network is fitted to all texts, in replicas that are averaged. Counts of all words of
-the corpus give the frequent words, the share of every rare word in its class, and the unigram distribution that smooths the network.
+conditional probabilities scores a document. The network is fitted to all texts, in replicas that are averaged. It predicts symbols: a
+frequent word is its own, every other word shares one of RARE classes and has, within it, the probability of its count in the corpus
+outside of the document, so that every word of the corpus has a probability of its own and no document vouches for itself.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import math
 import string
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,24 +27,21 @@ SYMBOLS, RARE, GROUP, HIDDEN = 1024, 64, 32, 32
 SIDES = (-2, -1, 1, 2)
 #: Rounds of the fit, batches of a replica in a round, tokens of a batch, and the weight of the unigram in every prediction.
 ROUNDS, STEPS, BATCH, SMOOTH = 4, 100, 4096, 0.05
+#: What is added to the count of every rare word, so that words of one document only can be told from impossible ones.
+UNSEEN = 0.1
 _IN_WORD = separators(string.ascii_letters.encode() + string.digits.encode() + bytes(range(128, 256)))
 
 
 @dataclass
 class Vocabulary:
-    """words: sorted hashes of the frequent words, symbol: theirs, unigram: log probability by symbol, spread: log of the
-    count of all rare words that a symbol stands for, others: sorted hashes of the rare words that occur more than once, times: log of their counts."""
+    """words: sorted hashes of the frequent words, symbol: theirs, unigram: log probability by symbol; of each rare class the
+    number of its tokens (mass) and of its distinct words (types)."""
 
     words: np.ndarray
     symbol: np.ndarray
     unigram: np.ndarray
-    spread: np.ndarray
-    others: np.ndarray
-    times: np.ndarray
-
-    def coder(self) -> Vocabulary:
-        """The part that ``symbols`` needs."""
-        return replace(self, others=self.others[:0], times=self.times[:0])
+    mass: np.ndarray
+    types: np.ndarray
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         rare = SYMBOLS - RARE + (hashes % np.uint64(RARE)).astype(np.int64)
@@ -52,15 +50,6 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         return np.where(self.words[at] == hashes, self.symbol[at], rare)
 
-    def within(self, hashes: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """Log share of each word in its symbol: 0 for a frequent word, by count in a class. A rare word that is not among the others occurs once."""
-        out = -self.spread[symbols]
-        if len(self.others):
-            rare = np.flatnonzero(symbols >= SYMBOLS - RARE)
-            at = np.minimum(np.searchsorted(self.others, hashes[rare]), len(self.others) - 1)
-            out[rare] += np.where(self.others[at] == hashes[rare], self.times[at], 0)
-        return out
-
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -76,25 +65,19 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """The most frequent words by count, ties by hash, totals of the classes of the others, and the counts of all others above 1, which grow with the corpus."""
+    """The most frequent words by count, ties by hash, and what the classes of the others hold. Its size is fixed."""
     top = counts.orderBy(F.desc("n"), "word").limit(SYMBOLS - RARE).collect()
     words = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(words)
+    mass, types = np.zeros(RARE), np.zeros(RARE)
+    # of the unsigned hash: RARE divides 2**64, so a signed remainder is the same
+    for r in counts.groupBy(F.pmod("word", F.lit(RARE)).alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():
+        own = [x["n"] for x in top if x["word"] % RARE == r["k"]]
+        mass[r["k"]], types[r["k"]] = r["n"] - sum(own), r["types"] - len(own)
     total = np.ones(SYMBOLS)
     total[: len(top)] += [r["n"] for r in top]
-    mass = np.ones(SYMBOLS)
-    # of the unsigned hash: RARE divides 2**64, so a signed remainder is the same
-    for r in counts.groupBy(F.pmod("word", F.lit(RARE)).alias("k")).agg(F.sum("n").alias("n")).collect():
-        left = r["n"] - sum(x["n"] for x in top if x["word"] % RARE == r["k"])
-        total[SYMBOLS - RARE + r["k"]] += left
-        mass[SYMBOLS - RARE + r["k"]] = max(1, left)
-    often = counts.where("n > 1").select("word", "n").toArrow()
-    others, times = (often[c].to_numpy() for c in ("word", "n"))
-    others = others.view(np.uint64)
-    rare = ~np.isin(others, words)
-    others, times = others[rare], times[rare]
-    by = np.argsort(others)
-    return Vocabulary(words[order], np.arange(len(words))[order], np.log(total / total.sum()), np.log(mass), others[by], np.log(times[by]).astype(np.float32))
+    total[SYMBOLS - RARE :] += mass
+    return Vocabulary(words[order], np.arange(len(words))[order], np.log(total / total.sum()), mass, types)
 
 
 def contexts(symbols: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -103,7 +86,7 @@ def contexts(symbols: np.ndarray, counts: np.ndarray) -> np.ndarray:
     starts = ends - counts
     place = np.arange(len(symbols))
     lo, hi = np.repeat(starts, counts), np.repeat(ends, counts)
-    out = np.empty((len(symbols), len(SIDES)), np.int64)
+    out = np.empty((len(symbols), len(SIDES)), np.uint16)
     for k, d in enumerate(SIDES):
         at = place + d
         ok = (at >= lo) & (at < hi)
@@ -124,38 +107,41 @@ def new_params(rng: np.random.Generator, hidden: int = HIDDEN, kind=np.float32)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
+    """In place, down the columns, which numpy does faster than along short rows."""
+    x -= x.max(axis=0)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x /= x.sum(axis=0)
     return x
 
 
 def _log_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The log softmax of each row at one place."""
-    x -= x.max(axis=1, keepdims=True)
-    picked = x[np.arange(len(x)), at]
-    return picked - np.log(np.exp(x, out=x).sum(axis=1))
+    """The log softmax of each column at one place."""
+    x -= x.max(axis=0)
+    picked = x[at, np.arange(x.shape[1])]
+    return picked - np.log(np.exp(x, out=x).sum(axis=0))
 
 
 def _hidden(p: dict[str, np.ndarray], around: np.ndarray) -> np.ndarray:
-    h = p["t"][0][around[:, 0]]
+    at = around.T.astype(np.intp)
+    h = np.take(p["t"][0], at[0], axis=0)
     for k in range(1, len(SIDES)):
-        h += p["t"][k][around[:, k]]
+        h += np.take(p["t"][k], at[k], axis=0)
     h += p["b"]
     return np.tanh(h, out=h)
 
 
 def log_probs(p: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray) -> np.ndarray:
     """The network's log probability of each target symbol between its neighbours."""
-    h = _hidden(p, around)
-    group, within = target // GROUP, target % GROUP
-    order = np.argsort(group.astype(np.uint8), kind="stable")
-    bounds = np.searchsorted(group[order], np.arange(SYMBOLS // GROUP + 1))
-    out = _log_at(h @ p["g"] + p["gb"], group)
-    for k in range(SYMBOLS // GROUP):
-        rows = order[bounds[k] : bounds[k + 1]]
-        if len(rows):
-            out[rows] += _log_at(h[rows] @ p["s"][k] + p["sb"][k], within[rows])
+    order = np.argsort((target // GROUP).astype(np.uint8), kind="stable")
+    h = _hidden(p, around[order])
+    group, within = np.divmod(target[order], GROUP)
+    bounds = np.searchsorted(group, np.arange(SYMBOLS // GROUP + 1))
+    found = _log_at(p["g"].T @ h.T + p["gb"][:, None], group)
+    for k in np.unique(group):
+        a, b = bounds[k], bounds[k + 1]
+        found[a:b] += _log_at(p["s"][k].T @ h[a:b].T + p["sb"][k][:, None], within[a:b])
+    out = np.empty_like(found)
+    out[order] = found
     return out
 
 
@@ -163,33 +149,33 @@ def loss_and_grads(p: dict[str, np.ndarray], around: np.ndarray, target: np.ndar
     """Mean negative log probability and its gradient by every parameter."""
     n = len(target)
     order = np.argsort((target // GROUP).astype(np.uint8), kind="stable")
-    around, target = around[order], target[order]
-    h = _hidden(p, around)
-    group, within, rows = target // GROUP, target % GROUP, np.arange(n)
+    around = around[order]
+    group, within = np.divmod(target[order], GROUP)
+    h, rows = _hidden(p, around), np.arange(n)
     grads = {k: np.zeros_like(v) for k, v in p.items()}
-    by = _softmax(h @ p["g"] + p["gb"])
-    loss = -np.log(by[rows, group]).sum()
-    by[rows, group] -= 1
+    by = _softmax(p["g"].T @ h.T + p["gb"][:, None])
+    loss = -np.log(by[group, rows]).sum()
+    by[group, rows] -= 1
     by /= n
-    grads["g"], grads["gb"] = h.T @ by, by.sum(axis=0)
-    by_h = by @ p["g"].T
+    grads["g"], grads["gb"] = h.T @ by.T, by.sum(axis=1)
+    by_h = by.T @ p["g"].T
     bounds = np.searchsorted(group, np.arange(SYMBOLS // GROUP + 1))
     for k in np.unique(group):
         a, b = bounds[k], bounds[k + 1]
-        at = rows[: b - a], within[a:b]
-        by = _softmax(h[a:b] @ p["s"][k] + p["sb"][k])
+        at = within[a:b], rows[: b - a]
+        by = _softmax(p["s"][k].T @ h[a:b].T + p["sb"][k][:, None])
         loss -= np.log(by[at]).sum()
         by[at] -= 1
         by /= n
-        grads["s"][k], grads["sb"][k] = h[a:b].T @ by, by.sum(axis=0)
-        by_h[a:b] += by @ p["s"][k].T
+        grads["s"][k], grads["sb"][k] = h[a:b].T @ by.T, by.sum(axis=1)
+        by_h[a:b] += by.T @ p["s"][k].T
     by_h *= 1 - h * h
     grads["b"] = by_h.sum(axis=0)
     for k in range(len(SIDES)):
         order = np.argsort(around[:, k].astype(np.uint16), kind="stable")
-        key = around[order, k]
+        key = around[order, k].astype(np.int64)
         first = np.flatnonzero(np.diff(key, prepend=-1))
-        grads["t"][k][key[first]] = np.add.reduceat(by_h[order], first, axis=0)
+        grads["t"][k][key[first]] = np.add.reduceat(np.take(by_h, order, axis=0), first, axis=0)
     return float(loss / n), grads
 
 
@@ -211,18 +197,23 @@ def fit(p: dict[str, np.ndarray], symbols: np.ndarray, counts: np.ndarray, steps
         adam.step(loss_and_grads(p, around[pick], symbols[pick])[1])
 
 
-def _coded(vocab: Vocabulary):
-    """(part, key, text) -> (part, key, the symbols of the text as bytes)."""
+def _coded(vocab: Vocabulary, parts: int):
+    """(part, key, text) -> (part, key, the symbols of the text as bytes). Rows with one key, which are copies of a row, go to one part after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[int, int] = {}
         for batch in batches:
+            part = batch.column(0).to_numpy().copy()
+            for i, key in enumerate(batch.column(1).to_pylist()):
+                turn = met[key] = met.get(key, -1) + 1
+                part[i] = (part[i] + turn) % parts
             data, offsets = string_bytes(batch.column(2))
             for a, b in chunks(offsets):
                 hashes, counts, _ = placed_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], _IN_WORD)
                 symbols = vocab.symbols(hashes).astype(np.uint16)
                 ends = np.concatenate(([0], np.cumsum(counts) * 2)).astype(np.int32)
                 coded = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(symbols)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), coded], ["part", "key", "symbols"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[a:b]), batch.column(1).slice(a, b - a), coded], ["part", "key", "symbols"])
 
     return run
 
@@ -274,7 +265,7 @@ def train(docs: DataFrame, vocab: Vocabulary, tokens: int, scratch: Scratch, *,
     replicas = max(1, replicas)
     key = F.xxhash64("doc_id", "text", F.lit(17))
     dealt = docs.where(F.col("text").isNotNull()).select(F.pmod(key, F.lit(rounds * replicas)).cast("int").alias("part"), key.alias("key"), "text")
-    coded = dealt.mapInArrow(_coded(vocab.coder()), "part int, key long, symbols binary").where(F.length("symbols") > 0)
+    coded = dealt.mapInArrow(_coded(vocab, rounds * replicas), "part int, key long, symbols binary").where(F.length("symbols") > 0)
     coded = scratch.keep(coded, "symbols")
     tasks = min(replicas, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     for turn in range(rounds):
@@ -288,43 +279,85 @@ def train(docs: DataFrame, vocab: Vocabulary, tokens: int, scratch: Scratch, *,
     return p
 
 
-def document_scores(vocab: Vocabulary, p: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray, at_once: int = 8192) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, summed log conditional probability) of each row."""
+@dataclass
+class Scores:
+    """Of each row: its tokens, the log probability of their symbols and of the shares that do not need counts, and how many distinct
+    rare words it has; then these words' hashes and how often each occurs in its row."""
+
+    tokens: np.ndarray
+    log_p: np.ndarray
+    distinct: np.ndarray
+    words: np.ndarray
+    times: np.ndarray
+
+
+def document_scores(vocab: Vocabulary, p: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray, at_once: int = 16384) -> Scores:
+    """What the network and the vocabulary say of each row; of a rare word's share of its class, the denominator."""
     hashes, counts, _ = placed_words(data, offsets, _IN_WORD)
-    total = np.zeros(len(counts))
-    if not len(hashes):
-        return counts, total
+    rows = len(counts)
     symbols = vocab.symbols(hashes)
     around = contexts(symbols, counts)
-    log_p = np.concatenate([log_probs(p, around[a : a + at_once], symbols[a : a + at_once]) for a in range(0, len(symbols), at_once)])
-    log_p = np.logaddexp(log_p + np.log(1 - SMOOTH), vocab.unigram[symbols] + np.log(SMOOTH)) + vocab.within(hashes, symbols)
-    total[counts > 0] = np.add.reduceat(log_p, (np.cumsum(counts) - counts)[counts > 0])
-    return counts, total
+    log_p = np.empty(len(symbols))
+    for a in range(0, len(symbols), at_once):
+        log_p[a : a + at_once] = log_probs(p, around[a : a + at_once], symbols[a : a + at_once])
+    log_p = np.logaddexp(log_p + np.log(1 - SMOOTH), vocab.unigram[symbols] + np.log(SMOOTH))
+    total = np.zeros(rows)
+    total[counts > 0] = np.add.reduceat(log_p, (np.cumsum(counts) - counts)[counts > 0]) if len(log_p) else 0
+
+    rare = np.flatnonzero(symbols >= SYMBOLS - RARE)
+    row = np.repeat(np.arange(rows), counts)[rare]
+    of_class = np.bincount(row * RARE + symbols[rare] - (SYMBOLS - RARE), minlength=rows * RARE).reshape(rows, RARE)
+    total -= (of_class * np.log(np.maximum(vocab.mass - of_class, 0) + UNSEEN * np.maximum(vocab.types, 1))).sum(axis=1)
+    order = np.lexsort((hashes[rare], row))
+    row, words = row[order], hashes[rare][order]
+    first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (words != np.roll(words, 1)))
+    times = np.diff(np.append(first, len(words)))
+    return Scores(counts, total, np.bincount(row[first], minlength=rows), words[first], times)
+
+
+_SCORED = "row long, doc_id long, n_tokens long, log_p double, words array<long>, times array<int>"
 
 
-def scorer(vocab: Vocabulary, p: dict[str, np.ndarray]):
-    """Text column -> (n_tokens, log_likelihood)."""
+def _scored(vocab: Vocabulary, p: dict[str, np.ndarray]):
+    """(row, doc_id, text) -> a row of ``Scores`` each."""
+    names = [x.split()[0] for x in _SCORED.split(", ")]
 
-    def run(text: pa.Array) -> pa.Array:
-        data, offsets = string_bytes(text)
-        parts = [document_scores(vocab, p, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(offsets)]
-        n, total = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, int), np.zeros(0))
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(total, pa.float64())], ["n_tokens", "log_likelihood"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = string_bytes(batch.column(2))
+            for a, b in chunks(offsets):
+                s = document_scores(vocab, p, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                ends = pa.array(np.concatenate(([0], np.cumsum(s.distinct))), pa.int32())
+                words = pa.ListArray.from_arrays(ends, pa.array(s.words.view(np.int64)))
+                times = pa.ListArray.from_arrays(ends, pa.array(s.times, pa.int32()))
+                own = [batch.column(i).slice(a, b - a).cast(pa.int64()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(s.tokens, pa.int64()), pa.array(s.log_p), words, times], names)
 
-    return F.arrow_udf(run, "n_tokens long, log_likelihood double")
+    return run
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_prob, perplexity), a row per row of ``docs``.
 
     Words, lower-cased in A-Z, are runs of letters, digits and non-ASCII bytes. Word counts and the fit of the network cover all texts.
-    A rare word has its class's probability times the word's share of the class by count. Null and wordless texts: 0 tokens, log
-    likelihood 0, mean and perplexity null. Repeated rows count as often as they are there. Other columns are ignored; no rows give none.
+    A rare word has its class's probability times its share of the class: its count in all other documents plus UNSEEN, over that of all the
+    class's words. Null and wordless texts: 0 tokens, log likelihood 0, mean and perplexity null. Repeated rows count as often as
+    they are there, each as a document. Other columns are ignored; no rows give none.
+
+    Counts of rare words never meet the driver or a broadcast: each row's rare words, known by hash, are joined to them. No word of that join
+    has more than a share of 1 / (SYMBOLS - RARE) of all tokens, since those that have are frequent.
     """
     scratch = Scratch(docs.sparkSession, "lm")
     counts = scratch.keep(count_words(docs), "counts")
     vocab = vocabulary(counts)
     p = train(docs, vocab, counts.agg(F.sum("n")).first()[0] or 0, scratch)
-    scored = docs.select("doc_id", scorer(vocab, p)("text").alias("s")).select("doc_id", "s.n_tokens", "s.log_likelihood")
+    given = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scored = scratch.keep(given.mapInArrow(_scored(vocab, p), _SCORED), "scored")
+    rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    # a word without a count above 1 is nowhere else
+    share = F.col("times") * F.log(F.coalesce(F.col("n") - F.col("times"), F.lit(0)) + F.lit(UNSEEN))
+    shares = rare.join(counts.where("n > 1"), "word", "left").groupBy("row").agg(F.sum(share).alias("shares"))
+    both = scored.select("row", "doc_id", "n_tokens", "log_p").join(shares, "row", "left")
+    both = both.select("doc_id", "n_tokens", (F.col("log_p") + F.coalesce("shares", F.lit(0.0))).alias("log_likelihood"))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
-    return scored.select("*", mean.alias("mean_log_prob"), F.exp(-mean).alias("perplexity"))
+    return both.select("*", mean.alias("mean_log_prob"), F.exp(-mean).alias("perplexity"))
