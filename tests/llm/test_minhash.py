@@ -4,9 +4,11 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.llm import minhash
 from tidemark.llm.components import connected_components
 from tidemark.llm.minhash import band_keys, drop_near_duplicates, near_groups, signatures
 from tidemark.llm.scratch import Scratch
@@ -75,6 +77,35 @@ def test_one_large_family(spark, docs):
     check(docs(*rows), list(enumerate(rows)), shingle=3, percent=85)
 
 
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_many_blocks(spark, docs, monkeypatch, rounds):
+    """Large buckets in many blocks, with and without new pivots before, give what all pairs give."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", 4)
+    monkeypatch.setattr(minhash, "PIVOT_ROUNDS", rounds)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    rows = [edited(rng, base, rng.randrange(2, 11)) for _ in range(120)]
+    check(docs(*rows), list(enumerate(rows)), shingle=3, percent=85)
+
+
+def test_block_links_span_components():
+    """Four alike members of three components outside of the largest: links enough to join all, not all pairs."""
+    rows = pd.DataFrame({"id": [1, 2, 3, 4, 1, 2, 3, 4, 5], "component": [1, 1, 3, 4, 1, 1, 3, 4, 5], "is_first": [True] * 4 + [False] * 5, "shingles": [np.arange(20)] * 8 + [np.arange(50, 70)]})
+    got = minhash._block_links(80)(rows)
+    assert len(got) == 2 and {x for r in got.itertuples(index=False) for x in r} <= {1, 2, 3, 4}
+
+
+def test_one_id_with_two_texts(spark, docs):
+    """Both texts' groups are one through the shared doc_id, and true links are not lost to bounds."""
+    a, b, c = ("p q r s t u v w x y", "a b c d e f g h i j", "k l m n o")
+    rows = [(9, a), (9, b), (3, a), (4, b), (5, c), (5, a), (7, "z")]
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_groups(docs(*rows), shingle=3, percent=85).collect()}
+    assert got == {(9, 3, False), (3, 3, True), (4, 3, False), (5, 3, False), (7, 7, True)}
+    left = drop_near_duplicates(docs(*rows), shingle=3, percent=85).collect()
+    assert sorted(r["doc_id"] for r in left) == [3, 7]
+
+
 def test_edges(spark, docs):
     rows = [(5, "a b c d"), (5, "a b c d"), (None, "a b c d"), (7, "A B C D"), (9, None), (8, " \n "), (6, "x " * 30_000)]
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_groups(docs(*rows), shingle=3, percent=85).collect()), key=str)

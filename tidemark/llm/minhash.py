@@ -24,8 +24,9 @@ from tidemark.llm.words import column_sets, mix, seeds
 PERMUTATIONS, ROWS = 64, 5
 #: Candidate ids up to this many (16 MB) are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Buckets of up to this many open members are finished by a join, larger ones in blocks of about BLOCK members.
-SMALL_BUCKET, BLOCK = 32, 1024
+#: Buckets of up to this many open members are finished by a join of pairs, larger ones in blocks of about BLOCK members, after this
+#: many rounds with a new pivot each.
+SMALL_BUCKET, BLOCK, PIVOT_ROUNDS = 32, 256, 2
 
 
 def signatures(sets: list[np.ndarray], permutations: int = PERMUTATIONS) -> np.ndarray:
@@ -97,10 +98,12 @@ def near_groups(docs: DataFrame, *, shingle: int = 5, percent: int = 80, permuta
     shingles. ``component_id`` is the smallest doc_id reachable over links, ``kept`` whether it is the row's own.
 
     1. Each text becomes a set key and band keys, in one pass; equal sets merge into one class by a pre-aggregated minimum.
-    2. In every bucket the other classes are paired with its smallest one, and pairs confirmed on full sets.
-    3. Buckets of three or more that still hold several components are finished exactly: shingles that only one
-       document of them has bound its similarity to any other; what the bound leaves is compared across components, in large
-       buckets block by block, where only links leave a task.
+    2. In every bucket the other classes are paired with its smallest one, and pairs confirmed on full sets. Classes of one doc_id are linked too.
+    3. Of large buckets that still hold several components, what is outside of the largest one is paired with new
+       pivots from it.
+    4. Buckets that still hold several components are finished exactly: shingles that only one document of them has bound its
+       similarity to any other; what the bound leaves is compared across components. In large buckets only documents outside of the
+       largest component are held against the others, block by block, and a block returns the links that join components.
 
     Null or wordless texts: n_shingles 0, linked with nothing. Null doc_id: takes no part; component_id null, kept
     true. Rows that repeat a doc_id are one document, linked with all that any of its texts is linked with, and kept
@@ -139,17 +142,24 @@ def near_groups(docs: DataFrame, *, shingle: int = 5, percent: int = 80, permuta
         fit = F.least(F.size("set_a"), F.size("set_b")) * 100 >= F.greatest(F.size("set_a"), F.size("set_b")) * percent
         return both.where(fit & _alike(F.size(F.array_intersect("set_a", "set_b")), F.size("set_a"), F.size("set_b"), percent)).select("a", "b")
 
-    links = scratch.keep(confirmed(star), "links")
-    first = connected_components(links, scratch, "first")
-
-    labelled = buckets.where("members > 2").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    labelled = scratch.keep(labelled.select("bucket", "id", "n", "component"), "labelled")
-    open_buckets = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    rest = scratch.keep(labelled.join(open_buckets, "bucket", "left_semi"), "rest")
-    bounds = _bounded(rest.select("id").distinct(), sets, scratch, percent)
-    rest = scratch.keep(rest.select("bucket", "id", "component").join(bounds, "id"), "bounded")
-    large = scratch.keep(rest.groupBy("bucket").agg(F.count("*").alias("members")).where(f"members > {SMALL_BUCKET}"), "large")
-    few = rest.join(large, "bucket", "left_anti")
+    links = scratch.keep(confirmed(star).union(_of_one_id(sketch, classes)), "links")
+    components = connected_components(links, scratch, "first")
+    open_rows = scratch.keep(_open_rows(buckets.where("members > 2"), components), "open")
+    for turn in range(PIVOT_ROUNDS):
+        pivots = _largest(open_rows, turn).where(F.col("members") > SMALL_BUCKET)
+        outside = open_rows.join(pivots, "bucket").where(F.col("component") != F.col("largest"))
+        pairs = outside.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+        more = scratch.keep(confirmed(pairs), f"links-{turn}")
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        components = connected_components(links, scratch, f"again-{turn}")
+        open_rows = scratch.keep(_open_rows(open_rows.drop("component"), components), f"open-{turn}")
+
+    bounds = _bounded(open_rows.select("id").distinct(), sets, scratch, percent)
+    rest = scratch.keep(open_rows.select("bucket", "id", "component").join(bounds, "id"), "bounded")
+    sizes = scratch.keep(_largest(rest, 0).where("members > in_largest"), "sizes")
+    few = rest.join(sizes.where(F.col("members") <= SMALL_BUCKET), "bucket", "left_semi")
     left, right = (few.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "own", "component"))) for s in "xy")
     most = F.least(F.col("n_x") - F.col("own_x"), F.col("n_y") - F.col("own_y"))
     across = (
@@ -159,66 +169,107 @@ def near_groups(docs: DataFrame, *, shingle: int = 5, percent: int = 80, permuta
         .distinct()
         .join(star, ["a", "b"], "left_anti")
     )
-    more = confirmed(scratch.keep(across, "across")).union(_links_in_blocks(rest.join(large, "bucket"), sets, percent))
-    more = scratch.keep(more, "more")
-    components = connected_components(links.union(more), scratch, "final") if not more.isEmpty() else first
+    large = rest.join(sizes.where(F.col("members") > SMALL_BUCKET), "bucket")
+    more = scratch.keep(confirmed(scratch.keep(across, "across")).union(_links_in_blocks(large, sets, percent)), "more")
+    if not more.isEmpty():
+        components = connected_components(links.union(more), scratch, "final")
     found = classes.select("set_key", "id").join(components.withColumnRenamed("node", "id"), "id", "left")
     groups = scratch.keep(found.select("set_key", F.coalesce("component", "id").alias("component_id")), "groups")
-    scratch.drop("shared", "wanted", "buckets", "star", "sets", "links", "labelled", "rest", "bounded", "large", "across", "more", "classes")
+    scratch.keep_only("sketch", "groups")
     return _labelled(sketch.select("doc_id", "n_shingles", "set_key"), groups)
 
 
+def _of_one_id(sketch: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): links between the classes of a doc_id that has several texts."""
+    known = sketch.where("doc_id is not null and set_key is not null").select("doc_id", "set_key")
+    several = known.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low < high").select("doc_id")
+    ids = known.join(several, "doc_id", "left_semi").join(classes.select("set_key", "id"), "set_key").select("doc_id", "id").distinct()
+    least = ids.groupBy("doc_id").agg(F.min("id").alias("a"))
+    return ids.join(least, "doc_id").where("a < id").select("a", F.col("id").alias("b"))
+
+
+def _open_rows(rows: DataFrame, components: DataFrame) -> DataFrame:
+    """rows(bucket, id, n) with their component, of the buckets that hold several."""
+    labelled = rows.select("bucket", "id", "n").join(components.withColumnRenamed("node", "id"), "id", "left")
+    labelled = labelled.withColumn("component", F.coalesce("component", "id"))
+    several = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    return labelled.join(several, "bucket", "left_semi")
+
+
+def _largest(rows: DataFrame, turn: int) -> DataFrame:
+    """(bucket, members, largest, in_largest, pivot): each bucket's component with most members there, and one of those, another each turn."""
+    each = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("pivot"))
+    top = F.max(F.struct("n", "component", "pivot")).alias("top")
+    found = each.groupBy("bucket").agg(F.sum("n").alias("members"), top)
+    return found.select("bucket", "members", F.col("top.component").alias("largest"), F.col("top.n").alias("in_largest"), F.col("top.pivot").alias("pivot"))
+
+
 def _bounded(ids: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """(id, n, own): of the documents whose similarity to another can reach percent, the set's size and its shingles that no other has.
 
-    ``own`` shingles can't be shared, so (n - own) / n bounds the similarity; documents below leave, and the rest are counted anew.
+    ``own`` shingles can't be shared, so (n - own) / n bounds the similarity; documents below leave, and the rest are counted anew. Sets
+    are told apart by a number of their own, since a doc_id can have several; of its bounds the loosest holds.
     """
-    kept = scratch.keep(sets.join(ids, "id", "left_semi"), "bound-0")
+    kept = scratch.keep(sets.join(ids, "id", "left_semi").withColumn("of", F.monotonically_increasing_id()), "bound-0")
     for turn in (1, 2):
-        each = kept.select("id", F.explode("shingles").alias("s"))
-        alone = each.groupBy("s").agg(F.min("id").alias("id"), F.count("*").alias("c")).where("c = 1").groupBy("id").agg(F.count("*").alias("own"))
-        counted = kept.select("id", "shingles").join(alone, "id", "left").select("id", "shingles", F.size("shingles").cast("long").alias("n"), F.coalesce("own", F.lit(0)).alias("own"))
+        each = kept.select("of", F.explode("shingles").alias("s"))
+        alone = each.groupBy("s").agg(F.min("of").alias("of"), F.count("*").alias("c")).where("c = 1").groupBy("of").agg(F.count("*").alias("own"))
+        counted = kept.select("of", "id", "shingles").join(alone, "of", "left")
+        counted = counted.select("of", "id", "shingles", F.size("shingles").cast("long").alias("n"), F.coalesce("own", F.lit(0)).alias("own"))
         kept = scratch.keep(counted.where((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent), f"bound-{turn}")
     return kept.select("id", "n", "own")
 
 
 def _block_links(percent: int):
+    """Members outside of the largest component (first) against others (second): a link for each two components that become one."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         ids, component = rows["id"].to_numpy(), rows["component"].to_numpy()
         counts = rows["shingles"].map(len).to_numpy()
         _, codes = np.unique(np.concatenate(rows["shingles"].to_list()), return_inverse=True)
         starts = np.cumsum(counts) - counts
         mark = np.zeros(codes.max() + 1, np.int32)
-        first, second = np.flatnonzero(rows["in_first"]), np.flatnonzero(rows["in_second"])
+        is_first = rows["is_first"].to_numpy()
+        first, second = np.flatnonzero(is_first), np.flatnonzero(~is_first)
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
         found = []
-        for i in first:
+        for i in first if len(second) else ():
             own = codes[starts[i] : starts[i] + counts[i]]
             mark[own] = 1
             shared = np.add.reduceat(mark[codes], starts)[second]
             mark[own] = 0
             alike = (100 * shared >= percent * (counts[i] + counts[second] - shared)) & (component[second] != component[i])
-            found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in second[alike]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64").drop_duplicates()
+            others, at = np.unique(component[second[alike]], return_index=True)
+            for c, j in zip(others.tolist(), second[alike][at], strict=True):
+                if (x := root(int(component[i]))) != (y := root(c)):
+                    joined[max(x, y)] = min(x, y)
+                    found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
 
 def _links_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links across the components of large buckets: the full sets of two blocks of members meet in a task, which returns links only."""
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-    dealt = members.select("bucket", "id", "component", own.alias("own_block"), other)
-    dealt = dealt.select(
-        "bucket",
-        F.least("own_block", "other").alias("low"),
-        F.greatest("own_block", "other").alias("high"),
-        "id",
-        "component",
-        (F.col("own_block") <= F.col("other")).alias("in_first"),
-        (F.col("own_block") >= F.col("other")).alias("in_second"),
-    )
-    return dealt.join(sets, "id").groupBy("bucket", "low", "high").applyInPandas(_block_links(percent), "a long, b long").distinct()
+    """Links across the components of members(bucket, id, component, members, largest, in_largest).
+
+    The members outside of a bucket's largest component, in chunks, meet all members, in blocks, in a task each, on full sets. With o of m
+    outside, o * m / BLOCK + m * ceil(o / BLOCK) sets move: in proportion to m while o is small.
+    """
+    outside = F.col("members") - F.col("in_largest")
+    chunks, blocks = (F.ceil(x / BLOCK).cast("int") for x in (outside, F.col("members")))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    row = ("bucket", "chunk", "block", "id", "component")
+    own = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
+    first = members.where(F.col("component") != F.col("largest")).select("*", own(chunks, 1).alias("chunk"), all_of(blocks).alias("block"))
+    second = members.select("*", own(blocks, 2).alias("block"), all_of(chunks).alias("chunk"))
+    dealt = first.select(*row, F.lit(True).alias("is_first")).union(second.select(*row, F.lit(False).alias("is_first")))
+    return dealt.join(sets, "id").groupBy("bucket", "chunk", "block").applyInPandas(_block_links(percent), "a long, b long").distinct()
 
 
 def _labelled(sketch: DataFrame, groups: DataFrame) -> DataFrame:
