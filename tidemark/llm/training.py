@@ -2,50 +2,52 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Bounds of a sample besides its rows a class: bytes of a text, and classes.
+MOST_BYTES, MOST_CLASSES = 1 << 20, 200
+
 
 def fold(column: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return (F.crc32(F.col(column).cast("string").cast("binary")) % folds).cast("int")
 
 
-def _drawn(rows: DataFrame, label: str, per_class: int) -> DataFrame:
-    """About ``per_class`` rows of each label, chosen by a hash of doc_id."""
+def _shares(rows: DataFrame, label: str, per_class: int) -> DataFrame:
+    """rows(doc_id, label, ...) of the MOST_CLASSES most frequent labels, each thinned by a hash of doc_id to somewhat more than ``per_class`` ids."""
+    counts = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("of_label"))
+    counts = counts.orderBy(F.desc("of_label"), label).limit(MOST_CLASSES)
     share = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
-    take = F.lit(False)
-    for value, n in rows.where(F.col(label).isNotNull()).groupBy(label).count().collect():
-        take = take | ((F.col(label) == F.lit(value)) & (share < 1.2 * per_class / n))
-    return rows.where(take)
+    return rows.join(F.broadcast(counts), label).where(share * F.col("of_label") < 1.2 * per_class + 20).drop("of_label")
 
 
-def _trimmed(rows: list, label: str, per_class: int) -> list[tuple]:
-    found = defaultdict(list)
-    for r in sorted(rows, key=lambda r: (r["key"], r["doc_id"], r["text"] or "")):
-        found[r[label]].append((r["text"] or "", r[label]))
-    return [x for value in sorted(found, key=str) for x in found[value][:per_class]]
+def _collected(rows: DataFrame, label: str, per_class: int) -> list[tuple]:
+    """[(text, label)]: ``per_class`` ids of each label by hash, each with its smallest text. No more than that reaches the driver."""
+    fine = rows.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MOST_BYTES)
+    once = fine.groupBy("doc_id", label).agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    place = F.row_number().over(W.partitionBy(label).orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id"))
+    drawn = once.withColumn("place", place).where(F.col("place") <= per_class)
+    return [(r["text"], r[label]) for r in sorted(drawn.collect(), key=lambda r: (str(r[label]), r["place"]))]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, per_class: int) -> list[tuple[str, int]]:
     """[(text, label)]: at most ``per_class`` whole texts of each label from the rows that are not held out.
 
-    A doc_id with several labels counts as its largest. Labels are drawn first, so only drawn ids meet the texts.
+    A doc_id with several labels counts as its largest. Labels are drawn first, so only drawn ids meet the texts; a doc_id with several
+    texts counts once, and texts above MOST_BYTES are left out.
     """
     known = labels.where(F.col(label).isNotNull() & F.coalesce(~held_out, F.lit(False))).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    drawn = F.broadcast(_drawn(known, "label", per_class))
-    texts = docs.select("doc_id", "text").join(drawn, "doc_id").withColumn("key", F.xxhash64("doc_id", F.lit(13)))
-    return _trimmed(texts.collect(), "label", per_class)
+    drawn = _shares(known, "label", per_class)
+    return _collected(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"), "label", per_class)
 
 
 def class_sample(docs: DataFrame, label: str, held_out: Column, per_class: int) -> list[tuple[str, str]]:
-    """[(text, label)] as ``labelled_sample``, with the label a column of ``docs``."""
+    """[(text, label)] as ``labelled_sample``, with the label a column of ``docs``; of more than MOST_CLASSES labels the most frequent."""
     known = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull() & F.coalesce(~held_out, F.lit(False)))
-    drawn = _drawn(known.select("doc_id", "text", label), label, per_class)
-    return _trimmed(drawn.withColumn("key", F.xxhash64("doc_id", F.lit(13))).collect(), label, per_class)
+    return _collected(_shares(known.select("doc_id", "text", label), label, per_class), label, per_class)
 
 
 class Adam:
