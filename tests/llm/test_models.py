@@ -108,6 +108,76 @@ def test_quality(spark, docs):
     assert all(r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in got.values()) and got[900]["score"] == got[901]["score"]
 
 
+def test_toxicity_equals_brute_force(spark, docs):
+    """Scores from the fitted words alone: sentences by their distinct words, a document clean if all its sentences are."""
+    rows, labels = _corpus()
+    given, known = docs(*rows, *ODD[:5]), spark.createDataFrame(labels, LABELS)
+    model = X.fit(given, known, fold("doc_id", 5) == 0)
+    weight = dict(zip(model.words.tolist(), model.weights.tolist(), strict=True))
+    hashed = lambda w: int(X.placed_words(*string_bytes(pa.array([w])), X._IN_WORD)[0][0])
+    got = {r["doc_id"]: r for r in X.toxicity(given, known).collect()}
+    for i, text, *_ in [*rows[:150], *ODD[:4]]:
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]", text or ""):
+            if words := set(re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", sentence)):
+                logit = model.bias + sum(weight.get(h, 0) for h in {hashed(w) for w in words})
+                clean *= 1 / (1 + np.exp(logit))
+        assert got[i]["score"] == pytest.approx(1 - clean, abs=1e-9) and got[i]["predicted"] == (1 - clean >= 0.5)
+
+
+def test_toxicity_settings_are_chosen_on_learning_rows():
+    rows, labels = _corpus(200)
+    sample = [(t, y) for (_, t, *_), (_, _, y) in zip(rows, labels, strict=True)]
+    poor = X.Setting(sparsity=1e6)
+    assert X.choose(sample, [poor, X.Setting()]) == X.Setting() and X.choose(sample, [poor]) == poor
+
+
+def test_quality_equals_brute_force(spark, docs):
+    """Scores from the fitted weights alone: byte kinds, repetition and the mean weight of words and pairs."""
+    rows, labels = _corpus()
+    given, known = docs(*rows, *ODD[:5]), spark.createDataFrame(labels, LABELS)
+    model = Q.fit(given, known, fold("doc_id", 5) == 0)
+    got = {r["doc_id"]: r for r in Q.quality(given, known).collect()}
+    for i, text, *_ in [*rows[:60], *ODD[:4]]:
+        raw = (text or "").encode()
+        n, words = max(len(raw), 1), [w for w in re.split(rb"[\x20\x09-\x0D]+", raw.lower()) if w]
+        hashes = [int(Q.word_hashes(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0]) for w in words]
+        hashed = np.array(hashes, np.uint64)
+        pairs = [int(Q.shingles(hashed[j : j + 2], np.array([2]), 2)[0][0]) for j in range(len(words) - 1)]
+        if len(words) == 1:
+            pairs = [int(Q.shingles(hashed, np.array([1]), 2)[0][0])]
+        m = max(len(words), 1)
+        shape = [
+            sum(a == b for a, b in zip(words, words[1:], strict=False)) / m,
+            1 - len(set(words)) / m,
+            1 - len(set(pairs)) / max(len(pairs), 1),
+            np.log1p(len(words)) / 10,
+            min(n / m, 40) / 10,
+            float(not words),
+        ]
+        base = np.array([sum(Q._KIND[c] == k for c in raw) / n for k in range(len(Q._KINDS))] + shape)
+        dense = np.concatenate([base, base / (base + 0.02), base / (base + 0.2)])
+        grams = [model.grams[h % Q.BUCKETS] for h in hashes + pairs]
+        score = ((dense - model.mean) / model.spread) @ model.weights + (np.mean(grams) if grams else 0)
+        want = 1 / (1 + np.exp(-(model.slope * (score - model.edge) + np.log(0.3 / 0.7))))
+        assert got[i]["score"] == pytest.approx(want, abs=1e-9)
+
+
+def test_quality_sees_words(spark, docs):
+    """Documents alike in all shares, told by their words."""
+    rng = random.Random(1)
+    rows = [(i, " ".join(f"{'abcd'[rng.randrange(2) + 2 * (i % 2)]}{rng.choice('xyz')}lm" for _ in range(30))) for i in range(300)]
+    got = Q.quality(docs(*rows), spark.createDataFrame([(i, i % 2, 0) for i in range(300)], LABELS)).where("held_out").collect()
+    assert len(got) > 30 and np.mean([r["predicted"] == r["doc_id"] % 2 for r in got]) > 0.95
+
+
+def test_samples_are_bounded_by_row_and_byte(spark, docs):
+    """A doc_id that is repeated is drawn once, whatever its texts; texts above the bound are not drawn."""
+    rows = [(1, f"copy {i % 3}") for i in range(500)] + [(2, "a " * (1 << 20)), (3, "c")]
+    known = spark.createDataFrame([(i, 1, 1) for i in (1, 2, 3)], LABELS)
+    assert sorted(labelled_sample(docs(*rows), known, "toxic", F.lit(False), 20)) == [("c", 1), ("copy 0", 1)]
+
+
 def test_language(spark, docs):
     rows, _ = _corpus()
     got = {r["doc_id"]: r for r in L.identify(docs(*rows, *ODD[:5], (905, "ж"))).collect()}
