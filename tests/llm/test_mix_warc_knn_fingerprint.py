@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprint as P
+from tidemark.llm import knn
 from tidemark.llm import warc as A
 from tidemark.llm.knn import top_k
 from tidemark.llm.mixing import PACKET, mix, mixed_documents
@@ -136,13 +137,13 @@ def test_running_total(spark):
     assert [r["t"] for r in got] == np.cumsum([r["v"] for r in got]).tolist()
 
 
-def test_top_k_equals_brute_force(spark):
+def test_top_k_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(0)
     centres = rng.normal(0, 3, (12, 8))
     vecs = [(i, [float(x) for x in centres[i % 12] + rng.normal(0, 0.3, 8)]) for i in range(700)]
     vecs += [(i, vecs[3][1]) for i in range(700, 1400)]
     vecs += [(2000, None), (2050, [1.0, None] + [0.0] * 6), (2100, [float("nan")] * 8), (2150, [float("inf")] * 8), (2200, []), (2250, [1.0, 2.0]), (2300, vecs[3][1]), (2300, vecs[3][1]), (None, vecs[3][1])]
-    df = spark.createDataFrame(vecs, "vec_id long, embedding array<float>").selectExpr("*", "'x' v", "'y' cell", "0 rank")
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<float>").selectExpr("*", "'x' v", "'y' cell", "0 rank", "1 ring", "2 part", "3 block", "4 least")
     fine = {}
     for i, v in vecs:
         if i is not None and v is not None and all(x is not None and np.isfinite(np.float32(x)) for x in v):
@@ -153,6 +154,9 @@ def test_top_k_equals_brute_force(spark):
         want |= {(q, r, i, -s) for r, (s, i) in enumerate(best, 1)}
     got = [tuple(r) for r in top_k(df, pivots=16, sample=64).select("query_id", "rank", "vec_id", "score").collect()]
     assert len(got) == len(set(got)) and set(got) == want
+    monkeypatch.setattr(knn, "BLOCK", 40)
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 3)
+    assert {tuple(r) for r in top_k(df).collect()} == want
     assert top_k(df.limit(0)).count() == 0 and top_k(df.where("vec_id = 50")).count() == 0
     few = top_k(df.where("vec_id in (50, 51, 52)")).collect()
     assert [r["rank"] for r in sorted(few, key=lambda r: r["rank"])] == [1, 2]
@@ -204,6 +208,34 @@ def test_warc_reads_plain_and_member_wise_files(spark, tmp_path):
     assert sorted((r["capture_id"], bytes(r["response"]["payload"]), r["metadata"]["page_id"]) for r in rows) == [("<a>", b"body", 4), ("<c>", b"body", 4)]
 
 
+def test_warc_damaged_records(spark, tmp_path):
+    """Repeated and folded headers are kept; damage is told, costs its own record only, and stays out of captures."""
+    one = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nWARC-Target-URI: http://a/\r\n 1\r\nContent-Length: 4\r\n\r\nbody\r\n\r\n"
+    two = b"WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Record-ID: <b>\r\nWARC-Concurrent-To: <a>\r\nWARC-Concurrent-To: <c>\r\nContent-Length: 11\r\n\r\npage-id: 4\n\r\n\r\n"
+    cut = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <c>\r\nContent-Length: 999\r\n\r\nshort"
+    (tmp_path / "d.warc").write_bytes(b"noise\r\n" + one + two + cut)
+    (tmp_path / "e.warc").write_bytes(b"")
+    records = A.read_archives(spark, str(tmp_path))
+    found = sorted((r["problem"] or "", r["record_id"] or "", r["target_uri"] or "") for r in records.collect())
+    assert found == [("", "<a>", "http://a/ 1"), ("", "<b>", ""), ("skipped", "", ""), ("truncated", "<c>", "")]
+    got = {r["capture_id"]: r for r in A.captures(records).collect()}
+    assert set(got) == {"<a>", "<c>"} and got["<a>"]["response"] and got["<c>"]["response"] is None and got["<c>"]["metadata"]["page_id"] == 4
+
+
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(A, "FILE_BYTES", 4096)
+    monkeypatch.setattr(A, "SMALL_PAGE", 1024)
+    rng = random.Random(1)
+    rows = [(i, f"http://a/{i}", "".join(rng.choice("abcdefgh") for _ in range(rng.choice([10, 900, 1500, 40_000])))) for i in range(60)]
+    A.write_archives(spark.createDataFrame(rows, PAGES), str(tmp_path / "w"), Scratch(spark, "t"))
+    seen = set()
+    for f in (tmp_path / "w").glob("*.gz"):
+        payloads = [b for h, b in A.parse_records(io.BufferedReader(gzip.open(f))) if h["warc-type"] == "response"]
+        assert len(payloads) <= 1 or sum(map(len, payloads)) <= 4096 + 200 * len(payloads)
+        seen |= {b.split(b"\r\n\r\n", 1)[1].decode() for b in payloads}
+    assert seen == {h for *_, h in rows}
+
+
 def shingles_of(text):
     from tests.llm.test_minhash import sets_of
 

@@ -22,8 +22,8 @@ from tidemark.llm.scratch import Scratch
 CRLF = "\r\n"
 #: Payloads below this many bytes are never stored as revisits.
 MIN_REVISIT_BYTES = 1000
-#: Pages in an archive file at most.
-PAGES_PER_FILE = 4000
+#: Payload bytes of an archive file at most, if it has more than one page, and of the smallest pages; each further class is 16 times larger.
+FILE_BYTES, SMALL_PAGE = 1 << 28, 1 << 16
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -37,55 +37,84 @@ def write_archives(pages: DataFrame, path: str, scratch: Scratch, *, date: str =
     """Write pages(page_id, url, html) to gzipped WARC files: a request, a response or revisit, and a metadata record each.
 
     Of pages with equal payloads of at least 1000 bytes, the one with the largest page_id is a response and the others
-    revisit it; where that page_id repeats, all its rows are responses, as are rows without page_id. Null html is an empty payload; a
-    null url leaves the target out. Other columns are ignored.
+    revisit it, naming its URL and date; where that page_id repeats, all its rows are responses, as are rows without page_id. Null html is
+    an empty payload; a null url leaves the target out. Other columns are ignored. No pages give no file.
+
+    Pages are written by classes of size, so that as many go to a file as have FILE_BYTES together; a larger page has a file of its own. A
+    file is one gzip member, since Spark's text writer, which commits files of successful tasks only, compresses whole files.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     based = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"))
     based = based.withColumn("digest", F.sha1("html")).withColumn("bytes", F.octet_length("html").cast("long"))
-    thin = based.where(F.col("bytes") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("top"), F.count("page_id").alias("n"))
-    kept = scratch.keep(thin.where("n > 1").select(F.col("digest").alias("of"), "top"), "kept")
+    thin = based.where(F.col("bytes") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("top"), F.max_by("url", "page_id").alias("top_url"), F.count("page_id").alias("n"))
+    kept = scratch.keep(thin.where("n > 1").select(F.col("digest").alias("of"), "top", "top_url"), "kept")
     dealt = based.join(kept, based["digest"] == kept["of"], "left").withColumn("capture", F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">")))
     revisit = F.coalesce((F.col("page_id") < F.col("top")), F.lit(False))
 
-    target = F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20"))
+    plain = lambda url: F.regexp_replace(url, r"[\x00-\x20\x7f]", "%20")
+    target = F.concat(F.lit("WARC-Target-URI: "), plain("url"))
+    refers = [F.concat(F.lit("WARC-Refers-To-Target-URI: "), plain("top_url")), F.lit(f"WARC-Refers-To-Date: {date}"), F.lit(f"WARC-Profile: {_PROFILE}")]
     digest = F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest"))
     concurrent = F.concat(F.lit("WARC-Concurrent-To: "), F.col("capture"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF * 2))
     fresh = lambda: F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">"))
-    get = F.concat(F.lit("GET "), F.coalesce(F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20"), F.lit("/")), F.lit(f" HTTP/1.1{CRLF}{CRLF}"))
+    get = F.concat(F.lit("GET "), F.coalesce(plain("url"), F.lit("/")), F.lit(f" HTTP/1.1{CRLF}{CRLF}"))
     fields = F.concat(F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit(CRLF)), F.lit("")), F.lit("via: pages" + CRLF))
     whole = F.concat(http, F.col("html"))
     answer = F.when(
-        revisit, _record("revisit", F.col("capture"), [target, digest, F.lit(f"WARC-Profile: {_PROFILE}")], "application/http;msgtype=response", http, date)
+        revisit, _record("revisit", F.col("capture"), [target, digest, *refers], "application/http;msgtype=response", http, date)
     ).otherwise(_record("response", F.col("capture"), [target, digest], "application/http;msgtype=response", whole, date))
     request = _record("request", fresh(), [target, concurrent], "application/http;msgtype=request", get, date)
     metadata = _record("metadata", fresh(), [target, concurrent], "application/warc-fields", fields, date)
-    records = dealt.select(F.explode(F.array(request, answer, metadata)).alias("value"))
-    out = records.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 3 * PAGES_PER_FILE)
-    out.mode("overwrite").text(path)
+    # 0 up to SMALL_PAGE, then a class more for each factor of 16
+    size = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.octet_length("html"), F.lit(1)) / SMALL_PAGE) / 4)).cast("int")
+    records = dealt.withColumn("size_class", size).select("size_class", F.explode(F.array(request, answer, metadata)).alias("value"))
+    classes = [r[0] for r in pages.select(F.coalesce(F.col("html"), F.lit("")).alias("html")).select(size).distinct().collect()]
+    for c in sorted(classes):
+        out = records.where(F.col("size_class") == c).select("value").write.option("lineSep", CRLF * 2).option("compression", "gzip")
+        out.option("maxRecordsPerFile", 3 * max(1, FILE_BYTES // (SMALL_PAGE << (4 * c)))).mode("append").text(path)
+    if not classes:
+        records.select("value").write.mode("append").text(path)
 
 
 def parse_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of each record of a plain WARC stream."""
+    """(headers by lower-case name, block) of each record of a plain WARC stream.
+
+    A header that is repeated has its values in order, parted by line breaks, and a folded one is unfolded. Two headers are added where a
+    record is damaged: ``problem`` is "truncated" for a block that ends early, and "skipped" for bytes before a record that are none.
+    """
+    line, skipped = b"", 0
     while True:
         line = stream.readline()
-        while line and not line.strip():
+        while line and not line.startswith(b"WARC/"):
+            skipped += len(line.strip())
             line = stream.readline()
+        if skipped:
+            yield {"problem": "skipped"}, b""
+            skipped = 0
         if not line:
             return
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"not a WARC record: {line[:60]!r}")
-        headers = {}
+        headers: dict[str, str] = {}
+        last = None
         while (line := stream.readline()) and line.strip():
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            headers[name.strip().lower()] = value.strip()
-        yield headers, stream.read(int(headers.get("content-length", 0)))
+            text = line.decode("utf-8", "replace")
+            if text[0] in " \t" and last:
+                headers[last] += " " + text.strip()
+                continue
+            name, _, value = text.partition(":")
+            last = name.strip().lower()
+            headers[last] = f"{headers[last]}\n{value.strip()}" if last in headers else value.strip()
+        length = headers.get("content-length", "")
+        size = int(length) if length.isdigit() else 0
+        block = stream.read(size)
+        if len(block) < size or not length.isdigit():
+            headers["problem"] = "truncated"
+        yield headers, block
 
 
 _RECORDS = (
-    "record_id string, record_type string, concurrent_to string, target_uri string, warc_date string, payload_bytes long, "
-    "payload_digest string, page_id long, payload binary"
+    "record_id string, record_type string, concurrent_to array<string>, target_uri string, warc_date string, payload_bytes long, "
+    "payload_digest string, page_id long, payload binary, problem string"
 )
 
 
@@ -102,11 +131,12 @@ def _row(headers: dict[str, str], block: bytes, with_payload: bool) -> tuple:
     elif kind == "metadata":
         page = int(m[1]) if (m := re.search(rb"(?m)^page-id: (-?\d+)", block)) else None
     h = headers.get
-    return h("warc-record-id"), kind, h("warc-concurrent-to"), h("warc-target-uri"), h("warc-date"), size, digest, page, payload if with_payload else None
+    others = h("warc-concurrent-to").split("\n") if h("warc-concurrent-to") else []
+    return h("warc-record-id"), kind, others, h("warc-target-uri"), h("warc-date"), size, digest, page, payload if with_payload else None, h("problem")
 
 
 def _read(with_payload: bool, at_once: int = 1000):
-    kinds = [pa.string()] * 5 + [pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string()]
     names = [x.split()[0] for x in _RECORDS.split(", ")]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -131,7 +161,11 @@ def _read(with_payload: bool, at_once: int = 1000):
 
 
 def read_archives(spark: SparkSession, path: str, *, with_payload: bool = True) -> DataFrame:
-    """A row per record of the WARC files (plain or gzipped, one or many members) below ``path``."""
+    """A row per record of the WARC files (plain or gzipped, one or many members) below ``path``, in no order; null where a record says nothing.
+
+    ``problem``, else null: "truncated" for a record whose block ends early, which has what there is of it, and "skipped" for bytes
+    that are no record, which are a row of nulls. No files give an error, empty files no rows. A file is read by one task, a block at a time.
+    """
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(_read(with_payload), _RECORDS)
 
@@ -139,15 +173,18 @@ def read_archives(spark: SparkSession, path: str, *, with_payload: bool = True)
 def captures(records: DataFrame) -> DataFrame:
     """A nested row per capture: (capture_id, response, request, metadata).
 
-    Records are joined by the record id of the response or revisit, which the others name as concurrent to theirs. A missing
-    request or metadata record is null; records that name no response of the archive are a capture without response.
+    Records are joined by the record id of the response or revisit, which the others name as concurrent to theirs, one or several. A missing
+    request or metadata record is null; records that name no response of the archive are a capture without response; of several
+    alike the largest by its fields stays. Records without ids, of other types, and those with a problem take no part. No records give no rows.
     """
     kind = F.col("record_type")
     body = F.struct("record_type", "target_uri", "warc_date", "payload_bytes", "payload_digest", "payload")
     answer = F.max(F.when(kind.isin("response", "revisit"), body))
     request = F.max(F.when(kind == "request", F.struct("record_id", "target_uri")))
     metadata = F.max(F.when(kind == "metadata", F.struct("record_id", "page_id")))
-    known = records.where(kind.isin("response", "revisit", "request", "metadata")).withColumn("capture_id", F.coalesce("concurrent_to", "record_id"))
+    known = records.where(kind.isin("response", "revisit", "request", "metadata") & F.col("problem").isNull())
+    names = F.when(kind.isin("response", "revisit") | (F.size("concurrent_to") == 0), F.array("record_id")).otherwise(F.col("concurrent_to"))
+    known = known.withColumn("capture_id", F.explode(names)).where("capture_id is not null")
     return known.groupBy("capture_id").agg(answer.alias("response"), request.alias("request"), metadata.alias("metadata"))
 
 
