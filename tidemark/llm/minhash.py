@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
+from tidemark.llm.ordering import small
 from tidemark.llm.scratch import Scratch
 from tidemark.llm.words import column_sets, mix, seeds
 
@@ -124,7 +125,7 @@ def near_groups(docs: DataFrame, *, shingle: int = 5, percent: int = 80, permuta
     in_bucket = classes.select("id", "n", F.explode("bands").alias("bucket"))
     least = in_bucket.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("top"), F.count("*").alias("members"))
     shared = scratch.keep(least.where("pivot < top").drop("top"), "shared")
-    buckets = scratch.keep(in_bucket.join(shared, "bucket").select("bucket", "members", "pivot", "id", "n"), "buckets")
+    buckets = scratch.keep(in_bucket.join(small(shared), "bucket").select("bucket", "members", "pivot", "id", "n"), "buckets")
     star = scratch.keep(buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "star")
 
     wanted = scratch.keep(buckets.select("id").distinct(), "wanted")
@@ -144,22 +145,22 @@ def near_groups(docs: DataFrame, *, shingle: int = 5, percent: int = 80, permuta
 
     links = scratch.keep(confirmed(star).union(_of_one_id(sketch, classes)), "links")
     components = connected_components(links, scratch, "first")
-    open_rows = scratch.keep(_open_rows(buckets.where("members > 2"), components), "open")
+    open_rows = scratch.keep(_open_rows(buckets.where("members > 2"), components, scratch, "open"), "open")
     for turn in range(PIVOT_ROUNDS):
-        pivots = _largest(open_rows, turn).where(F.col("members") > SMALL_BUCKET)
-        outside = open_rows.join(pivots, "bucket").where(F.col("component") != F.col("largest"))
+        pivots = scratch.keep(_largest(open_rows, turn).where(F.col("members") > SMALL_BUCKET), f"pivots-{turn}")
+        outside = open_rows.join(small(pivots), "bucket").where(F.col("component") != F.col("largest"))
         pairs = outside.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
         more = scratch.keep(confirmed(pairs), f"links-{turn}")
         if more.isEmpty():
             break
         links = links.union(more)
         components = connected_components(links, scratch, f"again-{turn}")
-        open_rows = scratch.keep(_open_rows(open_rows.drop("component"), components), f"open-{turn}")
+        open_rows = scratch.keep(_open_rows(open_rows, components, scratch, f"open-{turn}"), f"open-{turn}")
 
     bounds = _bounded(open_rows.select("id").distinct(), sets, scratch, percent)
     rest = scratch.keep(open_rows.select("bucket", "id", "component").join(bounds, "id"), "bounded")
     sizes = scratch.keep(_largest(rest, 0).where("members > in_largest"), "sizes")
-    few = rest.join(sizes.where(F.col("members") <= SMALL_BUCKET), "bucket", "left_semi")
+    few = rest.join(small(sizes.where(F.col("members") <= SMALL_BUCKET)), "bucket", "left_semi")
     left, right = (few.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "own", "component"))) for s in "xy")
     most = F.least(F.col("n_x") - F.col("own_x"), F.col("n_y") - F.col("own_y"))
     across = (
@@ -169,7 +170,7 @@ def near_groups(docs: DataFrame, *, shingle: int = 5, percent: int = 80, permuta
         .distinct()
         .join(star, ["a", "b"], "left_anti")
     )
-    large = rest.join(sizes.where(F.col("members") > SMALL_BUCKET), "bucket")
+    large = rest.join(small(sizes.where(F.col("members") > SMALL_BUCKET)), "bucket")
     more = scratch.keep(confirmed(scratch.keep(across, "across")).union(_links_in_blocks(large, sets, percent)), "more")
     if not more.isEmpty():
         components = connected_components(links.union(more), scratch, "final")
@@ -188,12 +189,15 @@ def _of_one_id(sketch: DataFrame, classes: DataFrame) -> DataFrame:
     return ids.join(least, "doc_id").where("a < id").select("a", F.col("id").alias("b"))
 
 
-def _open_rows(rows: DataFrame, components: DataFrame) -> DataFrame:
-    """rows(bucket, id, n) with their component, of the buckets that hold several."""
+def _open_rows(rows: DataFrame, components: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """rows(bucket, id, n) with their component, of the buckets that hold several.
+
+    Few buckets do, so rows are held against their list where it is small, and a large bucket's rows need not meet in a task.
+    """
     labelled = rows.select("bucket", "id", "n").join(components.withColumnRenamed("node", "id"), "id", "left")
-    labelled = labelled.withColumn("component", F.coalesce("component", "id"))
+    labelled = scratch.keep(labelled.withColumn("component", F.coalesce("component", "id")), f"{name}-labelled")
     several = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    return labelled.join(several, "bucket", "left_semi")
+    return labelled.join(small(scratch.keep(several, f"{name}-several")), "bucket", "left_semi")
 
 
 def _largest(rows: DataFrame, turn: int) -> DataFrame:
