@@ -187,6 +187,16 @@ def test_language(spark, docs):
     assert not got[None]["held_out"]
 
 
+def test_language_of_none():
+    """Texts of no learned language are told from those of one."""
+    rows, _ = _corpus()
+    model = L.train([(t, lang) for _, t, lang, _ in rows[:300]])
+    rng = random.Random(2)
+    noise = ["".join(rng.choice(letters + "  ") for _ in range(200)) for letters in ("абвгдежз", "qwxzjkvbpy", "0a1b2c3d9f", "的一是不了人") for _ in range(5)]
+    _, _, none = L.predict(model, pa.array(noise + [t for _, t, *_ in rows[300:]]))
+    assert (none[:20] > model.most_none).all() and (none[20:] <= model.most_none).all() and model.most_none >= 0.5
+
+
 def test_language_positions_see_both_sides():
     p = L.new_params(2, 4, np.random.default_rng(1))
     a, b, c = (np.array([[*s.encode()]], np.int16) for s in ("abcd", "xbcd", "abcx"))
@@ -195,7 +205,7 @@ def test_language_positions_see_both_sides():
 
 
 def test_document_probabilities_are_means_over_windows():
-    model = L.LanguageModel(L.new_params(2, 4, np.random.default_rng(1)), ["a", "b"])
+    model = L.LanguageModel(L.new_params(3, 4, np.random.default_rng(1)), ["a", "b"])
     text = b"x" * 70 + b"yz"
     data = np.frombuffer(text, np.uint8)
     grid, _ = L.windows(data, np.array([0, 72]))

@@ -91,6 +91,8 @@ def test_pipeline_stages(spark, docs, tmp_path):
 
     rows, labels = _corpus(300)
     rows += [(1000 + i, t + (" extra" if i % 2 else ""), *rest) for i, (_, t, *rest) in enumerate(rows[:40])] + [(2000, None, "en", "s0"), (2001, "12 34", "en", "s0"), (2002, "", None, None)]
+    # letters of no learned language go, a text whose language is not given stays
+    rows += [(2003, "жъ фщ эю " * 30, None, "s0"), (2004, "qxzj vkwq " * 30, None, "s1"), (2005, rows[7][1] + " more", None, "s1")]
     df = docs(*rows).drop("id", "n")
     df.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels, LABELS).write.parquet(str(tmp_path / "labels.parquet"))
@@ -105,7 +107,8 @@ def test_pipeline_stages(spark, docs, tmp_path):
         kept.append(after)
         out = after
     ids = [{r["doc_id"] for r in k.select("doc_id").collect()} for k in kept]
-    assert ids[0] == {r[0] for r in rows} - {2000, 2001, 2002}
+    assert ids[0] == {r[0] for r in rows} - {2000, 2001, 2002, 2003, 2004}
+    assert kept[0].where("doc_id = 2005").first()["lang"] == rows[7][2] and kept[0].where("lang is null").isEmpty()
     low = {i for i, q, _ in labels if not q} | {1000 + i for i, q, _ in labels[:40] if not q}
     assert len(ids[0] - ids[1] - low) <= 2 and len(low & ids[1]) <= 4
     texts = {r[0]: r[1] for r in rows}
@@ -119,6 +122,18 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert sorted((r["doc_id"], r["n_tokens"]) for r in ran.collect()) == sorted((r["doc_id"], r["n_tokens"]) for r in kept[4].collect())
 
 
+def test_pipeline_stages_on_an_empty_table(spark, docs, tmp_path):
+    import corpus_pipeline as P
+
+    from tests.llm.test_models import LABELS
+
+    none = docs("a").limit(0)
+    spark.createDataFrame([], LABELS).write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in P.STAGES:
+        out = stage(spark, none, str(tmp_path))
+        assert out.count() == 0 and (name == "encode" or out.columns == none.columns)
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="the driver's tables are not here")
 @pytest.mark.parametrize("name", ["op1_minhash_near_dedup", "op5_exact_top_k", "op9_warc"])
 def test_queries_equal_sql(spark, name):

@@ -1,7 +1,9 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 Texts are cut into windows of bytes. One network reads each window forwards, another backwards, and both states label
-every position; a document's probabilities are the mean over its positions. Training is backpropagation through time in numpy.
+every position; a document's probabilities are the mean over its positions. Training is backpropagation through time in numpy. Beside the
+languages there is a label for none of them, learnt from windows of random letters, symbols and stretches of other scripts, so
+that a text of no learned language need not look like one.
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 @dataclass
 class LanguageModel:
-    """Parameters of both directions: x (inputs by byte), u (states), w (states to languages), b; and the languages."""
+    """Parameters of both directions: x (inputs by byte), u (states), w (states to labels), b; the languages, which the label for
+    none follows; and the share of none above which a document has no language."""
 
     params: dict[str, np.ndarray]
     languages: list[str]
+    most_none: float = 0.5
 
 
 def windows(data: np.ndarray, offsets: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +82,10 @@ def position_logits(p: dict[str, np.ndarray], batch: np.ndarray, keep: dict | No
     backward = _run(p, "b", steps[::-1], kept["b"])[::-1]
     if keep is not None:
         keep["states"] = (forward, backward)
-    return np.stack([f @ p["wf"] + g @ p["wb"] for f, g in zip(forward, backward, strict=True)]) + p["b"]
+    out = np.empty((len(steps), len(batch), len(p["b"])), p["b"].dtype)
+    for at, (f, g) in enumerate(zip(forward, backward, strict=True)):
+        out[at] = f @ p["wf"] + g @ p["wb"] + p["b"]
+    return out
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -135,22 +142,46 @@ def new_params(languages: int, hidden: int, rng: np.random.Generator, kind=np.fl
     return {k: v.astype(kind) for k, v in p.items()}
 
 
+def random_windows(n: int, rng: np.random.Generator, width: int = WINDOW) -> np.ndarray:
+    """Windows of no language: words of random characters from ASCII letters, all of ASCII, or 64 consecutive code points of any script."""
+    out = np.empty((n, width), np.int16)
+    for i in range(n):
+        low = [97, 33, int(rng.integers(0x100, 0x700)), int(rng.integers(0x700, 0xD700))][rng.integers(4)]
+        points = low + rng.integers(0, {97: 26, 33: 94}.get(low, 64), width)
+        raw = "".join(chr(c) if keep else " " for c, keep in zip(points, rng.random(width) > 0.15, strict=True)).encode()
+        at = int(rng.integers(0, len(raw) - width + 1))
+        out[i] = np.frombuffer(raw, np.uint8)[at : at + width]
+    return out
+
+
 def train(sample: list[tuple[str, str]], hidden: int = HIDDEN, rounds: int = 300, batch: int = 256, seed: int = 3) -> LanguageModel:
-    """Fit to windows of the sampled texts, each language as often. Texts without bytes teach nothing."""
+    """Fit to windows of the sampled texts, each language as often, and none half as often. Texts without bytes teach nothing.
+
+    A document has no language if none has more than half of it, and more than it has in all but a thousandth of the sample.
+    """
     languages = sorted({y for _, y in sample})
     rng = np.random.default_rng(seed)
-    p = new_params(max(1, len(languages)), hidden, rng)
+    p = new_params(len(languages) + 1, hidden, rng)
     data, offsets = string_bytes(pa.array([t for t, _ in sample], pa.large_string()))
     grid, row = windows(data, offsets)
     label = np.array([languages.index(y) for _, y in sample], int)[row] if len(row) else np.zeros(0, int)
     of = [np.flatnonzero(label == k) for k in range(len(languages))]
     of = [rows for rows in of if len(rows)]
     adam = Adam(p, 0.02)
-    for turn in range(rounds if len(of) > 1 else 0):
+    for turn in range(rounds if of else 0):
         adam.rate = 0.02 * (1 - turn / rounds) + 0.001
-        pick = np.concatenate([rng.choice(rows, -(-batch // len(of))) for rows in of])
-        adam.step(loss_and_grads(p, grid[pick], label[pick])[1])
-    return LanguageModel(p, languages)
+        each = -(-batch // len(of))
+        pick = np.concatenate([rng.choice(rows, each) for rows in of])
+        other = random_windows(max(1, each // 2), rng, grid.shape[1])
+        labels = np.append(label[pick], np.full(len(other), len(languages)))
+        adam.step(loss_and_grads(p, np.concatenate([grid[pick], other]), labels)[1])
+    model = LanguageModel(p, languages)
+    if of:
+        few = sorted({int(i) for i in np.linspace(0, len(sample) - 1, 1000)})
+        data, offsets = string_bytes(pa.array([sample[i][0] for i in few], pa.large_string()))
+        none = np.concatenate([document_probabilities(model, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[:, -1] for a, b in chunks(offsets)])
+        model.most_none = max(0.5, float(np.quantile(none, 0.999)))
+    return model
 
 
 def fit(docs: DataFrame, held_out: Column, per_class: int = PER_CLASS) -> LanguageModel:
@@ -158,8 +189,8 @@ def fit(docs: DataFrame, held_out: Column, per_class: int = PER_CLASS) -> Langua
 
 
 def document_probabilities(model: LanguageModel, data: np.ndarray, offsets: np.ndarray, at_once: int = 2048) -> np.ndarray:
-    """(rows, languages): the mean of the positions' probabilities; zeros for empty rows."""
-    out = np.zeros((len(offsets) - 1, max(1, len(model.languages))))
+    """(rows, languages and none): the mean of the positions' probabilities; zeros for empty rows."""
+    out = np.zeros((len(offsets) - 1, len(model.languages) + 1))
     grid, row = windows(data, offsets)
     for a in range(0, len(grid), at_once):
         part = grid[a : a + at_once]
@@ -178,41 +209,35 @@ def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def predict(model: LanguageModel, text: pa.Array) -> tuple[list[str], np.ndarray]:
-    """(the likeliest language of each text, its probability); ``und`` and 0 without a letter."""
+def predict(model: LanguageModel, text: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(the likeliest language of each text, its probability, that of none); ``und``, 0 and 1 without a letter."""
     data, offsets = string_bytes(text)
-    names, scores = [], [np.zeros(0)]
+    names, scores, none = [], [np.zeros(0)], [np.zeros(0)]
     for lo, hi in chunks(offsets):
         part, ends = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         prob = document_probabilities(model, part, ends)
         has = _has_letter(part, ends) & (len(model.languages) > 0)
-        names += [model.languages[k] if ok else "und" for k, ok in zip(prob.argmax(axis=1), has, strict=True)]
-        scores.append(np.where(has, np.clip(prob.max(axis=1), 0, 1), 0.0))
-    return names, np.concatenate(scores)
+        known = prob[:, :-1] if model.languages else prob
+        names += [model.languages[k] if ok else "und" for k, ok in zip(known.argmax(axis=1), has, strict=True)]
+        scores.append(np.where(has, np.clip(known.max(axis=1), 0, 1), 0.0))
+        none.append(np.where(has, np.clip(prob[:, -1], 0, 1), 1.0))
+    return names, np.concatenate(scores), np.concatenate(none)
 
 
 def identifier(model: LanguageModel):
-    """Text column -> (lang_pred, score)."""
-
-    def run(text: pa.Array) -> pa.Array:
-        names, score = predict(model, text)
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score)], ["lang_pred", "score"])
-
-    return F.arrow_udf(run, "lang_pred string, score double")
-
-
-def keeper(model: LanguageModel, least: float):
-    """Text column -> whether the text has a language, with a probability of at least ``least``."""
+    """Text column -> (lang_pred, score, none, has_language): the likeliest language and its probability, that of none of them, and
+    whether the text has a letter and none of them does not outweigh the model's bound."""
 
     def run(text: pa.Array) -> pa.Array:
-        names, score = predict(model, text)
-        return pa.array((score >= least) & (np.array(names, object) != "und"), pa.bool_())
+        names, score, none = predict(model, text)
+        has = (none <= model.most_none) & (np.array(names, object) != "und")
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(none), pa.array(has, pa.bool_())], ["lang_pred", "score", "none", "has_language"])
 
-    return F.arrow_udf(run, "boolean")
+    return F.arrow_udf(run, "lang_pred string, score double, none double, has_language boolean")
 
 
 def identify(docs: DataFrame, *, folds: int = 4, held: int = 2, per_class: int = PER_CLASS) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score), a row per row of ``docs``.
+    """(doc_id, held_out, lang_pred, score, none), a row per row of ``docs``; ``none`` is the probability that it is no learned language.
 
     Learns from whole texts of at most ``per_class`` documents of each ``lang`` outside the held-out fold. Null texts and texts
     without a letter are ``und`` with score 0, as is every text where there is nothing to learn from. A null doc_id is not held out and
@@ -221,4 +246,4 @@ def identify(docs: DataFrame, *, folds: int = 4, held: int = 2, per_class: int =
     held_out = fold("doc_id", folds) == held
     model = fit(docs, held_out, per_class)
     known = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), identifier(model)("text").alias("p"))
-    return known.select("doc_id", "held_out", "p.lang_pred", "p.score")
+    return known.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.none")
