@@ -13,11 +13,11 @@ from tidemark.operators import sources as S
 from tidemark.operators import views as V
 from tidemark.operators.candidates import to_candidates
 from tidemark.operators.commit import commit
-from tidemark.operators.run import refresh, summarize
+from tidemark.operators.run import refresh, resummarize, summarize
 from tidemark.sources.store import Store, append_new, get, merge
 from tidemark.operators import settings as O
 from tidemark.sources.seed import seed_sources, targets
-from tidemark.streaming.ingest import admit_stream, ingest_stream
+from tidemark.streaming.ingest import admit_stream, follow, ingest_stream
 
 DAY = timedelta(days=1)
 BASE = datetime(2026, 9, 1)
@@ -344,6 +344,127 @@ def test_ingest_stream_reads_a_backlog_whole(spark, tmp_path, at_once):
         assert store.read("articles").count() == 6 and store.batch() == "0.3"
 
 
+def test_a_writer_that_dies_loses_nothing(spark, tmp_path, monkeypatch):
+    """Whatever step a write dies at, readers see what was before it, and the next write goes on from there."""
+    from tidemark.sources import store as S
+
+    root = tmp_path / "store"
+    store = Store(spark, str(root))
+    titles = lambda: sorted(r["title"] for r in store.read("articles").collect())
+    store.write("1", articles=articles(spark, {"id": "a", "title": "x"}))
+    real = Store.create
+
+    def dies(self, name, text):
+        if step == "before the list":
+            raise OSError("lost")
+        real(self, name, text[: len(text) // 2] if step == "within the list" else "")
+        raise OSError("lost")
+
+    for step in ("before the list", "within the list", "at an empty list"):
+        monkeypatch.setattr(S.Store, "create", dies)
+        with pytest.raises(OSError, match="lost"):
+            store.write("2", append={"articles": articles(spark, {"id": "b", "title": "y"})})
+        monkeypatch.setattr(S.Store, "create", real)
+        assert titles() == ["x"] and store.batch() == "1"
+    store.write("2", append={"articles": articles(spark, {"id": "b", "title": "y"})})
+    assert titles() == ["x", "y"] and store.batch() == "2"
+    store.vacuum()
+    assert titles() == ["x", "y"] and len(list((root / "articles").iterdir())) == 2
+    store.compact("articles")
+    assert titles() == ["x", "y"] and store.batch() == "2"
+    # two writers that read the same list cannot both add the next one
+    monkeypatch.setattr(S.Store, "_numbers", lambda self, name: [1])
+    with pytest.raises(RuntimeError, match="another writer"):
+        store.write(articles=articles(spark))
+
+
+def test_store_writes_only_what_changes(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    for i in "abc":
+        store.write(i, "one", append={"articles": articles(spark, {"id": i, "title": i})})
+    folders = lambda: {p.name for p in (tmp_path / "store" / "articles").iterdir()}
+    before = folders()
+    ids = spark.createDataFrame([("c",)], "id string")
+    store.write("d", "two", upsert={"articles": (articles(spark, {"id": "b", "title": "B"}, {"id": "d", "title": "D"}), ids)})
+    assert sorted(r["title"] for r in store.read("articles").collect()) == ["B", "D", "a"] and len(folders() - before) == 1
+    store.vacuum()
+    assert len(folders()) == 2 and len(folders() & before) == 1
+    # a batch is known by its writer: another one's of the same name is written, its own again is not
+    store.write("d", "one", append={"articles": articles(spark, {"id": "e", "title": "e"})})
+    store.write("d", "one", append={"articles": articles(spark, {"id": "f", "title": "f"})})
+    assert sorted(r["title"] for r in store.read("articles").collect()) == ["B", "D", "a", "e"] and store.batch("two") == "d"
+
+
+def test_live_view(spark, tmp_path):
+    store, turns = Store(spark, str(tmp_path / "store")), iter([False, False, True])
+
+    def step():
+        if not (last := next(turns)):
+            store.write(append={"articles": articles(spark, {"id": str(store.version())})})
+        return last
+
+    counts = [rows.count() for _, rows in follow(store, lambda s: s.read("articles"), every=0, until=step)]
+    assert counts == [1, 2]
+
+
+class _Refused(Exception):
+    status = 401
+
+
+def test_a_batch_stops_at_a_billing_error(spark):
+    asked = []
+
+    def model(row):
+        asked.append(row["id"])
+        if len(asked) == 2:
+            raise _Refused("no key")
+        return "{}"
+
+    rows = spark.createDataFrame([(i, "t", "u", "s", "page", "x") for i in "abcd"], "id string, title string, url string, source_name string, content_source string, text string")
+    got = {r["id"]: (r["answer"], r["error_kind"], r["error_status"]) for r in E.ask(rows, model, 1).collect()}
+    assert sorted(got.values(), key=str) == sorted([("{}", None, None), (None, None, 401), (None, "stopped", None), (None, "stopped", None)], key=str)
+    assert E.stops(400, "Your Credit Balance is low") and not E.stops(400, "x") and not E.stops(None, None)
+
+
+def test_resummarize(spark, tmp_path):
+    now, store = datetime(2026, 10, 1), Store(spark, str(tmp_path / "store"))
+    store.write(sources=sources(spark, ("s", True, BASE)), articles=articles(spark, {"id": "a", "source_id": "s", "title": "x", "status": "done", "content_text": "old", "attempts": 0}, {"id": "b", "source_id": "s", "title": "y", "status": "done", "attempts": 0}))
+    pages = spark.createDataFrame([("a", "p" * 900, None)], "id string, text string, published_at timestamp")
+
+    def fails(row):
+        raise ValueError("down")
+
+    resummarize(store, "a", pages, fails, now, refetch=True)
+    got = {r["id"]: r for r in store.read("articles").collect()}
+    assert (got["a"]["status"], got["a"]["attempts"], got["a"]["content_text"]) == ("error", 1, None) and got["b"]["status"] == "done"
+    resummarize(store, "a", pages, lambda r: '{"headline":"h","brief":"b","digest":[],"detail":"d","tags":[]}', now)
+    got = {r["id"]: r for r in store.read("articles").collect()}
+    assert got["a"]["status"] == "done" and got["a"]["content_text"] == "p" * 900 and got["a"]["summary"]["headline"] == "h" and len(got) == 2
+
+
+def test_messages_go_by_position(spark, now):
+    schema = "article_id string, pos int, role string, content string, refused boolean"
+    new = spark.createDataFrame([("a", i, "user", str(i), None) for i in (3, 1, 2)], schema).repartition(3)
+    chats = V.append_messages(spark.createDataFrame([], schemas.CHATS), new, now)
+    assert [m["content"] for m in chats.first()["messages"]] == ["1", "2", "3"]
+    with pytest.raises(Exception, match="need pos"):
+        V.append_messages(chats, new.drop("pos"), now).collect()
+
+
+def test_listings_are_fetched_for_failed_feeds_only(spark, tmp_path):
+    now, store, asked = datetime(2026, 10, 1), Store(spark, str(tmp_path / "store")), []
+    state = sources(spark, ("a", True, BASE), ("b", True, BASE)).withColumns({"listing_url": F.expr("'https://b.example/blog'"), "listing_link_pattern": F.expr("'/blog/'")})
+    store.write(sources=state)
+
+    def get(targets):
+        asked.extend((r["source_id"], r["url"]) for r in targets.collect())
+        return _fetch(spark, ("b", 200, None, '<a href="/blog/p-1"><h2>P</h2></a>', None))
+
+    feeds = _fetch(spark, ("a", 200, "e1", _feed(1), None), ("b", None, None, None, "boom"))
+    m = {r["source_id"]: r["added"] for r in refresh(store, feeds, get, now).collect()}
+    assert m == {"a": 1, "b": 1} and asked == [("b", "https://b.example/blog")]
+
+
 def test_admit_stream(spark, tmp_path):
     schema = "source_id string, id string, published_at timestamp"
     for turn, rows in enumerate(([("a", "1", BASE), ("a", "2", BASE + DAY), ("b", "9", BASE)], [("a", "2", BASE + DAY), ("a", "3", BASE + 2 * DAY), ("a", "0", BASE - 9 * DAY)])):

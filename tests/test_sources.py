@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 from datetime import UTC, datetime
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 
@@ -182,11 +184,45 @@ def test_fetch(spark):
     assert modes["a"]["mode"] == "feed" and modes["b"]["mode"] == "listing" and modes["c"]["mode"] == "not_modified"
 
 
-def test_http_source(spark, tmp_path):
+@pytest.fixture
+def web():
+    """A web server on this machine: RSS at /f.xml, a large page at /big, an image at /i; the rest is not there."""
+    pages = {"/f.xml": ("text/xml", RSS.encode()), "/big": ("text/html; charset=utf-8", b"x" * 300_000), "/i": ("image/png", b"png")}
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            kind, body = pages.get(self.path, (None, b""))
+            self.send_response(404 if kind is None else 304 if self.headers.get("If-None-Match") == "e1" else 200)
+            if kind:
+                self.send_header("Content-Type", kind)
+                self.send_header("ETag", "e1")
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_http_source(spark, tmp_path, web):
     import json
 
     (tmp_path / "f.xml").write_text(RSS)
     H.register(spark)
-    targets = [{"source_id": "a", "url": (tmp_path / "f.xml").as_uri()}, {"source_id": "b", "url": "file:///nowhere"}]
+    targets = [{"source_id": i, "url": u} for i, u in (("a", f"{web}/f.xml"), ("b", f"{web}/none"), ("c", (tmp_path / "f.xml").as_uri()))]
+    targets.append({"source_id": "d", "url": f"{web}/f.xml", "etag": "e1"})
     rows = {r["source_id"]: r for r in spark.read.format("http_fetch").option("targets", json.dumps(targets)).load().collect()}
-    assert rows["a"]["body"] == RSS and rows["b"]["error"]
+    assert rows["a"]["body"] == RSS and rows["a"]["etag"] == "e1" and rows["b"]["error"] == "HTTP 404"
+    assert rows["c"]["body"] is None and rows["c"]["error"].startswith("not a web address")
+    assert rows["d"]["status"] == 304 and rows["d"]["error"] is None
+
+
+def test_pages_are_capped_and_html_only(spark, web):
+    asked = spark.createDataFrame([("big", f"{web}/big"), ("i", f"{web}/i"), ("none", f"{web}/none"), ("file", "file:///etc/hostname")], "id string, url string")
+    got = {r["id"]: r["html"] for r in H.fetch_pages(asked, most=100_000).collect()}
+    assert set(got) == {"big", "i"} and got["i"] is None and 100_000 < len(got["big"]) <= 100_000 + (1 << 16)
+    assert len({r["id"]: r["html"] for r in H.fetch_pages(asked).collect()}["big"]) == 300_000

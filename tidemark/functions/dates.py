@@ -89,29 +89,62 @@ def parse_date(s: Column) -> Column:
     )
 
 
-_NAME = "|".join((*MONTHS, "sept", *(m[:3] for m in MONTHS)))
-_IN_TEXT = (
-    (re.compile(rf"(?<![A-Za-z])(?P<m>{_NAME})\.?\s+(?P<d>\d{{1,2}}),\s+(?P<y>\d{{4}})(?!\d)", re.I | re.A), None),
-    (re.compile(rf"(?<!\d)(?P<d>\d{{1,2}})\s+(?P<m>{_NAME})\.?\s+(?P<y>\d{{4}})(?!\d)", re.I | re.A), None),
-    (re.compile(r"(?<![\d-])(?P<y>\d{4})-(?P<m>\d{2})-(?P<d>\d{2})(?P<t>T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?)?(?![\d-])", re.A), "t"),
-    (re.compile(r"(?<![\d/])(?P<y>\d{4})/(?P<m>\d{2})/(?P<d>\d{2})(?![\d/])", re.A), None),
-)
+_MONTH_NAMES = {n: i for i, m in enumerate(MONTHS, 1) for n in (m, m[:3])} | {"sept": 9}
+_RUN = re.compile("[A-Za-z]+|[0-9]+")
+_CLOCK = re.compile(r"T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:?[0-9]{2})?")
+_BLANK = " \t\n\r\f\v"
+
+
+def _is_gap(gap: str, first: str) -> bool:
+    """Whether a gap between two runs is white space, after ``first`` at most once."""
+    rest = gap.removeprefix(first)
+    return rest != "" and not rest.strip(_BLANK)
+
+
+def _numeric(text: str, runs: list, mark: str) -> tuple[int, int] | None:
+    """Where year, month and day by digits, with ``mark`` between them and not around them, begin and end."""
+    (a, _, y), (c, _, m), (e, f, d) = runs
+    if (len(y), len(m), len(d)) != (4, 2, 2) or text[runs[0][1] : c] != mark or text[runs[1][1] : e] != mark:
+        return None
+    return None if text[a - 1 : a] == mark or text[f : f + 1] == mark else (a, f)
+
+
+def _spelt(text: str, runs: list) -> tuple[str, int, str] | None:
+    """(year, month, day) of three runs that are a date with the month's name, in either order."""
+    first, second, year = (r[2] for r in runs)
+    gaps = text[runs[0][1] : runs[1][0]], text[runs[1][1] : runs[2][0]]
+    if len(year) != 4 or not year.isdigit():
+        return None
+    if (month := _MONTH_NAMES.get(first.lower())) and second.isdigit() and len(second) <= 2:
+        return (year, month, second) if _is_gap(gaps[0], ".") and gaps[1][:1] == "," and _is_gap(gaps[1], ",") else None
+    if (month := _MONTH_NAMES.get(second.lower())) and first.isdigit() and len(first) <= 2:
+        return (year, month, first) if _is_gap(gaps[0], "") and _is_gap(gaps[1], ".") else None
+    return None
 
 
 def dates_with_places(text: str, now: datetime) -> list[tuple[int, int, datetime]]:
     """(start, end, date) of every date in the text by start: Sep 2, 2026; 2 Sep 2026; ISO with or without a time; 2026/09/02.
 
-    Years run from 1990 to the one after ``now``'s. Without an offset a date is UTC. Overlapping matches all count.
+    Years run from 1990 to the one after ``now``'s. Without an offset a date is UTC. Runs of letters and of digits are read three at a time.
     """
+    runs = [(m.start(), m.end(), m[0]) for m in _RUN.finditer(text)]
     found = []
-    for pattern, time in _IN_TEXT:
-        for m in pattern.finditer(text):
-            month = int(m["m"]) if m["m"].isdigit() else _month(m["m"])
-            day = _moment(m["y"], month, m["d"]) if C.MIN_YEAR <= int(m["y"]) <= now.year + 1 and month and 0 < int(m["d"]) else None
-            if day is not None:
-                exact = parse_moment(m[0]) if time and m[time] else None
-                found.append((m.start(), m.end(), exact or day))
-    return sorted(found, key=lambda x: x[0])
+    for three in zip(runs, runs[1:], runs[2:], strict=False):
+        end, exact = three[2][1], None
+        if three[0][2].isdigit() and three[1][2].isdigit():
+            iso = _numeric(text, three, "-") if three[2][2].isdigit() else None
+            if iso is None and not (three[2][2].isdigit() and _numeric(text, three, "/")):
+                continue
+            parts = tuple(r[2] for r in three)
+            if iso and (clock := _CLOCK.match(text, end)) and not text[clock.end() : clock.end() + 1].isdigit() and text[clock.end() : clock.end() + 1] != "-":
+                end, exact = clock.end(), parse_moment(text[three[0][0] : clock.end()])
+        elif (parts := _spelt(text, three)) is None:
+            continue
+        year, month, day = (int(x) for x in parts)
+        at = _moment(year, month, day) if C.MIN_YEAR <= year <= now.year + 1 and month and day else None
+        if at is not None:
+            found.append((three[0][0], end, exact or at))
+    return found
 
 
 def dates_in(text: str, now: datetime) -> list[datetime]:

@@ -33,12 +33,17 @@ def decode_entities(s: Column) -> Column:
     return F.when(F.contains(s, F.lit("&")), joined).otherwise(s)
 
 
+# Elements without text, and end tags that end a line.
+UNSEEN = ("script", "style", "noscript", "template")
+LINE_ENDS = ("p", "div", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6")
+#: A token: a comment, an element without text as a whole, a tag, a run of text, or a lone <.
+_TOKEN = "(?is)<!--.*?-->|" + "".join(rf"<{tag}\b[^>]*>.*?</{tag}{SPACE}*>|" for tag in UNSEEN) + "<[^>]+>|[^<]+|<"
+_ENDS_LINE = rf"(?i)^<(br{SPACE}*/?|/({'|'.join(LINE_ENDS)}){SPACE}*)>$"
+
+
 def html_to_text(html: Column) -> Column:
-    """Text of an HTML fragment: no scripts, styles, templates, comments or tags; block ends are line ends; entities decoded."""
-    s = html
-    for tag in ("script", "style", "noscript", "template"):
-        s = F.regexp_replace(s, rf"(?is)<{tag}\b[^>]*>.*?</{tag}{SPACE}*>", "")
-    s = F.regexp_replace(s, r"(?s)<!--.*?-->", "")
-    s = F.regexp_replace(s, rf"(?i)<br{SPACE}*/?>|</(?:p|div|li|tr|h[1-6]){SPACE}*>", "\n")
-    s = F.regexp_replace(s, r"<[^>]+>", "")
-    return tidy_lines(decode_entities(s))
+    """Text of an HTML fragment, token by token: no scripts, styles, templates, comments or tags; block ends are line ends; entities decoded."""
+    tokens = F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0))
+    markup = lambda t: t.startswith("<") & (F.length(t) > 1)
+    texts = F.transform(tokens, lambda t: F.when(~markup(t), t).when(t.rlike(_ENDS_LINE), "\n").otherwise(""))
+    return tidy_lines(decode_entities(F.array_join(texts, "")))

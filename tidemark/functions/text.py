@@ -10,6 +10,7 @@ from tidemark.schemas import SUMMARY
 
 #: White space of browsers: Java's \s lacks the non-ASCII ones.
 SPACE = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+_SPACES = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # Labels of prompts, and messages.
 CONTENT_LABELS = {"page": "ページ本文", "rss": "RSS概要", "none": "なし"}
@@ -29,19 +30,19 @@ CHAT_PREFIX = (
 
 
 def trim_space(s: Column) -> Column:
-    return F.regexp_replace(s, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(s, F.lit(_SPACES))
 
 
 def collapse_space(s: Column) -> Column:
     """Runs of white space become one space; ends are trimmed."""
-    return trim_space(F.regexp_replace(s, f"{SPACE}+", " "))
+    return F.btrim(F.regexp_replace(s, f"{SPACE}+", " "), F.lit(" "))
 
 
 def tidy_lines(s: Column) -> Column:
-    """Line ends become \\n, runs of blanks one space, at most one empty line stays."""
-    for pattern, by in ((r"\r\n?", "\n"), (r"[ \t]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n")):
-        s = F.regexp_replace(s, pattern, by)
-    return trim_space(s)
+    """Lines with one space for each run of blanks, and none at their ends; lines that follow each other are a paragraph, and one empty line parts paragraphs."""
+    lines = F.transform(F.split(s, r"\r\n?|\n"), lambda x: F.btrim(F.regexp_replace(x, r"[ \t]+", " "), F.lit(" ")))
+    paragraphs = F.filter(F.split(F.array_join(lines, "\n"), r"\n{2,}"), lambda p: p != "")
+    return trim_space(F.array_join(paragraphs, "\n\n"))
 
 
 def utf16_length(s: Column) -> Column:

@@ -50,14 +50,15 @@ def fresh_rows(candidates: DataFrame, sources: DataFrame, articles: DataFrame) -
     return rows.withColumns(flags).drop("mark")
 
 
-def per_source(rows: DataFrame, limit: int) -> DataFrame:
+def per_source(rows: DataFrame, limit: int | None) -> DataFrame:
     """What each source's rows come to: (source_id, cold, mode, newest, first_unknown, latest, carried_over).
 
     All are aggregates that are reduced before the shuffle, so that a source with most of the rows costs a row a task.
     """
     row = F.struct(*rows.columns)
     fresh, waiting = F.col("fresh"), F.col("fresh") & ~F.col("stored")
-    carried = F.when(F.col("cold"), 0).otherwise(F.greatest(F.lit(0), F.col("waiting") - limit)).cast("int")
+    over = F.lit(0) if limit is None else F.greatest(F.lit(0), F.col("waiting") - limit)
+    carried = F.when(F.col("cold"), 0).otherwise(over).cast("int")
     return (
         rows.groupBy("source_id", "cold", "mode")
         .agg(
@@ -97,10 +98,10 @@ def as_articles(taken: DataFrame, now: datetime) -> DataFrame:
     )
 
 
-def commit(candidates: DataFrame, sources: DataFrame, articles: DataFrame, now: datetime, *, limit: int = C.MAX_NEW_PER_SOURCE_PER_RUN, modes: DataFrame | None = None) -> Committed:
+def commit(candidates: DataFrame, sources: DataFrame, articles: DataFrame, now: datetime, *, limit: int | None = C.MAX_NEW_PER_SOURCE_PER_RUN, modes: DataFrame | None = None) -> Committed:
     """Admit candidates(source_id, pos, id, link, title, guid, published_at, content_html) of one run.
 
-    ``modes(source_id, mode)`` lists the sources that were fetched, as feed or listing; without it all that have candidates are
+    ``limit`` is the cap of a source and run; None takes all. ``modes(source_id, mode)`` lists the sources that were fetched, as feed or listing; without it all that have candidates are
     feeds. A source that was fetched without candidates is initialized too. The mark never moves back; while items are carried
     over it only moves to what was added, and validators are not kept, so that the next run sees them again.
     """
@@ -108,13 +109,15 @@ def commit(candidates: DataFrame, sources: DataFrame, articles: DataFrame, now:
     if modes is None:
         modes = counted.select("source_id", F.lit("feed").alias("mode"))
     fetched = modes.select(F.col("source_id").alias("id"), "mode")
-    limit = max(0, int(limit))
+    limit = None if limit is None else max(0, int(limit))
     rows = fresh_rows(candidates, sources.join(fetched, "id"), articles).persist()
     found = per_source(rows, limit)
     first_cold = found.where("cold and newest is not null and not newest.stored").select("newest.*")
     undated = "mode = 'listing' and first_unknown is not null and not first_unknown.stored and not (cold and newest is not null)"
-    place = F.row_number().over(W.partitionBy("source_id").orderBy("published_at", "pos"))
-    oldest = rows.where("fresh and not stored and not cold").withColumn("place", place).where(F.col("place") <= limit).drop("place")
+    oldest = rows.where("fresh and not stored and not cold")
+    if limit is not None:  # cut in every task before rows of a source meet
+        place = F.row_number().over(W.partitionBy("source_id").orderBy("published_at", "pos"))
+        oldest = oldest.withColumn("place", place).where(F.col("place") <= limit).drop("place")
     taken = first_cold.unionByName(oldest).unionByName(found.where(undated).select("first_unknown.*"))
     added = taken.groupBy("source_id").agg(F.count("*").cast("int").alias("added"), F.max("published_at").alias("latest_added"))
     reached = F.when(F.col("cold"), F.col("newest.published_at")).when(F.col("carried_over") > 0, F.col("latest_added")).otherwise(F.col("latest"))

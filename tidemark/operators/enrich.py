@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tidemark import constants as C
 from tidemark.functions.text import SKIPPED, UNREADABLE, choose_content, error_message, is_billing_or_auth, parse_summary, truncate, utf16_length
 
+#: The kind of what was not asked since the batch was stopped.
+STOPPED = "stopped"
 _ANSWER = "id string, answer string, error_kind string, error_status int, error_text string"
 
 
@@ -49,25 +51,43 @@ def extractive_stub(title: str, text: str) -> dict:
     return {"headline": title[:40], "brief": ". ".join(parts[:3]), "digest": parts[:5], "detail": ". ".join(parts[:10]), "tags": []}
 
 
-def ask(rows: DataFrame, enricher: Callable[[dict], str], parallelism: int = C.SUMMARY_CONCURRENCY) -> DataFrame:
-    """(id, answer or error) of an injected model call on rows(id, title, url, source_name, content_source, text), ``parallelism`` at a time.
+def orphan_count(articles: DataFrame, now: datetime) -> DataFrame:
+    """One row: how many articles wait to be enriched."""
+    return articles.where(is_orphan(now)).agg(F.count("*").alias("orphans"))
 
-    A call that raises is a row with the error's ``kind`` and ``status`` attributes; it stops no other.
+
+def stops(status: int | None, message: str | None) -> bool:
+    """Whether an error is one after which no more is asked, as in ``is_billing_or_auth``."""
+    return status == 401 or status == 400 and "credit balance" in (message or "").lower()
+
+
+def ask(rows: DataFrame, enricher: Callable[[dict], str], parallelism: int | None = None) -> DataFrame:
+    """(id, answer or error) of an injected model call on rows(id, title, url, source_name, content_source, text).
+
+    There is a call at a time in each partition of ``rows``; ``parallelism`` deals them to so many, where a service limits calls. A call that raises
+    is a row with the error's ``kind`` and ``status`` attributes and stops no other, unless it is an error of billing or authorisation: then
+    the partition's other rows are not asked about and have the kind "stopped".
     """
     columns = [c.split()[0] for c in _ANSWER.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stopped = False
         for batch in batches:
             out = []
             for row in batch.to_dict("records"):
+                if stopped:
+                    out.append({"id": row["id"], "error_kind": STOPPED})
+                    continue
                 try:
                     out.append({"id": row["id"], "answer": enricher(row)})
                 except Exception as e:  # noqa: BLE001  one article's failure is data
-                    out.append({"id": row["id"], "error_kind": getattr(e, "kind", None), "error_status": getattr(e, "status", None), "error_text": str(e) or type(e).__name__})
+                    status, told = getattr(e, "status", None), str(e) or type(e).__name__
+                    stopped = stops(status, told)
+                    out.append({"id": row["id"], "error_kind": getattr(e, "kind", None), "error_status": status, "error_text": told})
             frame = pd.DataFrame(out, columns=columns).astype(object)
             yield frame.where(frame.notna(), None)
 
-    return rows.repartition(parallelism).mapInPandas(run, _ANSWER)
+    return (rows if parallelism is None else rows.repartition(parallelism)).mapInPandas(run, _ANSWER)
 
 
 def redate(articles: DataFrame, pages: DataFrame, sources: DataFrame, *, drop_old: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -98,8 +118,9 @@ def with_content(articles: DataFrame, pages: DataFrame, max_chars: int = C.MAX_C
     return rows.withColumn("skip", skip).drop("chosen", "page_text")
 
 
-def enrich(articles: DataFrame, pages: DataFrame, sources: DataFrame, enricher: Callable[[dict], str], now: datetime, *, model: str = "stub", max_chars: int = C.MAX_CONTENT_CHARS, parallelism: int = C.SUMMARY_CONCURRENCY) -> DataFrame:
-    """Chosen articles after their summary: done, or error with one more attempt; ``stops_batch`` marks errors after which no more is asked.
+def enrich(articles: DataFrame, pages: DataFrame, sources: DataFrame, enricher: Callable[[dict], str], now: datetime, *, model: str = "stub", max_chars: int = C.MAX_CONTENT_CHARS, parallelism: int | None = None) -> DataFrame:
+    """Chosen articles after their summary: done, or error with one more attempt; ``stops_batch`` marks errors after which no more is asked, and
+    the articles that were not asked about then.
 
     Articles without any text are not asked about. An error is not tried again by itself.
     """
@@ -122,7 +143,7 @@ def enrich(articles: DataFrame, pages: DataFrame, sources: DataFrame, enricher:
             "model": keep(F.lit(model), "model"),
             "summarized_at": keep(_at(now), "summarized_at"),
             "summarizing_at": F.lit(None).cast("timestamp"),
-            "stops_batch": is_billing_or_auth(F.col("error_status"), F.col("error_text")),
+            "stops_batch": is_billing_or_auth(F.col("error_status"), F.col("error_text")) | F.coalesce(F.col("error_kind") == STOPPED, F.lit(False)),
         }
     )
     return out.select(*articles.columns, "stops_batch")

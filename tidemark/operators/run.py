@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -16,14 +17,16 @@ from tidemark.operators.sources import record_failures, save_validators
 from tidemark.sources.feed import read_feeds
 from tidemark.sources.fetch import outcome
 from tidemark.sources.listing import as_feed_items, read_listings
-from tidemark.sources.store import Store, append_new, merge
+from tidemark.sources.store import Store, shared_root
 
 
-def refresh(store: Store, feeds: DataFrame, listings: DataFrame | None, now: datetime, *, limit: int = C.MAX_NEW_PER_SOURCE_PER_RUN, batch: str | None = None) -> DataFrame:
+def refresh(store: Store, feeds: DataFrame, listings: DataFrame | Callable[[DataFrame], DataFrame] | None, now: datetime, *, limit: int = C.MAX_NEW_PER_SOURCE_PER_RUN, batch: str | None = None, writer: str = "") -> DataFrame:
     """Admit what the fetches hold and return metrics(source_id, added, carried_over, latest_published_at).
 
     A feed that failed or did not parse falls back to its source's listing; where that fails or has no link too, the source gets both errors.
-    Unchanged feeds (304) touch nothing. Articles, marks and validators become visible together; a repeated ``batch`` changes nothing.
+    ``listings`` holds fetched listing pages, or is a function that fetches targets(source_id, url, etag, last_modified), which are those of failed feeds.
+    Unchanged feeds (304) touch nothing. Articles, marks and validators become visible together; stored articles are not written anew. A
+    repeated ``batch`` of a ``writer`` changes nothing.
     """
     sources, articles = store.read("sources"), store.read("articles")
     seen = outcome(feeds)
@@ -34,10 +37,14 @@ def refresh(store: Store, feeds: DataFrame, listings: DataFrame | None, now: dat
     items = parsed.where("pos is not null").select(*shape)
     modes = parsed.where("error is null").select("source_id").distinct().withColumn("mode", F.lit("feed"))
     told = failed.withColumn("listing_error", F.lit(None).cast("string"))
+    links = None
     if listings is not None:
         config = sources.where("listing_url is not null and listing_link_pattern is not null").select(
             F.col("id").alias("source_id"), F.col("listing_url").alias("base_url"), F.col("listing_link_pattern").alias("pattern"), F.col("listing_exclude_pattern").alias("exclude_pattern")
         )
+        if callable(listings):
+            targets = config.select("source_id", F.col("base_url").alias("url")).join(failed.select("source_id"), "source_id", "left_semi")
+            listings = listings(targets.select("*", *(F.lit(None).cast("string").alias(c) for c in ("etag", "last_modified"))))
         got = outcome(listings).join(failed.select("source_id"), "source_id", "left_semi")
         pages = got.where("kind = 'ok'").join(config, "source_id").select(F.col("source_id").alias("page"), F.col("body").alias("html"), "base_url", "pattern", "exclude_pattern")
         links = as_feed_items(read_listings(pages, now)).persist()
@@ -49,25 +56,54 @@ def refresh(store: Store, feeds: DataFrame, listings: DataFrame | None, now: dat
     done = commit(to_candidates(items, sources), sources, articles, now, limit=limit, modes=modes)
     failures = told.select("source_id", F.concat_ws("; ", "feed_error", "listing_error").alias("error"))
     after = save_validators(record_failures(done.sources, failures, now), feeds.where("status between 200 and 299"), done.metrics)
-    metrics = done.metrics.persist()
-    metrics.count()  # before the tables that it was computed from are replaced
-    store.write(batch, sources=after, articles=append_new(articles, done.articles))
+    metrics = _kept(done.metrics)  # before the tables that it is computed from are replaced
+    store.write(batch, writer, append={"articles": done.articles}, sources=after)
     done.release()
+    for used in (parsed, links):
+        if used is not None:
+            used.unpersist()
     return metrics
 
 
-def summarize(store: Store, pages: DataFrame, enricher: Callable[[dict], str], now: datetime, *, limit: int = C.MAX_SUMMARIES_PER_RUN, batch: str | None = None) -> DataFrame:
+def _kept(rows: DataFrame) -> DataFrame:
+    """A run's result in a file of the shared folder, so that it needs neither memory nor the tables that it was computed from."""
+    path = f"{shared_root(rows.sparkSession)}/run-result-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def summarize(store: Store, pages: DataFrame, enricher: Callable[[dict], str], now: datetime, *, limit: int = C.MAX_SUMMARIES_PER_RUN, batch: str | None = None, writer: str = "") -> DataFrame:
     """Enrich the newest waiting articles with pages(id, text, published_at) and return their ids.
 
-    Articles that turn out old are deleted. After an error of billing or authorisation, the articles that failed with it stay new.
+    Articles that turn out old are deleted. After an error of billing or authorisation a task asks no more, and its other articles and
+    those that failed with it stay new. Only the folders of articles that change are written anew.
     """
-    sources, articles = store.read("sources"), E.recover(store.read("articles"), now)
+    sources, stored = store.read("sources"), store.read("articles")
+    articles = E.recover(stored, now)
     top, _ = E.choose(articles.where(E.is_orphan(now)), limit)
     dated, after, old = E.redate(top, pages, sources, drop_old=True)
     result = E.enrich(dated, pages, sources, enricher, now).persist()
+    ids = _kept(result.select("id"))
     kept = result.where("not stops_batch").drop("stops_batch")
-    left = articles.join(old, "id", "left_anti")
-    ids = result.select("id").persist()
-    ids.count()
-    store.write(batch, sources=after, articles=merge(left, kept))
+    stale = E.recover(stored.where(E.is_orphan(now) & (F.col("status") == "summarizing")), now)
+    stale = stale.join(kept.select("id"), "id", "left_anti").join(old, "id", "left_anti")
+    store.write(batch, writer, upsert={"articles": (kept.unionByName(stale), old)}, sources=after)
+    result.unpersist()
     return ids
+
+
+def resummarize(store: Store, article_id: str, pages: DataFrame, enricher: Callable[[dict], str], now: datetime, *, refetch: bool = False) -> None:
+    """Enrich one article again, whatever its status, with pages(id, text, published_at); without a lock (M6).
+
+    With ``refetch`` its stored content is forgotten first, so that a failure leaves it without. A provisional date is replaced, but the article
+    is never deleted as old. An error of billing or authorisation is stored like any other.
+    """
+    sources = store.read("sources")
+    one = store.read("articles").where(F.col("id") == article_id).withColumn("status", F.lit("summarizing"))
+    if refetch:
+        one = one.withColumns({"content_text": F.lit(None).cast("string"), "content_source": F.lit("none"), "content_chars": F.lit(0)})
+    dated, after, none = E.redate(one, pages, sources, drop_old=False)
+    result = E.enrich(dated, pages, sources, enricher, now).drop("stops_batch").persist()
+    result.count()  # the model is asked once
+    store.write(upsert={"articles": (result, none)}, sources=after)
+    result.unpersist()

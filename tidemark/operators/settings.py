@@ -69,18 +69,25 @@ def trigger_seconds(s: Settings) -> int | None:
 
 
 def acquire(store: Store, now: datetime) -> bool:
-    """Take the lock of a run unless another holds it; one request that came meanwhile is remembered. A lock of 20 minutes is stale."""
-    lock = json.loads(store.read_note("lock") or "{}")
-    started = datetime.fromisoformat(lock["started_at"]) if lock.get("started_at") else None
-    if lock_is_active(bool(lock.get("running")), started, now):
-        store.write_note("lock", json.dumps(lock | {"pending": True}))
-        return False
-    store.write_note("lock", json.dumps({"running": True, "started_at": now.isoformat()}))
-    return True
+    """Take the lock of a run unless another holds it; one request that came meanwhile is remembered. A lock of 20 minutes is stale.
+
+    The lock is a file that only one call can create. A stale one is first deleted, which only one call can do either.
+    """
+    text = json.dumps({"started_at": now.isoformat()})
+    if store.create("_lock", text):
+        return True
+    try:
+        held = json.loads(store.content("_lock") or "{}")
+    except ValueError:
+        held = {}
+    started = datetime.fromisoformat(held["started_at"]) if held.get("started_at") else now
+    if not lock_is_active(True, started, now) and store.remove("_lock"):
+        return store.create("_lock", text)
+    store.create("_pending", "")
+    return False
 
 
 def release(store: Store) -> bool:
     """Give the lock back; whether a run was asked for meanwhile."""
-    pending = bool(json.loads(store.read_note("lock") or "{}").get("pending"))
-    store.write_note("lock", "{}")
-    return pending
+    store.remove("_lock")
+    return store.remove("_pending")

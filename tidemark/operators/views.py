@@ -51,13 +51,27 @@ def threads(messages: DataFrame, thread: str, order: str, *fields: str) -> DataF
 
 
 def append_messages(chats: DataFrame, new: DataFrame, now: datetime) -> DataFrame:
-    """Chats with new(article_id, role, content, refused) put at the end, or as new threads; refused answers are not kept."""
-    at = F.lit(now).cast("timestamp")
-    one = new.where(~F.coalesce("refused", F.lit(False))).groupBy("article_id").agg(F.collect_list(F.struct("role", "content", at.alias("created_at"))).alias("more"))
+    """Chats with new(article_id, pos, role, content, refused) put at the end by ``pos``, or as new threads; refused answers are not kept.
+
+    Without ``pos`` a thread can have one new message at most, since rows of a DataFrame have no order.
+    """
+    at = F.lit(now).cast("timestamp").alias("created_at")
+    ordered = "pos" in new.columns
+    message = F.struct((F.col("pos") if ordered else F.lit(0)).alias("pos"), "role", "content", at)
+    one = new.where(~F.coalesce("refused", F.lit(False))).groupBy("article_id").agg(F.array_sort(F.collect_list(message)).alias("more"))
+    if not ordered:
+        one = one.where(F.assert_true(F.size("more") <= 1, F.lit("several new messages of a thread need pos")).isNull())
+    more = F.transform("more", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), m["created_at"].alias("created_at")))
     both = chats.join(one, "article_id", "full_outer")
     none = F.array().cast("array<struct<role:string,content:string,created_at:timestamp>>")
-    messages = F.concat(F.coalesce("messages", none), F.coalesce("more", none))
-    return both.select("article_id", messages.alias("messages"), F.when(F.col("more").isNotNull(), at).otherwise(F.col("updated_at")).alias("updated_at"))
+    messages = F.concat(F.coalesce("messages", none), F.coalesce(more, none))
+    return both.select("article_id", messages.alias("messages"), F.when(F.col("more").isNotNull(), F.lit(now).cast("timestamp")).otherwise(F.col("updated_at")).alias("updated_at"))
+
+
+def with_chat(articles: DataFrame, chats: DataFrame) -> DataFrame:
+    """(id, title, context, messages, updated_at): articles with what a chat starts from and their thread; null without one."""
+    thread = chats.select(F.col("article_id").alias("id"), history(F.col("messages")).alias("messages"), "updated_at")
+    return articles.select("id", "title").join(chat_context(articles), "id").join(thread, "id", "left")
 
 
 def clear_chats(chats: DataFrame, ids: DataFrame) -> DataFrame:
@@ -77,12 +91,16 @@ def mark_read(articles: DataFrame, ids: DataFrame, now: datetime) -> DataFrame:
     return both.withColumn("read_at", read).select(articles.columns)
 
 
-def batch_status(articles: DataFrame, ids: DataFrame) -> DataFrame:
-    """One row on a batch: done, failed and, as "title: error", what failed; articles that are gone count as neither (A5)."""
-    both = ids.select("id").join(articles.select("id", "title", "status", "error"), "id", "left")
-    bad = F.col("status") == "error"
-    told = F.array_sort(F.collect_list(F.when(bad, F.concat_ws(": ", "title", "error"))))
-    return both.agg(F.count_if(F.col("status") == "done").alias("done"), F.count_if(bad).alias("failed"), told.alias("errors"))
+def batch_status(articles: DataFrame, ids: DataFrame, most: int = 30) -> DataFrame:
+    """One row on a batch: done, failed and, as "title: error", the first ``most`` that failed by id; articles that are gone count as neither (A5).
+
+    A batch of the queue has no more than ``most``; of a larger one ``batch_errors`` has all. Each task counts and cuts before rows move.
+    """
+    first = batch_errors(articles, ids).orderBy("id").limit(most)
+    none = F.lit(0).cast("long")
+    parts = batch_counts(articles, ids).select("done", "failed", F.lit(None).cast("string").alias("told"))
+    parts = parts.unionByName(first.select(none.alias("done"), none.alias("failed"), F.col("error").alias("told")))
+    return parts.agg(F.sum("done").alias("done"), F.sum("failed").alias("failed"), F.array_sort(F.collect_list("told")).alias("errors"))
 
 
 def batch_counts(articles: DataFrame, ids: DataFrame) -> DataFrame:
@@ -114,13 +132,25 @@ def feed_tests(items: DataFrame) -> DataFrame:
     return counts.join(newest, "source_id", "left")
 
 
-def health(tests: DataFrame, rescued: DataFrame) -> DataFrame:
-    """One row on checks(name, is_primary, ok): primaries that work, all primaries, the failed ones that a listing rescues, and those left."""
+def failed_primaries(tests: DataFrame, seed: DataFrame) -> DataFrame:
+    """(name, id, listing_url, listing_link_pattern): failed primary feeds of checks(name, is_primary, ok) that the seed gives a listing to."""
+    failed = tests.where("is_primary and not ok").select("name").distinct()
+    return failed.join(seed.where("listing_url is not null and listing_link_pattern is not null").select("name", "id", "listing_url", "listing_link_pattern"), "name")
+
+
+def health(tests: DataFrame, rescued: DataFrame, most: int = 30) -> DataFrame:
+    """One row on checks(name, is_primary, ok): primaries that work, all primaries, the failed ones that a listing rescues (the first
+    ``most`` names), and how many are left. Each task counts and cuts before rows move.
+    """
     saved = rescued.select("name", F.lit(True).alias("saved")).distinct()
     primary = tests.where("is_primary").join(saved, "name", "left")
-    names = F.array_sort(F.collect_set(F.when(~F.col("ok") & F.col("saved"), F.col("name"))))
-    sums = primary.agg(F.count_if("ok").alias("ok"), F.count("*").alias("total"), names.alias("rescued"))
-    return sums.withColumn("unrescued", F.col("total") - F.col("ok") - F.size("rescued"))
+    names = primary.where("not ok and saved").select("name").distinct()
+    none = F.lit(0).cast("long")
+    sums = primary.agg(F.count_if("ok").alias("ok"), F.count("*").alias("total"), F.count_distinct(F.when(~F.col("ok") & F.col("saved"), F.col("name"))).alias("saved"))
+    parts = sums.withColumn("name", F.lit(None).cast("string"))
+    parts = parts.unionByName(names.orderBy("name").limit(most).select("name", none.alias("ok"), none.alias("total"), none.alias("saved")))
+    out = parts.agg(*(F.sum(c).alias(c) for c in ("ok", "total", "saved")), F.array_sort(F.collect_list("name")).alias("rescued"))
+    return out.select("ok", "total", "rescued", (F.col("total") - F.col("ok") - F.col("saved")).alias("unrescued"))
 
 
 def report_cells(rows: DataFrame, width: int = 60, exempt: tuple[str, ...] = ("url",)) -> DataFrame:

@@ -14,7 +14,7 @@ from tidemark.functions import url as U
 from tidemark.functions.html import html_to_text
 from tidemark.operators import enrich as E
 from tidemark.operators import views as V
-from tidemark.operators.commit import commit, first_of_key
+from tidemark.operators.commit import commit, first_of_key, fresh_rows
 from tidemark.operators.sources import upsert_sources
 from tidemark.schemas import ARTICLES, SOURCES
 from tidemark.sources.feed import in_categories
@@ -44,14 +44,16 @@ _N = (
     "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '^http:', 'https:'), "
     "'([?&])(utm_[a-z]*|ref|source|gi|fbclid|mkt_tok)=[^&]*', '\\1', 'g'), '[?&]+$', ''), '/$', '')"
 )
-_H = (
-    "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace("
-    "replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, "
-    "'<(script|style|noscript|template)\\b[^>]*>.*?</(script|style|noscript|template)\\s*>', '', 'gis'), '<!--.*?-->', '', 'gs'), "
-    "'<br\\s*/?>|</(p|div|li|tr|h[1-6])\\s*>', chr(10), 'gi'), '<[^>]+>', '', 'g'), "
-    "'&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), "
-    "'\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
+# Text of the pages table in SQL: tokens, then lines, then paragraphs.
+_TOKENS = "(?is)<!--.*?-->|" + "".join(f"<{t}\\b[^>]*>.*?</{t}\\s*>|" for t in ("script", "style", "noscript", "template")) + "<[^>]+>|[^<]+|<"
+_FLAT = (
+    f"array_to_string(list_transform(regexp_extract_all(html, '{_TOKENS}'), lambda t: CASE WHEN regexp_matches(t, '(?i)^<(br\\s*/?|/(p|div|li|tr|h[1-6])\\s*)>$') THEN chr(10) "
+    "WHEN len(t) > 1 AND t[1] = '<' THEN '' ELSE t END), '')"
 )
+for _name, _char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("nbsp", " "), ("amp", "&")):
+    _FLAT = f"replace({_FLAT}, '&{_name};', '{_char}')"
+_LINES = f"list_transform(string_split_regex({_FLAT}, '\\r\\n?|\\n'), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g')))"
+_H = f"trim(array_to_string(list_filter(string_split_regex(array_to_string({_LINES}, chr(10)), '\\n\\n+'), lambda p: p <> ''), chr(10) || chr(10)), ' ' || chr(10))"
 
 
 @_query(f"SELECT page_id, {_N} AS canonical FROM pages")
@@ -166,16 +168,9 @@ def newest_per_source(spark, d):
     return _ntz(V.newest_dated(items, "event_type").select("event_type", F.col("pos").alias("event_id"), F.col("published_at").alias("ts")), "ts")
 
 
-@_query(f"SELECT e.event_id FROM events e JOIN ({_MARKS}) m USING (event_type) WHERE m.mark IS NULL OR e.ts > m.mark - INTERVAL 3 DAYS")
-def grace_threshold(spark, d):
-    late = F.col("ts") <= _mark() - F.expr(f"interval {C.NEW_ITEM_GRACE_DAYS} days")
-    return _events(spark, d).where(~F.coalesce(late, F.lit(False))).select("event_id")
-
-
-def _commit(spark, d):
-    """The commit of all events at a cap of 20: every third event is stored, marks as above."""
-    events = _events(spark, d)
-    candidates = events.select(
+def _candidates(events: DataFrame) -> DataFrame:
+    """Events as candidates: the type is the source, the id the key, the time the date."""
+    return events.select(
         F.col("event_type").alias("source_id"),
         F.col("event_id").cast("int").alias("pos"),
         F.col("event_id").cast("string").alias("id"),
@@ -185,8 +180,26 @@ def _commit(spark, d):
         F.col("ts").alias("published_at"),
         F.lit(None).cast("string").alias("content_html"),
     )
+
+
+def _marked_sources(events: DataFrame) -> DataFrame:
+    return events.select("event_type").distinct().select(F.col("event_type").alias("id"), _mark().isNotNull().alias("initialized"), _mark().alias("latest_published_at"))
+
+
+@_query(f"SELECT e.event_id FROM events e JOIN ({_MARKS}) m USING (event_type) WHERE m.mark IS NULL OR e.ts > m.mark - INTERVAL 3 DAYS")
+def grace_threshold(spark, d):
+    events = _events(spark, d)
+    none = events.limit(0).select(F.col("event_id").cast("string").alias("id"))
+    rows = fresh_rows(_candidates(events), _marked_sources(events).withColumn("mode", F.lit("feed")), none)
+    return rows.where("fresh").select(F.col("id").cast("long").alias("event_id"))
+
+
+def _commit(spark, d):
+    """The commit of all events at a cap of 20: every third event is stored, marks as above."""
+    events = _events(spark, d)
     stored = events.where("event_id % 3 = 0").select(F.col("event_id").cast("string").alias("id"))
-    base = events.select("event_type").distinct().select(F.col("event_type").alias("id"), _mark().isNotNull().alias("initialized"), _mark().alias("latest_published_at"))
+    base = _marked_sources(events)
+    candidates = _candidates(events)
     return commit(candidates, _shaped(base, SOURCES), stored, NOW, limit=20)
 
 
@@ -271,11 +284,12 @@ def article_view(spark, d):
 
 
 @_query(
-    "SELECT count(*) FILTER (event_type = 'purchase') AS done, count(*) FILTER (event_type = 'click') AS failed, "
-    "array_to_string(list_sort(list(user_id || ': ' || event_id) FILTER (event_type = 'click')), ',') AS errors FROM events WHERE event_id < 500"
+    "SELECT count(*) FILTER (event_type = 'purchase') AS done, count(*) FILTER (event_type = 'click') AS failed, (SELECT array_to_string(list_sort(list(error)), ',') "
+    "FROM (SELECT user_id || ': ' || event_id AS error FROM events WHERE event_type = 'click' ORDER BY event_id LIMIT 30)) AS errors FROM events"
 )
 def batch_status(spark, d):
-    rows = _batch(_events(spark, d).where("event_id < 500"))
+    """The status of all events as one batch, with the report's first errors."""
+    rows = _batch(_events(spark, d))
     return V.batch_status(rows, rows.select("id")).withColumn("errors", F.array_join("errors", ","))
 
 
@@ -373,15 +387,18 @@ def url_parts(spark, d):
     return _t(spark, d, "pages").select("page_id", U.is_ignorable_href(F.col("url")).alias("ignorable"), U.origin(F.col("url")).alias("origin"))
 
 
-@_query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS line, CAST(len(text) AS INTEGER) AS units FROM documents WHERE text NOT LIKE '%' || chr(160) || '%'")
+_SPACES_SQL = r"SELECT doc_id, trim(regexp_replace(text, '[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', ' ', 'g')) AS line, CAST(len(text) + len(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g')) AS INTEGER) AS units FROM documents"
+
+
+@_query(_SPACES_SQL)
 def space_and_units(spark, d):
-    return _spaces(_t(spark, d, "documents").where(~F.contains("text", F.lit("\u00a0"))))
+    return _spaces(_t(spark, d, "documents"))
 
 
-@_query()
+@_query(_SPACES_SQL)
 def space_and_units_all(spark, d):
-    """As space_and_units over all documents, with no-break spaces, which SQL's class of white space does not have."""
-    return _spaces(_t(spark, d, "documents"))
+    """The name under which space_and_units ran over all documents when it did not itself."""
+    return space_and_units(spark, d)
 
 
 def _spaces(rows: DataFrame) -> DataFrame:

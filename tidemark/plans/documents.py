@@ -18,7 +18,8 @@ from tidemark.schemas import ARTICLES, CHATS, SOURCES
 from tidemark.sources.feed import read_feeds
 from tidemark.sources.listing import read_listings
 from tidemark.sources.page import extract_pages
-from tidemark.sources.store import Store, append_new, shared_root
+from tidemark.sources.store import Store, shared_root
+from tidemark.streaming.ingest import admit_stream
 
 _AT = datetime(2024, 2, 1, tzinfo=UTC)
 # A day of 2023 for each document, in SQL and as a column.
@@ -65,17 +66,34 @@ def feed_items(spark, d):
     return _ntz(got, "published_at")
 
 
-@_query(
-    f"SELECT doc_id, strftime({_DAY_SQL}, '%Y-%m-%d 00 %Y-%m-%d 00 %Y-%m-%d 02 %Y-%m-%d 00') AS dates FROM documents WHERE NOT regexp_matches(text, '[0-9]{{4}}')"
+_MONTH_SQL = "|".join([*D.MONTHS, "sept", *(m[:3] for m in D.MONTHS)])
+_TIME_SQL = r"T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:?[0-9]{2})?"
+_FOUND_SQL = (
+    rf"regexp_extract_all(concat_ws(' . ', text, strftime({_DAY_SQL}, '%B %-d, %Y'), strftime({_DAY_SQL}, '%-d %b %Y'), strftime({_DAY_SQL}, '%Y-%m-%dT03:00:00+01:00'), strftime({_DAY_SQL}, '%Y/%m/%d')), "
+    rf"'(?i)\b({_MONTH_SQL})\.?\s+[0-9]{{1,2}},\s+[0-9]{{4}}\b|\b[0-9]{{1,2}}\s+({_MONTH_SQL})\.?\s+[0-9]{{4}}\b|\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}({_TIME_SQL})?|\b[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}\b')"
+)
+#: A date by its digits, or by its year, month name and day.
+_READ_SQL = (
+    "CASE WHEN regexp_matches(x, '[0-9]T') THEN TRY_CAST(x AS TIMESTAMPTZ) AT TIME ZONE 'UTC' WHEN regexp_matches(x, '^[0-9]{4}[-/]') THEN TRY_CAST(replace(x[1:10], '/', '-') AS TIMESTAMP) "
+    "ELSE TRY_CAST(regexp_extract(x, '[0-9]{4}$') || '-' || lpad(CAST((strpos('janfebmaraprmayjunjulaugsepoctnovdec', lower(regexp_extract(x, '[A-Za-z]{3}'))) + 2) // 3 AS VARCHAR), 2, '0') "
+    "|| '-' || lpad(regexp_extract(x, '[0-9]{1,2}'), 2, '0') AS TIMESTAMP) END"
+)
+_DATES_SQL = (
+    f"WITH f AS (SELECT doc_id, list_filter(list_transform({_FOUND_SQL}, lambda x: {_READ_SQL}), lambda t: t IS NOT NULL AND year(t) BETWEEN 1990 AND 2025) AS d FROM documents) "
+    "SELECT doc_id, array_to_string(list_transform(d, lambda t: strftime(t, '%Y-%m-%d %H')), ' ') AS dates FROM f"
 )
+
+
+@_query(_DATES_SQL)
 def find_dates(spark, d):
-    return _dates(_t(spark, d, "documents").where(~F.col("text").rlike("[0-9]{4}")))
+    """All dates in all documents, those of the texts and four that are put at their ends, one in each form."""
+    return _dates(_t(spark, d, "documents"))
 
 
-@_query()
+@_query(_DATES_SQL)
 def find_dates_all(spark, d):
-    """As find_dates over all documents, with the dates of their own, which SQL cannot follow."""
-    return _dates(_t(spark, d, "documents"))
+    """The name under which find_dates ran over all documents when it did not itself."""
+    return find_dates(spark, d)
 
 
 def _dates(docs: DataFrame) -> DataFrame:
@@ -123,34 +141,70 @@ def listing_items(spark, d):
     return _ntz(got, "published_at")
 
 
-@_query(
+_RUNS_SQL = (
     "WITH w AS (SELECT event_type, event_id, ts, CAST(floor(date_diff('day', TIMESTAMP '2024-01-01', ts) / 16) AS INTEGER) AS week FROM events), "
     "f AS (SELECT event_type, min(week) AS cold FROM w GROUP BY 1), "
     "r AS (SELECT w.*, cold, row_number() OVER (PARTITION BY w.event_type, week ORDER BY ts DESC, event_id) AS newest FROM w JOIN f USING (event_type)) "
     "SELECT event_type AS source_id, count(*) AS stored, max(ts) AS latest_published_at FROM r WHERE week > cold OR newest = 1 GROUP BY 1"
 )
+
+
+def _period() -> Column:
+    """16 days, the stretch of events that arrives at once."""
+    return F.floor(F.datediff("ts", F.lit("2024-01-01")) / 16)
+
+
+def _periods(events: DataFrame) -> list[int]:
+    """The periods that have events, in order: a few a year."""
+    return sorted(r[0] for r in events.select(_period()).distinct().collect())
+
+
+def _cold_sources(events: DataFrame) -> DataFrame:
+    return events.select(F.col("event_type").alias("id")).distinct().withColumn("initialized", F.lit(False))
+
+
+@_query(_RUNS_SQL)
 def run_sequence(spark, d):
-    """Events admitted in two runs over a store, the second twice: cold sources start with their newest, a later run takes all, a repeated one nothing."""
+    """Events admitted period by period over a store, each but the first twice: cold sources start with their newest, a later run takes all, a repeated one nothing."""
     store = Store(spark, f"{shared_root(spark)}/run-sequence-{uuid.uuid4().hex}")
     events = _events(spark, d)
-    base = events.select(F.col("event_type").alias("id")).distinct().withColumn("initialized", F.lit(False))
-    store.write(sources=_shaped(base, SOURCES))
-    week = F.floor(F.datediff("ts", F.lit("2024-01-01")) / 16)
-    for turn in range(2):
-        items = events.where(week == turn).select(
+    store.write(sources=_shaped(_cold_sources(events), SOURCES))
+    for turn in _periods(events):
+        items = events.where(_period() == turn).select(
             F.col("event_type").alias("source_id"), F.col("event_id").cast("int").alias("pos"), F.concat(F.lit("https://e.example/"), F.col("event_id")).alias("link"), F.lit("").alias("title"),
             F.lit(None).cast("string").alias("guid"), F.col("ts").alias("published_at"), F.array().cast("array<string>").alias("categories"), F.lit(None).cast("string").alias("content_html"),
         )
-        for batch in [str(turn)] * (1 + turn):
+        for batch in [str(turn)] * (1 + bool(store.batch())):
             sources, articles = store.read("sources"), store.read("articles")
-            done = commit(to_candidates(items, sources), sources, articles, NOW, limit=1_000_000_000)
-            store.write(batch, sources=done.sources, articles=append_new(articles, done.articles))
+            done = commit(to_candidates(items, sources), sources, articles, NOW, limit=None)
+            store.write(batch, append={"articles": done.articles}, sources=done.sources)
             done.release()
     counts = store.read("articles").groupBy("source_id").agg(F.count("*").alias("stored"))
     got = counts.join(store.read("sources").select(F.col("id").alias("source_id"), "latest_published_at"), "source_id")
     return _ntz(got, "latest_published_at")
 
 
+@_query(_RUNS_SQL)
+def stream_commit(spark, d):
+    """The same admission by a stream: events arrive period by period, and marks and admitted keys are keyed state."""
+    root = f"{shared_root(spark)}/stream-commit-{uuid.uuid4().hex}"
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    events = _events(spark, d).select(F.col("event_type").alias("source_id"), F.col("event_id").cast("string").alias("id"), F.col("ts").alias("published_at"), _period().alias("period"))
+    schema = "source_id string, id string, published_at timestamp"
+    try:
+        for turn in _periods(_events(spark, d)):
+            events.where(F.col("period") == turn).drop("period").write.mode("append").parquet(f"{root}/in")
+            admitted = admit_stream(spark.readStream.schema(schema).parquet(f"{root}/in"))
+            run = admitted.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+            run.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    got = spark.read.schema(schema).parquet(f"{root}/out").groupBy("source_id").agg(F.count("*").alias("stored"), F.max("published_at").alias("latest_published_at"))
+    return _ntz(got, "latest_published_at")
+
+
 @_query(
     "SELECT doc_id AS id, CASE WHEN len(text) >= 200 THEN 'rss' ELSE 'none' END AS content_source, CASE WHEN text = '' OR doc_id % 10 = 0 THEN 'error' ELSE 'done' END AS status, "
     "CASE WHEN text = '' OR doc_id % 10 = 0 THEN 1 ELSE 0 END AS attempts, CASE WHEN NOT (text = '' OR doc_id % 10 = 0) THEN 'h' || doc_id END AS headline FROM documents"
@@ -183,11 +237,9 @@ def redate_provisional(spark, d):
 )
 def chat_append(spark, d):
     """Threads grown by two appends, first and later turns; refused answers (here: system turns) are not kept."""
-    turns = _t(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("article_id"), "turn", "role", F.col("text").alias("content"), (F.col("role") == "system").alias("refused"))
-    chats = spark.createDataFrame([], CHATS)
-    low, top = turns.agg(F.min("turn"), F.max("turn")).first()
-    for turn in range(low or 0, (top if top is not None else -1) + 1):
-        chats = V.append_messages(chats, turns.where(F.col("turn") == turn).drop("turn"), NOW)
+    turns = _t(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("article_id"), F.col("turn").alias("pos"), "role", F.col("text").alias("content"), (F.col("role") == "system").alias("refused"))
+    chats = V.append_messages(spark.createDataFrame([], CHATS), turns.where("pos <= 1"), NOW)
+    chats = V.append_messages(chats, turns.where("pos > 1"), NOW)
     roles = F.array_join(F.transform(V.history(F.col("messages")), lambda m: m["role"]), ",")
     return chats.where(F.size("messages") > 0).select(F.col("article_id").cast("long").alias("article_id"), F.size("messages").cast("long").alias("n"), roles.alias("roles"))
 
@@ -201,9 +253,10 @@ def report_table(spark, d):
 
 
 @_query(
-    "SELECT count(*) FILTER (p AND ok) AS ok, count(*) FILTER (p) AS total, array_to_string(list_sort(list(DISTINCT name) FILTER (p AND NOT ok AND saved)), ',') AS rescued, "
-    "CAST(count(*) FILTER (p) - count(*) FILTER (p AND ok) - count(DISTINCT CASE WHEN p AND NOT ok AND saved THEN name END) AS BIGINT) AS unrescued "
-    "FROM (SELECT CAST(s_suppkey AS VARCHAR) AS name, true AS p, s_suppkey % 4 <> 0 AS ok, s_suppkey % 8 = 0 AS saved FROM supplier)"
+    "WITH t AS (SELECT CAST(s_suppkey AS VARCHAR) AS name, true AS p, s_suppkey % 4 <> 0 AS ok, s_suppkey % 8 = 0 AS saved FROM supplier) "
+    "SELECT count(*) FILTER (p AND ok) AS ok, count(*) FILTER (p) AS total, "
+    "(SELECT array_to_string(list(name ORDER BY name), ',') FROM (SELECT DISTINCT name FROM t WHERE p AND NOT ok AND saved ORDER BY name LIMIT 30)) AS rescued, "
+    "CAST(count(*) FILTER (p) - count(*) FILTER (p AND ok) - count(DISTINCT CASE WHEN p AND NOT ok AND saved THEN name END) AS BIGINT) AS unrescued FROM t"
 )
 def health_summary(spark, d):
     s = _t(spark, d, "supplier")

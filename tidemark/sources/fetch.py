@@ -16,8 +16,10 @@ from tidemark.schemas import FETCHES
 _COLUMNS = [c.split()[0] for c in FETCHES.split(", ")]
 
 
-def http_get(url: str, etag: str | None = None, last_modified: str | None = None, timeout: float = C.FETCH_TIMEOUT_SECONDS, most: int | None = None) -> dict:
-    """One conditional GET: status, content_type, validators and body, or an error. The chunk that passes ``most`` bytes is the last one kept."""
+def http_get(url: str, etag: str | None = None, last_modified: str | None = None, timeout: float = C.FETCH_TIMEOUT_SECONDS, most: int | None = C.MAX_PAGE_BYTES) -> dict:
+    """One conditional GET of an http or https URL: status, content_type, validators and body, or an error. The chunk that passes ``most`` bytes is the last one kept; None keeps all."""
+    if not url.lower().startswith(("http://", "https://")):
+        return {"status": None, "error": f"not a web address: {url}"}
     asked = {k: v for k, v in (("If-None-Match", etag), ("If-Modified-Since", last_modified)) if v}
     try:
         with urllib.request.urlopen(urllib.request.Request(url, headers=asked), timeout=timeout) as r:
@@ -45,7 +47,7 @@ class _Reader(DataSourceReader):
 
         self.targets = json.loads(options.get("targets", "[]"))
         self.parts = int(options.get("parallelism", C.FEED_CONCURRENCY))
-        self.most = int(options["maxBytes"]) if "maxbytes" in {k.lower() for k in options} else None
+        self.most = int(options["maxBytes"]) if "maxbytes" in {k.lower() for k in options} else C.MAX_PAGE_BYTES
 
     def partitions(self):
         n = max(1, min(self.parts, len(self.targets)))
@@ -75,10 +77,10 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(HttpSource)
 
 
-def fetch(targets: DataFrame, *, parallelism: int = C.FEED_CONCURRENCY, get: Callable[..., dict] = http_get, most: int | None = None) -> DataFrame:
-    """Fetch targets(source_id, url, etag, last_modified), ``parallelism`` at a time; a failure is a row with its error and stops no other.
+def fetch(targets: DataFrame, *, parallelism: int | None = None, get: Callable[..., dict] = http_get, most: int | None = C.MAX_PAGE_BYTES) -> DataFrame:
+    """Fetch targets(source_id, url, etag, last_modified); a failure is a row with its error and stops no other.
 
-    ``get`` replaces the HTTP call, in tests and behind proxies.
+    There is a fetch at a time in each partition; ``parallelism`` deals targets to so many. ``get`` replaces the HTTP call, in tests and behind proxies.
     """
     import pandas as pd
 
@@ -94,8 +96,15 @@ def fetch(targets: DataFrame, *, parallelism: int = C.FEED_CONCURRENCY, get: Cal
             out = pd.DataFrame(rows, columns=_COLUMNS).astype(object)
             yield out.where(out.notna(), None)
 
-    asked = targets.select("source_id", "url", "etag", "last_modified").repartition(parallelism)
-    return asked.mapInPandas(run, FETCHES)
+    asked = targets.select("source_id", "url", "etag", "last_modified")
+    return (asked if parallelism is None else asked.repartition(parallelism)).mapInPandas(run, FETCHES)
+
+
+def fetch_pages(articles: DataFrame, **options) -> DataFrame:
+    """(id, html) of articles(id, url): the page where it is HTML, at most MAX_PAGE_BYTES of it, else null."""
+    none = F.lit(None).cast("string")
+    targets = articles.select(F.col("id").alias("source_id"), "url", none.alias("etag"), none.alias("last_modified"))
+    return html_only(outcome(fetch(targets, **options)).where("kind = 'ok'")).select(F.col("source_id").alias("id"), F.col("body").alias("html"))
 
 
 def outcome(fetches: DataFrame) -> DataFrame:

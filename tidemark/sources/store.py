@@ -1,7 +1,8 @@
-"""Tables without a table format: versions of Parquet directories behind a pointer file.
+"""Tables as lists of Parquet folders, of which numbered lists say which are current.
 
-All tables of a run are written first and the pointer last, so that readers see either the run or what was before it, and a job that
-dies leaves the pointer as it was. One writer at a time.
+All folders of a run are written first and the list that names them last, under the next number and never over another file. The
+highest list that is whole counts, so that readers see either the run or what was before it, whichever step a job dies at. One
+writer at a time; two that meet cannot both take a number.
 """
 
 from __future__ import annotations
@@ -10,17 +11,28 @@ import json
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark import schemas
 
+#: Lists and notes that are kept behind the newest, for readers that are under way.
+KEPT = 4
+
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or where that is unset a temporary folder of this machine."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or where that is unset and all tasks run on this machine a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return (root or tempfile.mkdtemp(prefix="tidemark-")).rstrip("/")
 
 
+def _is(error: Py4JJavaError, *names: str) -> bool:
+    return error.java_exception.getClass().getSimpleName() in names
+
+
 class Store:
     """Named tables below ``root``, on any file system that Spark writes to."""
 
@@ -31,62 +43,139 @@ class Store:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    # small files
+
+    def create(self, name: str, text: str) -> bool:
+        """Write a file that is not there; whether it was this call that made it."""
+        try:
+            stream = self._fs.create(self._path(f"{self.root}/{name}"), False)
+        except Py4JJavaError as e:
+            if _is(e, "FileAlreadyExistsException"):
+                return False
+            raise
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        return True
+
+    def remove(self, name: str) -> bool:
+        """Delete a file; whether it was this call that did it."""
+        return self._fs.delete(self._path(f"{self.root}/{name}"), True)
+
+    def content(self, name: str) -> str | None:
+        """The text of a file; none if it is not there or its writer died."""
+        try:
+            stream = self._fs.open(self._path(f"{self.root}/{name}"))
+            try:
+                return bytes(stream.readAllBytes()).decode()
+            finally:
+                stream.close()
+        except Py4JJavaError as e:
+            if _is(e, "FileNotFoundException", "ChecksumException", "EOFException"):
+                return None
+            raise
+
+    def _numbers(self, name: str) -> list[int]:
+        folder = self._path(f"{self.root}/{name}")
+        found = (s.getPath().getName() for s in self._fs.listStatus(folder)) if self._fs.exists(folder) else ()
+        return sorted((int(n) for n in found if n.isdigit()), reverse=True)
+
+    def _newest(self, name: str):
+        """The content of the highest whole file of a name, as JSON."""
+        for number in self._numbers(name):
+            try:
+                return json.loads(self.content(f"{name}/{number:012d}") or "")
+            except ValueError:
+                continue
+        return None
+
+    def _put(self, name: str, value) -> None:
+        """Add a file with the next number; those far behind go."""
+        numbers = self._numbers(name)
+        if not self.create(f"{name}/{numbers[0] + 1 if numbers else 1:012d}", json.dumps(value)):
+            raise RuntimeError(f"another writer changed {name} of {self.root}")
+        for old in numbers[KEPT:]:
+            self.remove(f"{name}/{old:012d}")
+
     def read_note(self, name: str) -> str | None:
         """A small text that is kept beside the tables."""
-        path = self._path(f"{self.root}/_{name}")
-        if not self._fs.exists(path):
-            return None
-        stream = self._fs.open(path)
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
+        return self._newest(f"_{name}")
 
     def write_note(self, name: str, text: str) -> None:
-        """Write the text aside, then move it into place."""
-        fresh, path = self._path(f"{self.root}/_{name}-{uuid.uuid4().hex}"), self._path(f"{self.root}/_{name}")
-        stream = self._fs.create(fresh, True)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        self._fs.delete(path, False)
-        if not self._fs.rename(fresh, path):
-            raise OSError(f"could not move {fresh} to {path}")
+        self._put(f"_{name}", text)
 
-    def _versions(self) -> dict[str, str]:
-        return json.loads(self.read_note("current") or "{}")
+    # tables
 
-    def read(self, table: str) -> DataFrame:
-        """The current version; an empty table before the first write."""
-        version = self._versions().get(table)
-        if version is None:
-            return self.spark.createDataFrame([], self.SCHEMAS[table])
-        return self.spark.read.schema(self.SCHEMAS[table]).parquet(f"{self.root}/{table}/{version}")
+    def _current(self) -> dict:
+        return self._newest("_current") or {"tables": {}, "batches": {}, "last": None}
+
+    def version(self) -> int:
+        """A number that rises with every write, for readers that wait for one."""
+        return next(iter(self._numbers("_current")), 0)
 
-    def batch(self) -> str | None:
-        """The batch that was last written."""
-        return self._versions().get("_batch")
+    def _load(self, table: str, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], self.SCHEMAS[table])
+        return self.spark.read.schema(self.SCHEMAS[table]).parquet(*(f"{self.root}/{table}/{x}" for x in folders))
 
-    def write(self, batch: str | None = None, **tables: DataFrame) -> None:
-        """Replace tables, all at once. A ``batch`` that was the last one written is skipped, so that replays change nothing."""
-        current = self._versions()
-        if batch is not None and current.get("_batch") == batch:
+    def read(self, table: str) -> DataFrame:
+        """The current rows; an empty table before the first write."""
+        return self._load(table, self._current()["tables"].get(table, []))
+
+    def batch(self, writer: str | None = None) -> str | None:
+        """The batch that a writer, or else anybody, wrote last."""
+        now = self._current()
+        return now["last"] if writer is None else now["batches"].get(writer)
+
+    def _folder(self, table: str, rows: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        rows.select([c.split()[0] for c in _columns(self.SCHEMAS[table])]).write.parquet(f"{self.root}/{table}/{name}")
+        return name
+
+    def write(self, batch: str | None = None, writer: str = "", *, append: dict[str, DataFrame] | None = None, upsert: dict[str, tuple[DataFrame, DataFrame]] | None = None, **tables: DataFrame) -> None:
+        """Replace, append to and upsert tables, all at once.
+
+        ``append`` rows are a new folder; what is there is not read. ``upsert`` is (rows, ids) by table: rows replace those of their id or are
+        added, and ids go; only folders that hold one of them are written anew. A ``batch`` that was the last one of its ``writer`` is skipped, so
+        that replays change nothing.
+        """
+        now = self._current()
+        if batch is not None and now["batches"].get(writer) == batch:
             return
-        for name, df in tables.items():
-            version = uuid.uuid4().hex
-            df.select([c.split()[0] for c in _columns(self.SCHEMAS[name])]).write.parquet(f"{self.root}/{name}/{version}")
-            current[name] = version
+        lists = now["tables"]
+        for table, rows in tables.items():
+            lists[table] = [self._folder(table, rows)]
+        for table, rows in (append or {}).items():
+            lists[table] = [*lists.get(table, []), self._folder(table, rows)]
+        for table, (rows, gone) in (upsert or {}).items():
+            keep, touched = self._touched(table, lists.get(table, []), rows.select("id").union(gone.select("id")))
+            old = self._load(table, touched).join(gone.select("id"), "id", "left_anti")
+            lists[table] = [*keep, self._folder(table, merge(old, rows))]
         if batch is not None:
-            current["_batch"] = batch
-        self.write_note("current", json.dumps(current))
+            now["batches"][writer] = now["last"] = batch
+        self._put("_current", now)
+
+    def _touched(self, table: str, folders: list[str], ids: DataFrame) -> tuple[list[str], list[str]]:
+        """(folders without any of the ids, the others)."""
+        place = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("folder")
+        hit = {r[0] for r in self._load(table, folders).select("id", place).join(ids, "id", "left_semi").select("folder").distinct().collect()} if folders else set()
+        return [x for x in folders if x not in hit], [x for x in folders if x in hit]
+
+    def compact(self, *tables: str) -> None:
+        """Write tables anew into one folder each; many batches leave many."""
+        now = self._current()
+        for table in tables:
+            if len(now["tables"].get(table, [])) > 1:
+                now["tables"][table] = [self._folder(table, self._load(table, now["tables"][table]))]
+        self._put("_current", now)
 
     def vacuum(self) -> None:
-        """Delete all versions but the current ones."""
-        current = self._versions()
-        for name in self.SCHEMAS:
-            folder = self._path(f"{self.root}/{name}")
+        """Delete all folders but the current ones."""
+        lists = self._current()["tables"]
+        for table in self.SCHEMAS:
+            folder = self._path(f"{self.root}/{table}")
             if self._fs.exists(folder):
                 for status in self._fs.listStatus(folder):
-                    if status.getPath().getName() != current.get(name):
+                    if status.getPath().getName() not in lists.get(table, []):
                         self._fs.delete(status.getPath(), True)
 
 

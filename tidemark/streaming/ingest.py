@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -14,48 +16,68 @@ from tidemark.operators.run import refresh
 from tidemark.sources.store import Store
 
 
-def ingest_stream(fetches: DataFrame, store: Store, checkpoint: str, *, limit: int = C.MAX_NEW_PER_SOURCE_PER_RUN) -> StreamingQuery:
+def ingest_stream(fetches: DataFrame, store: Store, checkpoint: str, *, limit: int = C.MAX_NEW_PER_SOURCE_PER_RUN, listings: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Run a refresh for each micro-batch of fetches(…FETCHES, fetched_at), and stop when the input is used up.
 
     The time of a refresh is the latest ``fetched_at`` in it, so that a replay gives the same rows. The state of a source is the stored mark, not a
     watermark of the whole query: sources are late independently. All fetches of a source within a batch are read, oldest first, in a refresh
-    each, as they would be one a batch. A batch that was already written is skipped by its number, and its refreshes by theirs.
+    each, as they would be one a batch. ``listings`` fetches the listing pages of feeds that failed, as in ``refresh``.
+
+    A batch that this query already wrote is skipped by its number, and its refreshes by theirs. The query is known by the id in its
+    checkpoint, so a new checkpoint's batch 0 is another one, also where its folder had a query before.
     """
 
     def run(batch: DataFrame, number: int) -> None:
+        writer = json.loads(Store(store.spark, checkpoint).content("metadata") or "{}").get("id", checkpoint)
         # equal times in an order that a replay repeats
         order = Window.partitionBy("source_id").orderBy("fetched_at", F.xxhash64(*batch.columns))
         dated = batch.where("fetched_at is not null").withColumn("turn", F.row_number().over(order)).persist()
         times = dict(dated.groupBy("turn").agg(F.max("fetched_at")).collect())
-        done, _, part = (store.batch() or "").partition(".")
+        done, _, part = (store.batch(writer) or "").partition(".")
         for turn in range(int(part or 0) + 1 if done == str(number) else 1, len(times) + 1):
-            refresh(store, dated.where(F.col("turn") == turn).drop("turn", "fetched_at"), None, times[turn], limit=limit, batch=f"{number}.{turn}")
+            rows = dated.where(F.col("turn") == turn).drop("turn", "fetched_at")
+            refresh(store, rows, listings, times[turn], limit=limit, batch=f"{number}.{turn}", writer=writer)
         dated.unpersist()
 
     return fetches.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class _Marks(StatefulProcessor):
-    """Of each source: the mark and the keys that were admitted."""
+    """Of each source: the mark, and the keys that were admitted and could be again, which are those above mark - grace."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.mark = handle.getValueState("mark", "at timestamp")
-        self.seen = handle.getMapState("seen", "id string", "yes boolean")
+        self.seen = handle.getListState("seen", "id string, at timestamp")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         grace = pd.Timedelta(days=C.NEW_ITEM_GRACE_DAYS)
-        batch = pd.concat(list(rows), ignore_index=True).dropna(subset=["published_at"]).drop_duplicates("id").sort_values(["published_at", "id"])
         mark = pd.Timestamp(self.mark.get()[0]) if self.mark.exists() else None
-        fresh = batch if mark is None else batch[batch["published_at"] > mark - grace]
-        new = fresh[[not self.seen.containsKey((i,)) for i in fresh["id"]]]
-        if mark is None:
-            new = new.tail(1)
-        for i in new["id"]:
-            self.seen.updateValue((i,), (True,))
-        if len(fresh):
-            top = fresh["published_at"].max()
-            self.mark.update((max(top, mark).to_pydatetime() if mark is not None else top.to_pydatetime(),))
-        yield new.assign(source_id=key[0])[["source_id", "id", "published_at"]]
+        seen = {i: pd.Timestamp(at) for i, at in self.seen.get()} if self.seen.exists() else {}
+        top, first = mark, None
+        for some in rows:
+            some = some.dropna(subset=["id", "published_at"]).drop_duplicates("id").sort_values(["published_at", "id"])
+            fresh = some if mark is None else some[some["published_at"] > mark - grace]
+            if not len(fresh):
+                continue
+            last = fresh.iloc[-1]
+            top = last["published_at"] if top is None else max(top, last["published_at"])
+            if mark is None:
+                if first is None or (last["published_at"], last["id"]) > (first["published_at"].iloc[0], first["id"].iloc[0]):
+                    first = fresh.tail(1)
+                continue
+            new = fresh[~fresh["id"].isin(seen.keys())]
+            seen.update(zip(new["id"], new["published_at"], strict=True))
+            yield self._shaped(new, key)
+        if first is not None:
+            seen.update(zip(first["id"], first["published_at"], strict=True))
+            yield self._shaped(first, key)
+        if top is not None:
+            self.mark.update((top.to_pydatetime(),))
+            self.seen.put([(i, at.to_pydatetime()) for i, at in seen.items() if at > top - grace])
+
+    @staticmethod
+    def _shaped(new: pd.DataFrame, key) -> pd.DataFrame:
+        return new.assign(source_id=key[0])[["source_id", "id", "published_at"]]
 
     def close(self) -> None:
         pass
@@ -65,6 +87,22 @@ def admit_stream(candidates: DataFrame) -> DataFrame:
     """Admitted (source_id, id, published_at) of a stream of candidates, with the mark and the admitted keys as keyed state.
 
     For streams without a cap and a store; needs the RocksDB state provider. Cold sources admit their newest candidate of the first batch.
+    Candidates without a date or an id are never admitted. State holds the keys within the grace of each source's mark.
     """
     keyed = candidates.select("source_id", "id", "published_at").groupBy("source_id")
     return keyed.transformWithStateInPandas(_Marks(), "source_id string, id string, published_at timestamp", "append", "none")
+
+
+def follow(store: Store, view: Callable[[Store], DataFrame], seen: int = -1, *, every: float = 0.2, until: Callable[[], bool] = lambda: True) -> Iterator[tuple[int, DataFrame]]:
+    """(version, view) now and after each write that follows, as long as ``until`` is false; a live query.
+
+    A view is built anew from the store's tables only when their version changed. Writes that come faster than they are looked for are seen as one.
+    """
+    while True:
+        last = until()
+        if (version := store.version()) != seen:
+            seen = version
+            yield version, view(store)
+        if last:
+            return
+        time.sleep(every)
