@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.scratch import bound_batches
 from tidemark.llm.training import Adam, class_sample, fold
 from tidemark.llm.words import chunks, string_bytes
 
@@ -185,6 +186,7 @@ def train(sample: list[tuple[str, str]], hidden: int = HIDDEN, rounds: int = 300
 
 
 def fit(docs: DataFrame, held_out: Column, per_class: int = PER_CLASS) -> LanguageModel:
+    bound_batches(docs.sparkSession)
     return train(class_sample(docs.select("doc_id", "text", "lang"), "lang", held_out, per_class))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
 from tidemark.llm.ordering import small
-from tidemark.llm.scratch import Scratch
+from tidemark.llm.scratch import Scratch, bound_batches
 from tidemark.llm.words import column_sets, mix, seeds
 
 PERMUTATIONS, ROWS = 64, 5
@@ -112,6 +112,7 @@ def near_groups(docs: DataFrame, *, shingle: int = 5, percent: int = 80, permuta
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
+    bound_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     sketch = scratch.keep(
         texts.mapInArrow(_sketch(shingle, permutations, rows), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "sketch"

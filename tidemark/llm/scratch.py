@@ -19,6 +19,18 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Bytes of the rows that go to a Python worker at once.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Set the session to give Python workers at most BATCH_BYTES at once, unless its bound is lower: by Spark's, a batch is 10,000 rows however long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("bB")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Scratch:
     """Named Parquet tables below one new folder of the shared directory.
 

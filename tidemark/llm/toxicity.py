@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.scratch import bound_batches
 from tidemark.llm.training import Adam, fold, labelled_sample, sigmoid
 from tidemark.llm.words import chunks, placed_words, separators, string_bytes
 
@@ -136,6 +137,7 @@ def choose(sample: list[tuple[str, int]], settings: list[Setting], inner: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column, per_class: int = PER_CLASS) -> ToxicityModel:
+    bound_batches(docs.sparkSession)
     return train(labelled_sample(docs, labels, "toxic", held_out, per_class))
 
 
