@@ -63,13 +63,17 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries()) and set(QUERIES) <= set(__spark_entry__.queries())
 
 
-def test_without_the_corpus_operators(tmp_path):
+@pytest.mark.parametrize("left", [False, True])
+def test_without_the_corpus_operators(tmp_path, left):
     """The rest imports and answers where the corpus folders and the pipeline are gone."""
     import shutil
 
     for name in ("tidemark", "__spark_entry__.py"):
         (shutil.copytree if (REPO / name).is_dir() else shutil.copy)(REPO / name, tmp_path / name)
     shutil.rmtree(tmp_path / "tidemark" / "llm", ignore_errors=True)
+    if left:  # an empty folder, and the pipeline without what it imports
+        (tmp_path / "tidemark" / "llm").mkdir()
+        (tmp_path / "corpus_pipeline.py").write_text("from tidemark.llm import language\n")
     code = "import __spark_entry__ as e; q = e.queries(); assert 'normalize_url' in q and not any(k.startswith('op') and k[2].isdigit() or k == 'pipeline' for k in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
 
