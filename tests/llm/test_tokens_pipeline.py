@@ -122,6 +122,21 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert sorted((r["doc_id"], r["n_tokens"]) for r in ran.collect()) == sorted((r["doc_id"], r["n_tokens"]) for r in kept[4].collect())
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="the driver's tables are not here")
+def test_ids_are_those_of_whole_texts(spark):
+    """Words are encoded apart and put together; the sentencepiece library on whole texts gives the same ids and the texts back."""
+    import sentencepiece
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    whole = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = spm.encode_documents(docs, PIECES)
+    for r in got.collect():
+        assert r["ids"] == whole.encode(texts[r["doc_id"]]) and r["parity"]
+    back = {r["doc_id"]: r["text"] for r in spm.decode_documents(got, PIECES).collect()}
+    assert all(back[r["doc_id"]] == texts[r["doc_id"]] for r in got.where("round_trip").collect())
+
+
 def test_pipeline_stages_on_an_empty_table(spark, docs, tmp_path):
     import corpus_pipeline as P
 

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,17 +67,19 @@ def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def resemblance_of(a, b):
-    """Column form of ``resemblance`` for two fingerprint columns; null with a null."""
+    """Column form of ``resemblance`` for two fingerprint columns: null with a null, 1 for two empty ones."""
     return _pairwise(resemblance, a, b)
 
 
 @F.pandas_udf(T.DoubleType())
 def containment_of(a, b):
+    """Column form of ``containment``: null with a null, 1 if the first is empty."""
     return _pairwise(containment, a, b)
 
 
 @F.pandas_udf(T.DoubleType())
 def distinct_of(a):
+    """Column form of ``distinct_shingles``: null for null, 0 for an empty fingerprint."""
     return a.map(lambda x: None if x is None else distinct_shingles(decode(x)))
 
 
@@ -87,20 +90,17 @@ def _pairwise(f, a, b):
 
 
 def merge_fingerprints(prints: DataFrame, key: str, fingerprint: str = "fingerprint", k: int = K) -> DataFrame:
-    """(key, fingerprint): the fingerprint of all shingles of each key's rows. Null fingerprints count as empty.
+    """(key, fingerprint): the fingerprint of all shingles of each key's rows. Null fingerprints count as empty, a null key is a key.
 
-    Keys are first merged within 64 salts, so one key's rows never meet in one task.
+    Each task keeps the k smallest hashes of a key before they move, so a key with many rows costs k hashes a task. No rows give none.
     """
-
-    def merge(parts):
-        return parts.map(lambda xs: encode(merged(np.zeros(0, np.uint64), *(decode(x) for x in xs), k=k)))
-
-    merge_udf = F.pandas_udf(merge, "string")
-    salted = prints.select(F.col(key).alias("key"), F.coalesce(fingerprint, F.lit("")).alias("fp"), F.pmod(F.xxhash64(fingerprint), F.lit(64)).alias("salt"))
-    out = salted.distinct()
-    for by in (("key", "salt"), ("key",)):
-        out = out.groupBy(*by).agg(F.collect_list("fp").alias("fps")).select(*by, merge_udf("fps").alias("fp"))
-    return out.select(F.col("key").alias(key), F.col("fp").alias(fingerprint))
+    hashes = F.pandas_udf(lambda xs: xs.map(lambda x: [] if x is None else decode(x).astype(np.int64)), "array<long>")
+    told = F.pandas_udf(lambda xs: xs.map(lambda x: encode(np.sort(np.asarray([] if x is None else x, np.uint64)))), "string")
+    rank = F.dense_rank().over(W.partitionBy("key").orderBy("v"))
+    each = prints.select(F.col(key).alias("key"), F.explode(hashes(fingerprint)).alias("v")).withColumn("rank", rank).where(F.col("rank") <= k)
+    merged = each.groupBy(F.col("key").alias("of")).agg(F.collect_set("v").alias("vs"))
+    keys = prints.select(F.col(key).alias("key")).distinct()
+    return keys.join(merged, keys["key"].eqNullSafe(merged["of"]), "left").select(F.col("key").alias(key), told("vs").alias(fingerprint))
 
 
 def edited_text(own: str, after: str) -> str:

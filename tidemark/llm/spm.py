@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidemark.llm.words import chunks, string_bytes
+
 MARK = "▁"
 #: Fixed values of the model format: model and piece types.
 UNIGRAM, BPE = 1, 2
@@ -167,8 +169,9 @@ def _encode(raw: bytes, at_once: int = 512):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(raw)
         for whole in batches:
-            for at in range(0, whole.num_rows, at_once):
-                batch = whole.slice(at, at_once)
+            # by rows and by bytes, so that the words of one call are bounded however long its texts are
+            offsets = string_bytes(whole.column(1))[1]
+            for batch in (whole.slice(a + at, min(at_once, b - a - at)) for a, b in chunks(offsets, 4 << 20) for at in range(0, b - a, at_once)):
                 given = batch.column(1).to_pylist()
                 null = np.array([t is None for t in given])
                 ids, back, same = zip(*coder.documents([t or "" for t in given]), strict=True)
@@ -203,7 +206,7 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
 
 
 def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
-    """(doc_id, text) of (doc_id, ids); null ids give a null text."""
+    """(doc_id, text) of encoded(doc_id, ids), a row per row; null ids give a null text, no ids an empty one. No rows give none."""
     with open(model_path, "rb") as f:
         raw = f.read()
 
