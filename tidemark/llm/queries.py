@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.centroids import cluster
 from tidemark.llm.fingerprint import edit_fingerprints
 from tidemark.llm.knn import top_k
 from tidemark.llm.language import identify
@@ -13,6 +14,8 @@ from tidemark.llm.lm import score_documents
 from tidemark.llm.minhash import near_groups
 from tidemark.llm.mixing import mix
 from tidemark.llm.quality import quality
+from tidemark.llm.rules import quality_rules
+from tidemark.llm.spelling import variants
 from tidemark.llm.spm import encode_documents
 from tidemark.llm.toxicity import toxicity
 from tidemark.llm.warc import archive_and_read
@@ -66,6 +69,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, width=64, scale=1024, seed=3)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(_table(spark, sf_dir, "documents"), shortest=5, least=3, every=97, factor=2)
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -77,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_warc": op9_warc,
     "op10_fingerprints": op10_fingerprints,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 OP1_SQL = r"""
@@ -118,8 +136,70 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM m
 """
 
+
+def _round_sql(n: int, last: bool) -> str:
+    """A round of ``op11``: near_n has the cluster of each vector by the centroids c_n, c_n+1 their floors of means."""
+    near = f"""near_{n} AS MATERIALIZED (
+  SELECT vec_id, v, min(struct_pack(d := CAST(list_inner_product(v, v) - 2 * list_inner_product(v, m) + list_inner_product(m, m) AS BIGINT), c := c)) AS best
+  FROM kept, c_{n} GROUP BY vec_id, v
+)"""
+    moved = f""", c_{n + 1} AS MATERIALIZED (
+  SELECT c, coalesce(means.m, c_{n}.m) AS m FROM c_{n} LEFT JOIN (
+    SELECT c, list(CAST(floor(s / k) AS DOUBLE) ORDER BY i) AS m FROM (
+      SELECT best.c AS c, i, CAST(sum(v[i]) AS DOUBLE) AS s, count(*) AS k FROM near_{n}, range(1, 65) r(i) GROUP BY ALL
+    ) GROUP BY c
+  ) means USING (c)
+)"""
+    return near + ("" if last else moved)
+
+
+OP11_SQL = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c_0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS INTEGER) AS c, v AS m FROM (SELECT * FROM kept ORDER BY sha256('3:' || vec_id) LIMIT 8)
+), {", ".join(_round_sql(n, n == 10) for n in range(11))}
+SELECT vec_id, best.c AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(list_transform(m, lambda x: CAST(x AS BIGINT)::VARCHAR), ',')) AS centroid_sha256
+FROM near_10 JOIN c_10 ON c_10.c = best.c
+"""
+
+# DuckDB has no crc32: bytes by code point (all are below U+0100), then a table of 256 steps.
+OP12_SQL = r"""
+WITH RECURSIVE table_ AS MATERIALIZED (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t FROM range(256) r(i)
+), tokens AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS w FROM documents
+), lowered AS (
+  SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS k FROM tokens GROUP BY ALL
+), hashed AS MATERIALIZED (
+  SELECT w, k, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id || ':' || w, ''),
+    lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END))),
+    lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]))) AS h FROM lowered, table_
+), runs AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS word, k FROM hashed
+), words AS MATERIALIZED (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM runs WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3
+), less AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) AS a, substr(word, i + 2) AS b FROM (SELECT *, unnest(range(0, length(word))) AS i FROM words)),
+pairs AS (
+  SELECT x.word AS x, y.word AS y FROM less x JOIN less y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT l.word, w.word FROM less l JOIN words w ON w.word = l.a || l.b
+  UNION SELECT w.word, l.word FROM less l JOIN words w ON w.word = l.a || l.b
+), near AS MATERIALIZED (
+  SELECT x AS word, count(*) AS n_near, min(struct_pack(m := -n, w := y)) AS best FROM pairs JOIN words ON word = y GROUP BY x
+), each AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 2 * n THEN best.w END AS form, CASE WHEN -best.m >= 2 * n THEN -best.m END AS form_n FROM words LEFT JOIN near USING (word)
+), follow AS (
+  SELECT word, word AS at FROM each UNION ALL SELECT f.word, e.form FROM follow f JOIN each e ON f.at = e.word WHERE e.form IS NOT NULL
+), ends AS (SELECT f.word, f.at AS root FROM follow f JOIN each e ON f.at = e.word WHERE e.form IS NULL)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM each JOIN ends USING (word)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,
     "op5_exact_top_k": OP5_SQL,
     "op9_warc": OP9_SQL,
+    "op11_centroid_clustering": OP11_SQL,
+    "op12_spelling_variants": OP12_SQL,
 }
