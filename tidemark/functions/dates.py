@@ -91,7 +91,7 @@ def parse_date(s: Column) -> Column:
 
 _MONTH_NAMES = {n: i for i, m in enumerate(MONTHS, 1) for n in (m, m[:3])} | {"sept": 9}
 _RUN = re.compile("[A-Za-z]+|[0-9]+")
-_CLOCK = re.compile(r"T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:?[0-9]{2})?")
+_CLOCK_CHARS = frozenset("0123456789:.+-Z")
 _BLANK = " \t\n\r\f\v"
 
 
@@ -109,6 +109,20 @@ def _numeric(text: str, runs: list, mark: str) -> tuple[int, int] | None:
     return None if text[a - 1 : a] == mark or text[f : f + 1] == mark else (a, f)
 
 
+def _with_clock(text: str, start: int, end: int) -> tuple[int, datetime | None]:
+    """(end, moment) of a date at ``start`` whose time of day, at least to the second, follows the T at ``end``; the date's end and none without one."""
+    last = next((i for i in range(end + 1, len(text)) if text[i] not in _CLOCK_CHARS), len(text))
+    stamp = text[start:last].rstrip(".:+-")
+    if len(stamp) < end - start + 9 or stamp[end - start + 3] != ":" or stamp[end - start + 6] != ":":
+        return end, None
+    try:
+        at = datetime.fromisoformat(stamp)
+        at = at.replace(tzinfo=UTC) if at.tzinfo is None else at.astimezone(UTC)
+    except (ValueError, OverflowError):
+        return end, None
+    return start + len(stamp), at.replace(microsecond=at.microsecond // 1000 * 1000)
+
+
 def _spelt(text: str, runs: list) -> tuple[str, int, str] | None:
     """(year, month, day) of three runs that are a date with the month's name, in either order."""
     first, second, year = (r[2] for r in runs)
@@ -136,8 +150,8 @@ def dates_with_places(text: str, now: datetime) -> list[tuple[int, int, datetime
             if iso is None and not (three[2][2].isdigit() and _numeric(text, three, "/")):
                 continue
             parts = tuple(r[2] for r in three)
-            if iso and (clock := _CLOCK.match(text, end)) and not text[clock.end() : clock.end() + 1].isdigit() and text[clock.end() : clock.end() + 1] != "-":
-                end, exact = clock.end(), parse_moment(text[three[0][0] : clock.end()])
+            if iso and text[end : end + 1] == "T":
+                end, exact = _with_clock(text, three[0][0], end)
         elif (parts := _spelt(text, three)) is None:
             continue
         year, month, day = (int(x) for x in parts)

@@ -17,7 +17,7 @@ from tidemark.plans.catalog import NOW, _events, _ntz, _query, _shaped, _t
 from tidemark.schemas import ARTICLES, CHATS, SOURCES
 from tidemark.sources.feed import read_feeds
 from tidemark.sources.listing import read_listings
-from tidemark.sources.page import extract_pages
+from tidemark.sources.page import page_dates, page_texts
 from tidemark.sources.store import Store, shared_root
 from tidemark.streaming.ingest import admit_stream
 
@@ -67,14 +67,13 @@ def feed_items(spark, d):
 
 
 _MONTH_SQL = "|".join([*D.MONTHS, "sept", *(m[:3] for m in D.MONTHS)])
-_TIME_SQL = r"T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:?[0-9]{2})?"
 _FOUND_SQL = (
     rf"regexp_extract_all(concat_ws(' . ', text, strftime({_DAY_SQL}, '%B %-d, %Y'), strftime({_DAY_SQL}, '%-d %b %Y'), strftime({_DAY_SQL}, '%Y-%m-%dT03:00:00+01:00'), strftime({_DAY_SQL}, '%Y/%m/%d')), "
-    rf"'(?i)\b({_MONTH_SQL})\.?\s+[0-9]{{1,2}},\s+[0-9]{{4}}\b|\b[0-9]{{1,2}}\s+({_MONTH_SQL})\.?\s+[0-9]{{4}}\b|\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}({_TIME_SQL})?|\b[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}\b')"
+    rf"'(?i)\b({_MONTH_SQL})\.?\s+[0-9]{{1,2}},\s+[0-9]{{4}}\b|\b[0-9]{{1,2}}\s+({_MONTH_SQL})\.?\s+[0-9]{{4}}\b|\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(T[0-9:.Z+-]+)?|\b[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}\b')"
 )
 #: A date by its digits, or by its year, month name and day.
 _READ_SQL = (
-    "CASE WHEN regexp_matches(x, '[0-9]T') THEN TRY_CAST(x AS TIMESTAMPTZ) AT TIME ZONE 'UTC' WHEN regexp_matches(x, '^[0-9]{4}[-/]') THEN TRY_CAST(replace(x[1:10], '/', '-') AS TIMESTAMP) "
+    "CASE WHEN x LIKE '____-__-__T%' AND TRY_CAST(rtrim(x, '.:+-') AS TIMESTAMPTZ) IS NOT NULL THEN TRY_CAST(rtrim(x, '.:+-') AS TIMESTAMPTZ) AT TIME ZONE 'UTC' WHEN regexp_matches(x, '^[0-9]{4}[-/]') THEN TRY_CAST(replace(x[1:10], '/', '-') AS TIMESTAMP) "
     "ELSE TRY_CAST(regexp_extract(x, '[0-9]{4}$') || '-' || lpad(CAST((strpos('janfebmaraprmayjunjulaugsepoctnovdec', lower(regexp_extract(x, '[A-Za-z]{3}'))) + 2) // 3 AS VARCHAR), 2, '0') "
     "|| '-' || lpad(regexp_extract(x, '[0-9]{1,2}'), 2, '0') AS TIMESTAMP) END"
 )
@@ -114,13 +113,56 @@ def page_date(spark, d):
         F.concat(F.lit('<time datetime="PT8M"></time><article><time datetime="'), iso, F.lit('"></time></article>')),
     ]
     form = F.element_at(F.array(*forms), (F.col("page_id") % 4 + 1).cast("int"))
-    got = extract_pages(pages.withColumn("html", F.concat(form, F.coalesce("html", F.lit("")))), _AT)
+    got = page_dates(pages.withColumn("html", F.concat(form, F.coalesce("html", F.lit("")))), _AT)
     return _ntz(got.select("page_id", "published_at"), "published_at")
 
 
-@_query()
+@_query("SELECT page_id, lpad(CAST(1000 + page_id * 37 % 9000 AS VARCHAR), 4, '0') || '-12-31' AS day FROM pages")
+def page_far_date(spark, d):
+    """Pages dated anywhere between the years 1000 and 9999."""
+    pages = _t(spark, d, "pages")
+    year = F.lpad((1000 + F.col("page_id") * 37 % 9000).cast("string"), 4, "0")
+    html = F.concat(F.lit('<meta property="article:published_time" content="'), year, F.lit('-12-31">'), F.coalesce("html", F.lit("")))
+    return page_dates(pages.select("page_id", html.alias("html")), _AT).select("page_id", F.date_format("published_at", "yyyy-MM-dd").alias("day"))
+
+
+_LEAD = "The lead of the story says what it is about, at some length, so that nobody takes it for a caption, a menu or a notice."
+_CLOSE = "The last paragraph, which closes the story, is as long as the first one; it ends, as stories do, with a full stop."
+
+
+@_query(
+    "WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[\\s\\x0B\\x1C-\\x1F\\x85\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'))), lambda x: x <> '') AS lines FROM documents) "
+    f"SELECT doc_id, 'Story ' || doc_id AS title, array_to_string(list_concat(['{_LEAD}'], lines, ['{_CLOSE}']), chr(10)) AS text, '{_LEAD}' AS excerpt FROM l"
+)
 def main_text(spark, d):
-    return extract_pages(_t(spark, d, "pages"), _AT).select("page_id", "title", "text", "excerpt")
+    """Each document as a story on a page: a paragraph for each of its lines between a lead and a close, amid menus, notices, comments and lists of links.
+
+    The story is in an article element, a div with a telling class, two divs without one, or a table inside a form that holds the whole page.
+    """
+    docs = _t(spark, d, "documents").select("doc_id", F.split("text", "\r\n?|\n").alias("lines"))
+    told = F.array_join(F.transform("lines", lambda x: F.concat(F.lit("<p>"), F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</p>\n"))), "")
+    lead, close = F.lit(f"<p>{_LEAD}</p>"), F.lit(f"<p>{_CLOSE}</p>")
+    heading = F.concat(F.lit("<h1>Story "), F.col("doc_id"), F.lit("</h1>"))
+    wrap = lambda before, after: F.concat(F.lit(before), heading, lead, told, close, F.lit(after))
+    forms = F.array(
+        wrap("<main><article>", "</article></main>"),
+        wrap('<div class="layout"><div class="post-content" id="c1">', "</div></div>"),
+        F.concat(F.lit("<div><div>"), heading, lead, F.lit("</div><div>"), told, close, F.lit("</div></div>")),
+        wrap("<form><table><tr><td>", "</td></tr></table></form>"),
+    )
+    links = "".join(f'<li><a href="/{i}">Another story of this site, number {i}</a></li>' for i in range(8))
+    before = f'<nav><ul>{links}</ul></nav><div class="site-banner">Subscribe to our letter, it comes every week, and it is free!</div><div id="sidebar-left"><h3>Related posts</h3><ul>{links}</ul></div><div class="ad-slot">Buy this, now, and that.</div>'
+    comments = "".join(f'<div class="comment"><p>A reader, number {i}, has a long opinion on this, and tells it, at length, here.</p></div>' for i in range(3))
+    after = f'<script>var p = "<p>no text, at all, of the page</p>";</script><div class="comments">{comments}</div><footer><p>All rights are reserved, as ever, by those who have them.</p></footer>'
+    head = F.concat(F.lit("<html><head><title>Story "), F.col("doc_id"), F.lit(" | The site</title><style>p { margin: 0 }</style></head><body>"))
+    body = F.concat(head, F.lit(before), F.element_at(forms, (F.col("doc_id") % 4 + 1).cast("int")), F.lit(after), F.lit("</body></html>"))
+    return page_texts(docs.select("doc_id", body.alias("html"))).select("doc_id", "title", "text", "excerpt")
+
+
+@_query()
+def page_main_text(spark, d):
+    """The articles of the pages as they are; no SQL knows their text."""
+    return page_texts(_t(spark, d, "pages")).select("page_id", "title", "text", "excerpt")
 
 
 @_query(
