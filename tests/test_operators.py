@@ -13,8 +13,8 @@ from tidemark.operators import sources as S
 from tidemark.operators import views as V
 from tidemark.operators.candidates import to_candidates
 from tidemark.operators.commit import commit
-from tidemark.operators.run import refresh, resummarize, summarize
-from tidemark.sources.store import Store, append_new, get, merge
+from tidemark.operators.run import claim, finish, refresh, resummarize, summarize
+from tidemark.sources.store import Fenced, Store, append_new, get, merge
 from tidemark.operators import settings as O
 from tidemark.sources.seed import seed_sources, targets
 from tidemark.streaming.ingest import admit_stream, follow, ingest_stream
@@ -135,6 +135,8 @@ def test_store(spark, tmp_path):
     store.write("2", articles=both)
     assert {r["id"]: r["title"] for r in store.read("articles").collect()} == {"a": "x", "b": "new"}
     store.vacuum()
+    assert len(list((tmp_path / "store" / "articles").iterdir())) == 2  # a write that is under way may still list a young folder
+    store.vacuum(timedelta())
     assert store.read("articles").count() == 2 and len(list((tmp_path / "store" / "articles").iterdir())) == 1
     assert [r["title"] for r in get(store.read("articles"), spark.createDataFrame([("b",), ("z",)], "id string")).orderBy("id").collect()] == ["new", None]
 
@@ -146,8 +148,62 @@ def test_settings_and_lock(spark, tmp_path):
     assert (saved.summary_concurrency, saved.max_content_chars, saved.max_new_per_source_per_run) == (4, 1000, 1)
     assert O.save_settings(store, {"interval_minutes": 5}).summary_concurrency == 4
     assert O.trigger_seconds(O.load_settings(store)) == 900 and O.trigger_seconds(O.Settings(interval_minutes=0)) is None
-    assert O.acquire(store, BASE) and not O.acquire(store, BASE + timedelta(minutes=19)) and O.release(store)
-    assert O.acquire(store, BASE) and O.acquire(store, BASE + timedelta(minutes=20)) and not O.release(store)
+    first = O.acquire(store, BASE)
+    assert first and not O.acquire(store, BASE + timedelta(minutes=19)) and O.release(store, first)
+    second = O.acquire(store, BASE)
+    third = O.acquire(store, BASE + timedelta(minutes=20))
+    assert first < second < third and not O.release(store, third)
+
+
+def test_two_at_a_stale_lock(spark, tmp_path, monkeypatch):
+    """Both see it stale; one gets the next number."""
+    store = Store(spark, str(tmp_path / "store"))
+    O.acquire(store, BASE)
+    seen = O._holder(store, BASE + timedelta(minutes=30))
+    monkeypatch.setattr(O, "_holder", lambda *_: seen)
+    later = BASE + timedelta(minutes=30)
+    assert sorted([O.acquire(store, later), O.acquire(store, later)], key=str) == [2, None]
+    monkeypatch.undo()
+    assert O.is_locked(store, later) and not O.is_locked(store, later + timedelta(minutes=20))
+
+
+def test_an_empty_lock_is_stale_by_its_file(spark, tmp_path):
+    """A writer that died after it made the file: the lock is held for 20 minutes from then, not for ever."""
+    import os
+    import time
+
+    store = Store(spark, str(tmp_path / "store"))
+    store.create("_lock/000000000001", "")
+    assert O.acquire(store, datetime(2034, 1, 1)) is None
+    old = time.time() - 60 * 20
+    os.utime(tmp_path / "store" / "_lock" / "000000000001", (old, old))
+    assert O.acquire(store, datetime(2034, 1, 1)) == 2
+
+
+def test_a_late_holder_changes_nothing(spark, tmp_path):
+    """What was thought dead neither writes nor gives back the lock of the one after it."""
+    store = Store(spark, str(tmp_path / "store"))
+    store.write(articles=articles(spark, {"id": "a", "title": "x"}))
+    one = O.acquire(store, BASE)
+    late = store.fenced(one)
+    late.write("1", append={"articles": articles(spark, {"id": "b"})})
+    two = O.acquire(store, BASE + timedelta(minutes=21))
+    for attempt in (lambda: late.write("2", append={"articles": articles(spark, {"id": "c"})}), lambda: late.compact("articles"), late.raise_fence):
+        with pytest.raises(Fenced):
+            attempt()
+    assert not O.release(store, one) and O.is_locked(store, BASE + timedelta(minutes=22))
+    store.fenced(two).write("3", append={"articles": articles(spark, {"id": "d"})})
+    assert sorted(r["id"] for r in store.read("articles").collect()) == ["a", "b", "d"]
+    assert not O.release(store, two) and not O.is_locked(store, BASE + timedelta(minutes=22))
+    O.acquire(store, BASE + timedelta(minutes=23))
+    assert O.acquire(store, BASE + timedelta(minutes=24)) is None and O.release(store, 3)  # a request came meanwhile
+
+
+def test_many_locks_leave_few_files(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    for i in range(9):
+        O.release(store, O.acquire(store, BASE + i * DAY))
+    assert len(store.numbers("_lock")) <= 5 and len(store.numbers("_released")) <= 5
 
 
 def test_seed(spark):
@@ -368,12 +424,12 @@ def test_a_writer_that_dies_loses_nothing(spark, tmp_path, monkeypatch):
         assert titles() == ["x"] and store.batch() == "1"
     store.write("2", append={"articles": articles(spark, {"id": "b", "title": "y"})})
     assert titles() == ["x", "y"] and store.batch() == "2"
-    store.vacuum()
+    store.vacuum(timedelta())
     assert titles() == ["x", "y"] and len(list((root / "articles").iterdir())) == 2
     store.compact("articles")
     assert titles() == ["x", "y"] and store.batch() == "2"
     # two writers that read the same list cannot both add the next one
-    monkeypatch.setattr(S.Store, "_numbers", lambda self, name: [1])
+    monkeypatch.setattr(S.Store, "numbers", lambda self, name: [1])
     with pytest.raises(RuntimeError, match="another writer"):
         store.write(articles=articles(spark))
 
@@ -387,12 +443,64 @@ def test_store_writes_only_what_changes(spark, tmp_path):
     ids = spark.createDataFrame([("c",)], "id string")
     store.write("d", "two", upsert={"articles": (articles(spark, {"id": "b", "title": "B"}, {"id": "d", "title": "D"}), ids)})
     assert sorted(r["title"] for r in store.read("articles").collect()) == ["B", "D", "a"] and len(folders() - before) == 1
-    store.vacuum()
-    assert len(folders()) == 2 and len(folders() & before) == 1
+    new = spark.read.parquet(str(tmp_path / "store" / "articles" / (folders() - before).pop()))
+    taken = spark.read.schema("gone string").parquet(*(str(p) for p in (tmp_path / "store" / "_gone" / "articles").iterdir()))
+    assert new.count() == 2 and sorted(r["gone"] for r in taken.collect()) == ["b", "c", "d"]  # what changed, and no other row
+    store.vacuum(timedelta())
+    assert before < folders() and sorted(r["title"] for r in store.read("articles").collect()) == ["B", "D", "a"]
+    # rows of an id that went come back when they are written again, and go again
+    store.write("f", "two", append={"articles": articles(spark, {"id": "c", "title": "C"})})
+    assert sorted(r["title"] for r in store.read("articles").collect()) == ["B", "C", "D", "a"]
+    store.write("g", "two", upsert={"articles": (articles(spark), ids)})
+    store.compact("articles")
+    store.vacuum(timedelta())
+    assert sorted(r["title"] for r in store.read("articles").collect()) == ["B", "D", "a"] and len(folders()) == 1
+    assert list((tmp_path / "store" / "_gone" / "articles").iterdir()) == []
     # a batch is known by its writer: another one's of the same name is written, its own again is not
     store.write("d", "one", append={"articles": articles(spark, {"id": "e", "title": "e"})})
     store.write("d", "one", append={"articles": articles(spark, {"id": "f", "title": "f"})})
-    assert sorted(r["title"] for r in store.read("articles").collect()) == ["B", "D", "a", "e"] and store.batch("two") == "d"
+    assert sorted(r["title"] for r in store.read("articles").collect()) == ["B", "D", "a", "e"] and store.batch("two") == "g"
+
+
+def test_lookup_opens_few_folders(spark, tmp_path):
+    """Of many folders only those that may hold an asked key are opened, whatever their sizes; what is gone stays gone."""
+    store = Store(spark, str(tmp_path / "store"))
+    for turn, n in enumerate((1, 3, 40, 200, 8, 9, 17)):
+        store.write(append={"articles": articles(spark, *({"id": f"{turn}-{i}", "title": f"{turn}"} for i in range(n)))})
+    ids = lambda *names: spark.createDataFrame([(n,) for n in names], "id string")
+    got = store.lookup("articles", ids("2-39", "5-0", None, "none"))
+    assert len(store.opened) == 2 and {r["title"] for r in got.collect()} == {"2", "5"} and got.count() == 49
+    assert store.lookup("articles", ids("none", "other")).count() == 0 and store.opened == []
+    every = [f"{turn}-{i}" for turn, n in enumerate((1, 3, 40, 200, 8, 9, 17)) for i in range(n)]
+    assert store.lookup("articles", ids(*every)).count() == len(every) and len(store.opened) == 7
+    store.write(upsert={"articles": (articles(spark, {"id": "2-0", "title": "new"}), ids("2-39"))})
+    got = store.lookup("articles", ids("2-39", "2-0")).where("id in ('2-39', '2-0')")
+    assert [(r["id"], r["title"]) for r in got.collect()] == [("2-0", "new")]
+    far = store.lookup("articles", ids(*(f"far-{i}" for i in range(500))))
+    assert far.count() <= 200 and len(store.opened) <= 1  # a false hit is rare
+
+
+def test_a_patch_that_dies_loses_nothing(spark, tmp_path, monkeypatch):
+    """An upsert that dies after its rows, after its list of ids, or before its entry leaves the rows that were there."""
+    store = Store(spark, str(tmp_path / "store"))
+    store.write(articles=articles(spark, {"id": "a", "title": "x"}, {"id": "b", "title": "y"}))
+    patch = {"articles": (articles(spark, {"id": "a", "title": "X"}), spark.createDataFrame([("b",)], "id string"))}
+    rows = lambda: sorted((r["id"], r["title"]) for r in store.read("articles").collect())
+    for step in ("_piece", "_gone", "_put"):
+        real = getattr(Store, step)
+
+        def dies(self, *args, real=real, step=step):
+            if step != "_put":
+                real(self, *args)
+            raise OSError("lost")
+
+        monkeypatch.setattr(Store, step, dies)
+        with pytest.raises(OSError, match="lost"):
+            store.write(upsert=patch)
+        monkeypatch.setattr(Store, step, real)
+        assert rows() == [("a", "x"), ("b", "y")]
+    store.write(upsert=patch)
+    assert rows() == [("a", "X")]
 
 
 def test_live_view(spark, tmp_path):
@@ -426,6 +534,75 @@ def test_a_batch_stops_at_a_billing_error(spark):
     assert E.stops(400, "Your Credit Balance is low") and not E.stops(400, "x") and not E.stops(None, None)
 
 
+def _waiting(spark, tmp_path, n):
+    """A store with n waiting articles of their own text, newest first by number, and no page for them."""
+    store = Store(spark, str(tmp_path / "store"))
+    rows = [{"id": f"{i:02d}", "source_id": "s", "title": "t", "url": "u", "rss_summary": "r" * 300, "status": "new", "attempts": 0, "published_at": BASE - i * DAY, "published_at_provisional": False} for i in range(n)]
+    store.write(sources=sources(spark, ("s", True, BASE)), articles=articles(spark, *rows))
+    return store, spark.createDataFrame([], "id string, text string, published_at timestamp")
+
+
+def _statuses(store):
+    return {r["id"]: r["status"] for r in store.read("articles").collect()}
+
+
+ANSWER = '{"headline":"h","brief":"b","digest":[],"detail":"d","tags":[]}'
+
+
+def test_a_job_that_dies_between_claim_and_result(spark, tmp_path):
+    now, (store, none) = datetime(2026, 10, 1), _waiting(spark, tmp_path, 4)
+
+    def dies(row):
+        raise SystemExit("the executor is gone")  # no error of an article: the task itself ends
+
+    with pytest.raises(Exception, match="SystemExit|exit|gone|Python worker"):
+        summarize(store, none, dies, now, limit=2, batch="1")
+    assert _statuses(store) == {"00": "summarizing", "01": "summarizing", "02": "new", "03": "new"}
+    early = claim(store, now + timedelta(minutes=14), limit=9)
+    assert {r["id"] for r in early.collect()} == {"02", "03"}
+    assert E.orphan_count(store.read("articles"), now + timedelta(minutes=15)).first()[0] == 2
+    summarize(store, none, lambda r: ANSWER, now + timedelta(minutes=15), limit=1, batch="2")
+    assert _statuses(store) == {"00": "done", "01": "new", "02": "summarizing", "03": "summarizing"}  # a lost claim beyond the limit is new again
+    summarize(store, none, lambda r: ANSWER, now + timedelta(minutes=29), batch="3")
+    assert set(_statuses(store).values()) == {"done"}
+
+
+def test_no_task_asks_after_a_billing_error(spark, tmp_path):
+    """All tasks look at the marker: after the error each has asked at most the one that was under way; what was not asked about is new again."""
+    import time
+
+    now, (store, none) = datetime(2026, 10, 1), _waiting(spark, tmp_path, 40)
+    log = tmp_path / "asked"
+    log.mkdir()
+
+    def model(row):
+        from uuid import uuid4
+
+        first = not any(log.iterdir())
+        (log / uuid4().hex).write_text(row["id"])
+        if first:
+            raise _Refused("no key")
+        time.sleep(0.3)
+        return ANSWER
+
+    summarize(store, none, model, now, limit=40, parallelism=4)
+    got = _statuses(store)
+    asked = sum(1 for _ in log.iterdir())
+    assert asked <= 8 and len(got) == 40 and set(got.values()) <= {"new", "done"}
+    assert sum(s == "done" for s in got.values()) == asked - 1
+    summarize(store, none, lambda r: ANSWER, now + timedelta(minutes=1), limit=40)
+    assert set(_statuses(store).values()) == {"done"}
+
+
+def test_a_repeated_claim_claims_nothing(spark, tmp_path):
+    now, (store, none) = datetime(2026, 10, 1), _waiting(spark, tmp_path, 3)
+    first = {r["id"] for r in claim(store, now, limit=1, batch="1.claim", writer="w").collect()}
+    again = {r["id"] for r in claim(store, now, limit=1, batch="1.claim", writer="w").collect()}
+    assert first == again == {"00"} and sorted(_statuses(store).values()) == ["new", "new", "summarizing"]
+    finish(store, claim(store, now, limit=1, batch="1.claim", writer="w"), none, lambda r: ANSWER, now)
+    assert _statuses(store)["00"] == "done"
+
+
 def test_resummarize(spark, tmp_path):
     now, store = datetime(2026, 10, 1), Store(spark, str(tmp_path / "store"))
     store.write(sources=sources(spark, ("s", True, BASE)), articles=articles(spark, {"id": "a", "source_id": "s", "title": "x", "status": "done", "content_text": "old", "attempts": 0}, {"id": "b", "source_id": "s", "title": "y", "status": "done", "attempts": 0}))

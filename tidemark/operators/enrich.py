@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,12 +63,34 @@ def stops(status: int | None, message: str | None) -> bool:
     return status == 401 or status == 400 and "credit balance" in (message or "").lower()
 
 
-def ask(rows: DataFrame, enricher: Callable[[dict], str], parallelism: int | None = None) -> DataFrame:
+class StopMarker:
+    """A file that tells all tasks of a batch to ask no more. ``folder`` is a URI that tasks reach through pyarrow, as they do a shared disk, HDFS or S3."""
+
+    def __init__(self, folder: str):
+        self.path = f"{folder.rstrip('/')}/stop-{uuid.uuid4().hex}"
+
+    def _file(self):
+        system, path = fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else f"file://{self.path}")
+        return system, path
+
+    def is_set(self) -> bool:
+        system, path = self._file()
+        return system.get_file_info(path).type != fs.FileType.NotFound
+
+    def set(self) -> None:
+        system, path = self._file()
+        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        with system.open_output_stream(path) as out:
+            out.write(b"stop")
+
+
+def ask(rows: DataFrame, enricher: Callable[[dict], str], parallelism: int | None = None, marker: StopMarker | None = None) -> DataFrame:
     """(id, answer or error) of an injected model call on rows(id, title, url, source_name, content_source, text).
 
     There is a call at a time in each partition of ``rows``; ``parallelism`` deals them to so many, where a service limits calls. A call that raises
     is a row with the error's ``kind`` and ``status`` attributes and stops no other, unless it is an error of billing or authorisation: then
-    the partition's other rows are not asked about and have the kind "stopped".
+    the partition's other rows are not asked about and have the kind "stopped", and with a ``marker`` those of all partitions, which look at it
+    before every call: a call that is under way ends, and none begins.
     """
     columns = [c.split()[0] for c in _ANSWER.split(", ")]
 
@@ -75,6 +99,7 @@ def ask(rows: DataFrame, enricher: Callable[[dict], str], parallelism: int | Non
         for batch in batches:
             out = []
             for row in batch.to_dict("records"):
+                stopped = stopped or marker is not None and marker.is_set()
                 if stopped:
                     out.append({"id": row["id"], "error_kind": STOPPED})
                     continue
@@ -83,6 +108,8 @@ def ask(rows: DataFrame, enricher: Callable[[dict], str], parallelism: int | Non
                 except Exception as e:  # noqa: BLE001  one article's failure is data
                     status, told = getattr(e, "status", None), str(e) or type(e).__name__
                     stopped = stops(status, told)
+                    if stopped and marker is not None:
+                        marker.set()
                     out.append({"id": row["id"], "error_kind": getattr(e, "kind", None), "error_status": status, "error_text": told})
             frame = pd.DataFrame(out, columns=columns).astype(object)
             yield frame.where(frame.notna(), None)
@@ -90,6 +117,22 @@ def ask(rows: DataFrame, enricher: Callable[[dict], str], parallelism: int | Non
     return (rows if parallelism is None else rows.repartition(parallelism)).mapInPandas(run, _ANSWER)
 
 
+def claim(articles: DataFrame, now: datetime, limit: int = C.MAX_SUMMARIES_PER_RUN) -> tuple[DataFrame, DataFrame]:
+    """(claimed, freed): the newest ``limit`` of the waiting articles as summarizing since ``now``, and the other stale ones as new again.
+
+    A claim is a lease: who holds it for 15 minutes without a result has lost it.
+    """
+    waiting = articles.where(is_orphan(now))
+    top, rest = choose(waiting, limit)
+    claimed = top.withColumns({"status": F.lit("summarizing"), "summarizing_at": _at(now)})
+    return claimed, recover(rest.where(F.col("status") == "summarizing"), now)
+
+
+def unclaimed(articles: DataFrame) -> DataFrame:
+    """Claimed articles that were not asked about, as new again."""
+    return articles.withColumns({"status": F.lit("new"), "summarizing_at": F.lit(None).cast("timestamp")})
+
+
 def redate(articles: DataFrame, pages: DataFrame, sources: DataFrame, *, drop_old: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(articles, sources, dropped): provisional dates replaced by those of pages(id, published_at).
 
@@ -118,30 +161,31 @@ def with_content(articles: DataFrame, pages: DataFrame, max_chars: int = C.MAX_C
     return rows.withColumn("skip", skip).drop("chosen", "page_text")
 
 
-def enrich(articles: DataFrame, pages: DataFrame, sources: DataFrame, enricher: Callable[[dict], str], now: datetime, *, model: str = "stub", max_chars: int = C.MAX_CONTENT_CHARS, parallelism: int | None = None) -> DataFrame:
+def enrich(articles: DataFrame, pages: DataFrame, sources: DataFrame, enricher: Callable[[dict], str], now: datetime, *, model: str = "stub", max_chars: int = C.MAX_CONTENT_CHARS, parallelism: int | None = None, marker: StopMarker | None = None, keep: Callable[[DataFrame], DataFrame] = lambda answers: answers) -> DataFrame:
     """Chosen articles after their summary: done, or error with one more attempt; ``stops_batch`` marks errors after which no more is asked, and
     the articles that were not asked about then.
 
-    Articles without any text are not asked about. An error is not tried again by itself.
+    Articles without any text are not asked about. An error is not tried again by itself. ``keep`` may store the answers, so that nothing that
+    is computed from them later asks again.
     """
     names = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
     rows = with_content(articles, pages, max_chars).join(names, "source_id", "left")
     asked = rows.where("not skip").select("id", "title", "url", F.coalesce("source_name", "source_id").alias("source_name"), "content_source", "text")
-    both = rows.join(ask(asked, enricher, parallelism), "id", "left").withColumn("parsed", parse_summary(F.col("answer")))
+    both = rows.join(keep(ask(asked, enricher, parallelism, marker)), "id", "left").withColumn("parsed", parse_summary(F.col("answer")))
     done = F.col("parsed").isNotNull()
     unreadable = F.concat(F.lit(UNREADABLE), F.substring("answer", 1, 200))
     told = F.when(F.col("skip"), SKIPPED).when(F.col("answer").isNotNull(), unreadable).otherwise(error_message(F.col("error_kind"), F.col("error_status"), F.col("error_text")))
-    keep = lambda new, old: F.when(done, new).otherwise(F.col(old))
+    after = lambda new, old: F.when(done, new).otherwise(F.col(old))
     out = both.withColumns(
         {
             "status": F.when(done, "done").otherwise("error"),
             "error": F.when(~done, told),
             "attempts": F.col("attempts") + F.when(done, 0).otherwise(1),
-            "summary": keep(F.col("parsed"), "summary"),
-            "content_text": keep(F.col("text"), "content_text"),
-            "content_chars": keep(utf16_length(F.col("text")), "content_chars"),
-            "model": keep(F.lit(model), "model"),
-            "summarized_at": keep(_at(now), "summarized_at"),
+            "summary": after(F.col("parsed"), "summary"),
+            "content_text": after(F.col("text"), "content_text"),
+            "content_chars": after(utf16_length(F.col("text")), "content_chars"),
+            "model": after(F.lit(model), "model"),
+            "summarized_at": after(_at(now), "summarized_at"),
             "summarizing_at": F.lit(None).cast("timestamp"),
             "stops_batch": is_billing_or_auth(F.col("error_status"), F.col("error_text")) | F.coalesce(F.col("error_kind") == STOPPED, F.lit(False)),
         }

@@ -25,10 +25,10 @@ def refresh(store: Store, feeds: DataFrame, listings: DataFrame | Callable[[Data
 
     A feed that failed or did not parse falls back to its source's listing; where that fails or has no link too, the source gets both errors.
     ``listings`` holds fetched listing pages, or is a function that fetches targets(source_id, url, etag, last_modified), which are those of failed feeds.
-    Unchanged feeds (304) touch nothing. Articles, marks and validators become visible together; stored articles are not written anew. A
-    repeated ``batch`` of a ``writer`` changes nothing.
+    Unchanged feeds (304) touch nothing. Articles, marks and validators become visible together; stored articles are not written anew, and only
+    folders that may hold a candidate are opened. A repeated ``batch`` of a ``writer`` changes nothing.
     """
-    sources, articles = store.read("sources"), store.read("articles")
+    sources = store.read("sources")
     seen = outcome(feeds)
     parsed = read_feeds(seen.where("kind = 'ok'")).persist()
     failed = seen.where("kind = 'failed'").select("source_id", F.coalesce("error", F.lit("failed")).alias("feed_error"))
@@ -53,7 +53,9 @@ def refresh(store: Store, feeds: DataFrame, listings: DataFrame | Callable[[Data
         modes = modes.unionByName(rescued.withColumn("mode", F.lit("listing")))
         errors = got.select("source_id", F.coalesce("error", F.lit("no links")).alias("listing_error"))
         told = failed.join(errors, "source_id", "left").join(rescued, "source_id", "left_anti")
-    done = commit(to_candidates(items, sources), sources, articles, now, limit=limit, modes=modes)
+    found = to_candidates(items, sources)
+    stored = store.lookup("articles", found.select("id"))
+    done = commit(found, sources, stored, now, limit=limit, modes=modes)
     failures = told.select("source_id", F.concat_ws("; ", "feed_error", "listing_error").alias("error"))
     after = save_validators(record_failures(done.sources, failures, now), feeds.where("status between 200 and 299"), done.metrics)
     metrics = _kept(done.metrics)  # before the tables that it is computed from are replaced
@@ -65,45 +67,62 @@ def refresh(store: Store, feeds: DataFrame, listings: DataFrame | Callable[[Data
     return metrics
 
 
-def _kept(rows: DataFrame) -> DataFrame:
+def _kept(rows: DataFrame, name: str = "run-result") -> DataFrame:
     """A run's result in a file of the shared folder, so that it needs neither memory nor the tables that it was computed from."""
-    path = f"{shared_root(rows.sparkSession)}/run-result-{uuid.uuid4().hex}"
+    path = f"{shared_root(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def summarize(store: Store, pages: DataFrame, enricher: Callable[[dict], str], now: datetime, *, limit: int = C.MAX_SUMMARIES_PER_RUN, batch: str | None = None, writer: str = "") -> DataFrame:
-    """Enrich the newest waiting articles with pages(id, text, published_at) and return their ids.
+def claim(store: Store, now: datetime, *, limit: int = C.MAX_SUMMARIES_PER_RUN, batch: str | None = None, writer: str = "") -> DataFrame:
+    """Claim the newest waiting articles as summarizing, free claims that were lost, and return the claimed ones: the first of two commits.
+
+    A job that dies after this leaves claims that lapse in 15 minutes, after which ``is_orphan`` finds them. A repeated ``batch`` of a ``writer`` claims
+    nothing, and returns what is claimed since ``now``.
+    """
+    if batch is None or store.batch(writer) != batch:
+        claimed, freed = E.claim(store.read("articles"), now, limit)
+        changed = _kept(claimed.unionByName(freed), "claimed")  # once: choosing again after a lost executor must not choose others
+        store.write(batch, writer, upsert={"articles": (changed, changed.select("id").limit(0))})
+    return store.read("articles").where((F.col("status") == "summarizing") & (F.col("summarizing_at") == F.lit(now).cast("timestamp")))
+
+
+def finish(store: Store, claimed: DataFrame, pages: DataFrame, enricher: Callable[[dict], str], now: datetime, *, parallelism: int | None = None, batch: str | None = None, writer: str = "") -> DataFrame:
+    """Ask about claimed articles and store what comes of it: the second commit. Returns the ids that were claimed.
 
-    Articles that turn out old are deleted. After an error of billing or authorisation a task asks no more, and its other articles and
-    those that failed with it stay new. Only the folders of articles that change are written anew.
+    Answers are stored as they come, and are what all that follows reads: a lost executor costs the calls that it had not ended. Articles that turn out
+    old are deleted. After an error of billing or authorisation no task asks any more; that article and those not asked about are new again.
     """
-    sources, stored = store.read("sources"), store.read("articles")
-    articles = E.recover(stored, now)
-    top, _ = E.choose(articles.where(E.is_orphan(now)), limit)
-    dated, after, old = E.redate(top, pages, sources, drop_old=True)
-    result = E.enrich(dated, pages, sources, enricher, now).persist()
+    sources = store.read("sources")
+    dated, after, old = E.redate(claimed, pages, sources, drop_old=True)
+    marker = E.StopMarker(shared_root(store.spark))
+    result = _kept(E.enrich(dated, pages, sources, enricher, now, parallelism=parallelism, marker=marker, keep=lambda a: _kept(a, "answers")))
+    freed = E.unclaimed(claimed.join(result.where("stops_batch").select("id"), "id", "left_semi").select(claimed.columns))
+    told = result.where("not stops_batch").drop("stops_batch").unionByName(freed)
     ids = _kept(result.select("id"))
-    kept = result.where("not stops_batch").drop("stops_batch")
-    stale = E.recover(stored.where(E.is_orphan(now) & (F.col("status") == "summarizing")), now)
-    stale = stale.join(kept.select("id"), "id", "left_anti").join(old, "id", "left_anti")
-    store.write(batch, writer, upsert={"articles": (kept.unionByName(stale), old)}, sources=after)
-    result.unpersist()
+    store.write(batch, writer, upsert={"articles": (told, old)}, sources=after)
     return ids
 
 
+def summarize(store: Store, pages: DataFrame, enricher: Callable[[dict], str], now: datetime, *, limit: int = C.MAX_SUMMARIES_PER_RUN, parallelism: int | None = None, batch: str | None = None, writer: str = "") -> DataFrame:
+    """Enrich the newest waiting articles with pages(id, text, published_at) and return their ids: ``claim``, then ``finish``. Only rows that change are written."""
+    claimed = claim(store, now, limit=limit, batch=batch and f"{batch}.claim", writer=writer)
+    return finish(store, claimed, pages, enricher, now, parallelism=parallelism, batch=batch, writer=writer)
+
+
 def resummarize(store: Store, article_id: str, pages: DataFrame, enricher: Callable[[dict], str], now: datetime, *, refetch: bool = False) -> None:
     """Enrich one article again, whatever its status, with pages(id, text, published_at); without a lock (M6).
 
-    With ``refetch`` its stored content is forgotten first, so that a failure leaves it without. A provisional date is replaced, but the article
-    is never deleted as old. An error of billing or authorisation is stored like any other.
+    It is summarizing while the model is asked, never new, so that no run picks it up. With ``refetch`` its stored content is forgotten first, so
+    that a failure leaves it without. A provisional date is replaced, but the article is never deleted as old. An error of billing or
+    authorisation is stored like any other.
     """
     sources = store.read("sources")
-    one = store.read("articles").where(F.col("id") == article_id).withColumn("status", F.lit("summarizing"))
+    one = store.read("articles").where(F.col("id") == article_id).withColumns({"status": F.lit("summarizing"), "summarizing_at": F.lit(now).cast("timestamp")})
     if refetch:
         one = one.withColumns({"content_text": F.lit(None).cast("string"), "content_source": F.lit("none"), "content_chars": F.lit(0)})
+    one = _kept(one, "claimed")
+    store.write(upsert={"articles": (one, one.select("id").limit(0))})
     dated, after, none = E.redate(one, pages, sources, drop_old=False)
-    result = E.enrich(dated, pages, sources, enricher, now).drop("stops_batch").persist()
-    result.count()  # the model is asked once
+    result = E.enrich(dated, pages, sources, enricher, now, keep=lambda a: _kept(a, "answers")).drop("stops_batch")
     store.write(upsert={"articles": (result, none)}, sources=after)
-    result.unpersist()

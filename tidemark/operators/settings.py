@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import math
+import time
 from dataclasses import asdict, dataclass, field, fields, replace
 from datetime import datetime
 
 from tidemark import constants as C
 from tidemark.operators.enrich import lock_is_active
 from tidemark.sources.seed import FEEDS
-from tidemark.sources.store import Store
+from tidemark.sources.store import KEPT, Store
 
 
 @dataclass(frozen=True)
@@ -68,26 +69,42 @@ def trigger_seconds(s: Settings) -> int | None:
     return None if s.interval_minutes <= 0 else 60 * max(C.MIN_INTERVAL_MINUTES, s.interval_minutes)
 
 
-def acquire(store: Store, now: datetime) -> bool:
-    """Take the lock of a run unless another holds it; one request that came meanwhile is remembered. A lock of 20 minutes is stale.
+def _holder(store: Store, now: datetime) -> tuple[int, bool]:
+    """(the highest number of the lock, whether it is held). An empty file, whose writer died, counts from when it was made."""
+    number = next(iter(store.numbers("_lock")), 0)
+    if not number or store.content(f"_released/{number:012d}") is not None:
+        return number, False
+    try:
+        started = datetime.fromisoformat(json.loads(store.content(f"_lock/{number:012d}") or "")["started_at"])
+    except (ValueError, KeyError, TypeError):
+        # of an unknown start, by the file's time
+        age = store.age(f"_lock/{number:012d}", time.time())
+        return number, age is not None and age < 60 * C.LOCK_STALE_MINUTES
+    return number, lock_is_active(True, started, now)
+
+
+def is_locked(store: Store, now: datetime) -> bool:
+    return _holder(store, now)[1]
 
-    The lock is a file that only one call can create. A stale one is first deleted, which only one call can do either.
+
+def acquire(store: Store, now: datetime) -> int | None:
+    """A number if the lock of a run is free or has been held for 20 minutes, else none; one request that came meanwhile is remembered.
+
+    Locks are numbered files that only one call can make, and the highest one holds: of two that meet at a stale lock one gets the next number. The number is a
+    fence: what ``store.fenced(number)`` writes is refused once a higher one has begun, so a run that was thought dead changes nothing.
     """
-    text = json.dumps({"started_at": now.isoformat()})
-    if store.create("_lock", text):
-        return True
-    try:
-        held = json.loads(store.content("_lock") or "{}")
-    except ValueError:
-        held = {}
-    started = datetime.fromisoformat(held["started_at"]) if held.get("started_at") else now
-    if not lock_is_active(True, started, now) and store.remove("_lock"):
-        return store.create("_lock", text)
-    store.create("_pending", "")
-    return False
-
-
-def release(store: Store) -> bool:
-    """Give the lock back; whether a run was asked for meanwhile."""
-    store.remove("_lock")
-    return store.remove("_pending")
+    number, held = _holder(store, now)
+    if held or not store.create(f"_lock/{number + 1:012d}", json.dumps({"started_at": now.isoformat()})):
+        store.create("_pending", "")
+        return None
+    store.fenced(number + 1).raise_fence()
+    for old in store.numbers("_lock")[KEPT:]:
+        store.remove(f"_lock/{old:012d}")
+        store.remove(f"_released/{old:012d}")
+    return number + 1
+
+
+def release(store: Store, number: int) -> bool:
+    """Give a lock back by its number; whether a run was asked for meanwhile. One that another run has taken since is not touched."""
+    store.create(f"_released/{number:012d}", "")
+    return next(iter(store.numbers("_lock")), 0) == number and store.remove("_pending")

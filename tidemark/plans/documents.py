@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from tidemark.operators import enrich as E
 from tidemark.operators import views as V
 from tidemark.operators.candidates import to_candidates
 from tidemark.operators.commit import commit
+from tidemark.operators.run import claim, summarize
 from tidemark.plans.catalog import NOW, _events, _ntz, _query, _shaped, _t
 from tidemark.schemas import ARTICLES, CHATS, SOURCES
 from tidemark.sources.feed import read_feeds
@@ -217,8 +218,9 @@ def run_sequence(spark, d):
             F.lit(None).cast("string").alias("guid"), F.col("ts").alias("published_at"), F.array().cast("array<string>").alias("categories"), F.lit(None).cast("string").alias("content_html"),
         )
         for batch in [str(turn)] * (1 + bool(store.batch())):
-            sources, articles = store.read("sources"), store.read("articles")
-            done = commit(to_candidates(items, sources), sources, articles, NOW, limit=None)
+            sources = store.read("sources")
+            found = to_candidates(items, sources)
+            done = commit(found, sources, store.lookup("articles", found.select("id")), NOW, limit=None)
             store.write(batch, append={"articles": done.articles}, sources=done.sources)
             done.release()
     counts = store.read("articles").groupBy("source_id").agg(F.count("*").alias("stored"))
@@ -261,6 +263,37 @@ def enrich_batch(spark, d):
     return done.select(F.col("id").cast("long").alias("id"), "content_source", "status", "attempts", F.col("summary.headline").alias("headline"))
 
 
+@_query(
+    "SELECT doc_id AS id, CASE WHEN doc_id % 4 = 2 THEN 'summarizing' WHEN doc_id % 4 = 3 THEN 'new' WHEN coalesce(text, '') = '' OR doc_id % 10 = 0 THEN 'error' ELSE 'done' END AS status, "
+    "CASE WHEN doc_id % 4 < 2 AND (coalesce(text, '') = '' OR doc_id % 10 = 0) THEN 1 ELSE 0 END AS attempts, doc_id % 4 = 2 AS is_claimed, CASE WHEN doc_id % 4 < 2 AND NOT (coalesce(text, '') = '' OR doc_id % 10 = 0) THEN 'h' || doc_id END AS headline FROM documents"
+)
+def claim_and_recover(spark, d):
+    """Documents as waiting articles, by the rest of their id: 0 claimed by a job that dies, 1 never claimed, 2 claimed by a job that is still alive, 3 beyond the last job's limit.
+
+    A last job, 16 minutes after the first and 4 after the second, finds what the dead one left and takes as many as are of rest 0 and 1.
+    """
+
+    def model(row: dict) -> str:
+        return "none" if int(row["id"]) % 10 == 0 else f'{{"headline":"h{row["id"]}","brief":"","digest":[],"detail":"","tags":[]}}'
+
+    store = Store(spark, f"{shared_root(spark)}/claims-{uuid.uuid4().hex}")
+    rest = F.col("doc_id") % 4
+    # by date the claims of the dead job come first, then those of the living one
+    day = F.when(rest == 0, 3).when(rest == 2, 2).when(rest == 1, 1).otherwise(0)
+    docs = _t(spark, d, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.col("source").alias("source_id"), F.lit("t").alias("title"), F.lit("u").alias("url"), F.col("text").alias("rss_summary"),
+        F.lit("new").alias("status"), F.lit(0).alias("attempts"), F.date_add(F.lit("2024-01-01").cast("date"), day).cast("timestamp").alias("published_at"), F.lit(False).alias("published_at_provisional"),
+    )
+    store.write(articles=_shaped(docs, ARTICLES), sources=spark.createDataFrame([], SOURCES))
+    many = dict(_t(spark, d, "documents").groupBy(rest).agg(F.count("*")).collect())
+    claim(store, NOW, limit=many.get(0, 0))
+    claim(store, NOW + timedelta(minutes=12), limit=many.get(2, 0))
+    pages = docs.select("id", F.lit(None).cast("string").alias("text"), F.lit(None).cast("timestamp").alias("published_at")).where(F.lit(False))
+    summarize(store, pages, model, NOW + timedelta(minutes=16), limit=many.get(0, 0) + many.get(1, 0))
+    claimed = F.col("summarizing_at").isNotNull()
+    return store.read("articles").select(F.col("id").cast("long").alias("id"), "status", "attempts", claimed.alias("is_claimed"), F.col("summary.headline").alias("headline"))
+
+
 @_query(
     "WITH a AS (SELECT event_id, event_type, event_id % 2 = 0 AS moves, ts + INTERVAL 1 DAY * CAST(event_id % 9 - 6 AS INTEGER) AS real_ts, ts FROM events), m AS (SELECT event_type, TIMESTAMP '2024-01-15' AS mark FROM a GROUP BY 1) "
     "SELECT event_id AS id, CASE WHEN moves THEN real_ts ELSE ts END AS published_at FROM a JOIN m USING (event_type) WHERE NOT (moves AND real_ts <= mark - INTERVAL 3 DAYS)"
