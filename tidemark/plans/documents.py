@@ -231,22 +231,50 @@ def run_sequence(spark, d):
 @_query(_RUNS_SQL)
 def stream_commit(spark, d):
     """The same admission by a stream: events arrive period by period, and marks and admitted keys are keyed state."""
+    got = _streamed(spark, d, _period(), None).groupBy("source_id").agg(F.count("*").alias("stored"), F.max("published_at").alias("latest_published_at"))
+    return _ntz(got, "latest_published_at")
+
+
+#: Events of eight days arrive at once, and a source admits a quarter of what comes on average.
+_WEEKS, _CAP = 8, 4
+
+
+@_query(
+    f"WITH w AS (SELECT event_type, event_id, ts, date_diff('day', TIMESTAMP '2024-01-01', ts) // {_WEEKS} AS week FROM events), "
+    "f AS (SELECT event_type, min(week) AS cold FROM w GROUP BY 1), c AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id::VARCHAR) AS place FROM w JOIN f USING (event_type) WHERE week > cold), "
+    f"p AS (SELECT DISTINCT week FROM w), n AS (SELECT CAST(count(*) // (5 * {_CAP} * (SELECT count(*) FROM p)) AS BIGINT) + 1 AS cap FROM w), "
+    # what came up to a batch, and what may be admitted after it: the least of these sums is what was admitted
+    "a AS (SELECT t.event_type, p.week, (SELECT count(*) FROM c WHERE c.event_type = t.event_type AND c.week <= p.week) AS came, count(*) FILTER (c.week = p.week) > 0 AS has FROM f t JOIN p ON p.week > t.cold LEFT JOIN c ON c.event_type = t.event_type AND c.week = p.week GROUP BY ALL), "
+    "b AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY week DESC) - 1 AS later, count(*) OVER (PARTITION BY event_type) AS batches FROM a WHERE has), "
+    "k AS (SELECT event_type, least(min(came + later * cap), any_value(batches) * any_value(cap)) AS admitted FROM b, n GROUP BY 1), "
+    "r AS (SELECT event_type, event_id, ts FROM c JOIN k USING (event_type) WHERE place <= admitted "
+    "UNION ALL SELECT event_type, event_id, ts FROM (SELECT w.*, row_number() OVER (PARTITION BY w.event_type ORDER BY ts DESC, event_id::VARCHAR DESC) AS newest FROM w JOIN f USING (event_type) WHERE week = cold) WHERE newest = 1) "
+    "SELECT event_type AS source_id, CAST(event_id AS VARCHAR) AS id, ts AS published_at FROM r"
+)
+def stream_cap(spark, d):
+    """A stream with a cap: of what arrives in eight days a source admits some, the oldest first, and what waits is keyed state."""
+    weeks = F.floor(F.datediff("ts", F.lit("2024-01-01")) / _WEEKS)
+    rows, many = _events(spark, d).agg(F.count("*"), F.count_distinct(weeks)).first()
+    return _ntz(_streamed(spark, d, weeks, rows // (5 * _CAP * max(1, many)) + 1), "published_at")
+
+
+def _streamed(spark, d, period: Column, limit: int | None) -> DataFrame:
+    """What a stream of all events admits that arrive period by period."""
     root = f"{shared_root(spark)}/stream-commit-{uuid.uuid4().hex}"
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    events = _events(spark, d).select(F.col("event_type").alias("source_id"), F.col("event_id").cast("string").alias("id"), F.col("ts").alias("published_at"), _period().alias("period"))
+    events = _events(spark, d).select(F.col("event_type").alias("source_id"), F.col("event_id").cast("string").alias("id"), F.col("ts").alias("published_at"), period.alias("period"))
     schema = "source_id string, id string, published_at timestamp"
     try:
-        for turn in _periods(_events(spark, d)):
+        for turn in sorted(r[0] for r in events.select("period").distinct().collect()):
             events.where(F.col("period") == turn).drop("period").write.mode("append").parquet(f"{root}/in")
-            admitted = admit_stream(spark.readStream.schema(schema).parquet(f"{root}/in"))
+            admitted = admit_stream(spark.readStream.schema(schema).parquet(f"{root}/in"), limit)
             run = admitted.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
             run.awaitTermination()
     finally:
         spark.conf.set(provider, before)
-    got = spark.read.schema(schema).parquet(f"{root}/out").groupBy("source_id").agg(F.count("*").alias("stored"), F.max("published_at").alias("latest_published_at"))
-    return _ntz(got, "latest_published_at")
+    return spark.read.schema(schema).parquet(f"{root}/out")
 
 
 @_query(

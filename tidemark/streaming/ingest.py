@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -42,55 +43,127 @@ def ingest_stream(fetches: DataFrame, store: Store, checkpoint: str, *, limit: i
     return fetches.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-class _Marks(StatefulProcessor):
-    """Of each source: the mark, and the keys that were admitted and could be again, which are those above mark - grace."""
+#: Microseconds of a day, and parts that the keys of a day are kept in.
+_DAY, _PARTS = 86_400_000_000, 64
+
+
+class _Admission(StatefulProcessor):
+    """Of each source: its mark, the keys that were admitted and could be again, and the candidates that wait for a place.
+
+    Keys are looked up one by one, never read or written as a whole. Beside them they stand by day, so that those of days below mark - grace are found
+    and dropped; what waits stands by day too, so that the oldest are found by reading the oldest days only.
+    """
+
+    def __init__(self, limit: int | None):
+        self.limit = limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.mark = handle.getValueState("mark", "at timestamp")
-        self.seen = handle.getListState("seen", "id string, at timestamp")
+        self.mark = handle.getValueState("mark", "at long")
+        self.known = handle.getMapState("known", "id string", "at long")
+        self.by_day = handle.getMapState("by_day", "day long, part int", "ids array<string>")
+        self.waiting = handle.getMapState("waiting", "day long", "ids array<string>, ats array<long>")
+
+    def _learn(self, rows: list[tuple[int, str]]) -> None:
+        """Remember keys."""
+        for (day, part), some in _grouped((at // _DAY, zlib.crc32(i.encode()) % _PARTS) for at, i in rows).items():
+            had = self.by_day.getValue((day, part))[0] if self.by_day.containsKey((day, part)) else []
+            self.by_day.updateValue((day, part), (list(had) + [rows[n][1] for n in some],))
+        for at, i in rows:
+            self.known.updateValue((i,), (at,))
+
+    def _forget(self, before: int) -> None:
+        """Drop the keys of whole days before a time."""
+        if not self.by_day.exists():
+            return
+        for day, part in [k for k in self.by_day.keys() if (k[0] + 1) * _DAY <= before]:
+            for i in self.by_day.getValue((day, part))[0]:
+                self.known.removeKey((i,))
+            self.by_day.removeKey((day, part))
+
+    def _wait(self, rows: list[tuple[int, str]]) -> None:
+        for (day,), some in _grouped((at // _DAY,) for at, _ in rows).items():
+            ids, ats = self.waiting.getValue((day,)) if self.waiting.containsKey((day,)) else ([], [])
+            self.waiting.updateValue((day,), (list(ids) + [rows[n][1] for n in some], list(ats) + [rows[n][0] for n in some]))
+
+    def _next(self) -> tuple[list[tuple[int, str]], bool]:
+        """(the oldest ``limit`` of what waits, whether more does)."""
+        taken: list[tuple[int, str]] = []
+        for (day,) in sorted(tuple(k) for k in self.waiting.keys()) if self.waiting.exists() else ():
+            room = self.limit - len(taken)
+            if room <= 0:
+                return taken, True
+            ids, ats = self.waiting.getValue((day,))
+            rows = sorted(zip(ats, ids, strict=True))
+            taken += rows[:room]
+            if len(rows) > room:
+                self.waiting.updateValue((day,), ([i for _, i in rows[room:]], [at for at, _ in rows[room:]]))
+                return taken, True
+            self.waiting.removeKey((day,))
+        return taken, False
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        grace = pd.Timedelta(days=C.NEW_ITEM_GRACE_DAYS)
-        mark = pd.Timestamp(self.mark.get()[0]) if self.mark.exists() else None
-        seen = {i: pd.Timestamp(at) for i, at in self.seen.get()} if self.seen.exists() else {}
-        top, first = mark, None
+        mark = self.mark.get()[0] if self.mark.exists() else None
+        grace = C.NEW_ITEM_GRACE_DAYS * _DAY
+        first, latest, added = None, None, None
         for some in rows:
-            some = some.dropna(subset=["id", "published_at"]).drop_duplicates("id").sort_values(["published_at", "id"])
-            fresh = some if mark is None else some[some["published_at"] > mark - grace]
-            if not len(fresh):
+            pairs = sorted(set(zip(some["at"].tolist(), some["id"].tolist(), strict=True)))
+            fresh = [(at, i) for at, i in pairs if mark is None or at > mark - grace]
+            if not fresh:
                 continue
-            last = fresh.iloc[-1]
-            top = last["published_at"] if top is None else max(top, last["published_at"])
+            latest = max(fresh[-1][0], latest or fresh[-1][0])
             if mark is None:
-                if first is None or (last["published_at"], last["id"]) > (first["published_at"].iloc[0], first["id"].iloc[0]):
-                    first = fresh.tail(1)
+                first = max(fresh[-1], first or fresh[-1])
                 continue
-            new = fresh[~fresh["id"].isin(seen.keys())]
-            seen.update(zip(new["id"], new["published_at"], strict=True))
-            yield self._shaped(new, key)
+            once = {i: at for at, i in reversed(fresh)}  # of dates that differ the earliest
+            new = sorted((at, i) for i, at in once.items() if not self.known.containsKey((i,)))
+            self._learn(new)
+            if self.limit is not None:
+                self._wait(new)
+            elif new:
+                yield self._shaped(new, key)
+        more = False
         if first is not None:
-            seen.update(zip(first["id"], first["published_at"], strict=True))
-            yield self._shaped(first, key)
-        if top is not None:
-            self.mark.update((top.to_pydatetime(),))
-            self.seen.put([(i, at.to_pydatetime()) for i, at in seen.items() if at > top - grace])
+            self._learn([first])
+            yield self._shaped([first], key)
+        elif mark is not None and self.limit is not None:
+            taken, more = self._next()
+            added = taken[-1][0] if taken else None
+            if taken:
+                yield self._shaped(taken, key)
+        # while candidates wait, the mark stays at what was added, so that it passes none of them
+        reached = [x for x in (mark, added if more else latest) if x is not None]
+        if reached:
+            self.mark.update((max(reached),))
+            self._forget(max(reached) - grace)
 
     @staticmethod
-    def _shaped(new: pd.DataFrame, key) -> pd.DataFrame:
-        return new.assign(source_id=key[0])[["source_id", "id", "published_at"]]
+    def _shaped(new: list[tuple[int, str]], key) -> pd.DataFrame:
+        return pd.DataFrame({"source_id": [key[0]] * len(new), "id": [i for _, i in new], "at": [at for at, _ in new]}).astype({"at": "int64"})
 
     def close(self) -> None:
         pass
 
 
-def admit_stream(candidates: DataFrame) -> DataFrame:
-    """Admitted (source_id, id, published_at) of a stream of candidates, with the mark and the admitted keys as keyed state.
+def _grouped(keys) -> dict[tuple, list[int]]:
+    """The places of each key."""
+    out: dict[tuple, list[int]] = {}
+    for n, k in enumerate(keys):
+        out.setdefault(k, []).append(n)
+    return out
+
+
+def admit_stream(candidates: DataFrame, limit: int | None = None) -> DataFrame:
+    """Admitted (source_id, id, published_at) of a stream of candidates, with marks, admitted keys and what waits as keyed state.
 
-    For streams without a cap and a store; needs the RocksDB state provider. Cold sources admit their newest candidate of the first batch.
-    Candidates without a date or an id are never admitted. State holds the keys within the grace of each source's mark.
+    For streams without a store; needs the RocksDB state provider. Cold sources admit their newest candidate of the first batch. With a ``limit`` a source
+    admits so many a batch, the oldest first; the others wait in its state for its next batch, whether the stream shows them again or not.
+    Candidates without a source, date or id are never admitted; of rows that repeat an id in a batch the earliest date counts. State holds the keys
+    of the days within the grace of each source's mark, and what waits.
     """
-    keyed = candidates.select("source_id", "id", "published_at").groupBy("source_id")
-    return keyed.transformWithStateInPandas(_Marks(), "source_id string, id string, published_at timestamp", "append", "none")
+    keyed = candidates.where("source_id is not null and id is not null and published_at is not null")
+    keyed = keyed.select("source_id", "id", F.unix_micros("published_at").alias("at")).groupBy("source_id")
+    out = keyed.transformWithStateInPandas(_Admission(None if limit is None else max(0, int(limit))), "source_id string, id string, at long", "append", "none")
+    return out.select("source_id", "id", F.timestamp_micros("at").alias("published_at"))
 
 
 def follow(store: Store, view: Callable[[Store], DataFrame], seen: int = -1, *, every: float = 0.2, until: Callable[[], bool] = lambda: True) -> Iterator[tuple[int, DataFrame]]:
