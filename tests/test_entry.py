@@ -49,9 +49,9 @@ def test_whole_document_queries(spark, tmp_path):
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     day = lambda i: f"2023-01-0{i + 1}"
     appended = {i: f"{day(i)} 00 {day(i)} 00 {day(i)} 02 {day(i)} 00" for i in texts}
-    got = dict(tuple(r) for r in QUERIES["find_dates_all"](spark, str(tmp_path)).collect())
+    got = dict(tuple(r) for r in QUERIES["find_dates"](spark, str(tmp_path)).collect())
     assert got == appended | {1: f"2019-05-01 00 2020-03-04 00 {appended[1]}"}
-    lines = {r["doc_id"]: (r["line"], r["units"]) for r in QUERIES["space_and_units_all"](spark, str(tmp_path)).collect()}
+    lines = {r["doc_id"]: (r["line"], r["units"]) for r in QUERIES["space_and_units"](spark, str(tmp_path)).collect()}
     assert lines == {i: (" ".join(t.split()), len(t.encode("utf-16-le")) // 2) for i, t in texts.items()}
 
 

@@ -17,7 +17,8 @@ from tidemark.operators.run import claim, finish, refresh, resummarize, summariz
 from tidemark.sources.store import Fenced, Store, append_new, get, merge
 from tidemark.operators import settings as O
 from tidemark.sources.seed import seed_sources, targets
-from tidemark.streaming.ingest import admit_stream, follow, ingest_stream
+from tidemark.streaming.ingest import admit_stream, ingest_stream
+from tidemark.streaming.live import live
 
 DAY = timedelta(days=1)
 BASE = datetime(2026, 9, 1)
@@ -504,15 +505,24 @@ def test_a_patch_that_dies_loses_nothing(spark, tmp_path, monkeypatch):
 
 
 def test_live_view(spark, tmp_path):
-    store, turns = Store(spark, str(tmp_path / "store")), iter([False, False, True])
-
-    def step():
-        if not (last := next(turns)):
-            store.write(append={"articles": articles(spark, {"id": str(store.version())})})
-        return last
-
-    counts = [rows.count() for _, rows in follow(store, lambda s: s.read("articles"), every=0, until=step)]
-    assert counts == [1, 2]
+    """Each write is shown; a query that is started again goes on after the last one that it showed."""
+    store, shown = Store(spark, str(tmp_path / "store")), []
+    show = lambda version, view: shown.append((version, view.count()))
+
+    def writes(*names):
+        query = live(store, lambda s: s.read("articles"), show, str(tmp_path / "ck"), every="0 seconds")
+        try:
+            for n in names:
+                store.write(append={"articles": articles(spark, {"id": n})})
+                query.processAllAvailable()
+        finally:
+            query.stop()
+
+    writes("a", "b")
+    assert shown == [(1, 1), (2, 2)]
+    store.write(append={"articles": articles(spark, {"id": "c"})})  # while nobody looks
+    writes("d")
+    assert shown[-1] == (4, 4) and len({v for v, _ in shown}) == len(shown)
 
 
 class _Refused(Exception):

@@ -187,10 +187,20 @@ def test_fetch(spark):
 @pytest.fixture
 def web():
     """A web server on this machine: RSS at /f.xml, a large page at /big, an image at /i; the rest is not there."""
-    pages = {"/f.xml": ("text/xml", RSS.encode()), "/big": ("text/html; charset=utf-8", b"x" * 300_000), "/i": ("image/png", b"png")}
+    pages = {"/f.xml": ("text/xml", RSS.encode()), "/big": ("text/html; charset=utf-8", b"x" * 300_000), "/i": ("image/png", b"png"), "/odd": ("text/html; charset=no-such-set", "é".encode()), "/once": ("text/html", b"at last")}
+    asked = []
 
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self):  # noqa: N802
+            asked.append(self.path)
+            if self.path == "/cut":  # a chunked body that ends within a chunk
+                self.wfile.write(b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nff\r\nshort")
+                return
+            if self.path in ("/ftp", "/busy") or self.path == "/once" and asked.count("/once") < 3:
+                self.send_response({"/ftp": 302, "/busy": 429, "/once": 503}[self.path])
+                self.send_header("Retry-After", "7") if self.path == "/busy" else self.send_header("Location", "ftp://127.0.0.1/x")
+                self.end_headers()
+                return
             kind, body = pages.get(self.path, (None, b""))
             self.send_response(404 if kind is None else 304 if self.headers.get("If-None-Match") == "e1" else 200)
             if kind:
@@ -226,3 +236,77 @@ def test_pages_are_capped_and_html_only(spark, web):
     got = {r["id"]: r["html"] for r in H.fetch_pages(asked, most=100_000).collect()}
     assert set(got) == {"big", "i"} and got["i"] is None and 100_000 < len(got["big"]) <= 100_000 + (1 << 16)
     assert len({r["id"]: r["html"] for r in H.fetch_pages(asked).collect()}["big"]) == 300_000
+
+
+def test_failures_are_rows(spark, web):
+    """One bad site is a row with its error; the others are fetched."""
+    urls = {"cut": f"{web}/cut", "odd": f"{web}/odd", "ftp": f"{web}/ftp", "none": "http://127.0.0.1:9/", "host": "http://no host/", "ok": f"{web}/f.xml"}
+    asked = spark.createDataFrame([(k, u, None, None) for k, u in urls.items()], "source_id string, url string, etag string, last_modified string")
+    got = {r["source_id"]: r for r in H.outcome(H.fetch(asked)).collect()}
+    assert {k: r["kind"] for k, r in got.items()} == {"cut": "failed", "odd": "ok", "ftp": "failed", "none": "failed", "host": "failed", "ok": "ok"}
+    assert got["odd"]["body"] == "é" and all(got[k]["error"] and got[k]["body"] is None for k in ("cut", "ftp", "none", "host"))
+    assert H.http_get(f"{web}/cut")["error"] and "ftp" in H.http_get(f"{web}/ftp")["error"]
+
+
+def test_retries(web):
+    waits = []
+    assert H.get_with_retries(f"{web}/once", sleep=waits.append)["body"] == "at last" and waits == [1.0, 2.0]
+    waits.clear()
+    assert H.get_with_retries(f"{web}/busy", sleep=waits.append)["status"] == 429 and waits == [7, 7]
+    waits.clear()
+    for url in (f"{web}/none", "file:///etc/hostname", f"{web}/ftp"):
+        assert H.get_with_retries(url, sleep=waits.append)["error"] and waits == []
+    assert H.get_with_retries("http://127.0.0.1:9/", attempts=2, sleep=waits.append)["status"] is None and waits == [1.0]
+
+
+def test_only_asked_targets_are_fetched(spark, web):
+    """A filter on the id reaches the source: other pages are not asked for."""
+    import json
+
+    H.register(spark)
+    key = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        targets = [{"source_id": str(i), "url": f"{web}/{i}"} for i in range(6)] + [{"source_id": "x", "url": f"{web}/f.xml"}]
+        read = spark.read.format("http_fetch").option("pushFilters", "true").option("targets", json.dumps(targets)).load()
+        assert [r["body"] for r in read.where("source_id = 'x'").collect()] == [RSS]
+        assert read.where("source_id in ('1', '2') and status = 404").count() == 2
+        reader = H._FilteredReader({"targets": json.dumps(targets)}, read.schema)
+        left = list(reader.pushFilters([H.EqualTo(("source_id",), "x"), H.EqualTo(("status",), 200)]))
+        assert [t["source_id"] for t in reader.asked.targets] == ["x"] and len(left) == 1
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_fetch_stream(spark, tmp_path, web):
+    """Rounds by the clock, a task a host, with the validators that are kept after a round."""
+    import json
+    import time
+
+    H.register(spark)
+    targets = [{"source_id": "a", "url": f"{web}/f.xml"}, {"source_id": "b", "url": f"{web}/none"}, {"source_id": "c", "url": web.replace("127.0.0.1", "localhost") + "/i"}]
+    assert [[t["source_id"] for t in some] for some in H.by_host(targets)] == [["a", "b"], ["c"]]
+    notes, out = str(tmp_path / "notes" / "validators.json"), str(tmp_path / "out")
+    stream = spark.readStream.format("http_fetch").schema(H.FETCHES + ", fetched_at timestamp").option("targets", json.dumps(targets)).option("intervalSeconds", "2").option("validators", notes).load()
+
+    def keep(batch, number):
+        batch = batch.persist()
+        batch.write.mode("overwrite").parquet(f"{out}/n={number}")
+        fresh = batch.where("etag is not null").selectExpr("source_id id", "etag", "last_modified")
+        if fresh.count():
+            H.write_validators(notes, fresh)
+        batch.unpersist()
+
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(120):
+            time.sleep(0.5)
+            if len(list(tmp_path.glob("out/n=*/_SUCCESS"))) >= 3:
+                break
+    finally:
+        query.stop()
+    rows = spark.read.parquet(out).where("n < 3").collect()
+    status = {(r["n"], r["source_id"]): r["status"] for r in rows}
+    assert status[0, "a"] == 200 and status[1, "a"] == 304 and status[0, "b"] == 404 and {r["source_id"] for r in rows} == {"a", "b", "c"}
+    assert all(r["fetched_at"] for r in rows)

@@ -395,12 +395,6 @@ def space_and_units(spark, d):
     return _spaces(_t(spark, d, "documents"))
 
 
-@_query(_SPACES_SQL)
-def space_and_units_all(spark, d):
-    """The name under which space_and_units ran over all documents when it did not itself."""
-    return space_and_units(spark, d)
-
-
 def _spaces(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", X.collapse_space(F.col("text")).alias("line"), X.utf16_length(F.col("text")).alias("units"))
 

@@ -21,6 +21,7 @@ from tidemark.sources.listing import read_listings
 from tidemark.sources.page import page_dates, page_texts
 from tidemark.sources.store import Store, shared_root
 from tidemark.streaming.ingest import admit_stream
+from tidemark.streaming.live import live
 
 _AT = datetime(2024, 2, 1, tzinfo=UTC)
 # A day of 2023 for each document, in SQL and as a column.
@@ -90,12 +91,6 @@ def find_dates(spark, d):
     return _dates(_t(spark, d, "documents"))
 
 
-@_query(_DATES_SQL)
-def find_dates_all(spark, d):
-    """The name under which find_dates ran over all documents when it did not itself."""
-    return find_dates(spark, d)
-
-
 def _dates(docs: DataFrame) -> DataFrame:
     forms = (F.date_format(_day(), "MMMM d, yyyy"), F.date_format(_day(), "d MMM yyyy"), F.concat(F.date_format(_day(), "yyyy-MM-dd"), F.lit("T03:00:00+01:00")), F.date_format(_day(), "yyyy/MM/dd"))
     text = F.concat_ws(" . ", "text", *forms)
@@ -258,6 +253,28 @@ def stream_cap(spark, d):
     return _ntz(_streamed(spark, d, weeks, rows // (5 * _CAP * max(1, many)) + 1), "published_at")
 
 
+@_query(
+    f"WITH w AS (SELECT event_type, date_diff('day', TIMESTAMP '2024-01-01', ts) // {_WEEKS} AS week FROM events), t AS (SELECT week, CAST(dense_rank() OVER (ORDER BY week) AS BIGINT) AS version FROM (SELECT DISTINCT week FROM w)) "
+    "SELECT version, event_type AS source_id, count(*) AS articles FROM t JOIN w ON w.week <= t.week GROUP BY ALL"
+)
+def live_counts(spark, d):
+    """What a live query shows of a store that grows by eight days of events a write: after each write the articles of each source."""
+    root = f"{shared_root(spark)}/live-{uuid.uuid4().hex}"
+    store = Store(spark, f"{root}/store")
+    events = _events(spark, d).withColumn("week", F.floor(F.datediff("ts", F.lit("2024-01-01")) / _WEEKS))
+    rows = events.select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("source_id"), "week")
+    counts = lambda s: s.read("articles").groupBy("source_id").agg(F.count("*").alias("articles"))
+    show = lambda version, view: view.withColumn("version", F.lit(version).cast("long")).write.mode("overwrite").parquet(f"{root}/shown/version={version}")
+    query = live(store, counts, show, f"{root}/checkpoint", every="0 seconds")
+    try:
+        for turn in sorted(r[0] for r in events.select("week").distinct().collect()):
+            store.write(append={"articles": _shaped(rows.where(F.col("week") == turn).drop("week"), ARTICLES)})
+            query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.schema("version long, source_id string, articles long").parquet(f"{root}/shown").select("version", "source_id", "articles")
+
+
 def _streamed(spark, d, period: Column, limit: int | None) -> DataFrame:
     """What a stream of all events admits that arrive period by period."""
     root = f"{shared_root(spark)}/stream-commit-{uuid.uuid4().hex}"

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import time
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -165,17 +164,3 @@ def admit_stream(candidates: DataFrame, limit: int | None = None) -> DataFrame:
     out = keyed.transformWithStateInPandas(_Admission(None if limit is None else max(0, int(limit))), "source_id string, id string, at long", "append", "none")
     return out.select("source_id", "id", F.timestamp_micros("at").alias("published_at"))
 
-
-def follow(store: Store, view: Callable[[Store], DataFrame], seen: int = -1, *, every: float = 0.2, until: Callable[[], bool] = lambda: True) -> Iterator[tuple[int, DataFrame]]:
-    """(version, view) now and after each write that follows, as long as ``until`` is false; a live query.
-
-    A view is built anew from the store's tables only when their version changed. Writes that come faster than they are looked for are seen as one.
-    """
-    while True:
-        last = until()
-        if (version := store.version()) != seen:
-            seen = version
-            yield version, view(store)
-        if last:
-            return
-        time.sleep(every)
