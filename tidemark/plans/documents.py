@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates as D
+from tidemark.functions import text as X
 from tidemark.operators import enrich as E
 from tidemark.operators import views as V
 from tidemark.operators.candidates import to_candidates
@@ -18,8 +19,9 @@ from tidemark.plans.catalog import NOW, _events, _ntz, _query, _shaped, _t
 from tidemark.schemas import ARTICLES, CHATS, SOURCES
 from tidemark.sources.feed import read_feeds
 from tidemark.sources.listing import read_listings
-from tidemark.sources.page import page_dates, page_texts
+from tidemark.sources.page import date_report, page_dates, page_texts
 from tidemark.sources.store import Store, shared_root
+from tidemark.sources.structured import structured_items as read_structured
 from tidemark.streaming.ingest import admit_stream
 from tidemark.streaming.live import live
 
@@ -179,6 +181,62 @@ def listing_items(spark, d):
     return _ntz(got, "published_at")
 
 
+_LINE_SQL = r"trim(regexp_replace(text, '[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', ' ', 'g'))"
+
+
+@_query(
+    f"WITH d AS (SELECT doc_id, CASE WHEN {_LINE_SQL} <> '' THEN {_LINE_SQL} END AS line, {_DAY_SQL} AS day FROM documents) "
+    "SELECT doc_id, CAST(0 AS INTEGER) AS at, '/p/' || doc_id AS address, line AS title, day AS published_at FROM d WHERE doc_id % 5 IN (0, 2, 3) "
+    "UNION ALL SELECT doc_id, CAST(n AS INTEGER), '/l/' || doc_id || '/' || n, coalesce(line, 'Named'), CASE WHEN n = 1 THEN day END FROM d, range(3) r(n) WHERE doc_id % 5 = 1"
+)
+def structured_items(spark, d):
+    """Each document as the headline of an article in ld+json: in a graph in a list, an item list of three, a list of types with the address in mainEntityOfPage, alone after a broken
+    script; every fifth is in a comment, of another type, or has no address that is a string."""
+    docs = _t(spark, d, "documents").select("doc_id", "text", F.date_format(_day(), "yyyy-MM-dd").alias("day"))
+    i, text, day = F.col("doc_id").cast("string"), F.col("text"), F.col("day")
+    json = lambda **fields: F.replace(F.to_json(F.struct(*(F.lit(v).alias(k) if isinstance(v, str) else v.alias(k) for k, v in fields.items()))), F.lit("</"), F.lit("<\\/"))
+    at = lambda kind, v: F.concat(F.lit(f'{{"@type":{kind},'), F.substring(v, F.lit(2), F.length(v)))
+    script = lambda *parts: F.concat(F.lit('<script type="application/ld+json">'), *parts, F.lit("</script>"))
+    post = at('"BlogPosting"', json(url=F.concat(F.lit("/p/"), i), headline=text, name="no", datePublished=day))
+    listed = [json(url=F.concat(F.lit("/l/"), i, F.lit("/0")), headline=text, name="Named")]
+    listed.append(F.concat(F.lit('{"position":2,"item":'), json(url=F.concat(F.lit("/l/"), i, F.lit("/1")), headline=text, name="Named", datePublished=day), F.lit("}")))
+    listed.append(json(url=F.concat(F.lit("/l/"), i, F.lit("/2")), name=F.when(F.trim(X.collapse_space(text)) == "", "Named").otherwise(F.coalesce(text, F.lit("Named"))), datePublished="soon"))
+    typed = at('["Thing","Article",3]', json(headline=text, datePublished=day))
+    page = F.concat(F.substring(typed, F.lit(1), F.length(typed) - 1), F.lit(',"mainEntityOfPage":{"@id":"/p/'), i, F.lit('"}}'))
+    forms = F.array(
+        script(F.lit('[{"@context":"x","@graph":[{"@type":"Person","url":"/no","name":"x"},'), post, F.lit("]}]")),
+        script(F.lit('{"@type":"ItemList","itemListElement":['), F.concat_ws(",", *listed), F.lit(',7,{"position":4}]}')),
+        script(page),
+        F.concat(script(F.lit('{"@type":"BlogPosting","url":"/broken"')), F.lit("<script>var s = '<!--';</script>"), F.regexp_replace(script(post), "^<script type", "<SCRIPT async type")),
+        F.concat(F.lit("<!-- "), script(F.lit('{"@type":"Article","url":"/hidden"}')), F.lit(" -->"), script(F.lit('{"@type":"Recipe","url":"/r"}')), script(F.lit('{"@type":"Article","url":7,"name":"n"}'))),
+    )
+    items = read_structured(docs.select("doc_id", F.element_at(forms, (F.col("doc_id") % 5 + 1).cast("int")).alias("html")))
+    return _ntz(items.select("doc_id", F.col("place.at").alias("at"), "address", "title", "published_at"), "published_at")
+
+
+_FOUND_ROWS = (
+    ("time", 0, "'PT8M'"), ("time", 1, "day"), ("meta", 0, "day"), ("meta", 1, "'soon'"), ("ld+json", 0, "day"), ("ld+json", 1, "'never'"), ("embedded", 0, "day || 'T00:00:00+00:00'"),
+    ("text", 0, "'was made on ' || day || ' and is full of long words'"), ("anchor", 0, "'/one'"), ("anchor", 1, "'/two'"), ("anchor", 2, "'/three'"),
+)
+
+
+@_query(
+    f"WITH p AS (SELECT page_id, strftime({_DAY_SQL.replace('doc_id', 'page_id')}, '%Y-%m-%d') AS day FROM pages) "
+    + " UNION ALL ".join(f"SELECT page_id, '{kind}' AS kind, {place} AS place, {value} AS value FROM p" for kind, place, value in _FOUND_ROWS)
+)
+def date_findings(spark, d):
+    """The date report of each page, of which the head and the first lines are planted: findings of all six kinds."""
+    parts = (
+        '<html><head><meta name="pubdate" content="', None, '"><meta property="article:modified" content="soon"><meta name="author" content="x"><script type="application/ld+json">{"datePublished":"', None,
+        '","@graph":[{"datePublished":"never"},{"datePublished":3}]}</script><script>x = {"publishedAt":"', None, '"}</script></head><body><p>This page was made on ', None,
+        ' and is full of long words, and more of them.</p><time datetime="PT8M"></time><time datetime="', None, '"></time><a href="/one">1</a><a href="/two">2</a><a href="/three">3</a>',
+    )
+    day = F.date_format(_day("page_id"), "yyyy-MM-dd")
+    html = F.concat(*(day if p is None else F.lit(p) for p in parts), F.regexp_replace(F.coalesce("html", F.lit("")), "(?is)^.*?<body[^>]*>", ""))
+    found = date_report(_t(spark, d, "pages").select("page_id", html.alias("html")), _AT)
+    return found.select("page_id", "kind", "place", F.when(F.col("kind") == "text", F.regexp_replace("value", "^This page |,.*$", "")).otherwise(F.col("value")).alias("value"))
+
+
 _RUNS_SQL = (
     "WITH w AS (SELECT event_type, event_id, ts, CAST(floor(date_diff('day', TIMESTAMP '2024-01-01', ts) / 16) AS INTEGER) AS week FROM events), "
     "f AS (SELECT event_type, min(week) AS cold FROM w GROUP BY 1), "

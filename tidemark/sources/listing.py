@@ -13,15 +13,14 @@ from pyspark.sql import functions as F
 from tidemark import constants as C
 from tidemark.functions import url as U
 from tidemark.functions.dates import dates_in, parse_moment
-from tidemark.sources import jsonld
 from tidemark.sources.dom import Element, parse_html
+from tidemark.sources.structured import structured_items
 
-# Types of structured data that are articles, headings, and what holds navigation.
-ARTICLE_TYPES = frozenset({"BlogPosting", "NewsArticle", "Article"})
+# Headings, and what holds navigation.
 HEADINGS = ("h1", "h2", "h3", "h4")
 NAVIGATION, NAVIGATION_ROLES = ("nav", "header", "footer"), ("navigation", "menu")
 
-_RAW = "url string, title string, published_at timestamp, structured boolean, plausible boolean"
+_RAW = "url string, title string, published_at timestamp, plausible boolean"
 
 
 def _one_line(s: str | None) -> str:
@@ -40,30 +39,6 @@ def absolute(href: str, base: str) -> str | None:
     return joined + "/" if parts.netloc and not parts.path and not parts.query else joined
 
 
-def _structured(root: Element) -> Iterator[tuple[str, str | None, datetime | None]]:
-    """(url, title, date) of the articles in ld+json."""
-
-    def address(node: dict) -> str | None:
-        main = node.get("mainEntityOfPage")
-        return jsonld.text_field(node, "url") or (main if isinstance(main, str) and main else jsonld.text_field(main, "@id"))
-
-    def described(*nodes: dict) -> tuple[str | None, str | None, datetime | None]:
-        first = lambda f: next((v for n in nodes if isinstance(n, dict) and (v := f(n))), None)
-        title = first(lambda n: jsonld.text_field(n, "headline") or jsonld.text_field(n, "name"))
-        return first(address), _one_line(title) or None, first(lambda n: parse_moment(jsonld.text_field(n, "datePublished")))
-
-    for doc in jsonld.documents(root):
-        for node in jsonld.nodes(doc, deep=False):
-            kinds = node.get("@type")
-            kinds = {kinds} if isinstance(kinds, str) else {k for k in kinds if isinstance(k, str)} if isinstance(kinds, list) else set()
-            if "ItemList" in kinds:
-                listed = node.get("itemListElement")
-                found = [described(x, x.get("item")) for x in listed if isinstance(x, dict)] if isinstance(listed, list) else []
-            else:
-                found = [described(node)] if kinds & ARTICLE_TYPES else []
-            yield from (f for f in found if f[0])
-
-
 class _Dates:
     """Dates near anchors; each element's text is read once a page."""
 
@@ -104,32 +79,39 @@ def _anchor(e: Element, dates: _Dates) -> tuple[str, bool, datetime | None]:
 
 
 def _links(html: str, base: str, now: datetime) -> list[dict]:
-    """All links of a page in document order, structured ones first."""
+    """All anchors of a page in document order."""
     root = parse_html(html)
-    rows = [{"url": absolute(u, base), "title": t, "published_at": d, "structured": True, "plausible": bool(t)} for u, t, d in _structured(root)]
-    dates = _Dates(now)
+    rows, dates = [], _Dates(now)
     for e in root.walk():
         if e.tag == "a" and "href" in e.attrs and not e.attrs["href"].strip().lower().startswith(("#", "javascript:", "mailto:")) and e.attrs["href"].strip():
             title, good, at = _anchor(e, dates)
-            rows.append({"url": absolute(e.attrs["href"], base), "title": title, "published_at": at, "structured": False, "plausible": good})
+            rows.append({"url": absolute(e.attrs["href"], base), "title": title, "published_at": at, "plausible": good})
     return [r for r in rows if r["url"]]
 
 
+def _absolute(href: pa.Array, base: pa.Array) -> pa.Array:
+    return pa.array([None if h is None else absolute(h, b or "") for h, b in zip(href.to_pylist(), base.to_pylist(), strict=True)], pa.string())
+
+
 def read_listings(pages: DataFrame, now: datetime) -> DataFrame:
     """Article links of listing pages(page, html, base_url, pattern, exclude_pattern): (page, pos, url, title, published_at).
 
-    Python reads the tree only; URL rules, structured-first and first-of-a-key are column expressions. Links of structured data win if any
+    Python reads the tree of anchors only; structured data, URL rules, structured-first and first-of-a-key are column expressions. Links of structured data win if any
     passes the rules. Keys are canonical URLs, results keep the original. A pattern that is no regex fails; a null
     exclude_pattern excludes nothing.
     """
-    kind = pa.list_(pa.struct([("url", pa.string()), ("title", pa.string()), ("published_at", pa.timestamp("us", "UTC")), ("structured", pa.bool_()), ("plausible", pa.bool_())]))
+    kind = pa.list_(pa.struct([("url", pa.string()), ("title", pa.string()), ("published_at", pa.timestamp("us", "UTC")), ("plausible", pa.bool_())]))
 
     def run(html: pa.Array, base: pa.Array) -> pa.Array:
         return pa.array([[] if h is None else _links(h, b, now) for h, b in zip(html.to_pylist(), base.to_pylist(), strict=True)], kind)
 
-    links = F.arrow_udf(run, f"array<struct<{_RAW}>>")
-    found = pages.select("page", "base_url", "pattern", "exclude_pattern", F.posexplode(links("html", "base_url")).alias("pos", "l"))
-    found = found.select("*", "l.*", U.normalize_url(F.col("l.url")).alias("key")).drop("l")
+    links, site = F.arrow_udf(run, f"array<struct<{_RAW}>>"), ["page", "base_url", "pattern", "exclude_pattern"]
+    anchors = pages.select(*site, F.posexplode(links("html", "base_url")).alias("at", "l"))
+    anchors = anchors.select(*site, F.lit(False).alias("structured"), F.struct(F.lit(0).alias("_node"), "at").alias("pos"), "l.*")
+    told = structured_items(pages.select(*site, "html"))
+    url = F.arrow_udf(_absolute, "string")("address", "base_url")
+    told = told.select(*site, F.lit(True).alias("structured"), F.col("place").alias("pos"), url.alias("url"), "title", "published_at", F.coalesce(F.col("title") != "", F.lit(False)).alias("plausible"))
+    found = anchors.unionByName(told).where("url is not null").withColumn("key", U.normalize_url(F.col("url")))
     listing = F.col("base_url")
     ruled = found.where(
         F.col("plausible")
