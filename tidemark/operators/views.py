@@ -138,6 +138,11 @@ def failed_primaries(tests: DataFrame, seed: DataFrame) -> DataFrame:
     return failed.join(seed.where("listing_url is not null and listing_link_pattern is not null").select("name", "id", "listing_url", "listing_link_pattern"), "name")
 
 
+def rescued_names(tests: DataFrame, rescued: DataFrame) -> DataFrame:
+    """(name): the failed primaries of checks(name, is_primary, ok) that rescued(name) has, a row each; all that ``health`` names some of."""
+    return tests.where("is_primary and not ok").select("name").distinct().join(rescued.select("name").distinct(), "name", "left_semi")
+
+
 def health(tests: DataFrame, rescued: DataFrame, most: int = 30) -> DataFrame:
     """One row on checks(name, is_primary, ok): primaries that work, all primaries, the failed ones that a listing rescues (the first
     ``most`` names), and how many are left. Each task counts and cuts before rows move.

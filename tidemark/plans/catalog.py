@@ -91,11 +91,11 @@ def page_dedupe_first_wins(spark, d):
 
 @_query(
     f"SELECT page_id, regexp_matches({_N}, '[?&]page(=|&|$)') AS paged, regexp_matches({_N}, '/en/[0-9]+') AS included, "
-    f"regexp_matches({_N}, 'spam|pills') AS rejected FROM pages"
+    f"regexp_matches({_N}, 'spam|pills') AS rejected, regexp_matches({_N}, '[?&]page(=|&|$)') OR regexp_matches({_N}, '/(en|fr)/[0-9]*7$') AS excluded FROM pages"
 )
 def url_exclusions(spark, d):
     key = U.normalize_url(F.col("url"))
-    return _t(spark, d, "pages").select("page_id", U.has_page_query(key).alias("paged"), key.rlike("/en/[0-9]+").alias("included"), key.rlike("spam|pills").alias("rejected"))
+    return _t(spark, d, "pages").select("page_id", U.has_page_query(key).alias("paged"), key.rlike("/en/[0-9]+").alias("included"), key.rlike("spam|pills").alias("rejected"), U.excluded(key, F.lit("https://l.example/"), "/(en|fr)/[0-9]*7$").alias("excluded"))
 
 
 @_query(
@@ -126,7 +126,8 @@ def truncate_text(spark, d):
 @_query("SELECT sha256(text) AS id, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
 def exact_dedupe_text(spark, d):
     keyed = _t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("id"))
-    return keyed.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    copies = keyed.groupBy("id").agg(F.count("*").alias("copies"))
+    return first_of_key(keyed, "id", order="doc_id").join(copies, "id").select("id", "doc_id", "copies")
 
 
 @_query(

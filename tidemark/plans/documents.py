@@ -115,6 +115,28 @@ def page_date(spark, d):
     return _ntz(got.select("page_id", "published_at"), "published_at")
 
 
+@_query(f"SELECT page_id, {_DAY_SQL.replace('doc_id', 'page_id')} AS published_at FROM pages")
+def page_text_date(spark, d):
+    """Pages that are dated by their text only: the one date around the first heading, or without a heading the first date of the body; scripts and styles are no text."""
+    named, slashed = F.date_format(_day("page_id"), "MMMM d, yyyy"), F.date_format(_day("page_id"), "yyyy/MM/dd")
+    unseen = F.lit("<script>var d = 'May 1, 2011';</script><style>/* 2012-01-01 */</style><noscript>2013-01-01</noscript><template><h1>2014-01-01</h1></template>")
+    around = F.concat(unseen, F.lit("<section><div><h1>A heading</h1></div><p>Posted "), named, F.lit("</p></section><p>Since 2015-01-01 and 2016-01-01</p>"), F.coalesce("html", F.lit("")))
+    first = F.concat(F.lit("$1"), unseen, F.lit("<p>On "), slashed, F.lit(" and on 2016-01-01</p>"))
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce("html", F.lit("")), "(?i)</?h1[^>]*>", ""), F.lit("(?i)^(.*?<body[^>]*>|(?!.*<body))"), first)
+    pages = _t(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, around).otherwise(bare).alias("html"))
+    return _ntz(page_dates(pages, _AT).select("page_id", "published_at"), "published_at")
+
+
+@_query("SELECT page_id, CASE WHEN 1980 + page_id % 60 BETWEEN 2002 AND 2025 THEN make_timestamp(1980 + page_id % 60, 7, 1, 0, 0, 0) END AS published_at FROM pages")
+def page_epoch(spark, d):
+    """Pages dated by a number in a script, in seconds or milliseconds, of years that are plausible or not: before September 2001 they have fewer digits than a date's."""
+    year = 1980 + F.col("page_id") % 60
+    seconds = F.unix_timestamp(F.make_timestamp(year, F.lit(7), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
+    number = F.when(F.col("page_id") % 2 == 0, seconds).otherwise(seconds * 1000).cast("string")
+    html = F.concat(F.lit('<script>window.x = {"publishedAt":'), number, F.lit("}</script>"), F.coalesce("html", F.lit("")))
+    return _ntz(page_dates(_t(spark, d, "pages").select("page_id", html.alias("html")), _AT).select("page_id", "published_at"), "published_at")
+
+
 @_query("SELECT page_id, lpad(CAST(1000 + page_id * 37 % 9000 AS VARCHAR), 4, '0') || '-12-31' AS day FROM pages")
 def page_far_date(spark, d):
     """Pages dated anywhere between the years 1000 and 9999."""
