@@ -176,6 +176,10 @@ SUMMARY = '{"headline":"h","brief":"b","digest":["x","y"],"detail":"d","tags":[]
         ("no json", False),
         ("{", False),
         ("[1]", False),
+        (f"[{SUMMARY}]", False),  # JSON, but no object
+        (SUMMARY.replace('["x","y"]', '["x",null]'), False),
+        (SUMMARY.replace('["x","y"]', '{"x":1}'), False),
+        (None, False),
     ],
 )
 def test_parse_summary(spark, text, ok):

@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
-from tidemark.schemas import SUMMARY
 
 #: White space of browsers: Java's \s lacks the non-ASCII ones.
 SPACE = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
@@ -108,22 +107,27 @@ def summary_as_text(summary: Column) -> Column:
     return F.array_join(F.filter(parts, lambda p: F.length(p) > 0), "\n\n")
 
 
-def _strict_summary(text: Column) -> Column:
-    v = F.try_parse_json(text)
-    kinds = {"$.headline": "STRING", "$.brief": "STRING", "$.detail": "STRING"}
+def _strict_summary(v: Column) -> Column:
+    """The summary struct of a variant; null if a field is missing or of another type."""
+    texts, lists = ("headline", "brief", "detail"), ("digest", "tags")
+    is_text = lambda x: F.coalesce(F.schema_of_variant(x) == "STRING", F.lit(False))
     ok = F.lit(True)
-    for path, kind in kinds.items():
-        ok = ok & (F.schema_of_variant(F.try_variant_get(v, path, "variant")) == kind)
-    for path in ("$.digest", "$.tags"):
-        ok = ok & F.schema_of_variant(F.try_variant_get(v, path, "variant")).isin("ARRAY<STRING>", "ARRAY<VOID>")
-        ok = ok & F.forall(F.try_variant_get(v, path, "array<variant>"), lambda x: x.isNotNull() & (F.schema_of_variant(x) == "STRING"))
-    return F.when(F.coalesce(ok, F.lit(False)), F.from_json(text, SUMMARY.removeprefix("struct<").removesuffix(">").replace(":", " ")))
+    for name in texts:
+        ok = ok & is_text(F.try_variant_get(v, f"$.{name}", "variant"))
+    for name in lists:
+        ok = ok & F.coalesce(F.forall(F.try_variant_get(v, f"$.{name}", "array<variant>"), is_text), F.lit(False))
+    field = lambda name: F.try_variant_get(v, f"$.{name}", "array<string>" if name in lists else "string").alias(name)
+    return F.when(ok, F.struct(*map(field, ("headline", "brief", "digest", "detail", "tags"))))
 
 
 def parse_summary(text: Column) -> Column:
-    """The summary struct in a model's answer: the whole text as JSON, else from the first { to the last }; null if a type is wrong."""
+    """The summary struct in a model's answer: of the whole text if it is JSON, else of what is from the first { to the last }; null if a type is wrong.
+
+    The text is parsed once, and what is inside it only where the whole is no JSON.
+    """
     inner = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.coalesce(_strict_summary(text), _strict_summary(inner))
+    parsed = F.array(F.coalesce(F.try_parse_json(text), F.try_parse_json(inner)))
+    return F.element_at(F.transform(parsed, lambda v: _strict_summary(v)), 1)
 
 
 def error_message(kind: Column, status: Column, message: Column) -> Column:
