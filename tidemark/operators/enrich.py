@@ -123,9 +123,10 @@ def claim(articles: DataFrame, now: datetime, limit: int = C.MAX_SUMMARIES_PER_R
     A claim is a lease: who holds it for 15 minutes without a result has lost it.
     """
     waiting = articles.where(is_orphan(now))
-    top, rest = choose(waiting, limit)
-    claimed = top.withColumns({"status": F.lit("summarizing"), "summarizing_at": _at(now)})
-    return claimed, recover(rest.where(F.col("status") == "summarizing"), now)
+    keys = choose(waiting.select("id", "published_at"), limit)[0].select("id")  # chosen by key and date: texts don't move for it
+    claimed = waiting.join(keys, "id", "left_semi").withColumns({"status": F.lit("summarizing"), "summarizing_at": _at(now)})
+    stale = waiting.where(F.col("status") == "summarizing").join(keys, "id", "left_anti")
+    return claimed.select(articles.columns), recover(stale, now).select(articles.columns)
 
 
 def unclaimed(articles: DataFrame) -> DataFrame:

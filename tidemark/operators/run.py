@@ -81,9 +81,9 @@ def claim(store: Store, now: datetime, *, limit: int = C.MAX_SUMMARIES_PER_RUN,
     nothing, and returns what is claimed since ``now``.
     """
     if batch is None or store.batch(writer) != batch:
-        claimed, freed = E.claim(store.read("articles"), now, limit)
-        changed = _kept(claimed.unionByName(freed), "claimed")  # once: choosing again after a lost executor must not choose others
-        store.write(batch, writer, upsert={"articles": (changed, changed.select("id").limit(0))})
+        stored = store.read("articles")
+        claimed, freed = E.claim(stored, now, limit)
+        store.write(batch, writer, upsert={"articles": (claimed.unionByName(freed), stored.select("id").limit(0))})
     return store.read("articles").where((F.col("status") == "summarizing") & (F.col("summarizing_at") == F.lit(now).cast("timestamp")))
 
 
