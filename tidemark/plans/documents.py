@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from datetime import UTC, datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -225,14 +226,15 @@ def structured_items(spark, d):
     listed.append(json(url=F.concat(F.lit("/l/"), i, F.lit("/2")), name=F.when(F.trim(X.collapse_space(text)) == "", "Named").otherwise(F.coalesce(text, F.lit("Named"))), datePublished="soon"))
     typed = at('["Thing","Article",3]', json(headline=text, datePublished=day))
     page = F.concat(F.substring(typed, F.lit(1), F.length(typed) - 1), F.lit(',"mainEntityOfPage":{"@id":"/p/'), i, F.lit('"}}'))
-    forms = F.array(
+    forms = (
         script(F.lit('[{"@context":"x","@graph":[{"@type":"Person","url":"/no","name":"x"},'), post, F.lit("]}]")),
         script(F.lit('{"@type":"ItemList","itemListElement":['), F.concat_ws(",", *listed), F.lit(',7,{"position":4}]}')),
         script(page),
         F.concat(script(F.lit('{"@type":"BlogPosting","url":"/broken"')), F.lit("<script>var s = '<!--';</script>"), F.regexp_replace(script(post), "^<script type", "<SCRIPT async type")),
         F.concat(F.lit("<!-- "), script(F.lit('{"@type":"Article","url":"/hidden"}')), F.lit(" -->"), script(F.lit('{"@type":"Recipe","url":"/r"}')), script(F.lit('{"@type":"Article","url":7,"name":"n"}'))),
     )
-    items = read_structured(docs.select("doc_id", F.element_at(forms, (F.col("doc_id") % 5 + 1).cast("int")).alias("html")))
+    html = reduce(lambda chosen, n: chosen.when(F.col("doc_id") % 5 == n, forms[n]), range(1, 5), F.when(F.col("doc_id") % 5 == 0, forms[0]))  # only the row's own is built
+    items = read_structured(docs.select("doc_id", html.alias("html")))
     return _ntz(items.select("doc_id", F.col("place.at").alias("at"), "address", "title", "published_at"), "published_at")
 
 
