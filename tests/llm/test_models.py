@@ -47,12 +47,39 @@ def test_gru_gradients():
 
 def test_window_network_gradients():
     rng = np.random.default_rng(0)
-    around, target = rng.integers(0, 1025, (9, 4)), rng.integers(0, 1024, 9)
+    around, target = rng.integers(0, 1025, (9, 4)), np.concatenate([rng.integers(0, M.FREQUENT, 4), M.FREQUENT + rng.integers(0, M.CODES, 5)])
     p = M.new_params(rng, 5, np.float64)
+    logs = rng.normal(0, 1, (M.SECOND, M.RARE)), rng.normal(0, 1, (M.THIRD, M.RARE * M.SECOND))
     g = int(target[0]) // M.GROUP
     places = [("t", (k, int(around[2, k]), 1)) for k in range(4)] + [("b", (1,)), ("g", (1, g)), ("gb", (g,)), ("s", (g, 2, 3)), ("sb", (g, 4))]
-    _gradients_hold(p, lambda q: M.loss_and_grads(q, around, target), places)
-    assert M.log_probs(p, around, target).mean() == pytest.approx(-M.loss_and_grads(p, around, target)[0])
+    first, _, second, third = (int(x[0]) for x in M._digits(target[8:]))
+    places += [("t", (k, int(around[8, k]), 1)) for k in range(4)] + [("e", (first, 2)), ("u", (1, second)), ("d", (second, 3)), ("v", (4, third))]
+    _gradients_hold(p, lambda q: M.loss_and_grads(q, logs, around, target), places)
+    assert M.log_probs(p, logs, around, target).mean() == pytest.approx(-M.loss_and_grads(p, logs, around, target)[0])
+
+
+def test_codes_of_a_context_sum_to_one():
+    """Over all codes, whatever the neighbours, probabilities sum to one, and neighbours move each digit."""
+    rng = np.random.default_rng(3)
+    p = M.new_params(rng, 5, np.float64)
+    logs = rng.normal(0, 1, (M.SECOND, M.RARE)), rng.normal(0, 1, (M.THIRD, M.RARE * M.SECOND))
+    ids = np.arange(M.FREQUENT + M.CODES)
+    one, other = (M.log_probs(p, logs, np.tile(np.array(c), (len(ids), 1)), ids) for c in ([5, 6, 7, 8], [5, 900, 7, 1000]))
+    assert np.exp(one).sum() == pytest.approx(1) and np.exp(other).sum() == pytest.approx(1)
+    moved = (one - other)[M.FREQUENT :].reshape(M.RARE, M.SECOND, M.THIRD)
+    assert all(np.ptp(moved, axis=k).min() > 0 for k in (1, 2))
+
+
+def test_neighbours_move_rare_words(spark, docs):
+    """Of two rare words each is likelier between the neighbours that it was met with; all else in the texts is alike."""
+    rng = random.Random(8)
+    filler = [f"f{i}" for i in range(M.FREQUENT)]
+    rare = [f"r{i}" for i in range(40)]
+    text = lambda i, j: f"left{j} side{j} {rare[i]} right{j} end{j}"
+    rows = [text(i, i % 2) for i in range(40) for _ in range(30)] + [" ".join(rng.sample(filler, 200)) for _ in range(200)]
+    asked = [text(i, j) for i in range(40) for j in (0, 1)]
+    got = {r["doc_id"]: r["log_likelihood"] for r in M.score_documents(docs(*asked, *rows)).collect()}
+    assert sum(got[2 * i + i % 2] > got[2 * i + 1 - i % 2] for i in range(40)) >= 36
 
 
 def test_noisy_or_of_sentences():
@@ -253,10 +280,17 @@ def _by_hand(text, texts, p, frequent):
     hashed = lambda w: int(M.placed_words(*string_bytes(pa.array([w])), M._IN_WORD)[0][0])
     everything = Counter(low(w) for t in texts for w in split(t))
     own = [low(w) for w in split(text)]
-    symbol = lambda w: frequent.get(hashed(w), M.SYMBOLS - M.RARE + hashed(w) % M.RARE)
-    of_symbol = Counter()
+    digits = lambda w: (hashed(w) // 512 % 64, hashed(w) // 16 % 32, hashed(w) % 16)
+    symbol = lambda w: frequent.get(hashed(w), M.SYMBOLS - M.RARE + digits(w)[0])
+    of_symbol, mass, types, ours = Counter(), Counter(), Counter(), Counter()
     for w, n in everything.items():
         of_symbol[symbol(w)] += n
+        if hashed(w) not in frequent:
+            mass[digits(w)] += n
+            types[digits(w)] += 1
+            for k in (1, 2, 3):
+                ours[digits(w)[:k]] += own.count(w)
+    weight = lambda d: mass[d] + M.UNSEEN * max(1, types[d])
     total = sum(of_symbol.values()) + M.SYMBOLS
     s, log_likelihood = [symbol(w) for w in own], 0.0
     for i, w in enumerate(own):
@@ -267,10 +301,20 @@ def _by_hand(text, texts, p, frequent):
         g, j = divmod(s[i], M.GROUP)
         soft = lambda x: np.exp(x) / np.exp(x).sum()
         net = soft(h @ p["g"] + p["gb"])[g] * soft(h @ p["s"][g] + p["sb"][g])[j]
-        log_likelihood += np.log((1 - M.SMOOTH) * net + M.SMOOTH * (1 + of_symbol[s[i]]) / total)
-        if s[i] >= M.SYMBOLS - M.RARE:
-            others = {v: n - own.count(v) for v, n in everything.items() if symbol(v) == s[i]}
-            log_likelihood += np.log((others[w] + M.UNSEEN) / sum(n + M.UNSEEN for n in others.values()))
+        counted = (1 + of_symbol[s[i]]) / total
+        if hashed(w) not in frequent:
+            a, b, c = digits(w)
+            second = np.array([sum(weight((a, x, y)) for y in range(16)) for x in range(32)])
+            third = np.array([weight((a, b, y)) for y in range(16)])
+            whole = second.sum() - ours[a,]
+            second[b] -= ours[a, b]
+            third[c] -= ours[a, b, c]
+            h = h * p["e"][a]
+            tilt = lambda x, of: of * np.exp(x) / (of * np.exp(x)).sum()
+            net *= tilt(h @ p["u"], second)[b] * tilt(h * p["d"][b] @ p["v"], third)[c]
+            counted *= third[c] / whole
+            log_likelihood += np.log((everything[w] - own.count(w) + M.UNSEEN) / third[c])
+        log_likelihood += np.log((1 - M.SMOOTH) * net + M.SMOOTH * counted)
     return len(own), log_likelihood
 
 

@@ -1,9 +1,11 @@
 """Language-model scores by masked pseudo-likelihood.
 
 Every token is predicted from the tokens on both of its sides by a small window network, trained in numpy; the sum of the log
-conditional probabilities scores a document. The network is fitted to all texts, in replicas that are averaged. It predicts symbols: a
-frequent word is its own, every other word shares one of RARE classes and has, within it, the probability of its count in the corpus
-outside of the document, so that every word of the corpus has a probability of its own and no document vouches for itself.
+conditional probabilities scores a document. The network is fitted to all texts, in replicas that are averaged. It predicts codes: a
+frequent word is a symbol of its own; every other word has three digits of its hash, the first of which is a symbol too. Each digit is
+predicted from both sides given those before it, as a change to what the counts of the corpus say of that digit. Words that share
+all digits divide their code's probability by their counts. Counts are those outside of the document, so that every word of the corpus
+has a probability of its own, its neighbours move it, and no document vouches for itself.
 """
 
 from __future__ import annotations
@@ -22,8 +24,12 @@ from tidemark.llm.scratch import Scratch
 from tidemark.llm.training import Adam
 from tidemark.llm.words import chunks, placed_words, separators, string_bytes
 
-#: Symbols: the frequent words, then RARE classes of all others; GROUP symbols share a branch of the two-level softmax.
+#: Symbols: the FREQUENT words, then RARE classes of all others; GROUP symbols share a branch of the two-level softmax.
 SYMBOLS, RARE, GROUP, HIDDEN = 1024, 64, 32, 32
+FREQUENT = SYMBOLS - RARE
+#: The second and third digit of a rare word's code, of a class and of both: a code has RARE * SECOND * THIRD values, which are powers of two.
+SECOND, THIRD = 32, 16
+CODES = RARE * SECOND * THIRD
 SIDES = (-2, -1, 1, 2)
 #: Rounds of the fit, batches of a replica in a round, tokens of a batch, and the weight of the unigram in every prediction.
 ROUNDS, STEPS, BATCH, SMOOTH = 4, 100, 4096, 0.05
@@ -34,7 +40,7 @@ _IN_WORD = separators(string.ascii_letters.encode() + string.digits.encode() + b
 
 @dataclass
 class Vocabulary:
-    """words: sorted hashes of the frequent words, symbol: theirs, unigram: log probability by symbol; of each rare class the
+    """words: sorted hashes of the frequent words, symbol: theirs, unigram: log probability by symbol; of each code the
     number of its tokens (mass) and of its distinct words (types)."""
 
     words: np.ndarray
@@ -43,13 +49,28 @@ class Vocabulary:
     mass: np.ndarray
     types: np.ndarray
 
-    def symbols(self, hashes: np.ndarray) -> np.ndarray:
-        rare = SYMBOLS - RARE + (hashes % np.uint64(RARE)).astype(np.int64)
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        """A frequent word's symbol, or FREQUENT and up by the code of a rare one."""
+        rare = FREQUENT + (hashes % np.uint64(CODES)).astype(np.int64)
         if not len(self.words):
             return rare
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         return np.where(self.words[at] == hashes, self.symbol[at], rare)
 
+    def digit_logs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The log weights of second digits by class, and of third ones by class and second digit; a digit in a row each."""
+        weight = weights(self.mass, self.types).reshape(RARE * SECOND, THIRD)
+        return tuple(np.ascontiguousarray(np.log(w).T.astype(np.float32)) for w in (weight.sum(axis=1).reshape(RARE, SECOND), weight))
+
+
+def weights(mass: np.ndarray, types: np.ndarray) -> np.ndarray:
+    """What words with these counts weigh together."""
+    return np.maximum(mass, 0) + UNSEEN * np.maximum(types, 1)
+
+
+def symbol_of(ids: np.ndarray) -> np.ndarray:
+    return np.where(ids < FREQUENT, ids, FREQUENT + (ids - FREQUENT) // (SECOND * THIRD))
+
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -66,17 +87,19 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """The most frequent words by count, ties by hash, and what the classes of the others hold. Its size is fixed."""
-    top = counts.orderBy(F.desc("n"), "word").limit(SYMBOLS - RARE).collect()
+    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     words = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(words)
-    mass, types = np.zeros(RARE), np.zeros(RARE)
-    # of the unsigned hash: RARE divides 2**64, so a signed remainder is the same
-    for r in counts.groupBy(F.pmod("word", F.lit(RARE)).alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():
-        own = [x["n"] for x in top if x["word"] % RARE == r["k"]]
-        mass[r["k"]], types[r["k"]] = r["n"] - sum(own), r["types"] - len(own)
+    mass, types = np.zeros(CODES), np.zeros(CODES)
+    # of the unsigned hash: CODES divides 2**64, so a signed remainder is the same
+    for r in counts.groupBy(F.pmod("word", F.lit(CODES)).alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():
+        mass[r["k"]], types[r["k"]] = r["n"], r["types"]
+    for r in top:
+        mass[r["word"] % CODES] -= r["n"]
+        types[r["word"] % CODES] -= 1
     total = np.ones(SYMBOLS)
     total[: len(top)] += [r["n"] for r in top]
-    total[SYMBOLS - RARE :] += mass
+    total[FREQUENT:] += mass.reshape(RARE, -1).sum(axis=1)
     return Vocabulary(words[order], np.arange(len(words))[order], np.log(total / total.sum()), mass, types)
 
 
@@ -103,6 +126,10 @@ def new_params(rng: np.random.Generator, hidden: int = HIDDEN, kind=np.float32)
         "gb": np.zeros(groups, kind),
         "s": rng.normal(0, 0.1, (groups, hidden, GROUP)).astype(kind),
         "sb": np.zeros((groups, GROUP), kind),
+        "e": rng.normal(1, 0.1, (RARE, hidden)).astype(kind),
+        "u": rng.normal(0, 0.1, (hidden, SECOND)).astype(kind),
+        "d": rng.normal(1, 0.1, (SECOND, hidden)).astype(kind),
+        "v": rng.normal(0, 0.1, (hidden, THIRD)).astype(kind),
     }
 
 
@@ -130,8 +157,19 @@ def _hidden(p: dict[str, np.ndarray], around: np.ndarray) -> np.ndarray:
     return np.tanh(h, out=h)
 
 
-def log_probs(p: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """The network's log probability of each target symbol between its neighbours."""
+def _digits(ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(class, class and second digit, second digit, third digit) of the ids of rare words."""
+    node, third = np.divmod(ids - FREQUENT, THIRD)
+    return node // SECOND, node, node % SECOND, third
+
+
+def log_probs(p: dict[str, np.ndarray], logs: tuple, around: np.ndarray, ids: np.ndarray, outside: np.ndarray | None = None) -> np.ndarray:
+    """The network's log probability of each target between its neighbours, of a rare word that of its code.
+
+    ``logs`` are the vocabulary's ``digit_logs``; ``outside`` has, for rare targets, the log weights of their own second and third digit that
+    take the place of those, as when the document's own words don't count.
+    """
+    target = symbol_of(ids)
     order = np.argsort((target // GROUP).astype(np.uint8), kind="stable")
     h = _hidden(p, around[order])
     group, within = np.divmod(target[order], GROUP)
@@ -140,65 +178,98 @@ def log_probs(p: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray)
     for k in np.unique(group):
         a, b = bounds[k], bounds[k + 1]
         found[a:b] += _log_at(p["s"][k].T @ h[a:b].T + p["sb"][k][:, None], within[a:b])
+    a = bounds[FREQUENT // GROUP]
+    first, node, second, third = _digits(ids[order[a:]])
+    rows = np.arange(len(node))
+    by_second, by_third = np.take(logs[0], first, axis=1), np.take(logs[1], node, axis=1)
+    if outside is not None:
+        by_second[second, rows], by_third[third, rows] = outside[:, order[a:]]
+    h = h[a:] * p["e"][first]
+    found[a:] += _log_at(p["u"].T @ h.T + by_second, second)
+    found[a:] += _log_at(p["v"].T @ (h * p["d"][second]).T + by_third, third)
     out = np.empty_like(found)
     out[order] = found
     return out
 
 
-def loss_and_grads(p: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+def _sum_by(values: np.ndarray, keys: np.ndarray, out: np.ndarray) -> None:
+    """Set the rows of ``out`` that occur as keys to the sums of their values."""
+    order = np.argsort(keys.astype(np.uint16), kind="stable")
+    key = keys[order].astype(np.int64)
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    if len(first):
+        out[key[first]] = np.add.reduceat(np.take(values, order, axis=0), first, axis=0)
+
+
+def loss_and_grads(p: dict[str, np.ndarray], logs: tuple, around: np.ndarray, ids: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean negative log probability and its gradient by every parameter."""
-    n = len(target)
+    n, target = len(ids), symbol_of(ids)
     order = np.argsort((target // GROUP).astype(np.uint8), kind="stable")
     around = around[order]
     group, within = np.divmod(target[order], GROUP)
     h, rows = _hidden(p, around), np.arange(n)
     grads = {k: np.zeros_like(v) for k, v in p.items()}
-    by = _softmax(p["g"].T @ h.T + p["gb"][:, None])
-    loss = -np.log(by[group, rows]).sum()
-    by[group, rows] -= 1
-    by /= n
+    loss = 0.0
+
+    def missed(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The gradient by scores, a column a token; the loss is added up."""
+        nonlocal loss
+        by, at = _softmax(scores), (at, rows[: len(at)])
+        loss -= np.log(by[at]).sum()
+        by[at] -= 1
+        by /= n
+        return by
+
+    by = missed(p["g"].T @ h.T + p["gb"][:, None], group)
     grads["g"], grads["gb"] = h.T @ by.T, by.sum(axis=1)
     by_h = by.T @ p["g"].T
     bounds = np.searchsorted(group, np.arange(SYMBOLS // GROUP + 1))
     for k in np.unique(group):
         a, b = bounds[k], bounds[k + 1]
-        at = within[a:b], rows[: b - a]
-        by = _softmax(p["s"][k].T @ h[a:b].T + p["sb"][k][:, None])
-        loss -= np.log(by[at]).sum()
-        by[at] -= 1
-        by /= n
+        by = missed(p["s"][k].T @ h[a:b].T + p["sb"][k][:, None], within[a:b])
         grads["s"][k], grads["sb"][k] = h[a:b].T @ by.T, by.sum(axis=1)
         by_h[a:b] += by.T @ p["s"][k].T
+    a = bounds[FREQUENT // GROUP]
+    if a < n:
+        first, node, second, third = _digits(ids[order[a:]])
+        e, d = p["e"][first], p["d"][second]
+        h_second = h[a:] * e
+        h_third = h_second * d
+        by = missed(p["u"].T @ h_second.T + np.take(logs[0], first, axis=1), second)
+        grads["u"], by_second = h_second.T @ by.T, by.T @ p["u"].T
+        by = missed(p["v"].T @ h_third.T + np.take(logs[1], node, axis=1), third)
+        grads["v"], by_third = h_third.T @ by.T, by.T @ p["v"].T
+        _sum_by(by_third * h_second, second, grads["d"])
+        by_second += by_third * d
+        _sum_by(by_second * h[a:], first, grads["e"])
+        by_h[a:] += by_second * e
     by_h *= 1 - h * h
     grads["b"] = by_h.sum(axis=0)
     for k in range(len(SIDES)):
-        order = np.argsort(around[:, k].astype(np.uint16), kind="stable")
-        key = around[order, k].astype(np.int64)
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        grads["t"][k][key[first]] = np.add.reduceat(np.take(by_h, order, axis=0), first, axis=0)
+        _sum_by(by_h, around[:, k], grads["t"][k])
     return float(loss / n), grads
 
 
-def fit(p: dict[str, np.ndarray], symbols: np.ndarray, counts: np.ndarray, steps: int, start: float, end: float, seed: int) -> None:
+def fit(p: dict[str, np.ndarray], logs: tuple, ids: np.ndarray, counts: np.ndarray, steps: int, start: float, end: float, seed: int) -> None:
     """Fit the network in place to all tokens of texts of ``counts`` tokens each, in shuffled batches: once, and again until ``steps`` are done.
 
     ``start`` and ``end`` place these steps in the whole fit, for the falling rate.
     """
     rng = np.random.default_rng(seed)
-    around = contexts(symbols, counts)
+    around = contexts(symbol_of(ids), counts)
     adam = Adam(p, 0.01)
-    passes = -(-len(symbols) // BATCH)
+    passes = -(-len(ids) // BATCH)
     steps = max(steps, passes)
     for turn in range(steps):
         if turn % passes == 0:
-            order = rng.permutation(len(symbols))
+            order = rng.permutation(len(ids))
         adam.rate = 0.01 * (1 - start - (end - start) * turn / steps) + 0.0005
         pick = order[turn % passes * BATCH :][:BATCH]
-        adam.step(loss_and_grads(p, around[pick], symbols[pick])[1])
+        adam.step(loss_and_grads(p, logs, around[pick], ids[pick])[1])
 
 
 def _coded(vocab: Vocabulary, parts: int):
-    """(part, key, text) -> (part, key, the symbols of the text as bytes). Rows with one key, which are copies of a row, go to one part after the other."""
+    """(part, key, text) -> (part, key, the ids of the text's words as bytes). Rows with one key, which are copies of a row, go to one part after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: dict[int, int] = {}
@@ -210,10 +281,10 @@ def _coded(vocab: Vocabulary, parts: int):
             data, offsets = string_bytes(batch.column(2))
             for a, b in chunks(offsets):
                 hashes, counts, _ = placed_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], _IN_WORD)
-                symbols = vocab.symbols(hashes).astype(np.uint16)
+                ids = vocab.ids(hashes).astype(np.uint16)
                 ends = np.concatenate(([0], np.cumsum(counts) * 2)).astype(np.int32)
-                coded = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(symbols)])
-                yield pa.RecordBatch.from_arrays([pa.array(part[a:b]), batch.column(1).slice(a, b - a), coded], ["part", "key", "symbols"])
+                coded = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([pa.array(part[a:b]), batch.column(1).slice(a, b - a), coded], ["part", "key", "ids"])
 
     return run
 
@@ -227,16 +298,16 @@ def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return {k: x.reshape(v.shape).astype(v.dtype) for (k, v), x in zip(like.items(), np.split(flat, cuts), strict=True)}
 
 
-def _replica(p: dict[str, np.ndarray], steps: int, start: float, end: float):
+def _replica(p: dict[str, np.ndarray], logs: tuple, steps: int, start: float, end: float):
     """A part of the texts -> (its tokens, the parameters fitted to it, times its tokens)."""
 
     def run(part: pa.Table) -> pa.Table:
-        part = part.sort_by([("key", "ascending"), ("symbols", "ascending")])
-        coded = part["symbols"].to_pylist()
-        symbols = np.frombuffer(b"".join(coded), np.uint16).astype(np.int64)
+        part = part.sort_by([("key", "ascending"), ("ids", "ascending")])
+        coded = part["ids"].to_pylist()
+        ids = np.frombuffer(b"".join(coded), np.uint16).astype(np.int64)
         own = {k: v.copy() for k, v in p.items()}
-        fit(own, symbols, np.array([len(x) // 2 for x in coded]), steps, start, end, 9 + part["part"][0].as_py())
-        return pa.table({"n": pa.array([len(symbols)], pa.int64()), "sums": pa.array([(_flat(own).astype(float) * len(symbols)).tobytes()], pa.binary())})
+        fit(own, logs, ids, np.array([len(x) // 2 for x in coded]), steps, start, end, 9 + part["part"][0].as_py())
+        return pa.table({"n": pa.array([len(ids)], pa.int64()), "sums": pa.array([(_flat(own).astype(float) * len(ids)).tobytes()], pa.binary())})
 
     return run
 
@@ -260,28 +331,29 @@ def train(docs: DataFrame, vocab: Vocabulary, tokens: int, scratch: Scratch, *,
     p = new_params(np.random.default_rng(seed))
     if not tokens:
         return p
+    logs = vocab.digit_logs()
     replicas = tokens // (ROUNDS * steps * BATCH)
     rounds, steps = (ROUNDS, steps) if replicas > 1 else (1, ROUNDS * steps)
     replicas = max(1, replicas)
     key = F.xxhash64("doc_id", "text", F.lit(17))
     dealt = docs.where(F.col("text").isNotNull()).select(F.pmod(key, F.lit(rounds * replicas)).cast("int").alias("part"), key.alias("key"), "text")
-    coded = dealt.mapInArrow(_coded(vocab, rounds * replicas), "part int, key long, symbols binary").where(F.length("symbols") > 0)
-    coded = scratch.keep(coded, "symbols")
+    coded = dealt.mapInArrow(_coded(vocab, rounds * replicas), "part int, key long, ids binary").where(F.length("ids") > 0)
+    coded = scratch.keep(coded, "ids")
     tasks = min(replicas, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     for turn in range(rounds):
         # by number, so that small parts are not put together into few tasks
         parts = coded.where(F.col("part") % rounds == turn).repartition(tasks, "part").groupBy("part")
-        fitted = parts.applyInArrow(_replica(p, steps, turn / rounds, (turn + 1) / rounds), "n long, sums binary").mapInArrow(_summed, "n long, sums binary")
+        fitted = parts.applyInArrow(_replica(p, logs, steps, turn / rounds, (turn + 1) / rounds), "n long, sums binary").mapInArrow(_summed, "n long, sums binary")
         sums = fitted.repartition(math.isqrt(tasks)).mapInArrow(_summed, "n long, sums binary").collect()
         if sums:
             p = _shaped(sum(np.frombuffer(r["sums"]) for r in sums) / sum(r["n"] for r in sums), p)
-    scratch.drop("symbols")
+    scratch.drop("ids")
     return p
 
 
 @dataclass
 class Scores:
-    """Of each row: its tokens, the log probability of their symbols and of the shares that do not need counts, and how many distinct
+    """Of each row: its tokens, the log probability of their codes and of the shares that do not need counts, and how many distinct
     rare words it has; then these words' hashes and how often each occurs in its row."""
 
     tokens: np.ndarray
@@ -292,24 +364,33 @@ class Scores:
 
 
 def document_scores(vocab: Vocabulary, p: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray, at_once: int = 16384) -> Scores:
-    """What the network and the vocabulary say of each row; of a rare word's share of its class, the denominator."""
+    """What the network and the vocabulary say of each row; of a rare word's share of its code, the denominator."""
     hashes, counts, _ = placed_words(data, offsets, _IN_WORD)
-    rows = len(counts)
-    symbols = vocab.symbols(hashes)
+    rows, ids = len(counts), vocab.ids(hashes)
+    symbols = symbol_of(ids)
     around = contexts(symbols, counts)
-    log_p = np.empty(len(symbols))
-    for a in range(0, len(symbols), at_once):
-        log_p[a : a + at_once] = log_probs(p, around[a : a + at_once], symbols[a : a + at_once])
-    log_p = np.logaddexp(log_p + np.log(1 - SMOOTH), vocab.unigram[symbols] + np.log(SMOOTH))
+
+    # sorted by row, digits and word, so that what a row has of each is a run
+    rare = np.flatnonzero(ids >= FREQUENT)
+    rare = rare[np.lexsort((hashes[rare], ids[rare], np.repeat(np.arange(rows), counts)[rare]))]
+    row, words, code = np.repeat(np.arange(rows), counts)[rare], hashes[rare], ids[rare] - FREQUENT
+    outside = np.zeros((3, len(ids)))  # log weights of second digit, third digit and class without the row's own words
+    for k, size in ((1, 1), (0, THIRD), (2, SECOND * THIRD)):
+        of, weight = code // size, weights(vocab.mass, vocab.types).reshape(-1, size).sum(axis=1)
+        first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(of, prepend=-1) != 0))
+        own = np.diff(np.append(first, len(of)))
+        least = UNSEEN * np.maximum(vocab.types, 1).reshape(-1, size).sum(axis=1)
+        outside[k, rare] = np.repeat(np.log(np.maximum(weight[of[first]] - own, least[of[first]])), own)
+
+    log_p, logs = np.empty(len(ids)), vocab.digit_logs()
+    for a in range(0, len(ids), at_once):
+        b = a + at_once
+        log_p[a:b] = log_probs(p, logs, around[a:b], ids[a:b], outside[:2, a:b])
+    counted = vocab.unigram[symbols] + outside[1] - outside[2]
+    log_p = np.logaddexp(log_p + np.log(1 - SMOOTH), counted + np.log(SMOOTH)) - outside[1]
     total = np.zeros(rows)
     total[counts > 0] = np.add.reduceat(log_p, (np.cumsum(counts) - counts)[counts > 0]) if len(log_p) else 0
 
-    rare = np.flatnonzero(symbols >= SYMBOLS - RARE)
-    row = np.repeat(np.arange(rows), counts)[rare]
-    of_class = np.bincount(row * RARE + symbols[rare] - (SYMBOLS - RARE), minlength=rows * RARE).reshape(rows, RARE)
-    total -= (of_class * np.log(np.maximum(vocab.mass - of_class, 0) + UNSEEN * np.maximum(vocab.types, 1))).sum(axis=1)
-    order = np.lexsort((hashes[rare], row))
-    row, words = row[order], hashes[rare][order]
     first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (words != np.roll(words, 1)))
     times = np.diff(np.append(first, len(words)))
     return Scores(counts, total, np.bincount(row[first], minlength=rows), words[first], times)
@@ -340,12 +421,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_prob, perplexity), a row per row of ``docs``.
 
     Words, lower-cased in A-Z, are runs of letters, digits and non-ASCII bytes. Word counts and the fit of the network cover all texts.
-    A rare word has its class's probability times its share of the class: its count in all other documents plus UNSEEN, over that of all the
-    class's words. Null and wordless texts: 0 tokens, log likelihood 0, mean and perplexity null. Repeated rows count as often as
+    A rare word has its code's probability times its share of the code: its count in all other documents plus UNSEEN, over that of all the
+    code's words. Null and wordless texts: 0 tokens, log likelihood 0, mean and perplexity null. Repeated rows count as often as
     they are there, each as a document. Other columns are ignored; no rows give none.
 
     Counts of rare words never meet the driver or a broadcast: each row's rare words, known by hash, are joined to them. No word of that join
-    has more than a share of 1 / (SYMBOLS - RARE) of all tokens, since those that have are frequent.
+    has more than a share of 1 / FREQUENT of all tokens, since those that have are frequent.
     """
     scratch = Scratch(docs.sparkSession, "lm")
     counts = scratch.keep(count_words(docs), "counts")
