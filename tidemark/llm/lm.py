@@ -372,8 +372,10 @@ def document_scores(vocab: Vocabulary, p: dict[str, np.ndarray], data: np.ndarra
 
     # sorted by row, digits and word, so that what a row has of each is a run
     rare = np.flatnonzero(ids >= FREQUENT)
-    rare = rare[np.lexsort((hashes[rare], ids[rare], np.repeat(np.arange(rows), counts)[rare]))]
-    row, words, code = np.repeat(np.arange(rows), counts)[rare], hashes[rare], ids[rare] - FREQUENT
+    row, words = np.repeat(np.arange(rows), counts)[rare], hashes[rare]
+    order = np.lexsort((words * np.uint64(2**64 // CODES) | words // np.uint64(CODES), row))  # the code's digits, then the rest
+    rare, row, words = rare[order], row[order], words[order]
+    code = ids[rare] - FREQUENT
     outside = np.zeros((3, len(ids)))  # log weights of second digit, third digit and class without the row's own words
     for k, size in ((1, 1), (0, THIRD), (2, SECOND * THIRD)):
         of, weight = code // size, weights(vocab.mass, vocab.types).reshape(-1, size).sum(axis=1)
