@@ -4,8 +4,8 @@ Every token is predicted from the tokens on both of its sides by a small window
 conditional probabilities scores a document. The network is fitted to all texts, in replicas that are averaged. It predicts codes: a
 frequent word is a symbol of its own; every other word has three digits of its hash, the first of which is a symbol too. Each digit is
 predicted from both sides given those before it, as a change to what the counts of the corpus say of that digit. Words that share
-all digits divide their code's probability by their counts. Counts are those outside of the document, so that every word of the corpus
-has a probability of its own, its neighbours move it, and no document vouches for itself.
+all digits divide their code's probability by their counts. In scores, counts within a class are those outside of the document (the
+fit, and the unigram of symbols, know all), so that every word of the corpus has a probability of its own and its neighbours move it.
 """
 
 from __future__ import annotations
