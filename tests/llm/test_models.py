@@ -190,6 +190,31 @@ def test_quality_equals_brute_force(spark, docs):
         assert got[i]["score"] == pytest.approx(want, abs=1e-9)
 
 
+def test_quality_learns_from_all(spark, docs):
+    """A mark of few of many labelled documents counts, in parts as in one; the edge is the quantile of all scores."""
+    rng = np.random.default_rng(3)
+    said = lambda i: " ".join(rng.choice(list("abcdefghij"), 12)) + (" bad" * 3 if i % 4 == 0 else "")
+    rows = [(i, said(i)) for i in range(6000)]
+    given, known = docs(*rows), spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(6000)], LABELS)
+    assert not hasattr(Q, "labelled_sample")
+    learnt = given.join(known.select("doc_id", "quality"), "doc_id").where(fold("doc_id", 5) != 0)
+    for part in (Q.PART, 500):
+        model = Q.fit(given, known, fold("doc_id", 5) == 0, part)
+        score = Q.scorer(model, 0.3)("text")
+        below = learnt.select(score.alias("s"), "quality").agg(F.count(F.when(F.col("s") < 0.3 - 1e-9, 1)), F.count(F.when(F.col("s") <= 0.3 + 1e-9, 1)), F.count(F.when(F.col("quality") == 0, 1))).first()
+        assert below[0] < below[2] <= below[1]
+        held = Q.quality(given, known, part=part).where("held_out").select("doc_id", "score").collect()
+        assert max(r["score"] for r in held if r["doc_id"] % 4 == 0) < min(r["score"] for r in held if r["doc_id"] % 4)
+
+
+def test_quality_repeats_a_rare_label(spark, docs):
+    """Few documents of one label meet all parts of the other."""
+    rows = [(i, ("bad word " if i % 100 == 0 else "good word ") + "x" * (i % 7)) for i in range(3000)]
+    known = spark.createDataFrame([(i, int(i % 100 > 0), 0) for i in range(3000)], LABELS)
+    got = Q.quality(docs(*rows), known, part=100).where("held_out").select("doc_id", "score").collect()
+    assert max(r["score"] for r in got if r["doc_id"] % 100 == 0) < min(r["score"] for r in got if r["doc_id"] % 100)
+
+
 def test_quality_sees_words(spark, docs):
     """Documents alike in all shares, told by their words."""
     rng = random.Random(1)

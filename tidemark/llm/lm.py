@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import Scratch
-from tidemark.llm.training import Adam
+from tidemark.llm.training import Adam, summed
 from tidemark.llm.words import chunks, placed_words, separators, string_bytes
 
 #: Symbols: the FREQUENT words, then RARE classes of all others; GROUP symbols share a branch of the two-level softmax.
@@ -312,15 +312,6 @@ def _replica(p: dict[str, np.ndarray], logs: tuple, steps: int, start: float, en
     return run
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n, sums = 0, None
-    for batch in batches:
-        for m, each in zip(batch["n"].to_pylist(), batch["sums"].to_pylist(), strict=True):
-            n, sums = n + m, np.frombuffer(each) + (0 if sums is None else sums)
-    if n:
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["n", "sums"])
-
-
 def train(docs: DataFrame, vocab: Vocabulary, tokens: int, scratch: Scratch, *, steps: int = STEPS, seed: int = 9) -> dict[str, np.ndarray]:
     """The window network fitted to every token of ``docs``. Without tokens it stays as drawn.
 
@@ -343,8 +334,8 @@ def train(docs: DataFrame, vocab: Vocabulary, tokens: int, scratch: Scratch, *,
     for turn in range(rounds):
         # by number, so that small parts are not put together into few tasks
         parts = coded.where(F.col("part") % rounds == turn).repartition(tasks, "part").groupBy("part")
-        fitted = parts.applyInArrow(_replica(p, logs, steps, turn / rounds, (turn + 1) / rounds), "n long, sums binary").mapInArrow(_summed, "n long, sums binary")
-        sums = fitted.repartition(math.isqrt(tasks)).mapInArrow(_summed, "n long, sums binary").collect()
+        fitted = parts.applyInArrow(_replica(p, logs, steps, turn / rounds, (turn + 1) / rounds), "n long, sums binary").mapInArrow(summed, "n long, sums binary")
+        sums = fitted.repartition(math.isqrt(tasks)).mapInArrow(summed, "n long, sums binary").collect()
         if sums:
             p = _shaped(sum(np.frombuffer(r["sums"]) for r in sums) / sum(r["n"] for r in sums), p)
     scratch.drop("ids")

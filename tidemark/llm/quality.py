@@ -1,24 +1,27 @@
 """Quality by Bradley-Terry ranking: a linear score of text features and hashed word n-grams learnt from preferences between labelled documents.
 
 A preference pair is a document of label 1 and one of label 0; the chance that the first is preferred is the logistic of the
-difference of their scores. The scores only rank, so a quantile of them, the share of label 0 among all labelled, sets where quality
-begins: there the reported score is ``threshold``.
+difference of their scores. The score is fitted to all labelled documents, in replicas that are averaged. The scores only rank, so a quantile of
+them, the share of label 0 among all labelled documents, sets where quality begins: there the reported score is ``threshold``.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.scratch import bound_batches
-from tidemark.llm.training import Adam, fold, labelled_sample, sigmoid
+from tidemark.llm.ordering import running_total
+from tidemark.llm.scratch import Scratch, bound_batches
+from tidemark.llm.training import Adam, fold, sigmoid, summed
 from tidemark.llm.words import chunks, shingles, string_bytes, word_hashes
 
-PER_CLASS, PAIRS = 2000, 4000
+#: Documents and bytes of a replica at most, documents of each label in it at least, all of these about; pairs that it draws at once.
+PART, PART_BYTES, LEAST, PAIRS = 4096, 16 << 20, 64, 4000
 #: Buckets that words and word pairs are hashed to.
 BUCKETS = 1024
 _KINDS = ("lower", "upper", "digit", "high", "space", "line", "stop", "bang", "bar", "mark", "bracket")
@@ -106,20 +109,12 @@ class QualityModel:
         return ((x.dense - self.mean) / self.spread) @ self.weights + x.means(self.grams)
 
 
-def train(sample: list[tuple[str, int]], prior: float, rounds: int = 400, seed: int = 5) -> QualityModel:
-    """Fit to preference pairs drawn from the sample; ``prior`` is the share of label 0 among all labelled documents.
-
-    Without both labels every document scores as the labels there are, or as good without any.
-    """
-    data, offsets = string_bytes(pa.array([t for t, _ in sample], pa.large_string()))
-    labels = np.array([y for _, y in sample], int)
-    parts = [features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(offsets)] or [features(*string_bytes(pa.array([""])))]
+def pull_apart(texts: pa.Array, labels: np.ndarray, rounds: int = 400, seed: int = 5) -> np.ndarray:
+    """The weights of dense features, as they are, and of n-grams, fitted to preference pairs of texts of both labels."""
+    data, offsets = string_bytes(texts)
+    parts = [features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(offsets)]
     x, shares = np.concatenate([f.dense for f in parts]), np.concatenate([f.shares() for f in parts])
     good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
-    none = np.zeros(x.shape[1])
-    if not len(good) or not len(bad):
-        side = -1.0 if len(good) or not len(bad) else 1.0
-        return QualityModel(none, none + 1, none, np.zeros(BUCKETS), side, 5.0)
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-3
     scale = np.float32(np.sqrt(BUCKETS))
     z = np.concatenate([((x - mean) / spread).astype(np.float32), shares * scale], 1)
@@ -133,19 +128,64 @@ def train(sample: list[tuple[str, int]], prior: float, rounds: int = 400, seed:
         # a pair pulls its documents apart by what it lost
         pull = (np.bincount(first, lost, len(z)) - np.bincount(second, lost, len(z))) / PAIRS
         adam.step({"w": 1e-3 * params["w"] - pull.astype(np.float32) @ z})
-    raw = z @ params["w"]
-    weight = np.where(labels == 0, prior / len(bad), (1 - prior) / len(good))
-    order = np.argsort(raw)
-    edge = float(raw[order][np.searchsorted(np.cumsum(weight[order]), prior)])
     dense = x.shape[1]
-    return QualityModel(mean, spread, params["w"][:dense], params["w"][dense:] * float(scale), edge, 1.0)
+    return np.concatenate([params["w"][:dense] / spread, params["w"][dense:] * float(scale)])
+
+
+def _replica(part: pa.Table) -> pa.Table:
+    """A part of the labelled documents -> (their number, the weights fitted to them, times their number); none without both labels."""
+    part = part.sort_by([("doc_id", "ascending")])
+    n, labels = part.num_rows, part["label"].to_numpy()
+    told = [(n, (pull_apart(part["text"].combine_chunks(), labels) * n).tobytes())] if 0 < np.count_nonzero(labels) < n else []
+    return pa.table({"n": pa.array([m for m, _ in told], pa.int64()), "sums": pa.array([w for _, w in told], pa.binary())})
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: Column, per_class: int = PER_CLASS) -> QualityModel:
-    bound_batches(docs.sparkSession)
-    known = labels.where(F.col("quality").isNotNull() & F.coalesce(~held_out, F.lit(False)))
-    bad, n = known.agg(F.count(F.when(F.col("quality") == 0, 1)), F.count("*")).first()
-    return train(labelled_sample(docs, labels, "quality", held_out, per_class), bad / max(n, 1))
+def _raw(model: QualityModel, text: pa.Array) -> np.ndarray:
+    data, offsets = string_bytes(text)
+    out = [model.raw(features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in chunks(offsets)]
+    return np.concatenate([np.zeros(0), *out])
+
+
+def fit(docs: DataFrame, labels: DataFrame, held_out: Column, part: int = PART) -> QualityModel:
+    """The score fitted to every labelled document that is not held out, and its edge among the scores of all of them.
+
+    A doc_id with several labels counts as its largest, one with several texts once, by the smallest. Documents are dealt by a hash of doc_id
+    into parts of about ``part`` documents and at most about PART_BYTES; where a label has fewer than LEAST a part its documents are in several. A
+    replica is fitted to each part, in parallel, and their weights are averaged by documents. Without both labels every document scores as the
+    labels there are, or as good without any.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    scratch = Scratch(spark, "quality")
+    learnt = F.coalesce(~held_out, F.lit(False))
+    known = labels.where(F.col("quality").isNotNull() & learnt).groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
+    texts = docs.where(learnt).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = scratch.keep(texts.join(known, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")), "learnt")
+    many = {r["label"]: r for r in rows.where("label in (0, 1)").groupBy("label").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()}
+    none = np.zeros(features(*string_bytes(pa.array([""]))).dense.shape[1])
+    if len(many) < 2:
+        scratch.keep_only()
+        return QualityModel(none, none + 1, none, np.zeros(BUCKETS), 1.0 if 0 in many else -1.0, 5.0)
+    parts = max(1, -(-sum(r["n"] for r in many.values()) // part), -(-sum(r["bytes"] for r in many.values()) // PART_BYTES))
+    copies = {label: min(parts, -(-parts * LEAST // r["n"])) for label, r in many.items()}
+    turn = F.explode(F.sequence(F.lit(0), F.when(F.col("label") == 0, copies[0]).otherwise(copies[1]) - 1))
+    dealt = rows.where("label in (0, 1)").withColumn("turn", turn)
+    dealt = dealt.select(F.pmod(F.xxhash64("doc_id", F.lit(11)) + F.col("turn"), F.lit(parts)).cast("int").alias("part"), "doc_id", "label", "text")
+    tasks = min(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # by number, so that small parts are not put together into few tasks
+    fitted = dealt.repartition(tasks, "part").groupBy("part").applyInArrow(_replica, "n long, sums binary").mapInArrow(summed, "n long, sums binary")
+    sums = fitted.repartition(math.isqrt(tasks)).mapInArrow(summed, "n long, sums binary").collect()
+    weights = sum(np.frombuffer(r["sums"]) for r in sums) / sum(r["n"] for r in sums)
+    model = QualityModel(none, none + 1, weights[: len(none)], weights[len(none) :], 0.0, 1.0)
+
+    def raw(text: pa.Array) -> pa.Array:
+        return pa.array(_raw(model, text))
+
+    # equal scores, as of copies, are a row; the edge is the score of the last document among as many of the lowest as have label 0
+    scores = rows.where("label in (0, 1)").select(F.arrow_udf(raw, "double")("text").alias("raw")).groupBy("raw").agg(F.count("*").alias("n"))
+    edge = running_total(scores, [F.col("raw").asc()], "n", "upto", scratch, "ranked").where(F.col("upto") >= many[0]["n"]).agg(F.min("raw")).first()[0]
+    scratch.keep_only()
+    return replace(model, edge=edge)
 
 
 def scorer(model: QualityModel, threshold: float):
@@ -153,24 +193,18 @@ def scorer(model: QualityModel, threshold: float):
     shift = np.log(threshold / (1 - threshold))
 
     def run(text: pa.Array) -> pa.Array:
-        data, offsets = string_bytes(text)
-        out = [np.zeros(0)]
-        for lo, hi in chunks(offsets):
-            raw = model.raw(features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
-            out.append(sigmoid(model.slope * (raw - model.edge) + shift))
-        return pa.array(np.concatenate(out))
+        return pa.array(sigmoid(model.slope * (_raw(model, text) - model.edge) + shift))
 
     return F.arrow_udf(run, "double")
 
 
-def quality(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held: int = 0, threshold: float = 0.3, per_class: int = PER_CLASS) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held: int = 0, threshold: float = 0.3, part: int = PART) -> DataFrame:
     """(doc_id, held_out, score, predicted), a row per row of ``docs``; predicted is 1 from ``threshold`` on.
 
-    Learns from at most ``per_class`` documents of each ``labels.quality`` value outside the held-out fold, by whole texts
-    only. Null and empty texts are scored by the features of an empty text. A null doc_id is not held out and never learnt
-    from. Other columns are ignored; no rows give none.
+    Learns from every document with a ``labels.quality`` value outside the held-out fold, by whole texts only, in parts of about
+    ``part``. Null and empty texts are scored by the features of an empty text. A null doc_id is not held out and never learnt from. Other columns are ignored; no rows give none.
     """
     held_out = fold("doc_id", folds) == held
-    model = fit(docs, labels, held_out, per_class)
+    model = fit(docs, labels, held_out, part)
     scored = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), scorer(model, threshold)("text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

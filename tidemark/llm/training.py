@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,6 +53,16 @@ def class_sample(docs: DataFrame, label: str, held_out: Column, per_class: int)
     return _collected(_shares(known.select("doc_id", "text", label), label, per_class), label, per_class)
 
 
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (n, sums: floats as bytes) of a task as one row."""
+    n, sums = 0, None
+    for batch in batches:
+        for m, each in zip(batch["n"].to_pylist(), batch["sums"].to_pylist(), strict=True):
+            n, sums = n + m, np.frombuffer(each) + (0 if sums is None else sums)
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["n", "sums"])
+
+
 class Adam:
     """Adam over a dict of arrays, updated in place."""
 
