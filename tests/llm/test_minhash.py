@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +159,15 @@ def test_components(spark, shape):
     got = {r["node"]: r["component"] for r in connected_components(df, Scratch(spark, "t")).collect()}
     assert got == {i: top(i) for i in up}
     assert connected_components(df.where(F.lit(False)), Scratch(spark, "t")).count() == 0
+
+
+def test_shingle_sets_hold_little_at_once():
+    """The memory that a Python worker needs above a column's own bytes is that of a chunk of its texts."""
+    column = pa.array(["some words of a text " * 100] * 2000)
+    list(column_sets(column.slice(0, 1), 5))
+    tracemalloc.start()
+    for _ in column_sets(column, 5):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20

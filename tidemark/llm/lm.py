@@ -35,6 +35,8 @@ SIDES = (-2, -1, 1, 2)
 ROUNDS, STEPS, BATCH, SMOOTH = 4, 100, 4096, 0.05
 #: What is added to the count of every rare word, so that words of one document only can be told from impossible ones.
 UNSEEN = 0.1
+#: Bytes of texts that are coded or scored at once.
+AT_ONCE = 1 << 20
 _IN_WORD = separators(string.ascii_letters.encode() + string.digits.encode() + bytes(range(128, 256)))
 
 
@@ -75,7 +77,7 @@ def symbol_of(ids: np.ndarray) -> np.ndarray:
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = string_bytes(batch.column(0))
-        found = [placed_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], _IN_WORD)[0] for a, b in chunks(offsets)]
+        found = [placed_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], _IN_WORD)[0] for a, b in chunks(offsets, AT_ONCE)]
         words, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts, pa.int64())], ["word", "n"])
 
@@ -279,7 +281,7 @@ def _coded(vocab: Vocabulary, parts: int):
                 turn = met[key] = met.get(key, -1) + 1
                 part[i] = (part[i] + turn) % parts
             data, offsets = string_bytes(batch.column(2))
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, AT_ONCE):
                 hashes, counts, _ = placed_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], _IN_WORD)
                 ids = vocab.ids(hashes).astype(np.uint16)
                 ends = np.concatenate(([0], np.cumsum(counts) * 2)).astype(np.int32)
@@ -399,7 +401,7 @@ def _scored(vocab: Vocabulary, p: dict[str, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = string_bytes(batch.column(2))
-            for a, b in chunks(offsets):
+            for a, b in chunks(offsets, AT_ONCE):
                 s = document_scores(vocab, p, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 ends = pa.array(np.concatenate(([0], np.cumsum(s.distinct))), pa.int32())
                 words = pa.ListArray.from_arrays(ends, pa.array(s.words.view(np.int64)))

@@ -112,12 +112,18 @@ class QualityModel:
 def pull_apart(texts: pa.Array, labels: np.ndarray, rounds: int = 400, seed: int = 5) -> np.ndarray:
     """The weights of dense features, as they are, and of n-grams, fitted to preference pairs of texts of both labels."""
     data, offsets = string_bytes(texts)
-    parts = [features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(offsets)]
-    x, shares = np.concatenate([f.dense for f in parts]), np.concatenate([f.shares() for f in parts])
     good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-3
     scale = np.float32(np.sqrt(BUCKETS))
-    z = np.concatenate([((x - mean) / spread).astype(np.float32), shares * scale], 1)
+    found, z = [], None
+    for a, b in chunks(offsets):
+        f = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        dense = f.dense.shape[1]
+        z = np.empty((len(labels), dense + BUCKETS), np.float32) if z is None else z
+        z[a:b, dense:] = f.shares() * scale
+        found.append(f.dense)
+    x = np.concatenate(found)
+    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-3
+    z[:, :dense] = (x - mean) / spread
     rng = np.random.default_rng(seed)
     params = {"w": np.zeros(z.shape[1])}
     adam = Adam(params, 0.03)
@@ -128,7 +134,6 @@ def pull_apart(texts: pa.Array, labels: np.ndarray, rounds: int = 400, seed: int
         # a pair pulls its documents apart by what it lost
         pull = (np.bincount(first, lost, len(z)) - np.bincount(second, lost, len(z))) / PAIRS
         adam.step({"w": 1e-3 * params["w"] - pull.astype(np.float32) @ z})
-    dense = x.shape[1]
     return np.concatenate([params["w"][:dense] / spread, params["w"][dense:] * float(scale)])
 
 
@@ -173,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, part: int = PART)
     dealt = dealt.select(F.pmod(F.xxhash64("doc_id", F.lit(11)) + F.col("turn"), F.lit(parts)).cast("int").alias("part"), "doc_id", "label", "text")
     tasks = min(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # by number, so that small parts are not put together into few tasks
-    fitted = dealt.repartition(tasks, "part").groupBy("part").applyInArrow(_replica, "n long, sums binary").mapInArrow(summed, "n long, sums binary")
+    fitted = dealt.repartition(tasks, "part").groupBy("part").applyInArrow(_replica, "n long, sums binary")
     sums = fitted.repartition(math.isqrt(tasks)).mapInArrow(summed, "n long, sums binary").collect()
     weights = sum(np.frombuffer(r["sums"]) for r in sums) / sum(r["n"] for r in sums)
     model = QualityModel(none, none + 1, weights[: len(none)], weights[len(none) :], 0.0, 1.0)

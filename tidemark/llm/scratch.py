@@ -20,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Bytes of the rows that go to a Python worker at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
