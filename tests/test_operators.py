@@ -664,6 +664,45 @@ def test_admit_stream(spark, tmp_path):
     assert got == [("a", "2"), ("a", "3"), ("b", "9")]
 
 
+@pytest.mark.parametrize("limit", [None, 5000])
+def test_admission_asks_state_for_lists(limit, monkeypatch):
+    """However many keys a batch has, state is asked some times a day and part; batches that are gathered in several tables admit the same."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from tidemark.streaming import ingest as I
+
+    calls = []
+
+    def counted(of):
+        return lambda self, *a: calls.append(of) or of(self, *a)
+
+    class Kept(dict):
+        getValue, updateValue, removeKey, containsKey = map(counted, (dict.__getitem__, dict.__setitem__, dict.pop, dict.__contains__))  # noqa: N815
+        exists = lambda self: len(self) > 0
+        keys = lambda self: list(dict.keys(self))
+        update, get = lambda self, v: self.__setitem__("v", v), lambda self: self["v"]
+
+    def run():
+        admission = I._Admission(limit)
+        admission.init(SimpleNamespace(getValueState=lambda *_: Kept(), getMapState=lambda *_: Kept()))
+        day, out = 86_400_000_000, []
+        for n, batch in enumerate(([(0, "a")], [(i * day // 10000, f"k{i % 19000}") for i in range(20000)], [(2 * day + i, f"k{i}") for i in range(20000)])):
+            parts = [pd.DataFrame(batch[i : i + 1000], columns=["at", "id"]) for i in range(0, len(batch), 1000)]
+            calls.clear()
+            got = [i for d in admission.handleInputRows(("s",), iter(parts), None) for i in d["id"]]
+            assert len(got) == len(set(got)) and not set(got) & {i for g in out for i in g}, n
+            out.append(sorted(got))
+        return out, len(calls)
+
+    whole, many = run()
+    assert many < 2000
+    assert limit or [len(g) for g in whole] == [1, 19000, 1000]
+    monkeypatch.setattr(I, "_AT_ONCE", 3000)
+    assert run()[0] == whole
+
+
 @pytest.mark.parametrize("limit", [0, 2, 3])
 def test_capped_stream_equals_capped_runs(spark, tmp_path, limit):
     """Batch by batch what ``commit`` admits when each run sees again what was carried over; late, repeated and undated candidates included."""

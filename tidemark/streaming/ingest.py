@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -42,15 +41,16 @@ def ingest_stream(fetches: DataFrame, store: Store, checkpoint: str, *, limit: i
     return fetches.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-#: Microseconds of a day, and parts that the keys of a day are kept in.
-_DAY, _PARTS = 86_400_000_000, 64
+#: Microseconds of a day, parts that the keys of a day are kept in, keys of a piece of a part at which the next begins, and candidates that are looked up at once.
+_DAY, _PARTS, _PIECE, _AT_ONCE = 86_400_000_000, 64, 4096, 1 << 19
 
 
 class _Admission(StatefulProcessor):
     """Of each source: its mark, the keys that were admitted and could be again, and the candidates that wait for a place.
 
-    Keys are looked up one by one, never read or written as a whole. Beside them they stand by day, so that those of days below mark - grace are found
-    and dropped; what waits stands by day too, so that the oldest are found by reading the oldest days only.
+    State is asked for lists of keys, never for single ones. Keys stand by a part that their hash tells, and there by day and in pieces, so that candidates
+    are looked up part by part, those of days below mark - grace are dropped as a whole, and what is added rewrites a piece a day and part at most. What waits
+    stands by day, so that the oldest are found by reading the oldest days only.
     """
 
     def __init__(self, limit: int | None):
@@ -58,97 +58,132 @@ class _Admission(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.mark = handle.getValueState("mark", "at long")
-        self.known = handle.getMapState("known", "id string", "at long")
-        self.by_day = handle.getMapState("by_day", "day long, part int", "ids array<string>")
-        self.waiting = handle.getMapState("waiting", "day long", "ids array<string>, ats array<long>")
-
-    def _learn(self, rows: list[tuple[int, str]]) -> None:
-        """Remember keys."""
-        for (day, part), some in _grouped((at // _DAY, zlib.crc32(i.encode()) % _PARTS) for at, i in rows).items():
-            had = self.by_day.getValue((day, part))[0] if self.by_day.containsKey((day, part)) else []
-            self.by_day.updateValue((day, part), (list(had) + [rows[n][1] for n in some],))
-        for at, i in rows:
-            self.known.updateValue((i,), (at,))
-
-    def _forget(self, before: int) -> None:
+        self.known = handle.getMapState("known", "part int, day long, piece int", "ids array<string>")
+        self.waiting = handle.getMapState("waiting", "day long, piece int", "ids array<string>, ats array<long>")
+
+    def _pieces(self) -> dict[int, list[tuple[int, int]]]:
+        """The (day, piece) of each part."""
+        out: dict[int, list[tuple[int, int]]] = {}
+        for part, day, piece in self.known.keys() if self.known.exists() else ():
+            out.setdefault(part, []).append((day, piece))
+        return out
+
+    def _new(self, rows: pd.DataFrame, pieces: dict[int, list[tuple[int, int]]]) -> pd.DataFrame:
+        """The rows (at, id, part) whose keys are not known, once each: of dates that differ the earliest."""
+        rows = rows.sort_values(["at", "id"], kind="stable").drop_duplicates("id")
+        rows = rows.assign(part=pd.util.hash_array(rows["id"].to_numpy(object), categorize=False) % _PARTS)
+        out = [rows.iloc[:0]]
+        for part, some in rows.groupby("part"):
+            known = [i for day, piece in pieces.get(part, ()) for i in self.known.getValue((int(part), day, piece))[0]]
+            out.append(some[~some["id"].isin(known)] if known else some)
+        return pd.concat(out).sort_values(["at", "id"], kind="stable")
+
+    def _learn(self, rows: pd.DataFrame, pieces: dict[int, list[tuple[int, int]]]) -> None:
+        """Remember keys of rows(at, id, part)."""
+        for (part, day), some in rows.groupby(["part", rows["at"] // _DAY]):
+            part, day, ids, had = int(part), int(day), some["id"].tolist(), []
+            last = max((piece for d, piece in pieces.get(part, ()) if d == day), default=-1)
+            if last >= 0:
+                had = list(self.known.getValue((part, day, last))[0])
+            if last < 0 or len(had) >= _PIECE:
+                last, had = last + 1, []
+                pieces.setdefault(part, []).append((day, last))
+            self.known.updateValue((part, day, last), (had + ids,))
+
+    def _forget(self, before: int, pieces: dict[int, list[tuple[int, int]]]) -> None:
         """Drop the keys of whole days before a time."""
-        if not self.by_day.exists():
-            return
-        for day, part in [k for k in self.by_day.keys() if (k[0] + 1) * _DAY <= before]:
-            for i in self.by_day.getValue((day, part))[0]:
-                self.known.removeKey((i,))
-            self.by_day.removeKey((day, part))
-
-    def _wait(self, rows: list[tuple[int, str]]) -> None:
-        for (day,), some in _grouped((at // _DAY,) for at, _ in rows).items():
-            ids, ats = self.waiting.getValue((day,)) if self.waiting.containsKey((day,)) else ([], [])
-            self.waiting.updateValue((day,), (list(ids) + [rows[n][1] for n in some], list(ats) + [rows[n][0] for n in some]))
+        for part, own in pieces.items():
+            for day, piece in own:
+                if (day + 1) * _DAY <= before:
+                    self.known.removeKey((part, day, piece))
+
+    def _wait(self, rows: pd.DataFrame) -> None:
+        had = [tuple(k) for k in self.waiting.keys()] if self.waiting.exists() else []
+        for day, some in rows.groupby(rows["at"] // _DAY):
+            piece = 1 + max((n for d, n in had if d == day), default=-1)
+            self.waiting.updateValue((int(day), piece), (some["id"].tolist(), some["at"].tolist()))
 
     def _next(self) -> tuple[list[tuple[int, str]], bool]:
         """(the oldest ``limit`` of what waits, whether more does)."""
         taken: list[tuple[int, str]] = []
-        for (day,) in sorted(tuple(k) for k in self.waiting.keys()) if self.waiting.exists() else ():
+        days: dict[int, list[int]] = {}
+        for day, piece in self.waiting.keys() if self.waiting.exists() else ():
+            days.setdefault(day, []).append(piece)
+        for day in sorted(days):
             room = self.limit - len(taken)
             if room <= 0:
                 return taken, True
-            ids, ats = self.waiting.getValue((day,))
-            rows = sorted(zip(ats, ids, strict=True))
+            rows: list[tuple[int, str]] = []
+            for piece in days[day]:
+                ids, ats = self.waiting.getValue((day, piece))
+                rows += zip(ats, ids, strict=True)
+                self.waiting.removeKey((day, piece))
+            rows.sort()
             taken += rows[:room]
             if len(rows) > room:
-                self.waiting.updateValue((day,), ([i for _, i in rows[room:]], [at for at, _ in rows[room:]]))
+                self.waiting.updateValue((day, 0), ([i for _, i in rows[room:]], [at for at, _ in rows[room:]]))
                 return taken, True
-            self.waiting.removeKey((day,))
         return taken, False
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         mark = self.mark.get()[0] if self.mark.exists() else None
         grace = C.NEW_ITEM_GRACE_DAYS * _DAY
-        first, latest, added = None, None, None
-        for some in rows:
-            pairs = sorted(set(zip(some["at"].tolist(), some["id"].tolist(), strict=True)))
-            fresh = [(at, i) for at, i in pairs if mark is None or at > mark - grace]
-            if not fresh:
+        first, latest, added, new = None, None, None, None
+        pieces = {} if mark is None else self._pieces()
+        for some in _gathered(rows):
+            fresh = some[["at", "id"]] if mark is None else some.loc[some["at"] > mark - grace, ["at", "id"]]
+            if not len(fresh):
                 continue
-            latest = max(fresh[-1][0], latest or fresh[-1][0])
+            newest = int(fresh["at"].max())
+            latest = max(newest, latest or newest)
             if mark is None:
-                first = max(fresh[-1], first or fresh[-1])
+                found = (newest, fresh.loc[fresh["at"] == newest, "id"].max())
+                first = max(found, first or found)
                 continue
-            once = {i: at for at, i in reversed(fresh)}  # of dates that differ the earliest
-            new = sorted((at, i) for i, at in once.items() if not self.known.containsKey((i,)))
-            self._learn(new)
+            if new is not None:  # the rest of the batch may repeat its keys
+                self._learn(new, pieces)
+            new = self._new(fresh, pieces)
             if self.limit is not None:
                 self._wait(new)
-            elif new:
-                yield self._shaped(new, key)
+            elif len(new):
+                yield self._shaped(new["id"].tolist(), new["at"].tolist(), key)
         more = False
         if first is not None:
-            self._learn([first])
-            yield self._shaped([first], key)
+            new = pd.DataFrame({"at": [first[0]], "id": [first[1]], "part": pd.util.hash_array(pd.Series([first[1]]).to_numpy(object), categorize=False) % _PARTS})
+            yield self._shaped([first[1]], [first[0]], key)
         elif mark is not None and self.limit is not None:
             taken, more = self._next()
             added = taken[-1][0] if taken else None
             if taken:
-                yield self._shaped(taken, key)
+                yield self._shaped([i for _, i in taken], [at for at, _ in taken], key)
         # while candidates wait, the mark stays at what was added, so that it passes none of them
         reached = [x for x in (mark, added if more else latest) if x is not None]
         if reached:
+            before = max(reached) - grace
             self.mark.update((max(reached),))
-            self._forget(max(reached) - grace)
+            if new is not None:
+                self._learn(new[(new["at"] // _DAY + 1) * _DAY > before], pieces)
+            self._forget(before, pieces)
 
     @staticmethod
-    def _shaped(new: list[tuple[int, str]], key) -> pd.DataFrame:
-        return pd.DataFrame({"source_id": [key[0]] * len(new), "id": [i for _, i in new], "at": [at for at, _ in new]}).astype({"at": "int64"})
+    def _shaped(ids: list[str], ats: list[int], key) -> pd.DataFrame:
+        return pd.DataFrame({"source_id": [key[0]] * len(ids), "id": ids, "at": ats}).astype({"at": "int64"})
 
     def close(self) -> None:
         pass
 
 
-def _grouped(keys) -> dict[tuple, list[int]]:
-    """The places of each key."""
-    out: dict[tuple, list[int]] = {}
-    for n, k in enumerate(keys):
-        out.setdefault(k, []).append(n)
-    return out
+def _gathered(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows in tables of about _AT_ONCE."""
+    held, n = [], 0
+    for some in rows:
+        held.append(some)
+        n += len(some)
+        if n >= _AT_ONCE:
+            yield pd.concat(held)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held)
 
 
 def admit_stream(candidates: DataFrame, limit: int | None = None) -> DataFrame:
