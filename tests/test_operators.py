@@ -481,6 +481,21 @@ def test_lookup_opens_few_folders(spark, tmp_path):
     assert far.count() <= 200 and len(store.opened) <= 1  # a false hit is rare
 
 
+def test_runs_key_their_candidates_once(spark, monkeypatch):
+    """The lookup and the admission read candidates that were keyed once, in many tasks whatever the files."""
+    from tidemark.plans import QUERIES
+
+    asked, lookup = [], Store.lookup
+
+    def watched(self, table, ids):
+        asked.append(ids._jdf.queryExecution().withCachedData().toString())
+        return lookup(self, table, ids)
+
+    monkeypatch.setattr(Store, "lookup", watched)
+    assert sum(r["stored"] for r in QUERIES["run_sequence"](spark, "/root/testdata/sf0.001").collect()) > 100
+    assert len(asked) == 3 and all("InMemoryRelation" in plan and "REPARTITION_BY_NUM" in plan for plan in asked)
+
+
 def test_a_patch_that_dies_loses_nothing(spark, tmp_path, monkeypatch):
     """An upsert that dies after its rows, after its list of ids, or before its entry leaves the rows that were there."""
     store = Store(spark, str(tmp_path / "store"))

@@ -53,7 +53,7 @@ def refresh(store: Store, feeds: DataFrame, listings: DataFrame | Callable[[Data
         modes = modes.unionByName(rescued.withColumn("mode", F.lit("listing")))
         errors = got.select("source_id", F.coalesce("error", F.lit("no links")).alias("listing_error"))
         told = failed.join(errors, "source_id", "left").join(rescued, "source_id", "left_anti")
-    found = to_candidates(items, sources)
+    found = to_candidates(items, sources).persist()  # read by the lookup and twice by the commit
     stored = store.lookup("articles", found.select("id"))
     done = commit(found, sources, stored, now, limit=limit, modes=modes)
     failures = told.select("source_id", F.concat_ws("; ", "feed_error", "listing_error").alias("error"))
@@ -61,7 +61,7 @@ def refresh(store: Store, feeds: DataFrame, listings: DataFrame | Callable[[Data
     metrics = _kept(done.metrics)  # before the tables that it is computed from are replaced
     store.write(batch, writer, append={"articles": done.articles}, sources=after)
     done.release()
-    for used in (parsed, links):
+    for used in (parsed, links, found):
         if used is not None:
             used.unpersist()
     return metrics

@@ -290,16 +290,19 @@ def run_sequence(spark, d):
     events = _events(spark, d)
     store.write(sources=_shaped(_cold_sources(events), SOURCES))
     for turn in _periods(events):
-        items = events.where(_period() == turn).select(
+        # a file of few row groups is few tasks, and keying a link costs more than dealing it
+        dealt = events.where(_period() == turn).repartition(4 * spark.sparkContext.defaultParallelism, "event_id")
+        items = dealt.select(
             F.col("event_type").alias("source_id"), F.col("event_id").cast("int").alias("pos"), F.concat(F.lit("https://e.example/"), F.col("event_id")).alias("link"), F.lit("").alias("title"),
             F.lit(None).cast("string").alias("guid"), F.col("ts").alias("published_at"), F.array().cast("array<string>").alias("categories"), F.lit(None).cast("string").alias("content_html"),
         )
+        found = to_candidates(items, store.read("sources")).persist()
         for batch in [str(turn)] * (1 + bool(store.batch())):
             sources = store.read("sources")
-            found = to_candidates(items, sources)
             done = commit(found, sources, store.lookup("articles", found.select("id")), NOW, limit=None)
             store.write(batch, append={"articles": done.articles}, sources=done.sources)
             done.release()
+        found.unpersist()
     counts = store.read("articles").groupBy("source_id").agg(F.count("*").alias("stored"))
     got = counts.join(store.read("sources").select(F.col("id").alias("source_id"), "latest_published_at"), "source_id")
     return _ntz(got, "latest_published_at")

@@ -69,13 +69,14 @@ def state_trace(spark, d):
     found = orders.select(
         "source_id", F.col("o_orderkey").cast("int").alias("pos"), F.col("o_orderkey").cast("string").alias("id"), F.lit("l").alias("link"), F.lit("t").alias("title"), F.lit(None).cast("string").alias("guid"),
         F.col("o_orderdate").cast("timestamp").alias("published_at"), F.lit(None).cast("string").alias("content_html"),
-    )
+    ).persist()
     for hour in (0, 1):
         before = store.read("sources")
         done = commit(found, before, store.lookup("articles", found.select("id")), NOW + timedelta(hours=hour), limit=5)
         fetches = seed.select(F.col("id").alias("source_id"), F.concat(F.lit("e"), "id").alias("etag"), F.concat(F.lit("m"), "id").alias("last_modified"))
         store.write(append={"articles": done.articles}, sources=S.save_validators(done.sources, fetches, done.metrics))
         done.release()
+    found.unpersist()
     failures = seed.where("int(id) % 5 = 0").select(F.col("id").alias("source_id"), F.lit("HTTP 500").alias("error"))
     store.write(sources=S.record_failures(store.read("sources"), failures, NOW + timedelta(hours=2)))
     ids = [r["id"] for r in seed.where("int(id) < 10").select("id").collect()]
