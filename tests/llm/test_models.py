@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -16,7 +17,7 @@ from tidemark.llm import lm as M
 from tidemark.llm import quality as Q
 from tidemark.llm import toxicity as X
 from tidemark.llm.scratch import Scratch
-from tidemark.llm.training import class_sample, fold, labelled_sample
+from tidemark.llm.training import Adam, InPlaceAdam, class_sample, fold, labelled_sample
 from tidemark.llm.words import string_bytes
 
 ODD = [(900, None), (901, ""), (902, " \n"), (903, "12 %% 34"), (None, "the end of it"), (904, "a " * 60_000), (0, "again and again")]
@@ -58,6 +59,32 @@ def test_window_network_gradients():
     assert M.log_probs(p, logs, around, target).mean() == pytest.approx(-M.loss_and_grads(p, logs, around, target)[0])
 
 
+def test_steps_in_place_equal_plain_ones():
+    """Steps of the window network's optimiser make no temporary arrays and move what the plain one's move."""
+    rng = np.random.default_rng(0)
+    one, other = ({"a": np.ones((300, 40), np.float32), "b": np.zeros(7, np.float32)} for _ in range(2))
+    plain, lean = Adam(one, 0.01), InPlaceAdam(other, 0.01)
+    for _ in range(20):
+        grads = {k: rng.normal(0, 1, v.shape).astype(v.dtype) for k, v in one.items()}
+        plain.step(grads)
+        tracemalloc.start()
+        lean.step(grads)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < one["a"].nbytes / 4
+    assert all(np.allclose(one[k], other[k], atol=1e-5) and other[k].dtype == np.float32 for k in one)
+
+
+def test_symbols_of_words_equal_a_search():
+    """A frequent word's symbol is found also where words share their first bits, or are the least or the largest hash."""
+    rng = np.random.default_rng(1)
+    words = np.unique(np.concatenate([rng.integers(0, most, 400, dtype=np.uint64) for most in (1 << 20, 2**64 - 1)] + [np.array([0, 2**64 - 1], np.uint64)]))
+    asked = np.concatenate([words, words + np.uint64(1), rng.integers(0, 2**64 - 1, 999, dtype=np.uint64)])
+    known = {w: i for i, w in enumerate(words.tolist())}
+    got = M.Vocabulary(words, np.arange(len(words)), *(np.zeros(0),) * 3).ids(asked)
+    assert got.tolist() == [known.get(w, M.FREQUENT + w % M.CODES) for w in asked.tolist()]
+
+
 def test_codes_of_a_context_sum_to_one():
     """Over all codes, whatever the neighbours, probabilities sum to one, and neighbours move each digit."""
     rng = np.random.default_rng(3)

@@ -14,6 +14,7 @@ import math
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import Scratch
-from tidemark.llm.training import Adam, summed
+from tidemark.llm.training import InPlaceAdam, summed
 from tidemark.llm.words import chunks, placed_words, separators, string_bytes
 
 #: Symbols: the FREQUENT words, then RARE classes of all others; GROUP symbols share a branch of the two-level softmax.
@@ -56,9 +57,19 @@ class Vocabulary:
         rare = FREQUENT + (hashes % np.uint64(CODES)).astype(np.int64)
         if not len(self.words):
             return rare
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        starts, most = self._starts
+        at = np.take(starts, hashes >> np.uint64(48))
+        for _ in range(most - 1):
+            at = np.minimum(at + (np.take(self.words, at) < hashes), len(self.words) - 1)
         return np.where(self.words[at] == hashes, self.symbol[at], rare)
 
+    @cached_property
+    def _starts(self) -> tuple[np.ndarray, int]:
+        """Where words with each 16 first bits begin, and how many have the same at most."""
+        starts = np.searchsorted(self.words, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48))
+        most = np.diff(starts, append=len(self.words)).max()
+        return np.minimum(starts, len(self.words) - 1).astype(np.int16), int(most)
+
     def digit_logs(self) -> tuple[np.ndarray, np.ndarray]:
         """The log weights of second digits by class, and of third ones by class and second digit; a digit in a row each."""
         weight = weights(self.mass, self.types).reshape(RARE * SECOND, THIRD)
@@ -135,18 +146,32 @@ def new_params(rng: np.random.Generator, hidden: int = HIDDEN, kind=np.float32)
     }
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """In place, down the columns, which numpy does faster than along short rows."""
+def _softmax(x: np.ndarray, n: int) -> np.ndarray:
+    """A softmax over ``n``, in place, down the columns, which numpy does faster than along short rows."""
     x -= x.max(axis=0)
     np.exp(x, out=x)
-    x /= x.sum(axis=0)
+    x *= 1 / (n * x.sum(axis=0))
     return x
 
 
+def _branch_scores(p: dict[str, np.ndarray], h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The scores of the symbols of each token's branch, a column a token; ``bounds`` has where the tokens of each branch begin and end."""
+    out = np.repeat(p["sb"].T, np.diff(bounds), axis=1)
+    for k in np.flatnonzero(np.diff(bounds)):
+        a, b = bounds[k], bounds[k + 1]
+        out[:, a:b] += p["s"][k].T @ h[a:b].T
+    return out
+
+
+def _cells(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where one place of each column is in the flat array."""
+    return at * x.shape[1] + np.arange(x.shape[1])
+
+
 def _log_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The log softmax of each column at one place."""
     x -= x.max(axis=0)
-    picked = x[at, np.arange(x.shape[1])]
+    picked = np.take(x, _cells(x, at))
     return picked - np.log(np.exp(x, out=x).sum(axis=0))
 
 
@@ -177,9 +202,7 @@ def log_probs(p: dict[str, np.ndarray], logs: tuple, around: np.ndarray, ids: np
     group, within = np.divmod(target[order], GROUP)
     bounds = np.searchsorted(group, np.arange(SYMBOLS // GROUP + 1))
     found = _log_at(p["g"].T @ h.T + p["gb"][:, None], group)
-    for k in np.unique(group):
-        a, b = bounds[k], bounds[k + 1]
-        found[a:b] += _log_at(p["s"][k].T @ h[a:b].T + p["sb"][k][:, None], within[a:b])
+    found += _log_at(_branch_scores(p, h, bounds), within)
     a = bounds[FREQUENT // GROUP]
     first, node, second, third = _digits(ids[order[a:]])
     rows = np.arange(len(node))
@@ -197,40 +220,44 @@ def log_probs(p: dict[str, np.ndarray], logs: tuple, around: np.ndarray, ids: np
 def _sum_by(values: np.ndarray, keys: np.ndarray, out: np.ndarray) -> None:
     """Set the rows of ``out`` that occur as keys to the sums of their values."""
     order = np.argsort(keys.astype(np.uint16), kind="stable")
-    key = keys[order].astype(np.int64)
-    first = np.flatnonzero(np.diff(key, prepend=-1))
+    key = np.take(keys, order)
+    first = np.concatenate((np.arange(len(key) > 0), np.flatnonzero(key[1:] != key[:-1]) + 1))
     if len(first):
-        out[key[first]] = np.add.reduceat(np.take(values, order, axis=0), first, axis=0)
+        values = np.take(values, order, axis=0)
+        # two columns at once, as one complex number
+        pairs = values if values.shape[1] % 2 else values.view(np.result_type(values, np.complex64))
+        out[key[first]] = np.add.reduceat(pairs, first, axis=0).view(values.dtype)
 
 
 def loss_and_grads(p: dict[str, np.ndarray], logs: tuple, around: np.ndarray, ids: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean negative log probability and its gradient by every parameter."""
     n, target = len(ids), symbol_of(ids)
     order = np.argsort((target // GROUP).astype(np.uint8), kind="stable")
-    around = around[order]
+    around = np.take(around, order, axis=0)
     group, within = np.divmod(target[order], GROUP)
-    h, rows = _hidden(p, around), np.arange(n)
+    h = _hidden(p, around)
     grads = {k: np.zeros_like(v) for k, v in p.items()}
     loss = 0.0
 
     def missed(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The gradient by scores, a column a token; the loss is added up."""
         nonlocal loss
-        by, at = _softmax(scores), (at, rows[: len(at)])
-        loss -= np.log(by[at]).sum()
-        by[at] -= 1
-        by /= n
+        by, at = _softmax(scores, n), _cells(scores, at)
+        picked = np.take(by, at)
+        loss -= np.log(picked * n).sum()
+        by.put(at, picked - 1 / n)
         return by
 
     by = missed(p["g"].T @ h.T + p["gb"][:, None], group)
     grads["g"], grads["gb"] = h.T @ by.T, by.sum(axis=1)
     by_h = by.T @ p["g"].T
     bounds = np.searchsorted(group, np.arange(SYMBOLS // GROUP + 1))
-    for k in np.unique(group):
+    by, met = missed(_branch_scores(p, h, bounds), within), np.flatnonzero(np.diff(bounds))
+    grads["sb"][met] = np.add.reduceat(by, bounds[met], axis=1).T
+    for k in met:
         a, b = bounds[k], bounds[k + 1]
-        by = missed(p["s"][k].T @ h[a:b].T + p["sb"][k][:, None], within[a:b])
-        grads["s"][k], grads["sb"][k] = h[a:b].T @ by.T, by.sum(axis=1)
-        by_h[a:b] += by.T @ p["s"][k].T
+        grads["s"][k] = h[a:b].T @ by[:, a:b].T
+        by_h[a:b] += by[:, a:b].T @ p["s"][k].T
     a = bounds[FREQUENT // GROUP]
     if a < n:
         first, node, second, third = _digits(ids[order[a:]])
@@ -259,7 +286,7 @@ def fit(p: dict[str, np.ndarray], logs: tuple, ids: np.ndarray, counts: np.ndarr
     """
     rng = np.random.default_rng(seed)
     around = contexts(symbol_of(ids), counts)
-    adam = Adam(p, 0.01)
+    adam = InPlaceAdam(p, 0.01)
     passes = -(-len(ids) // BATCH)
     steps = max(steps, passes)
     for turn in range(steps):
@@ -267,7 +294,7 @@ def fit(p: dict[str, np.ndarray], logs: tuple, ids: np.ndarray, counts: np.ndarr
             order = rng.permutation(len(ids))
         adam.rate = 0.01 * (1 - start - (end - start) * turn / steps) + 0.0005
         pick = order[turn % passes * BATCH :][:BATCH]
-        adam.step(loss_and_grads(p, logs, around[pick], ids[pick])[1])
+        adam.step(loss_and_grads(p, logs, np.take(around, pick, axis=0), np.take(ids, pick))[1])
 
 
 def _coded(vocab: Vocabulary, parts: int):
@@ -366,7 +393,8 @@ def document_scores(vocab: Vocabulary, p: dict[str, np.ndarray], data: np.ndarra
     # sorted by row, digits and word, so that what a row has of each is a run
     rare = np.flatnonzero(ids >= FREQUENT)
     row, words = np.repeat(np.arange(rows), counts)[rare], hashes[rare]
-    order = np.lexsort((words * np.uint64(2**64 // CODES) | words // np.uint64(CODES), row))  # the code's digits, then the rest
+    order = np.argsort(words * np.uint64(2**64 // CODES) | words // np.uint64(CODES))  # the code's digits, then the rest
+    order = order[np.argsort(row[order].astype(np.min_scalar_type(rows)), kind="stable")]
     rare, row, words = rare[order], row[order], words[order]
     code = ids[rare] - FREQUENT
     outside = np.zeros((3, len(ids)))  # log weights of second digit, third digit and class without the row's own words

@@ -80,5 +80,31 @@ class Adam:
             self.params[k] -= (scale * self.first[k] / (np.sqrt(self.second[k]) + 1e-8)).astype(self.params[k].dtype)
 
 
+class InPlaceAdam(Adam):
+    """The same in the precision of the parameters and without temporary arrays, for many parameters and short steps."""
+
+    def __init__(self, params: dict[str, np.ndarray], rate: float = 0.01):
+        super().__init__(params, rate)
+        self.spare = {k: np.empty_like(v) for k, v in params.items()}
+
+    def step(self, grads: dict[str, np.ndarray]) -> None:
+        self.turn += 1
+        scale = float(self.rate * np.sqrt(1 - 0.999**self.turn) / (1 - 0.9**self.turn))
+        for k, g in grads.items():
+            first, second, x = self.first[k], self.second[k], self.spare[k]
+            np.subtract(g, first, out=x)
+            x *= 0.1
+            first += x
+            np.multiply(g, g, out=x)
+            x -= second
+            x *= 0.001
+            second += x
+            np.sqrt(second, out=x)
+            x += 1e-8
+            np.divide(first, x, out=x)
+            x *= scale
+            self.params[k] -= x
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
