@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import tracemalloc
 from collections import Counter
 
@@ -186,6 +187,31 @@ def test_toxicity_settings_are_chosen_on_learning_rows():
     assert X.choose(sample, [poor, X.Setting()]) == X.Setting() and X.choose(sample, [poor]) == poor
 
 
+def test_quality_keeps_no_shuffles(spark, monkeypatch):
+    """The shuffled texts of the join are gone when the replicas are fitted, and the session is as it was."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {name for name in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in name}
+    given = spark.range(400).selectExpr("id as doc_id", "concat(if(id % 3 = 0, 'a low one ', 'some high text '), id) as text").repartition(3)
+    known = spark.range(400).selectExpr("id as doc_id", "int(id % 3 > 0) as quality")
+    old, keep, left = files(), Scratch.keep, []
+
+    def watched(self, df, name):
+        kept = keep(self, df, name)
+        if name == "learnt":
+            for _ in range(50):  # they are removed in the background
+                if not (found := files() - old):
+                    break
+                time.sleep(0.1)
+            left.append(found)
+        return kept
+
+    monkeypatch.setattr(Scratch, "keep", watched)
+    Q.fit(given, known, fold("doc_id", 5) == 0)
+    assert left == [set()] and spark.conf.get(key) == before
+
+
 def test_quality_equals_brute_force(spark, docs):
     """Scores from the fitted weights alone: byte kinds, repetition and the mean weight of words and pairs."""
     rows, labels = _corpus()

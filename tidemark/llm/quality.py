@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.ordering import running_total
-from tidemark.llm.scratch import Scratch, bound_batches
+from tidemark.llm.scratch import Scratch, bound_batches, shuffles_dropped
 from tidemark.llm.training import Adam, fold, sigmoid, summed
 from tidemark.llm.words import chunks, shingles, string_bytes, word_hashes
 
@@ -157,8 +157,13 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, part: int = PART)
     A doc_id with several labels counts as its largest, one with several texts once, by the smallest. Documents are dealt by a hash of doc_id
     into parts of about ``part`` documents and at most about PART_BYTES; where a label has fewer than LEAST a part its documents are in several. A
     replica is fitted to each part, in parallel, and their weights are averaged by documents. Without both labels every document scores as the
-    labels there are, or as good without any.
+    labels there are, or as good without any. The shuffled texts of one step go before the next.
     """
+    with shuffles_dropped(docs.sparkSession):
+        return _fit(docs, labels, held_out, part)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, held_out: Column, part: int) -> QualityModel:
     spark = docs.sparkSession
     bound_batches(spark)
     scratch = Scratch(spark, "quality")
